@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import language_id, mixing, sharding, token_files
+from quillstone.llm import decontamination, language_id, licenses, mixing, sharding, substrings, token_files
 from quillstone.llm.staging import read
 
 #: Target weights of the mixing query; sources that are not named weigh 1.
@@ -31,15 +31,36 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(read(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(read(spark, sf_dir, "documents"))
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(read(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.marked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(read(spark, sf_dir, "documents"), tokenizer_json())
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_language_id, op6_shards, op8_token_files)
+    f.__name__: f
+    for f in (
+        op1_mix_sources,
+        op2_language_id,
+        op5_substring_dedup,
+        op6_shards,
+        op7_decontamination,
+        op8_token_files,
+        op9_license_scan,
+    )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_license_scan": licenses.oracle_sql()}
