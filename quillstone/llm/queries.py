@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import decontamination, language_id, licenses, mixing, near_duplicates, sharding, substrings, token_files
+from quillstone.llm import decontamination, language_id, licenses, mixing, near_duplicates, sharding, substrings, suffixes, token_files
 from quillstone.llm.staging import read
 
 #: Target weights of the mixing query; sources that are not named weigh 1.
@@ -31,6 +31,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(read(spark, sf_dir, "documents"))
 
 
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per passage of 50 words or more that a document of a smaller id holds too."""
+    return suffixes.repeats(read(spark, sf_dir, "documents"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its class: class_id, class_size, and whether it is the one that stays."""
     return near_duplicates.classes(read(spark, sf_dir, "documents")).drop("digest")
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_mix_sources,
         op2_language_id,
+        op3_suffix_repeats,
         op4_near_duplicates,
         op5_substring_dedup,
         op6_shards,
