@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import decontamination, language_id, licenses, mixing, near_duplicates, sharding, substrings, suffixes, token_files
+from quillstone.llm import decontamination, language_id, licenses, mixing, near_duplicates, neighbour_graph, sharding, substrings, suffixes, token_files
 from quillstone.llm.staging import read
 
 #: Target weights of the mixing query; sources that are not named weigh 1.
@@ -61,6 +61,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(read(spark, sf_dir, "documents"))
 
 
+def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_graph.nearest(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_decontamination,
         op8_token_files,
         op9_license_scan,
+        op10_nearest_vectors,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op9_license_scan": licenses.oracle_sql()}
