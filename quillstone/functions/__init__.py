@@ -1 +1 @@
-
+"""Column expressions that the table jobs are made of."""

@@ -1 +1 @@
-
+"""The table jobs: functions from DataFrame to DataFrame."""

@@ -1 +1 @@
-
+"""Reading tables and files, and the versioned passage store."""
