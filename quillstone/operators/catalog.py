@@ -86,7 +86,7 @@ def strip_bins(documents: DataFrame, hits: DataFrame, cells: int = STRIP_CELLS)
     state = F.when(F.col("embedded").isNull() | (F.col("end") <= F.col("embedded")), "done").when(F.col("first") < until, "working").otherwise("waiting")
     # a cited passage finds its bin by its own index, so no range join is needed
     of_hit = hits.join(documents.select("document_id", "total").withColumn("_cells", n), "document_id").where("chunk_index < total")
-    guess = F.floor(F.col("chunk_index") / (F.col("total") / F.col("_cells"))).cast("int")
+    guess = F.floor(F.try_divide(F.col("chunk_index") * F.col("_cells"), F.col("total"))).cast("int")
     near = of_hit.withColumn("bin", F.explode(F.array(guess - 1, guess, guess + 1))).select("document_id", "bin", "chunk_index")
     bins = rows.withColumn("state", state).select("document_id", "bin", "first", "end", "state")
     marked = bins.join(near, ["document_id", "bin"]).where("chunk_index >= first AND chunk_index < end").select("document_id", "bin", F.lit(True).alias("hit")).distinct()

@@ -1 +1,121 @@
-"""Queries."""
+"""Queries over request logs, jobs, history writes and streams."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillstone.operators import usage as H
+from quillstone.plans import views as V
+from quillstone.plans.registry import query
+from quillstone.sources import store
+from quillstone.sources.tables import table
+from quillstone.streaming import streams
+
+#: The test log is thin, so the limits are low.
+HOUR, DAY = H.Policy(3600, 2), H.Policy(86400, 6)
+
+_LIMITED = "SELECT *, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // {w} ORDER BY ts, event_id) AS nth FROM {t}"
+
+
+def _scratch(spark: SparkSession, label: str) -> str:
+    """A new folder: in the shared one that the session names, else a temporary one of this machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="spark-") + f"/{label}"
+
+
+@query(f"""WITH n AS ({_LIMITED.format(w=3600000000, t='events')})
+  SELECT event_id, user_id, nth::INTEGER AS nth, nth <= 2 AS allowed, greatest(1, ceil(((epoch_us(ts) // 3600000000 + 1) * 3600000000 - epoch_us(ts)) / 1000000.0))::BIGINT AS retry_after FROM n""")
+def h1_window_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.limited(table(spark, sf_dir, "events"), HOUR).select("event_id", "user_id", "nth", "allowed", "retry_after")
+
+
+@query(f"""WITH a AS ({_LIMITED.format(w=3600000000, t='events')}), p AS (SELECT * EXCLUDE (nth) FROM a WHERE nth <= 2), b AS ({_LIMITED.format(w=86400000000, t='p')})
+  SELECT event_id, 0 AS blocked_by FROM a WHERE nth > 2 UNION ALL SELECT event_id, CASE WHEN nth > 6 THEN 1 END FROM b""")
+def h2_chained_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.chained(table(spark, sf_dir, "events"), (HOUR, DAY)).select("event_id", "blocked_by")
+
+
+@query("""WITH j AS (SELECT event_id AS job_id, user_id, ts AS start_ts, CASE WHEN event_id % 5 <> 0 THEN ts + to_minutes(1 + event_id % 60) END AS end_ts FROM events),
+  c AS (SELECT job_id, user_id, start_ts, least(coalesce(end_ts, start_ts + INTERVAL 30 MINUTE), start_ts + INTERVAL 30 MINUTE) AS stop FROM j),
+  o AS (SELECT a.job_id, a.user_id, count(*) AS open_total, count(CASE WHEN b.user_id = a.user_id THEN 1 END) AS open_user FROM c a JOIN c b ON (b.start_ts < a.start_ts OR (b.start_ts = a.start_ts AND b.job_id <= a.job_id)) AND b.stop > a.start_ts GROUP BY 1, 2)
+  SELECT job_id, user_id, open_user, open_total, open_user > 3 AS over_user_cap, open_total > 3 AS over_total_cap FROM o""")
+def h3_concurrent_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), "user_id", F.col("ts").alias("start_ts"), F.expr("CASE WHEN event_id % 5 <> 0 THEN ts + make_dt_interval(0, 0, cast(1 + event_id % 60 as int), 0) END").alias("end_ts"))
+    return H.concurrent(jobs).select("job_id", "user_id", "open_user", "open_total", "over_user_cap", "over_total_cap")
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, user_id, count(*) AS n, count(*) > 2 AS over_limit FROM events GROUP BY 1, 2")
+def h5_request_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch twin of the streaming job: the same function over the whole table."""
+    out = streams.request_rates(table(spark, sf_dir, "events"), 3600, 2)
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query()
+def h5_stream_request_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As a stream; windows that the watermark has not passed are not out yet."""
+    raw = spark.readStream.schema("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").option("pathGlobFilter", "*.parquet").parquet(_folder(spark, sf_dir, "events"))
+    return streams.run_to_memory(streams.request_rates(raw, 3600, 2), f"rates_{uuid.uuid4().hex}", "append", _scratch(spark, "rates"))
+
+
+def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A folder that a streaming source can watch, holding the table's rows."""
+    path = _scratch(spark, name)
+    table(spark, sf_dir, name).write.parquet(path)
+    return path
+
+
+@query()
+def h4_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' texts as arriving .txt files, about 200 documents in each, ingested to passages with vectors."""
+    d = table(spark, sf_dir, "documents")
+    folder = _scratch(spark, "inbox")
+    d.select("text").repartition(max(4, d.count() // 200)).write.text(folder)
+    store_path, catalog_path = _scratch(spark, "store"), _scratch(spark, "catalog")
+    streams.stream_ingest(spark, folder, store_path, catalog_path, _scratch(spark, "ingest"), dim=64).awaitTermination()
+    return spark.read.parquet(store_path).select("document_id", "chunk_index", "token_estimate", F.size("embedding").alias("dim"))
+
+
+@query()
+def h6_stream_answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold as a stream with state per question."""
+    path = _scratch(spark, "answer-events")
+    _answer_events(spark, sf_dir).write.parquet(path)
+    raw = spark.readStream.schema("question_id string, seq int, event string, data string").parquet(path)
+    return streams.run_to_memory(streams.stream_answer_events(raw), f"answers_{uuid.uuid4().hex}", "update", _scratch(spark, "answer-state"))
+
+
+#: Answer events made from the conversations: a stage, sources, the words of the turn as deltas, and an end that every seventh lacks.
+def _answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.expr("concat(cast(conv_id as string), '-', cast(turn as string))").alias("question_id"), F.expr("conv_id * 31 + turn").alias("k"), F.split("text", " ").alias("w"))
+    kinds = F.concat(F.array(F.lit("stage"), F.lit("sources")), F.transform("w", lambda x: F.lit("delta")), F.when(F.col("k") % 7 == 0, F.expr("cast(array() as array<string>)")).when(F.col("k") % 7 == 1, F.array(F.lit("error"))).otherwise(F.array(F.lit("done"))))
+    rows = c.select("question_id", "k", "w", F.posexplode(kinds).alias("seq", "event"))
+    pair = lambda name, value: F.to_json(F.struct(value.alias(name)))
+    data = (
+        F.when(F.col("event") == "stage", pair("stage", F.lit("searching")))
+        .when(F.col("event") == "sources", pair("n", (F.col("k") % 5)))
+        .when(F.col("event") == "delta", pair("text", F.concat(F.expr("try_element_at(w, seq - 1)"), F.lit(" "))))
+        .when(F.col("event") == "done", pair("answer", F.concat_ws(" ", "w")))
+        .otherwise(pair("message", F.lit("Try again")))
+    )
+    return rows.select("question_id", "seq", "event", data.alias("data"))
+
+
+@query("""SELECT concat(conv_id::VARCHAR, '-', turn::VARCHAR) AS question_id, CASE WHEN (conv_id * 31 + turn) % 7 < 2 THEN 'error' ELSE 'done' END AS phase, ((conv_id * 31 + turn) % 5)::INTEGER AS n_sources,
+  CASE WHEN (conv_id * 31 + turn) % 7 < 2 THEN '' ELSE text END AS text, CASE (conv_id * 31 + turn) % 7 WHEN 0 THEN 'The connection closed before the answer finished. Try again.' WHEN 1 THEN 'Try again' END AS message FROM conversations""")
+def h6_fold_answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.folded_answer_events(_answer_events(spark, sf_dir))
+
+
+@query(f"WITH {V.ANSWERS} SELECT answer_id, user_id, strftime(created_at, '%Y-%m-%d') AS day FROM answers")
+def a4_append_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appended in two writes, read back."""
+    path = _scratch(spark, "history")
+    a = V.answers(spark, sf_dir).select("answer_id", "user_id", "created_at")
+    store.append_answers(a.where("answer_id % 2 = 0"), path)
+    store.append_answers(a.where("answer_id % 2 = 1"), path)
+    return spark.read.parquet(path).select("answer_id", "user_id", F.col("day").cast("string").alias("day"))

@@ -29,7 +29,7 @@ def write_replaced(spark: SparkSession, path: str, batch: DataFrame, document: s
     except Exception as e:  # a store that does not exist yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        rows.write.partitionBy("doc_bucket").parquet(path)
+        rows.repartition("doc_bucket").write.partitionBy("doc_bucket").parquet(path)
         return
     touched = rows.select("doc_bucket").distinct()
     kept = old.join(touched, "doc_bucket", "left_semi").join(batch.select(document).distinct(), document, "left_anti")
@@ -38,7 +38,7 @@ def write_replaced(spark: SparkSession, path: str, batch: DataFrame, document: s
         staged = path.rstrip("/") + "_staged"
         after.write.mode("overwrite").parquet(staged)
         after = spark.read.parquet(staged)
-    after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_bucket").parquet(path)
+    after.repartition("doc_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_bucket").parquet(path)
 
 
 def append_answers(answers: DataFrame, path: str, created: str = "created_at") -> None:
