@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import decontamination, language_id, licenses, mixing, near_duplicates, neighbour_graph, sharding, substrings, suffixes, token_files
+from quillstone.llm import decontamination, language_id, licenses, mixing, near_duplicates, neighbour_graph, oracles, sharding, substrings, suffixes, token_files
 from quillstone.llm.staging import read
 
 #: Target weights of the mixing query; sources that are not named weigh 1.
@@ -80,4 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_nearest_vectors,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op9_license_scan": licenses.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": oracles.mixing(MIX_WEIGHTS),
+    "op5_substring_dedup": oracles.substring_dedup(),
+    "op7_decontamination": oracles.decontamination(),
+    "op9_license_scan": licenses.oracle_sql(),
+}
