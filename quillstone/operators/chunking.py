@@ -156,7 +156,8 @@ def chunks(docs: DataFrame, options: ChunkOptions = ChunkOptions(), document: st
     arrays = rows.groupBy(document).agg(F.array_sort(F.collect_list(F.struct("unit_no", "unit", "gap", "end"))).alias("u"))
     arrays = arrays.select(document, "u", F.transform("u", lambda x: F.length(x["unit"])).alias("lengths"), F.transform("u", lambda x: x["end"]).alias("ends"))
     found = arrays.withColumn("packed", packed(F.col("lengths"), F.col("ends"), options))
-    found = found.select(document, "u", F.posexplode("packed").alias("chunk_index", "c"))
+    # outer: a plain explode would be given a filter that repeats the fold with its arrays written out in every step
+    found = found.select(document, "u", F.posexplode_outer("packed").alias("chunk_index", "c"))
 
     def text_of(first: Column, last: Column) -> Column:
         part = F.slice("u", first + 1, last - first + 1)
