@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.license_rules import GATE, rules
+from quillstone.llm.license_rules import GATE_PATTERN, GATE_WORDS, rules
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -19,18 +21,24 @@ def spaced_words(text: Column) -> Column:
     return F.when(inner == "", F.lit("")).otherwise(F.concat(F.lit(" "), inner, F.lit(" ")))
 
 
+def gated(text: Column) -> Column:
+    """Can the text hold a signature at all?"""
+    lower = F.lower(text)
+    found = text.rlike(GATE_PATTERN)
+    for word in GATE_WORDS[::-1]:
+        found = F.contains(lower, F.lit(word)) | found
+    return found
+
+
 def _words(x: Column) -> Column:
     return F.expr("0") + ((F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))) / 2).cast("int")
 
 
 def detections(spaced: Column) -> Column:
     """All matches of all rules whose keyword occurs: rule fields, place among the rule's matches, words before it since the last one, and words in it."""
-    table = F.array(
-        *[
-            F.struct(F.lit(r.order).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.regex).alias("regex"), F.lit(r.priority).alias("priority"), F.lit(r.score).alias("score"), F.lit(r.base).alias("base"))
-            for r in rules()
-        ]
-    )
+    fields = "array<struct<rule: int, label: string, keyword: string, regex: string, priority: int, score: double, base: boolean>>"
+    told = [{"rule": r.order, "label": r.label, "keyword": r.keyword, "regex": r.regex, "priority": r.priority, "score": r.score, "base": r.base} for r in rules()]
+    table = F.from_json(F.lit(json.dumps(told)), fields)  # a constant: the optimizer reads it once
 
     def found(r: Column) -> Column:
         pieces = F.arrays_zip(F.split(spaced, r["regex"], -1).alias("gap"), F.regexp_extract_all(spaced, r["regex"], F.lit(0)).alias("hit"))
@@ -60,7 +68,7 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     read = docs.select(
         F.col(key).alias("doc_id"),
         F.regexp_count(body, F.lit(WORD)).cast("long").alias("n_words"),
-        F.when(body.rlike(GATE), spaced_words(body)).alias("spaced"),
+        F.when(gated(body), spaced_words(body)).alias("spaced"),
         F.monotonically_increasing_id().alias("_row"),  # read once only: one exchange below keeps a row's detections together
     )
     hits = read.withColumn("found", F.when(F.col("spaced").isNotNull(), detections(F.col("spaced"))))
