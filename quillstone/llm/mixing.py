@@ -24,12 +24,12 @@ def poisson(u: Column, rate: Column) -> Column:
     size can need for a ``u`` of 52 bits.
     """
     steps = F.sequence(F.lit(1), (rate + 12 * F.sqrt(rate) + 40).cast("int"))
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0).alias("k"))
+    start = F.struct(u.alias("u"), F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0).alias("k"))
 
     def step(at: Column, k: Column) -> Column:
         p = at["p"] * rate / k
-        further = u >= at["cdf"]
-        return F.struct(p.alias("p"), F.when(further, at["cdf"] + p).otherwise(at["cdf"]).alias("cdf"), F.when(further, k).otherwise(at["k"]).alias("k"))
+        further = at["u"] >= at["cdf"]
+        return F.struct(at["u"].alias("u"), p.alias("p"), F.when(further, at["cdf"] + p).otherwise(at["cdf"]).alias("cdf"), F.when(further, k).otherwise(at["k"]).alias("k"))
 
     return F.aggregate(steps, start, step, lambda at: at["k"])
 
