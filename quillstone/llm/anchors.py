@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.membership import likely
 from quillstone.llm.staging import digest, short_batches, stage
 from quillstone.llm.words import minimisers, span_hashes, utf8, word_spans
 
@@ -64,17 +65,19 @@ def representatives(rows: DataFrame) -> DataFrame:
 
 
 def sharing(texts: DataFrame) -> DataFrame:
-    """The texts that share an anchor with another: digest, first_id, shared (those anchors)."""
+    """Staged, the texts that share an anchor with another: digest, first_id, shared (those anchors)."""
     each = texts.select("digest", "first_id", F.explode("anchors").alias("anchor"))
     common = each.groupBy("anchor").agg(F.min("first_id").alias("low"), F.max("first_id").alias("high")).where("low < high").select("anchor")
-    return each.join(common, "anchor").groupBy("digest", "first_id").agg(F.collect_list("anchor").alias("shared"))
+    return stage(each.join(common, "anchor").groupBy("digest", "first_id").agg(F.collect_list("anchor").alias("shared")), "sharing")
 
 
 def with_texts(docs: DataFrame, wanted: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``wanted`` (digest, first_id, more) with the texts themselves, one row each.
+    """``wanted`` (digest, first_id, more), staged, with the texts themselves, one row each.
 
-    The join is by text and document at once, so copies of one text do not meet; the
-    wanted rows are the side held in memory, and the texts stream past.
+    Documents that can't be wanted are left out before the shuffle.  The join is by text
+    and document at once, so copies of one text do not meet; the wanted rows are the
+    side held in memory, and the texts stream past.
     """
     found = docs.select(F.col(key).cast("long").alias("first_id"), digest(text).alias("digest"), F.col(text).alias("text"))
-    return found.join(wanted.hint("shuffle_hash"), ["digest", "first_id"])
+    names = [F.col("digest"), F.col("first_id")]
+    return likely(found, names, wanted, names).join(wanted.hint("shuffle_hash"), ["digest", "first_id"])
