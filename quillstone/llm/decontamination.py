@@ -23,31 +23,31 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(hashes: Column) -> Column:
-    """One hash for each mask and each place where it fits; mask by mask, in order of place."""
-    places = F.sequence(F.lit(0), F.size(hashes) - SPAN)
-
-    def of_mask(n: int, mask: tuple[int, ...]) -> Column:
-        return F.transform(places, lambda i: F.xxhash64(F.lit(n), *[hashes[i + o] for o in mask]))
-
-    each = [of_mask(n, mask) for n, mask in enumerate(MASKS)]
-    return F.when(F.size(hashes) >= SPAN, F.flatten(F.array(*each)))
+def _seeded(df: DataFrame, hashes: str) -> DataFrame:
+    """The other columns of ``df`` with a row per mask and place: ``seed``, and ``at``, the word where its span starts.
 
+    Places are exploded first and hashed after, which keeps the hashing in generated
+    code; the array itself is dropped, so a row is short however long its text is.
+    """
+    others = [c for c in df.columns if c != hashes]
+    # outer, and no filter on the array before: either would compute the array twice
+    places = df.select(*df.columns, F.posexplode_outer(hashes).alias("at", "_word"))
+    whole = places.where(F.col("at") <= F.size(hashes) - SPAN)
+    each = F.array(*[F.xxhash64(F.lit(n), *[F.col(hashes)[F.col("at") + o] for o in mask]) for n, mask in enumerate(MASKS)])
+    return whole.select(*others, "at", F.explode(each).alias("seed"))
 
-def _seeded(df: DataFrame, hashes: str) -> DataFrame:
-    """``df`` with a row per seed: ``seed``, and ``at``, the word where its span starts."""
-    places = F.size(hashes) - (SPAN - 1)
-    return df.select(*df.columns, F.posexplode(seeds(F.col(hashes))).alias("_n", "seed")).withColumn("at", F.col("_n") % places).drop("_n")
 
+def best_overlap(doc: Column, item: Column, shift: Column) -> Column:
+    """The most equal words of any OVERLAP aligned words, where the item's word j stands at the document's word j + shift.
 
-def overlap(doc: Column, at: Column, item: Column, item_at: Column) -> Column:
-    """The most equal words of any OVERLAP aligned words around a hit; an item shorter than that counts in full."""
+    An item shorter than OVERLAP counts in full; null if too few words are aligned.
+    """
     width = F.least(F.lit(OVERLAP), F.size(item))
-    first = -F.least(at, item_at, width - 1)
-    last = F.least(F.lit(0), F.least(F.size(doc) - at, F.size(item) - item_at) - width)
+    first = F.greatest(F.lit(0), -shift)
+    last = F.least(F.size(item), F.size(doc) - shift) - width
 
-    def equal(s: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(0), width - 1), F.lit(0), lambda n, t: n + F.when(doc[at + s + t] == item[item_at + s + t], 1).otherwise(0))
+    def equal(j: Column) -> Column:
+        return F.aggregate(F.sequence(j, j + width - 1), F.lit(0), lambda n, t: n + F.when(item[t] == doc[t + shift], 1).otherwise(0))
 
     return F.when(last >= first, F.array_max(F.transform(F.sequence(first, last), equal)))
 
@@ -56,16 +56,28 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
     """Documents that overlap benchmark items: doc_id, digest of the text, item_id, most equal words.
 
     One row for each document and item.  Words are compared in lower case, without
-    punctuation.  An item of fewer words than SPAN can't be found.
+    punctuation.  Seeds that documents and items share tell where they may be aligned;
+    each such alignment is verified word by word.  An item of fewer words than SPAN
+    can't be found.
     """
-    items = benchmark.select(F.col(item_key).alias("item_id"), word_hashes(F.col(item_text)).alias("item")).distinct()
+    items = stage(benchmark.select(F.col(item_key).alias("item_id"), word_hashes(F.col(item_text)).alias("item")).distinct(), "benchmark-items")
     of_items = stage(_seeded(items, "item").withColumnRenamed("at", "item_at"), "benchmark-seeds")
-    n_words = F.sum(F.size("item"))
-    if of_items.count() <= BROADCAST_SEEDS and (of_items.select(n_words).first()[0] or 0) <= 30 * BROADCAST_SEEDS:
-        of_items = F.broadcast(of_items)
-    hashed = docs.select(F.col(key).alias("doc_id"), digest(text).alias("digest"), word_hashes(F.col(text)).alias("doc"))
-    hits = _seeded(hashed, "doc").join(of_items, "seed")
-    judged = hits.select("doc_id", "digest", "item_id", overlap(F.col("doc"), F.col("at"), F.col("item"), F.col("item_at")).alias("equal"), F.least(F.lit(OVERLAP), F.size("item")).alias("width"))
+    small = of_items.count() <= BROADCAST_SEEDS
+    of_items = F.broadcast(of_items) if small else of_items
+    named = docs.select(F.col(key).alias("doc_id"), digest(text).alias("digest"), F.col(text).alias("text"))
+    hashed = named.select("doc_id", "digest", word_hashes(F.col("text")).alias("doc"))
+    hits = _seeded(hashed, "doc").join(of_items, "seed").select("doc_id", "digest", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    hits = stage(hits, "seed-hits")
+
+    # the texts of the documents with hits are fetched once; the hits are the smaller side
+    per_doc = hits.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("item_id", "shift")).alias("found"))
+    per_doc = stage(per_doc.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "found"), "documents-with-hits")
+    per_doc = F.broadcast(per_doc) if hits.count() <= BROADCAST_SEEDS else per_doc.hint("shuffle_hash")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("digest").eqNullSafe(F.col("_digest"))
+    words = named.join(per_doc, same).select("doc_id", "digest", word_hashes(F.col("text")).alias("doc"), "found")
+    pairs = words.select("doc_id", "digest", "doc", F.explode("found").alias("f")).select("doc_id", "digest", "doc", "f.item_id", "f.shift")
+    pairs = pairs.join(F.broadcast(items) if small else items, "item_id")
+    judged = pairs.select("doc_id", "digest", "item_id", best_overlap(F.col("doc"), F.col("item"), F.col("shift")).alias("equal"), F.least(F.lit(OVERLAP), F.size("item")).alias("width"))
     enough = F.col("equal") * OVERLAP >= F.col("width") * MATCHED
     return judged.where(enough).groupBy("doc_id", "digest", "item_id").agg(F.max("equal").alias("equal"))
 

@@ -47,9 +47,9 @@ def decontamination() -> str:
     words = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
     return f"""WITH d AS (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT item_id, {words} AS w FROM benchmark),
 ds AS ({seeds('d', 'doc_id')}), bs AS ({seeds('b', 'item_id')}),
-hits AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.i AS i, bs.i AS j FROM ds JOIN bs ON ds.seed = bs.seed AND ds.mask = bs.mask),
+hits AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.i - bs.i AS shift FROM ds JOIN bs ON ds.seed = bs.seed AND ds.mask = bs.mask),
 full_ AS (SELECT h.*, d.w AS w, b.w AS v, least({OVERLAP}, len(b.w)) AS width FROM hits h JOIN d ON h.doc_id = d.doc_id JOIN b ON h.item_id = b.item_id),
-best AS (SELECT doc_id, item_id, width, list_max(list_transform(range(-least(i, j, width - 1), least(0, least(len(w) - i, len(v) - j) - width) + 1), lambda s: list_sum(list_transform(range(0, width), lambda t: CASE WHEN w[i + s + t + 1] = v[j + s + t + 1] THEN 1 ELSE 0 END)))) AS equal FROM full_),
+best AS (SELECT doc_id, item_id, width, list_max(list_transform(range(greatest(0, -shift), least(len(v), len(w) - shift) - width + 1), lambda j: list_sum(list_transform(range(0, width), lambda t: CASE WHEN v[j + t + 1] = w[j + t + shift + 1] THEN 1 ELSE 0 END)))) AS equal FROM full_),
 found AS (SELECT doc_id, item_id, max(equal) AS equal FROM best WHERE equal * {OVERLAP} >= width * {MATCHED} GROUP BY 1, 2),
 docs AS (SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items, max(equal) AS equal FROM found GROUP BY 1)
 SELECT d.doc_id, n IS NOT NULL AS contaminated, coalesce(n, 0)::BIGINT AS n_items, coalesce(items, '') AS items, coalesce(equal, 0)::INTEGER AS max_equal FROM d LEFT JOIN docs ON d.doc_id = docs.doc_id"""
