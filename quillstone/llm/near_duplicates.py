@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.anchors import ragged
 from quillstone.llm.components import components
+from quillstone.llm.membership import likely
+from quillstone.llm.neighbour_graph import bounds_of, whole_groups
+from quillstone.llm.numbering import partitions
 from quillstone.llm.staging import digest, discard, short_batches, stage
 from quillstone.llm.words import gram_hashes, mix, span_hashes, utf8, word_spans
 
@@ -22,8 +25,12 @@ BANDS, BAND_ROWS = 12, 3
 DF_BUCKETS, DF_PIECE = 1 << 20, 1 << 10
 #: Shingles that are sampled at once.
 CHUNK = 1 << 15
-#: Pivots of a bucket grow by this factor from round to round.
-PIVOT_GROWTH = 4
+#: Pivots that each bucket compares with all its members first.
+PIVOTS = 4
+#: Members of one side of a block; a larger bucket is compared block by block.
+BLOCK = 512
+#: Pairs that agree in fewer samples are not fetched for verification: at similarity 0.8 the chance of that is under 0.00001.
+AGREEING = 18
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -84,7 +91,8 @@ def inverse_frequencies(df: np.ndarray) -> np.ndarray:
 
 
 def weights(hashes: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return ((1 + np.log(counts)) * idf[df_bucket(hashes)]).astype(np.float32)
+    """TF-IDF with a strongly dampened count, so that the weighted similarity stays near the plain one."""
+    return ((1 + np.log10(counts)) * idf[df_bucket(hashes)]).astype(np.float32)
 
 
 class Sampler:
@@ -121,8 +129,8 @@ class Sampler:
             out[:, k] = np.minimum.reduceat((order.view(np.uint64) << np.uint64(32)) | name, first)
         return out & np.uint64(0xFFFFFFFF)
 
-    def bands(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Band keys (rows x BANDS) of non-empty rows of (hashes, weights)."""
+    def signatures(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The samples (rows x hash functions) of non-empty rows of (hashes, weights)."""
         out, i = [], 0
         while i < len(rows):
             j, n = i + 1, len(rows[i][0])
@@ -133,94 +141,153 @@ class Sampler:
             first = np.cumsum(sizes) - sizes
             out.append(self.samples(np.concatenate([h for h, _ in rows[i:j]]), np.log(np.concatenate([w for _, w in rows[i:j]])), first))
             i = j
-        names = np.concatenate(out).reshape(len(rows), BANDS, BAND_ROWS)
-        keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), names.shape[:2])
-        for k in range(BAND_ROWS):
-            keys = mix(keys * np.uint64(0xA24BAED4963EE407) + names[:, :, k])
-        return keys
+        return np.concatenate(out)
+
+
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    names = signatures.reshape(len(signatures), BANDS, BAND_ROWS)
+    keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), names.shape[:2])
+    for k in range(BAND_ROWS):
+        keys = mix(keys * np.uint64(0xA24BAED4963EE407) + names[:, :, k])
+    return keys
 
 
 def sampled(docs: DataFrame, idf, key: str, text: str) -> DataFrame:
-    """Staged, per row: doc_id, digest, node (a 64-bit name of the text), bands."""
+    """Staged, per row: doc_id, digest, node (a 64-bit name of the text), bands, signature."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
         for batch in batches:
             found = list(shingles(*utf8(batch.column(3))))
             at = np.array([i for i, (h, _) in enumerate(found) if len(h)], np.int64)
-            keys = sampler.bands([(found[i][0], weights(*found[i], idf.value)) for i in at]) if len(at) else np.zeros((0, BANDS), np.uint64)
-            bands = ragged(keys.ravel().view(np.int64), np.repeat(at, BANDS), batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], bands], names=["doc_id", "digest", "node", "bands"])
+            names = sampler.signatures([(found[i][0], weights(*found[i], idf.value)) for i in at]) if len(at) else np.zeros((0, BANDS * BAND_ROWS), np.uint64)
+            bands = ragged(band_keys(names).ravel().view(np.int64), np.repeat(at, BANDS), batch.num_rows, pa.int64())
+            signature = ragged(names.ravel().astype(np.uint32).view(np.int32), np.repeat(at, BANDS * BAND_ROWS), batch.num_rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], bands, signature], names=["doc_id", "digest", "node", "bands", "signature"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), digest(text).alias("digest"), F.xxhash64(digest(text)).alias("node"), F.col(text).alias("text"))
-    return stage(rows.mapInArrow(sample, "doc_id long, digest binary, node long, bands array<long>"), "samples")
+    return stage(rows.mapInArrow(sample, "doc_id long, digest binary, node long, bands array<long>, signature array<int>"), "samples")
+
+
+def similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Is the weighted Jaccard similarity of two rows of (hashes, weights), or that of their plain shingle sets, SIMILARITY or more?"""
+    (ha, wa), (hb, wb) = a, b
+    if not len(ha) or not len(hb):
+        return False
+    at = np.searchsorted(hb, ha)
+    at[at == len(hb)] = 0
+    same = hb[at] == ha
+    n, both = int(same.sum()), float(np.minimum(wa[same], wb[at[same]]).sum())
+    return max(both / (float(wa.sum()) + float(wb.sum()) - both), n / (len(ha) + len(hb) - n)) >= SIMILARITY - 1e-6
+
+
+def weighed(column, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(h, weights(h, c, idf)) for h, c in shingles(*utf8(column))]
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """The pairs (a, b) of texts whose weighted Jaccard similarity, or that of their plain shingle sets, is SIMILARITY or more."""
+    """The pairs (a, b) of similar texts."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = []
             for names, column in ((batch.column(0), batch.column(2)), (batch.column(1), batch.column(3))):
-                ids = names.to_numpy()
-                _, one, which = np.unique(ids, return_index=True, return_inverse=True)
-                kept = list(shingles(*utf8(column.take(pa.array(one)))))
-                sides.append(([(h, weights(h, c, idf.value)) for h, c in kept], which))
+                _, one, which = np.unique(names.to_numpy(), return_index=True, return_inverse=True)
+                sides.append((weighed(column.take(pa.array(one)), idf.value), which))
             (left, of_a), (right, of_b) = sides
-            good = np.zeros(batch.num_rows, bool)
-            for i, (a, b) in enumerate(zip(of_a.tolist(), of_b.tolist(), strict=True)):
-                (ha, wa), (hb, wb) = left[a], right[b]
-                at = np.searchsorted(hb, ha)
-                at[at == len(hb)] = 0
-                same = hb[at] == ha if len(hb) else np.zeros(len(ha), bool)
-                both = float(np.minimum(wa[same], wb[at[same]]).sum())
-                n = int(same.sum())
-                weighted, plain = both / (float(wa.sum()) + float(wb.sum()) - both), n / (len(ha) + len(hb) - n)
-                good[i] = max(weighted, plain) >= SIMILARITY - 1e-6
-            mask = pa.array(good)
+            mask = pa.array([similar(left[a], right[b]) for a, b in zip(of_a.tolist(), of_b.tolist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(judge, "a long, b long")
 
 
-def linked(members: DataFrame, texts: DataFrame, idf) -> DataFrame | None:
-    """Components (node, comp) of the texts, from the buckets' members (bucket, node).
+def agreeing(a: str, b: str):
+    """In how many samples two signatures agree."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
-    In each round every open bucket compares some pivots with all its members of other
-    components.  A bucket is closed once its members are one component, or once all of
-    them but one have been pivots, so no link between two components of a bucket can
-    be left.  Pivots with the most links come first, which joins a group of copies of
-    one original within a round or two; their number grows from round to round.
+
+def pivot_links(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """Links between some pivots of each bucket and its other members: most members of a group of copies become one component."""
+    salt = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
+    pivots = members.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct(F.xxhash64("node", F.lit(1)), "node", "signature")).alias("p"))
+    pivots = stage(pivots.select("bucket", F.col("p.node").alias("pivot"), F.col("p.signature").alias("pivot_signature")), "pivots")
+    near = members.join(pivots, "bucket").where((F.col("node") != F.col("pivot")) & (agreeing("signature", "pivot_signature") >= AGREEING))
+    pairs = near.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    return stage(verified(pairs, texts, idf), "links")
+
+
+def block_links(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """Links between the components that are left in a bucket: enough to join all that belong together.
+
+    ``members``: bucket, node, comp, signature of buckets with two components or more.
+    All pairs of a bucket are looked at, block against block inside tasks, and none of
+    them becomes a row: signatures are compared as matrices; a pair that agrees in
+    enough samples, is not joined yet, and met in no earlier band is verified by its
+    texts.  Only links that join two components leave the task.
     """
-    comps, links, n_pivots = None, None, 1
-    state = stage(members.select("bucket", "node", F.col("node").alias("comp"), F.lit(0).alias("links"), F.lit(False).alias("used")), "members")
-    while True:
-        rank = F.struct(-F.col("links"), F.xxhash64("node"), F.col("node"), F.col("comp"))
-        salt = F.pmod(F.xxhash64("node", F.lit(n_pivots)), F.lit(n_pivots))
-        pivots = state.where("not used").groupBy("bucket", salt.alias("salt")).agg(F.min(rank).alias("p"))
-        pivots = stage(pivots.select("bucket", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pivot_comp")), "pivots")
-        pairs = state.join(pivots, "bucket").where("comp <> pivot_comp").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        new = stage(verified(pairs, texts, idf), "links")
-        links = new if links is None else links.unionByName(new)
-        if new.limit(1).count():
-            comps = components(links)
-        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("n_links"))
-        ends = stage(ends if comps is None else ends.join(comps, "node"), "linked")
-        now = state.join(ends, "node", "left").select(
-            "bucket", "node", F.coalesce("comp" if comps is None else ends["comp"], state["comp"]).alias("comp"), F.coalesce("n_links", F.lit(0)).alias("links"), "used"
-        )
-        now = now.join(pivots.select("bucket", F.col("pivot").alias("node"), F.lit(True).alias("is_pivot")), ["bucket", "node"], "left")
-        now = stage(now.select("bucket", "node", "comp", "links", (F.col("used") | F.coalesce("is_pivot", F.lit(False))).alias("used")), "members")
-        left = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.when(~F.col("used"), 1)).alias("unused"))
-        still = stage(left.where("low < high and unused > 1").select("bucket"), "open")
-        n_open = still.count()
-        after = stage(now.join(still, "bucket"), "members") if n_open else None
-        discard(state, pivots, now, still)
-        if not n_open:
-            return comps
-        state, n_pivots = after, n_pivots * PIVOT_GROWTH
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(stage(sizes, "sizes"), "bucket").withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high")))
+    rows = placed.withColumn("pair", F.explode(others)).withColumn("task", F.xxhash64("bucket", "pair.low", "pair.high"))
+    rows = rows.select("task", F.col("pair.low").alias("low"), F.col("pair.high").alias("high"), "block", "node", "comp", "signature", "band").join(texts, "node")
+    dealt = rows.repartition(partitions(members), "task").sortWithinPartitions("task", "node").select("task", "low", "high", "block", "node", "comp", "signature", "text", "band")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            task = table.column(0).to_numpy()
+            edges = bounds_of(task)
+            links: list[tuple[int, int]] = []
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                part = table.slice(lo, hi - lo)
+                low, high, block = (part.column(i).to_numpy() for i in (1, 2, 3))
+                node, comp = part.column(4).to_numpy(), part.column(5).to_numpy()
+                signature = part.column(6).combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+                column, band, kept, parent = part.column(7), part.column(8)[0].as_py(), {}, {}
+
+                def text_of(i: int) -> tuple[np.ndarray, np.ndarray]:
+                    if i not in kept:
+                        kept[i] = weighed(column.slice(i, 1), idf.value)[0]
+                    return kept[i]
+
+                def root(x: int) -> int:
+                    while parent.setdefault(x, x) != x:
+                        parent[x] = parent[parent[x]]
+                        x = parent[x]
+                    return x
+
+                left, right = np.flatnonzero(block == low[0]), np.flatnonzero(block == high[0])
+                for i in left.tolist():
+                    js = right[right > i] if low[0] == high[0] else right
+                    js = js[comp[js] != comp[i]]
+                    if not len(js):
+                        continue
+                    equal = signature[js] == signature[i]
+                    n = equal.sum(axis=1)
+                    whole_bands = equal.reshape(len(js), BANDS, BAND_ROWS).all(axis=2)
+                    live = np.flatnonzero((n >= AGREEING) & (whole_bands.argmax(axis=1) == band))  # its first shared band
+                    for k in live[np.argsort(-n[live], kind="stable")].tolist():
+                        j = int(js[k])
+                        a, b = root(int(comp[i])), root(int(comp[j]))
+                        if a != b and similar(text_of(i), text_of(j)):
+                            parent[a] = b
+                            links.append((int(node[i]), int(node[j])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+
+    return stage(dealt.mapInArrow(compare, "a long, b long"), "links")
+
+
+def linked(members: DataFrame, texts: DataFrame, idf) -> DataFrame | None:
+    """Components (node, comp) of the texts, from the buckets' members (bucket, band, node, signature)."""
+    links = pivot_links(members, texts, idf)
+    comps = components(links) if links.limit(1).count() else None
+    state = members.withColumn("comp", F.col("node")) if comps is None else members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    state = stage(state, "members")
+    open_ = stage(state.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket"), "open")
+    more = block_links(stage(state.join(open_, "bucket"), "open-members"), texts, idf)
+    if more.limit(1).count():
+        comps = components(links.unionByName(more))
+    return comps
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -241,13 +308,15 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     short_batches(spark)
     idf = spark.sparkContext.broadcast(inverse_frequencies(document_frequencies(docs, text)))  # DF_BUCKETS numbers
     rows = sampled(docs, idf, key, text)
-    nodes = stage(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("digest").alias("digest"), F.first("bands").alias("bands")), "nodes")
-    each = nodes.select("node", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node")
+    nodes = stage(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("digest").alias("digest"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "nodes")
+    each = nodes.select("node", "signature", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "band", "node", "signature")
     shared = stage(each.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket"), "buckets")
     members = stage(each.join(shared, "bucket"), "members")
     active = nodes.join(members.select("node").distinct(), "node").select("node", "digest", F.coalesce("first_id", F.lit(-(1 << 63))).alias("first_id"))
     found = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("first_id"), digest(text).alias("digest"), F.col(text).alias("text"))
-    texts = found.join(active.hint("shuffle_hash"), ["digest", "first_id"]).select("node", "text")
+    active = stage(active, "active")
+    names = [F.col("digest"), F.col("first_id")]
+    texts = likely(found, names, active, names).join(active.hint("shuffle_hash"), ["digest", "first_id"]).select("node", "text")
     if rows.select("doc_id", "digest").distinct().count() < rows.count():  # repeated rows: one text each is enough
         texts = texts.dropDuplicates(["node"])
     texts = stage(texts, "active-texts")
