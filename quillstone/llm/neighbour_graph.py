@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from quillstone.llm.anchors import ragged
 from quillstone.llm.numbering import numbered, partitions
@@ -26,22 +27,20 @@ BEAM, OPENED, RERANKED = 128, 48, 40
 STEPS = 10
 
 
-def encoded(x: np.ndarray) -> list[bytes]:
-    """Unit vectors as one signed byte per component and a scale."""
-    x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-    top = np.abs(x).max(axis=1, keepdims=True)
-    codes = np.round(x / top * 127).astype(np.int8)
-    scale = (top / 127).astype("<f4")
-    return [c.tobytes() + s.tobytes() for c, s in zip(codes, scale, strict=True)]
+def encoded(x: np.ndarray, width: int) -> list[bytes]:
+    """The vectors as they are, in floats of ``width`` bytes, and a last byte that names the width."""
+    return [row.tobytes() + bytes([width]) for row in x.astype(f"<f{width}")]
 
 
 def decoded(column) -> np.ndarray:
-    """The vectors of a binary column, as float32 rows."""
+    """The vectors of a binary column as unit vectors in double precision."""
     rows = column.to_pylist()
     if not rows:
-        return np.zeros((0, 1), np.float32)
+        return np.zeros((0, 1))
     raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
-    return raw[:, :-4].copy().view(np.int8).astype(np.float32) * raw[:, -4:].copy().view("<f4")
+    x = raw[:, :-1].copy().view(f"<f{raw[0, -1]}").astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
@@ -71,10 +70,10 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
-def distinct_nodes(vectors: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
+def distinct_nodes(vectors: DataFrame, keep: int, width: int = 8) -> tuple[DataFrame, DataFrame]:
     """(nodes, members), both staged: each distinct vector is a node, numbered from 0.
 
-    nodes: node, vector (doubles), code.  members: node, vec_id; the ``keep`` smallest
+    nodes: node, vector (doubles), code (the same in floats of ``width`` bytes).  members: node, vec_id; the ``keep`` smallest
     of each node are marked ``near``.
     """
     named = vectors.withColumn("name", F.xxhash64("vector"))
@@ -87,7 +86,7 @@ def distinct_nodes(vectors: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]
         for batch in batches:
             if batch.num_rows:
                 x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(encoded(x), pa.binary())], names=["node", "vector", "code"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(encoded(x, width), pa.binary())], names=["node", "vector", "code"])
 
     full = nodes.join(mine, "first_id").select("node", "vector").mapInArrow(encode, "node long, vector array<double>, code binary")
     place = F.row_number().over(Window.partitionBy("name").orderBy("vec_id"))
@@ -102,7 +101,7 @@ def first_graph(nodes: DataFrame, n: int, degree: int) -> DataFrame:
     else:
         ids = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(degree)), lambda j: F.pmod(F.xxhash64("node", j), F.lit(n))))
     ids = F.filter(ids, lambda i: i != F.col("node"))
-    return nodes.select("node", "code", ids.alias("ids"), F.transform(ids, lambda i: F.lit(-2.0).cast("float")).alias("sims"), F.transform(ids, lambda i: F.lit(True)).alias("fresh"))
+    return nodes.select("node", "code", ids.alias("ids"), F.transform(ids, lambda i: F.lit(-2.0)).alias("sims"), F.transform(ids, lambda i: F.lit(True)).alias("fresh"))
 
 
 def invitations(graph: DataFrame, turn: int, sample: int) -> DataFrame:
@@ -118,7 +117,7 @@ def invitations(graph: DataFrame, turn: int, sample: int) -> DataFrame:
 
 def meetings(graph: DataFrame, picked: DataFrame, turn: int, sample: int, proposals: int) -> DataFrame:
     """(node, ids, sims): for each member of a meeting the closest other members that would improve its list."""
-    card = graph.select("node", "code", F.when(F.size("sims") >= DEGREE, F.array_min("sims")).otherwise(F.lit(-3.0)).cast("float").alias("worst"))
+    card = graph.select("node", "code", F.when(F.size("sims") >= DEGREE, F.array_min("sims")).otherwise(F.lit(-3.0)).alias("worst"))
     forward = picked.join(card.withColumnRenamed("node", "other"), "other").select(F.col("node").alias("host"), F.col("other").alias("member"), "fresh", F.lit(1).alias("kind"), "code", "worst")
     backward = picked.join(card, "node").select(F.col("other").alias("host"), F.col("node").alias("member"), "fresh", F.lit(2).alias("kind"), "code", "worst")
     own = card.select(F.col("node").alias("host"), F.col("node").alias("member"), F.lit(False).alias("fresh"), F.lit(0).alias("kind"), "code", "worst")
@@ -159,7 +158,7 @@ def meetings(graph: DataFrame, picked: DataFrame, turn: int, sample: int, propos
                 ids.append(m[at].ravel())
                 sims.append(best.ravel())
             if nodes:
-                node, other, sim = np.concatenate(nodes), np.concatenate(ids), np.concatenate(sims).astype(np.float32)
+                node, other, sim = np.concatenate(nodes), np.concatenate(ids), np.concatenate(sims)
                 live = sim > -9
                 node, other, sim = node[live], other[live], sim[live]
                 order = np.lexsort((other, node))
@@ -169,9 +168,9 @@ def meetings(graph: DataFrame, picked: DataFrame, turn: int, sample: int, propos
                 node, other, sim = node[once], other[once], sim[once]
                 e = bounds_of(node) if len(node) else np.zeros(1, np.int64)
                 rows = np.repeat(np.arange(len(e) - 1), np.diff(e))
-                yield pa.RecordBatch.from_arrays([pa.array(node[e[:-1]], pa.int64()), ragged(other, rows, len(e) - 1, pa.int64()), ragged(sim, rows, len(e) - 1, pa.float32())], names=["node", "ids", "sims"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[e[:-1]], pa.int64()), ragged(other, rows, len(e) - 1, pa.int64()), ragged(sim, rows, len(e) - 1, pa.float64())], names=["node", "ids", "sims"])
 
-    return dealt.mapInArrow(meet, "node long, ids array<long>, sims array<float>")
+    return dealt.mapInArrow(meet, "node long, ids array<long>, sims array<double>")
 
 
 def improved(graph: DataFrame, picked: DataFrame, proposals: DataFrame, degree: int) -> DataFrame:
@@ -209,11 +208,11 @@ def improved(graph: DataFrame, picked: DataFrame, proposals: DataFrame, degree:
             of = np.searchsorted(names, node)
             n = len(names)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), table.column(2).combine_chunks().filter(pa.array(first)), ragged(ids, of, n, pa.int64()), ragged(sims, of, n, pa.float32()), ragged(fresh, of, n, pa.bool_())],
+                [pa.array(names, pa.int64()), table.column(2).combine_chunks().filter(pa.array(first)), ragged(ids, of, n, pa.int64()), ragged(sims, of, n, pa.float64()), ragged(fresh, of, n, pa.bool_())],
                 names=["node", "code", "ids", "sims", "fresh"],
             )
 
-    return dealt.mapInArrow(merge, "node long, code binary, ids array<long>, sims array<float>, fresh array<boolean>")
+    return dealt.mapInArrow(merge, "node long, code binary, ids array<long>, sims array<double>, fresh array<boolean>")
 
 
 def collected(df: DataFrame) -> None:
@@ -250,7 +249,7 @@ def walked(graph: DataFrame, queries: DataFrame, beam: int = BEAM, opened: int =
     its beam and measures their neighbours that it has not seen; it ends when the
     whole beam has been opened.
     """
-    schema = "query long, code binary, ids array<long>, sims array<float>, seen array<long>, open array<long>"
+    schema = "query long, code binary, ids array<long>, sims array<double>, seen array<long>, open array<long>"
 
     def next_nodes(ids: np.ndarray, done: set[int]) -> np.ndarray:
         return np.array([i for i in ids[:beam].tolist() if i not in done][:opened], np.int64)
@@ -262,7 +261,7 @@ def walked(graph: DataFrame, queries: DataFrame, beam: int = BEAM, opened: int =
                 first = next_nodes(np.array(ids, np.int64), set())
                 out.append((q, code, ids, sims, [q, *ids], first.tolist()))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["query", "code", "ids", "sims", "seen", "open"])
 
     own = graph.join(queries.select(F.col("query").alias("node")).distinct(), "node").select("node", "code", "ids", "sims")
@@ -282,15 +281,15 @@ def walked(graph: DataFrame, queries: DataFrame, beam: int = BEAM, opened: int =
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if kind[a] != 0:
                     continue
-                ids, sims, seen, done = (np.array(table.column(i)[a].as_py(), t) for i, t in ((4, np.int64), (5, np.float32), (6, np.int64), (7, np.int64)))
+                ids, sims, seen, done = (np.array(table.column(i)[a].as_py(), t) for i, t in ((4, np.int64), (5, np.float64), (6, np.int64), (7, np.int64)))
                 new = candidates[a + 1 : b]
                 all_ids = np.concatenate([ids, new])
-                all_sims = np.concatenate([sims, x[a + 1 : b] @ x[a]]).astype(np.float32)
+                all_sims = np.concatenate([sims, x[a + 1 : b] @ x[a]])
                 order = np.lexsort((all_ids, -all_sims))[:beam]
                 opened_now = next_nodes(all_ids[order], set(done.tolist()))
                 out.append((int(queries_[a]), table.column(2)[a].as_py(), all_ids[order].tolist(), all_sims[order].tolist(), np.concatenate([seen, new]).tolist(), opened_now.tolist(), np.concatenate([done, opened_now]).tolist()))
             cols = list(zip(*out, strict=True)) if out else [[]] * 7
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["query", "code", "ids", "sims", "seen", "open", "done"])
 
     for _ in range(steps):
@@ -300,7 +299,7 @@ def walked(graph: DataFrame, queries: DataFrame, beam: int = BEAM, opened: int =
         reached = asked.join(lists, "at").select("query", F.explode("near").alias("candidate")).distinct()
         known = state.select("query", F.explode("seen").alias("candidate"))
         new = reached.join(known, ["query", "candidate"], "left_anti").join(codes, "candidate")
-        nothing = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<long>"), ("sims", "array<float>"), ("seen", "array<long>"), ("done", "array<long>"))]
+        nothing = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<long>"), ("sims", "array<double>"), ("seen", "array<long>"), ("done", "array<long>"))]
         rows = state.select("query", F.lit(0).alias("kind"), "code", F.lit(None).cast("long").alias("candidate"), "ids", "sims", "seen", "done")
         rows = rows.unionByName(new.select("query", F.lit(1).alias("kind"), F.col("candidate_code").alias("code"), "candidate", *nothing))
         rows = rows.withColumn("candidate", F.coalesce("candidate", F.lit(-1)))
@@ -336,7 +335,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id"
     dim = sizes[0].dim if sizes else 0
     rows = rows.where(F.size("vector") == dim).dropDuplicates(["vec_id"])
     rows = stage(rows, "vectors")
-    nodes, members = distinct_nodes(rows, k + 1)
+    single = isinstance(vectors.select(vector).schema[0].dataType.elementType, FloatType)
+    nodes, members = distinct_nodes(rows, k + 1, 4 if single else 8)
     graph = descend(nodes, nodes.count())
     queries = stage(rows.where(F.col("vec_id") % every == 0).select("vec_id", F.xxhash64("vector").alias("name"), "vector"), "queries")
     names = nodes.select("node", F.xxhash64("vector").alias("name"))

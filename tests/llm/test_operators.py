@@ -350,6 +350,25 @@ def test_nearest_vectors(spark):
     assert got[50] == [700, 701, 702, 703, 704]
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_nearest_vectors_in_a_dense_cluster(spark, kind):
+    r = np.random.default_rng(3)
+    middle = r.normal(size=64)
+    x = np.concatenate([middle + 0.01 * r.normal(size=(1000, 64)), r.normal(size=(500, 64))])
+    x = (x.astype(np.float32) if kind == "float" else x).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    got = collections.defaultdict(set)
+    for row in neighbour_graph.nearest(df).collect():
+        got[row.query_id].add(row.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 1000, 50):
+        s = unit @ unit[q]
+        s[q] = -2
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hits / 100 >= 0.95
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 4, 30])
 def test_few_vectors_are_all_found(spark, n):
     r = np.random.default_rng(n)
