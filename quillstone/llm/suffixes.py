@@ -1,4 +1,4 @@
-"""Substring duplicates by a sparse suffix array over words."""
+"""Substring duplicates by sparse suffixes over words."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.anchors import anchored, representatives, sharing, with_texts
-from quillstone.llm.numbering import partitions
 from quillstone.llm.staging import discard, stage
 from quillstone.llm.words import minimisers, mix, span_hashes, utf8, word_spans
 
@@ -24,10 +23,10 @@ PREFIX = REPEAT - LEFT
 
 
 def suffix_rows(sharers: DataFrame) -> DataFrame:
-    """The retained suffixes: doc_id, at (their first word), prefix, and the words right of it and, backwards, left of it.
+    """The retained suffixes: doc_id, at (their first word), and the words right of it and, backwards, left of it.
 
     Words are 32-bit hashes, big-endian, so that byte order is suffix order.  REPEAT
-    words to the right and LEFT to the left decide every comparison.
+    words to the right and LEFT to the left hold every window of the suffix.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,60 +53,37 @@ def suffix_rows(sharers: DataFrame) -> DataFrame:
             right = [ahead[4 * i : 4 * min(i + REPEAT, h)] for i, h in zip(at.tolist(), high.tolist(), strict=True)]
             left = [back[4 * (total - i) : 4 * (total - max(i - LEFT, lo))] for i, lo in zip(at.tolist(), low.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(at - low, pa.int64()), pa.array([r[: 4 * PREFIX] for r in right], pa.binary()), pa.array(right, pa.binary()), pa.array(left, pa.binary())],
-                names=["doc_id", "at", "prefix", "right", "left"],
+                [pa.array(docs, pa.int64()), pa.array(at - low, pa.int64()), pa.array(right, pa.binary()), pa.array(left, pa.binary())],
+                names=["doc_id", "at", "right", "left"],
             )
 
-    return sharers.select("first_id", "text", "shared").mapInArrow(emit, "doc_id long, at long, prefix binary, right binary, left binary")
+    return sharers.select("first_id", "text", "shared").mapInArrow(emit, "doc_id long, at long, right binary, left binary")
 
 
-def common(a: bytes, b: bytes) -> int:
-    """Words that two byte strings of 4-byte words have in common at the start."""
-    if a == b:
-        return len(a) // 4
-    n = min(len(a), len(b)) // 4
-    x, y = np.frombuffer(a, ">u4", n), np.frombuffer(b, ">u4", n)
-    differ = np.flatnonzero(x != y)
-    return int(differ[0]) if len(differ) else n
+def shared_windows(contexts: DataFrame) -> DataFrame:
+    """For each context the documents of smaller ids that hold a window of REPEAT words around its suffix.
 
-
-def neighbours(contexts: DataFrame) -> DataFrame:
-    """Compare each context with the one before it in suffix order, and with the earliest document's so far of its prefix.
-
-    ``contexts``: context, prefix, right, left, low, high (smallest and largest
-    document).  Gives (context, keeper, back, ahead): the documents of the context
-    repeat ``back`` words left and ``ahead`` words right of the suffix's start that
-    document ``keeper`` holds too.
+    ``contexts``: context, right, left, low, high (smallest and largest document).
+    Gives (context, keeper, back, ahead): the documents of the context repeat ``back``
+    words left and ``ahead`` words right of the suffix's start, each window of them
+    held by document ``keeper``, the smallest that has it.  A window starts within LEFT
+    words left of a suffix, so each context has LEFT + 1 windows at most, and all that
+    are equal meet, whatever lies around them.
     """
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = earliest = None
-        for batch in batches:
-            out: list[tuple] = []
-            for row in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
-                context, prefix, right, left, low, high = row
-                if low < high:
-                    n_left, n_right = len(left) // 4, len(right) // 4
-                    if n_left + n_right >= REPEAT:
-                        out.append((context, low, n_left, n_right))
-                if before is None or before[1] != prefix:
-                    earliest = row
-                else:
-                    for other in (before,) if before is earliest else (before, earliest):
-                        back, ahead = common(left, other[3]), common(right, other[2])
-                        if back + ahead >= REPEAT:
-                            if high > other[4]:
-                                out.append((context, other[4], back, ahead))
-                            if other[5] > low:
-                                out.append((other[0], low, back, ahead))
-                    if low < earliest[4]:
-                        earliest = row
-                before = row
-            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["context", "keeper", "back", "ahead"])
-
-    dealt = contexts.repartition(partitions(contexts), "prefix").sortWithinPartitions("prefix", "right", "left")
-    return dealt.select("context", "prefix", "right", "left", "low", "high").mapInArrow(compare, "context long, keeper long, back long, ahead long")
+    prefix = F.xxhash64(F.substring("right", 1, 4 * PREFIX)).alias("prefix")
+    met = contexts.groupBy(prefix).agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("prefix")
+    live = contexts.withColumn("prefix", F.xxhash64(F.substring("right", 1, 4 * PREFIX))).join(met, "prefix")
+    backs = F.filter(F.sequence(F.lit(0), F.lit(LEFT)), lambda b: (4 * b <= F.length("left")) & (4 * (REPEAT - b) <= F.length("right")))
+    words = lambda b: F.xxhash64(F.substring(F.col("right"), F.lit(1), 4 * (REPEAT - b)), F.substring(F.col("left"), F.lit(1), 4 * b), b)
+    each = live.select("context", "low", "high", F.explode(F.transform(backs, lambda b: F.struct(b.alias("back"), words(b).alias("window")))).alias("w"))
+    windows = stage(each.select("context", "low", "high", "w.back", "w.window"), "windows")
+    keepers = windows.groupBy("window").agg(F.min("low").alias("keeper"), F.max("high").alias("last")).where("keeper < last").select("window", "keeper")
+    held = windows.select("context", "high", "back", "window").join(keepers, "window").where("high > keeper")
+    # the windows of a context all hold the words from the suffix's start on, so they make one span
+    found = held.groupBy("context", "keeper").agg(F.max("back").cast("long").alias("back"), (REPEAT - F.min("back")).cast("long").alias("ahead"))
+    matches = stage(found, "matches")
+    discard(windows)
+    return matches
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -127,8 +103,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     no row for the passage, so removing all rows' words leaves one copy.
 
     Suffixes are retained at minimiser positions only; equal surroundings are brought
-    together before the sort, and each is compared with its neighbour in suffix order
-    and extended left and right.  A copy of a whole text is one passage.
+    together first, then the equal windows of REPEAT words around them, each of which
+    is kept by the smallest document that has it.  A copy of a whole text is one passage.
 
     Defined cases: a null text has no passages; a null doc_id is neither smaller nor
     larger than any; rows of one doc_id do not repeat each other; repeated rows give
@@ -139,13 +115,13 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     sharers = stage(with_texts(docs, sharing(texts), key, text), "sharers")
     suffixes = suffix_rows(sharers).withColumn("context", F.xxhash64("right", "left"))
     suffixes = stage(suffixes, "suffixes")
-    contexts = suffixes.groupBy("context", "prefix", "right", "left").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    matches = stage(neighbours(contexts), "matches")
+    contexts = stage(suffixes.groupBy("context", "right", "left").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "contexts")
+    matches = shared_windows(contexts)
     found = suffixes.select("context", "doc_id", "at").join(matches, "context").where("doc_id > keeper")
     inner = found.select("doc_id", (F.col("at") - F.col("back")).alias("start"), (F.col("at") + F.col("ahead")).alias("stop"), "keeper")
     pieces = stage(merged(inner), "pieces")
     whole = rows.where(F.col("n_words") >= REPEAT).join(texts.select("digest", "first_id"), "digest").where("doc_id > first_id")
     copies = whole.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop"), F.col("first_id").alias("keeper")).distinct()
-    discard(sharers, suffixes, matches)
+    discard(sharers, suffixes, contexts, matches)
     out = pieces.unionByName(copies)
     return out.select("doc_id", F.col("start").alias("start_word"), F.col("stop").alias("end_word"), (F.col("stop") - F.col("start")).alias("n_words"), F.col("keeper").alias("keeper_doc_id"))

@@ -133,6 +133,36 @@ def test_suffix_repeats_cover_the_same_words(spark, docs):
     assert suffixes.repeats(empty(spark)).count() == 0
 
 
+def covered_words(texts):
+    """Per document the places of its words in 50-word windows that a document of a smaller id holds, by brute force."""
+    first, out = {}, {}
+    for doc, text in texts:
+        w = text.split()
+        for i in range(len(w) - 49):
+            k = tuple(w[i : i + 50])
+            first[k] = min(doc, first.get(k, doc))
+    for doc, text in texts:
+        w = text.split()
+        if found := {j for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < doc for j in range(i, i + 50)}:
+            out[doc] = found
+    return out
+
+
+def test_suffix_repeats_of_many_edited_copies(spark):
+    r = random.Random(5)
+    passage = prose(20, 130).split()
+    texts = []
+    for doc in r.sample(range(1000), 150):
+        w = list(passage)
+        for i in r.sample(range(len(w)), r.randint(0, 3)):
+            w[i] = f"edit{r.randint(0, 2)}"
+        texts.append((doc, " ".join([*prose(2000 + doc, 12).split(), *w, *prose(5000 + doc, 12).split()])))
+    got = collections.defaultdict(set)
+    for row in suffixes.repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        got[row.doc_id] |= set(range(row.start_word, row.end_word))
+    assert dict(got) == covered_words(texts)
+
+
 # --- 4 near-duplicates --------------------------------------------------------------
 
 
