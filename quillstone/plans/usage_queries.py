@@ -57,9 +57,9 @@ def h5_request_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def h5_stream_request_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As a stream; windows that the watermark has not passed are not out yet."""
+    """As a stream; windows that are still open are out with their counts so far."""
     raw = spark.readStream.schema("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").option("pathGlobFilter", "*.parquet").parquet(_folder(spark, sf_dir, "events"))
-    return streams.run_to_memory(streams.request_rates(raw, 3600, 2), f"rates_{uuid.uuid4().hex}", "append", _scratch(spark, "rates"))
+    return streams.run_to_table(streams.request_rates(raw, 3600, 2), ["window_start", "user_id"], _scratch(spark, "rates-out"), _scratch(spark, "rates"))
 
 
 def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -86,7 +86,7 @@ def h6_stream_answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark, "answer-events")
     _answer_events(spark, sf_dir).write.parquet(path)
     raw = spark.readStream.schema("question_id string, seq int, event string, data string").parquet(path)
-    return streams.run_to_memory(streams.stream_answer_events(raw), f"answers_{uuid.uuid4().hex}", "update", _scratch(spark, "answer-state"))
+    return streams.run_to_table(streams.stream_answer_events(raw), ["question_id"], _scratch(spark, "answers-out"), _scratch(spark, "answer-state"))
 
 
 #: Answer events made from the conversations: a stage, sources, the words of the turn as deltas, and an end that every seventh lacks.

@@ -94,3 +94,20 @@ def run_to_memory(df: DataFrame, name: str, mode: str, checkpoint: str, start: C
     query = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def run_to_table(df: DataFrame, keys: list[str], folder: str, checkpoint: str) -> DataFrame:
+    """Run a streaming job in update mode over what is there now; of each key its last row, from Parquet files in ``folder``.
+
+    A repeated batch replaces its own files.
+    """
+    spark = df.sparkSession
+    spark.createDataFrame([], df.schema).write.parquet(f"{folder}/batch=-1")
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.option("basePath", folder).parquet(folder)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in keys]), "batch").alias("last"))
+    return last.select("*", "last.*").select(*df.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import columns as C
 from quillstone.operators import answers, catalog, chunking, embedding, retrieval, text, usage
+from quillstone.plans import registry
 from quillstone.sources import files, store
 from quillstone.streaming import streams
 
@@ -268,6 +269,23 @@ def test_answer_events_fold_alike_as_table_and_stream(spark, tmp_path):
     assert {r.question_id: (r.phase, r.text) for r in out.collect()} == {"a": ("done", "xy!"), "b": ("error", ""), "c": ("searching", "x")}
 
 
+def test_streamed_queries_give_all_rows_and_bypass_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(streams, "run_to_memory", None)
+    q, sf = registry.QUERIES, "/root/testdata/sf0.001"
+    batch = q["h5_request_rates"](spark, sf)
+    assert values(q["h5_stream_request_rates"](spark, sf).select(F.col("window_start").cast("timestamp_ntz"), *batch.columns[1:])) == values(batch)
+    out = q["h6_stream_answer_events"](spark, sf)
+    assert out.count() == out.select("question_id").distinct().count() == q["h6_fold_answer_events"](spark, sf).count()
+
+
+def test_a_streamed_result_keeps_the_last_row_of_each_key(spark, tmp_path):
+    for i, data in enumerate(["x", "y"]):
+        spark.createDataFrame([("a", i, "delta", json.dumps({"text": data}))], "question_id string, seq int, event string, data string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("question_id string, seq int, event string, data string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = streams.run_to_table(streams.stream_answer_events(stream), ["question_id"], str(tmp_path / "out"), str(tmp_path / "state"))
+    assert [(r.question_id, sorted(r.text)) for r in out.collect()] == [("a", ["x", "y"])]
+
+
 def test_files_are_ingested_as_they_arrive(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("One sentence. Another one.\n\nA paragraph.")
