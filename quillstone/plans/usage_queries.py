@@ -71,10 +71,10 @@ def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
 
 @query()
 def h4_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents' texts as arriving .txt files, about 200 documents in each, ingested to passages with vectors."""
+    """The documents' texts as arriving .txt files, one for each document, ingested to passages with vectors."""
     d = table(spark, sf_dir, "documents")
     folder = _scratch(spark, "inbox")
-    d.select("text").repartition(max(4, d.count() // 200)).write.text(folder)
+    d.select("text").repartition(max(4, d.count() // 200)).write.option("maxRecordsPerFile", 1).text(folder)
     store_path, catalog_path = _scratch(spark, "store"), _scratch(spark, "catalog")
     streams.stream_ingest(spark, folder, store_path, catalog_path, _scratch(spark, "ingest"), dim=64).awaitTermination()
     return spark.read.parquet(store_path).select("document_id", "chunk_index", "token_estimate", F.size("embedding").alias("dim"))

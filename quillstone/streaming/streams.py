@@ -17,13 +17,13 @@ from quillstone.sources import files, store
 RAW = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def ingested(accepted: DataFrame, options: chunking.ChunkOptions = chunking.ChunkOptions(), embed: embedding.EmbedBatch | None = None, dim: int = embedding.DIMENSIONS) -> DataFrame:
-    """Accepted text files (path, content) as passages with vectors; the path names the document."""
+def ingested(accepted: DataFrame, options: chunking.ChunkOptions = chunking.ChunkOptions(), embed: embedding.EmbedBatch | None = None, dim: int = embedding.DIMENSIONS) -> tuple[DataFrame, DataFrame]:
+    """(passages with vectors, failures) of accepted text files (path, content); the path names the document."""
     docs = accepted.select(F.col("path").alias("document_id"), normalised(F.col("content").cast("string")).alias("text"))
     docs, _ = text.with_text(docs)
-    chunks, _ = chunking.capped(chunking.chunks(docs, options))
+    chunks, failures = chunking.capped(chunking.chunks(docs, options))
     chunks = chunks.withColumn("input", passage_input(title(F.regexp_extract("document_id", r"[^/]*\z", 0)), "content"))
-    return embedding.embedded(chunks, embed, dim=dim).drop("input").where(embedding.well_formed("embedding", dim))
+    return embedding.embedded(chunks, embed, dim=dim).drop("input").where(embedding.well_formed("embedding", dim)), failures
 
 
 def stream_ingest(spark: SparkSession, folder: str, store_path: str, catalog_path: str, checkpoint: str, embed: embedding.EmbedBatch | None = None, dim: int = embedding.DIMENSIONS) -> StreamingQuery:
@@ -35,11 +35,13 @@ def stream_ingest(spark: SparkSession, folder: str, store_path: str, catalog_pat
     def batch(df: DataFrame, _: int) -> None:
         judged = files.judged(df)
         accepted = judged.where("kind = 'text'")
-        store.write_replaced(spark, store_path, ingested(accepted, embed=embed, dim=dim))
+        passages, failures = ingested(accepted, embed=embed, dim=dim)
+        store.write_replaced(spark, store_path, passages)
         done = spark.read.parquet(store_path).select("document_id").distinct()
         rows = judged.select(F.col("path").alias("document_id"), "reject_reason").join(done.withColumn("_done", F.lit(True)), "document_id", "left")
-        status = F.when(F.col("reject_reason").isNull() & F.col("_done"), "ready").otherwise("failed")
-        message = F.coalesce("reject_reason", F.when(F.col("_done").isNull(), text.NO_TEXT))
+        rows = rows.join(failures.withColumnRenamed("error_message", "_failure"), "document_id", "left")
+        status = F.when(F.col("reject_reason").isNull() & F.col("_failure").isNull() & F.col("_done"), "ready").otherwise("failed")
+        message = F.coalesce("reject_reason", "_failure", F.when(F.col("_done").isNull(), text.NO_TEXT))
         rows.select("document_id", status.alias("status"), message.alias("error_message")).write.mode("append").parquet(catalog_path)
 
     source = spark.readStream.format("binaryFile").schema(RAW).load(folder)

@@ -297,3 +297,24 @@ def test_files_are_ingested_as_they_arrive(spark, tmp_path):
     assert [(r.chunk_index, r.content, len(r.embedding)) for r in got] == [(0, "One sentence. Another one.\n\nA paragraph.", 8)]
     status = {r.document_id.rsplit("/", 1)[1]: (r.status, r.error_message) for r in spark.read.parquet(paths[2]).collect()}
     assert status == {"a.txt": ("ready", None), "b.docx": ("failed", files.UNSUPPORTED), "c.txt": ("failed", text.NO_TEXT)}
+
+
+def test_a_too_large_file_is_refused_alone_and_with_its_message(spark, tmp_path, monkeypatch):
+    capped = chunking.capped
+    monkeypatch.setattr(chunking, "capped", lambda chunks: capped(chunks, 1))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("One sentence.")
+    (tmp_path / "in" / "b.txt").write_text("A sentence of some words. " * 400)
+    paths = [str(tmp_path / x) for x in ("in", "store", "catalog", "checkpoint")]
+    streams.stream_ingest(spark, *paths, dim=8).awaitTermination()
+    status = {r.document_id.rsplit("/", 1)[1]: (r.status, r.error_message) for r in spark.read.parquet(paths[2]).collect()}
+    assert status["a.txt"] == ("ready", None)
+    assert status["b.txt"][0] == "failed" and status["b.txt"][1].startswith("Document is too large to process")
+
+
+def test_streamed_ingestion_has_a_file_for_each_document(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("document_id"), C.normalised("text").alias("text"))
+    docs, _ = text.with_text(texts)
+    n = chunking.chunks(docs).select("document_id").distinct().count()
+    assert registry.QUERIES["h4_stream_ingest"](spark, sf).select("document_id").distinct().count() == n > 100
