@@ -17,7 +17,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
@@ -25,12 +24,12 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.numbering import partitions
 from quillstone.llm.staging import digest, new_path, short_batches, stage
-from quillstone.llm.words import _SPACE, span_hashes, utf8
+from quillstone.llm.words import _SPACE, utf8
 
 FORMAT = 20240501
 HEADER = 3
-#: Pieces and ids that a worker remembers before it starts anew (about 150 MB).
-POOL_UNITS, POOL_IDS = 1_000_000, 8_000_000
+#: Pieces, and bytes of pieces, that a worker remembers before it starts anew (under 150 MB).
+POOL_PIECES, POOL_BYTES = 500_000, 16_000_000
 #: Ids that the reader takes from a file at once, unless a document is longer.
 READ_IDS = 1 << 20
 
@@ -71,10 +70,11 @@ def wide_space_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes batches of texts; each piece that repeats is encoded by the tokenizer once.
+    """Encodes batches of texts as the tokenizer does; each piece that repeats is encoded once.
 
-    Pieces are told apart by 64-bit hashes.  The pool of pieces is emptied when it
-    reaches its bound.
+    Pieces are known by their bytes.  The pool of pieces is emptied when it reaches
+    its bound.  Rows that hold wide white space, or the text of a token that the
+    tokenizer finds before it cuts pieces (such as one that ends a text), are encoded whole.
     """
 
     def __init__(self, model: str):
@@ -82,56 +82,63 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.lengths: list[np.ndarray] = []
-        self.ids: list[np.ndarray] = []
+        self.known: dict[bytes, int] = {}
+        self.known_bytes = 0
+        self.lengths: np.ndarray = np.zeros(0, np.int64)
+        self.ids: np.ndarray = np.zeros(0, np.uint32)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Put the pieces that are not known into the pool."""
+        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
+        if not new:
+            return
+        encoded = self._encode([p.decode("utf-8", "replace") for p in new])
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.known_bytes += sum(map(len, new))
+        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        self.ids = np.concatenate([self.ids, np.fromiter((i for x in encoded for i in x), np.uint32, int(lengths.sum()))])
+        self.lengths = np.concatenate([self.lengths, lengths])
+
+    def whole_rows(self, raw: bytes, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """Rows that must not be cut into pieces."""
+        found = set(wide_space_rows(data, offsets).tolist())
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, side="right")) - 1
+                found.add(row)
+                at = raw.find(token, int(offsets[row + 1]))
+        return sorted(found)
+
     def __call__(self, column) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, one after the other, and the number of ids of each row."""
         data, offsets = utf8(column)
         rows = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
-        starts = units(data, offsets)
-        ends = np.append(starts[1:], len(data))
-        codes, hashes = pd.factorize(span_hashes(data, starts, ends))
-        if len(self.known) + len(hashes) > POOL_UNITS or sum(map(len, self.ids)) > POOL_IDS:
+        if len(self.known) > POOL_PIECES or self.known_bytes > POOL_BYTES:
             self._clear()
-        place = np.fromiter((self.known.get(h, -1) for h in hashes.tolist()), np.int64, len(hashes))
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            first = np.full(len(hashes), -1, np.int64)
-            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)  # the first place of each piece
-            at = first[new]
-            raw = data.tobytes()
-            encoded = self._encode([raw[i:j].decode("utf-8", "replace") for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            base = len(self.known)
-            place[new] = base + np.arange(len(new))
-            self.known.update(zip(hashes[new].tolist(), place[new].tolist(), strict=True))
-            self.lengths.append(np.fromiter(map(len, encoded), np.int64, len(encoded)))
-            self.ids.append(np.fromiter((i for x in encoded for i in x), np.uint32, int(self.lengths[-1].sum())))
-            if len(self.ids) > 1:
-                self.lengths, self.ids = [np.concatenate(self.lengths)], [np.concatenate(self.ids)]
-        lengths, pool = self.lengths[0], self.ids[0]
-        first_id = np.cumsum(lengths) - lengths
-        of = place[codes]
-        n = lengths[of]
+        raw = data.tobytes()
+        starts = units(data, offsets)
+        pieces = [raw[i:j] for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(raw)], strict=True)]
+        self._learn(pieces)
+        of = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        first_id = np.cumsum(self.lengths) - self.lengths
+        n = self.lengths[of]
         out_at = np.cumsum(n) - n
-        ids = pool[np.repeat(first_id[of] - out_at, n) + np.arange(int(n.sum()))]
-        row_units = np.searchsorted(starts, offsets)
-        total = np.append(out_at, len(ids))
-        counts = np.diff(total[row_units])
-        for row in wide_space_rows(data, offsets)[::-1].tolist():
-            exact = np.array(self._encode([data[offsets[row] : offsets[row + 1]].tobytes().decode("utf-8", "replace")])[0], np.uint32)
-            at = total[row_units[row]]
-            ids = np.concatenate([ids[:at], exact, ids[at + counts[row] :]])
+        ids = self.ids[np.repeat(first_id[of] - out_at, n) + np.arange(int(n.sum()))]
+        total = np.append(out_at, len(ids))[np.searchsorted(starts, offsets)]
+        counts = np.diff(total)
+        for row in self.whole_rows(raw, data, offsets)[::-1]:
+            exact = np.array(self._encode([raw[offsets[row] : offsets[row + 1]].decode("utf-8", "replace")])[0], np.uint32)
+            ids = np.concatenate([ids[: total[row]], exact, ids[total[row] + counts[row] :]])
             counts[row] = len(exact)
         return ids, counts
 
@@ -160,7 +167,9 @@ def write_token_files(docs: DataFrame, model: str, end_id: int = 0, key: str = "
 
     Defined cases: a null or empty text is the end id alone; null keys come first;
     rows of one key are ordered by the MD5 of their texts; repeated rows are
-    written each; an empty table gives an empty manifest.
+    written each; a very long text is encoded whole and is one document of the files;
+    the text of a special token is that token, as the tokenizer has it by default; an
+    empty table gives an empty manifest; other columns are ignored.
     """
     spark = docs.sparkSession
     short_batches(spark)

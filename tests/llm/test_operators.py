@@ -287,7 +287,6 @@ def test_token_files_round_trip(spark, docs):
 
     model = queries.tokenizer_json()
     plain = Tokenizer.from_str(model)
-    plain.encode_special_tokens = True
     manifest = token_files.write_token_files(clashing(spark), model)
     stored = []
     for r in manifest.orderBy("part").collect():
@@ -305,18 +304,48 @@ def test_token_files_round_trip(spark, docs):
     assert token_files.token_files(empty(spark), model).count() == 0
 
 
+def odd_texts():
+    r = random.Random(1)
+    alphabet = ["a", "b", " ", "  ", "\n", "\t", "é", "'s", "1", "!", "\u2003", "　", "\xa0", "\x1c", "<|endoftext|>", "<|endof", "\r\n", "漢", "😀", "\ufeff", "\x85"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 12))) for _ in range(3000)] + [None, "", "a <|endoftext|> b", "a  <|endoftext|>  b<|endoftext|>"]
+    for first in "ab":  # words that polynomial hashes modulo a power of two can't tell apart
+        word = first
+        while len(word) < 4096:
+            word += word.translate(str.maketrans("ab", "ba"))
+        texts.append(f"x {word} y")
+    return texts
+
+
 def test_the_encoder_matches_the_tokenizer_on_odd_texts():
     import pyarrow as pa
+    from tokenizers import Tokenizer
 
     e = token_files.Encoder(queries.tokenizer_json())
-    r = random.Random(1)
-    alphabet = ["a", "b", " ", "  ", "\n", "\t", "é", "'s", "1", "!", " ", "　", " ", "\x1c", "<|endoftext|>", "\r\n", "漢", "😀", "﻿", "\x85"]
-    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 12))) for _ in range(3000)] + [None, ""]
+    plain = Tokenizer.from_str(queries.tokenizer_json())
+    texts = odd_texts()
+    expected = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert expected[texts.index("a <|endoftext|> b")] == [64, 220, 50256, 275]
     for _ in range(2):
         ids, counts = e(pa.array(texts))
         at = np.cumsum(counts) - counts
-        for t, i, n in zip(texts, at, counts, strict=True):
-            assert ids[i : i + n].tolist() == e._encode([t or ""])[0]
+        assert [ids[i : i + n].tolist() for i, n in zip(at, counts, strict=True)] == expected
+
+
+def test_token_files_of_all_documents_match_the_plain_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    from quillstone.llm.staging import read
+    from tests import oracle
+
+    plain = Tokenizer.from_str(queries.tokenizer_json())
+    odd = spark.createDataFrame([(10_000_000 + i, t) for i, t in enumerate(odd_texts())], "doc_id long, text string")
+    docs = read(spark, oracle.SF, "documents").select("doc_id", "text").unionByName(odd)
+    expected, start = [], 0
+    for r in docs.orderBy("doc_id").collect():
+        ids = [*plain.encode(r.text or "", add_special_tokens=False).ids, 0]
+        expected.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert [tuple(r) for r in token_files.token_files(docs, queries.tokenizer_json()).orderBy("doc_id").collect()] == expected
 
 
 # --- 9 licences ---------------------------------------------------------------------
