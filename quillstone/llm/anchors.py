@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.membership import likely
-from quillstone.llm.staging import digest, short_batches, stage
-from quillstone.llm.words import minimisers, span_hashes, utf8, word_spans
+from quillstone.llm.skew import joined_by_key
+from quillstone.llm.staging import digest, stage
+from quillstone.llm.words import minimisers, short, span_hashes, utf8, word_spans
 
 
 def ragged(values: np.ndarray, rows: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
@@ -28,10 +29,9 @@ def ragged(values: np.ndarray, rows: np.ndarray, n: int, kind: pa.DataType) -> p
 
 def anchored(docs: DataFrame, k: int, window: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Staged, per row: doc_id, digest, n_words, kept_sha256 (of all words, joined by one blank), anchors (distinct hashes)."""
-    short_batches(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches, 2):
             n = batch.num_rows
             data, offsets = utf8(batch.column(2))
             starts, ends, rows = word_spans(data, offsets)
@@ -54,25 +54,30 @@ _BLANKS = bytes(32 if i in (9, 10, 11, 12, 13) else i for i in range(256))
 
 
 def representatives(rows: DataFrame) -> DataFrame:
-    """Staged, one row per distinct text with a doc_id: digest, first_id (its smallest doc_id), n_words, anchors.
+    """Staged, one row per distinct text with a doc_id: node (a number of the text), digest, first_id (its smallest doc_id), n_rows, n_words, anchors.
 
-    A text that many rows hold is one row from here on.
+    A text that many rows hold is one row from here on.  Two texts under one doc_id
+    are two nodes; doc_ids only decide which of two texts is the earlier one.
     """
-    return stage(
-        rows.where(F.col("doc_id").isNotNull() & (F.size("anchors") > 0)).groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n_words").alias("n_words"), F.first("anchors").alias("anchors")),
-        "texts",
+    texts = (
+        rows.where(F.col("doc_id").isNotNull() & (F.size("anchors") > 0))
+        .groupBy("digest")
+        .agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_rows"), F.first("n_words").alias("n_words"), F.first("anchors").alias("anchors"))
     )
+    return stage(texts.withColumn("node", F.monotonically_increasing_id()), "texts")  # the number that is written stays
 
 
 def sharing(texts: DataFrame) -> DataFrame:
-    """Staged, the texts that share an anchor with another: digest, first_id, shared (those anchors)."""
-    each = texts.select("digest", "first_id", F.explode("anchors").alias("anchor"))
-    common = each.groupBy("anchor").agg(F.min("first_id").alias("low"), F.max("first_id").alias("high")).where("low < high").select("anchor")
-    return stage(each.join(common, "anchor").groupBy("digest", "first_id").agg(F.collect_list("anchor").alias("shared")), "sharing")
+    """Staged, the texts that share an anchor with one of another doc_id: node, digest, first_id, shared (those anchors)."""
+    each = texts.select("node", F.explode("anchors").alias("anchor"))
+    common = texts.select("first_id", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("first_id").alias("low"), F.max("first_id").alias("high"), F.count(F.lit(1)).alias("n"))
+    common = stage(common.where("low < high").select("anchor", "n"), "common")
+    lists = joined_by_key(each, common, "anchor", "n").groupBy("node").agg(F.collect_list("anchor").alias("shared"))
+    return stage(texts.select("node", "digest", "first_id").join(lists, "node"), "sharing")
 
 
 def with_texts(docs: DataFrame, wanted: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``wanted`` (digest, first_id, more), staged, with the texts themselves, one row each.
+    """``wanted`` (digest, first_id, more) with the texts themselves, one row for each row of its document.
 
     Documents that can't be wanted are left out before the shuffle.  The join is by text
     and document at once, so copies of one text do not meet; the wanted rows are the

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.llm.staging import short_batches
+from quillstone.llm.words import short
 
 #: Hash buckets of the n-grams of 1 to 3 characters.
 FEATURES = 1 << 15
@@ -154,7 +154,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(FEATURES + 1, np.int64)
-        for batch in batches:
+        for batch in short(batches, 0):
             for text in batch.column(0).to_pylist():
                 at, _ = features(text)
                 df[at] += 1
@@ -174,9 +174,8 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, lang: str = "lang", text: str
 
     The document frequencies come from all of them.  The weights and the
     temperature are fitted to a sample of about ``fit_rows`` rows of each language,
-    chosen by a hash of key and text.
+    chosen by a hash of key and text.  Without labelled rows the model has no languages.
     """
-    short_batches(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}  # one row per language
     languages = sorted(sizes)
@@ -190,7 +189,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, lang: str = "lang", text: str
     sample = known.where(F.pmod(draw, F.lit(1 << 30)) < share * (1 << 30)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), draw.alias("draw"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches, 1):
             found = [features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32()))],
@@ -214,27 +213,38 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, lang: str = "lang", text: str
     return model
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, from the whole text alone.
+def predicted(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``predict`` with the columns to keep (by default all) in one column, ``row``, so that no names can clash: row, lang_pred, score."""
+    held = docs.sparkSession.sparkContext.broadcast(vars(model))  # FEATURES x languages numbers; plain arrays, for workers without this package
+    keep = docs.columns if keep is None else keep
+    inside = keep.index(text) if text in keep else None
+    rows = docs.select(F.struct(*keep).alias("row"), *([] if text in keep else [F.col(text).alias("text")]))
 
-    Columns of these names in the input are replaced.  Defined cases: a text that is
-    null or has no letter is ``und`` with score 0, as is every text where nothing
-    could be learned.
-    """
-    spark = docs.sparkSession
-    short_batches(spark)
-    docs = docs.drop("lang_pred", "score")
-    held = spark.sparkContext.broadcast(model)  # FEATURES x languages numbers
-    names, place = docs.columns, docs.columns.index(text)
+    def with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column(0)
+            yield pa.RecordBatch.from_arrays([row, batch.column(1) if inside is None else row.flatten()[inside]], names=["row", "text"])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [held.value.predict(t) for t in batch.column(place).to_pylist()]
-            new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, "lang_pred", "score"])
+        learned = Model(**held.value)
+        for batch in short(with_text(batches), 1):
+            found = [learned.predict(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["row", "lang_pred", "score"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(label, schema)
+    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(label, schema)
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``, from the whole text alone.
+
+    Columns of these names in the input are replaced; all others are kept as they are.
+    Defined cases: a text that is null or has no letter is ``und`` with score 0, as is
+    every text where nothing could be learned; a very long text is read as a whole;
+    repeated rows get equal results; an empty table gives an empty result.
+    """
+    out = predicted(docs, model, text)
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("lang_pred", "score")], "lang_pred", "score")
 
 
 def held_out(key: str = "doc_id"):
@@ -243,6 +253,11 @@ def held_out(key: str = "doc_id"):
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """Per document doc_id, held_out, lang_pred, score; learned from the other three folds."""
+    """Per document doc_id, held_out, lang_pred, score; learned from the other three folds.
+
+    Defined cases: as for ``predict``; a null doc_id is in a learning fold; a null lang
+    teaches nothing; repeated rows are labelled each; other columns are ignored.
+    """
     model = fit(docs.where(~held_out()))
-    return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
+    out = predicted(docs.select("doc_id", held_out().alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
+    return out.select("row.doc_id", "row.held_out", "lang_pred", "score")

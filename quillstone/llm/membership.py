@@ -1,8 +1,9 @@
-"""A bitmap of fixed size that spares a shuffle the rows which can't find a partner."""
+"""Tables of fixed size that all tasks fill and the driver adds up, and a bitmap among them that spares shuffles."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,8 +11,42 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.numbering import partitions
+
 #: Bits of the bitmap (4 MB) and of the piece of it that one row carries.
 BITS, PIECE = 1 << 25, 1 << 19
+PIECES = "piece long, data binary"
+
+
+def pieces_of(table: np.ndarray, first: int = 0) -> pa.RecordBatch:
+    """The rows of a table that are not all zero, packed, as (piece, data)."""
+    live = np.flatnonzero(table.any(axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(live + first, pa.int64()), pa.array([zlib.compress(table[i].tobytes(), 1) for i in live], pa.binary())], names=["piece", "data"])
+
+
+def folded(rows: DataFrame, kind: str, both: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> dict[int, np.ndarray]:
+    """The pieces that tasks sent, those of one number combined by ``both``, on the driver.
+
+    ``rows``: piece, data.  There are as many numbers as the table has pieces, however
+    many tasks there were; a number's pieces stream through one task, which holds two.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = None, None
+        for batch in batches:
+            for piece, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = np.frombuffer(zlib.decompress(data), kind)
+                if piece == last:
+                    total = both(total, found)
+                    continue
+                if last is not None:
+                    yield pa.RecordBatch.from_pydict({"piece": [last], "data": [zlib.compress(total.tobytes(), 1)]})
+                last, total = piece, found
+        if last is not None:
+            yield pa.RecordBatch.from_pydict({"piece": [last], "data": [zlib.compress(total.tobytes(), 1)]})
+
+    dealt = rows.repartition(partitions(rows), "piece").sortWithinPartitions("piece")
+    return {r.piece: np.frombuffer(zlib.decompress(bytes(r.data)), kind) for r in dealt.mapInArrow(fold, PIECES).collect()}
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
@@ -21,20 +56,11 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
         bits = np.zeros(BITS, bool)
         for batch in batches:
             bits[(batch.column(0).to_numpy().view(np.uint64) % np.uint64(BITS)).astype(np.int64)] = True
-        pieces = bits.reshape(-1, PIECE)
-        live = np.flatnonzero(pieces.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(live, pa.int64()), pa.array([np.packbits(pieces[i]).tobytes() for i in live], pa.binary())], names=["piece", "bits"])
-
-    def both(table: pa.Table) -> pa.Table:
-        total = np.zeros(PIECE // 8, np.uint8)
-        for x in table.column("bits").to_pylist():
-            total |= np.frombuffer(x, np.uint8)
-        return pa.table({"piece": table.column("piece")[:1], "bits": pa.array([total.tobytes()], pa.binary())})
+        yield pieces_of(np.packbits(bits).reshape(-1, PIECE // 8))
 
-    schema = "piece long, bits binary"
     out = np.zeros((BITS // PIECE, PIECE // 8), np.uint8)
-    for r in hashes.mapInArrow(mark, schema).groupBy("piece").applyInArrow(both, schema).collect():  # BITS / PIECE rows
-        out[r.piece] = np.frombuffer(bytes(r.bits), np.uint8)
+    for piece, bits in folded(hashes.mapInArrow(mark, PIECES), "u1", np.bitwise_or).items():
+        out[piece] = bits
     return out.ravel()
 
 

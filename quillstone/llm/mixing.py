@@ -40,23 +40,24 @@ def poisson_sum(seed: int, rate: Column, *parts: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda total, j: total + poisson(uniform(seed, *parts, j), rate / n))
 
 
-def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: float, size: float, source: str = "source") -> DataFrame:
+def source_rates(sources: DataFrame, weights: dict[str, float], default_weight: float, size: float) -> DataFrame:
     """One row per source: its documents, target share and mean repetition rate.
 
-    Shares are the weights over their sum for the sources that the table has; the
-    rate is share * (size * all documents) / documents of the source.
+    ``sources`` has one column, ``source``.  Shares are the weights over their sum for
+    the sources that the table has; the rate is share * (size * all documents) /
+    documents of the source.
     """
     named = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else F.lit(None).cast("map<string,double>")
-    counts = docs.groupBy(F.col(source).alias("_source")).agg(F.count(F.lit(1)).alias("_docs"))
-    counts = counts.withColumn("_weight", F.coalesce(named[F.coalesce("_source", F.lit(""))], F.lit(float(default_weight))))
-    totals = counts.agg(F.sum("_weight").alias("_all_weight"), F.sum("_docs").alias("_all_docs"))
-    share = F.col("_weight") / F.col("_all_weight")
+    counts = sources.groupBy("source").agg(F.count(F.lit(1)).alias("docs"))
+    counts = counts.withColumn("weight", F.coalesce(named[F.coalesce("source", F.lit(""))], F.lit(float(default_weight))))
+    totals = counts.agg(F.sum("weight").alias("all_weight"), F.sum("docs").alias("all_docs"))
+    share = F.col("weight") / F.col("all_weight")
     return counts.crossJoin(F.broadcast(totals)).select(  # totals is one row
-        "_source", "_docs", share.alias("_share"), (share * F.col("_all_docs") * size / F.col("_docs")).alias("_rate")
+        "source", "docs", share.alias("share"), (share * F.col("all_docs") * size / F.col("docs")).alias("rate")
     )
 
 
-def mixed(
+def replicated(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
     default_weight: float = 1.0,
@@ -66,6 +67,20 @@ def mixed(
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
+    """``mixed`` with each input row in one column, ``row``, so that no names can clash: row, rate, n_copies, copy, shuffle_key."""
+    rates = source_rates(docs.select(F.col(source).alias("source")), weights or {}, default_weight, size)
+    rates = rates.select("rate", F.col("source").alias("of_source"))
+    if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        rates = F.broadcast(rates)
+    rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), F.col(key).alias("key"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_md5"))
+    counted = rows.join(rates, F.col("source").eqNullSafe(F.col("of_source"))).withColumn("n_copies", poisson_sum(seed, F.col("rate"), F.col("key"), F.col("text_md5"))).where("n_copies > 0")
+    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
+    dealt = copies.select("row", "rate", "n_copies", "copy", uniform(seed + 1, F.col("key"), F.col("copy"), F.col("text_md5")).alias("shuffle_key"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key")
+
+
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, size: float = 1.0, seed: int = 7, source: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
     """Replicate each document by a hash-seeded Poisson count and shuffle globally.
 
     The mean of the count is the target repetition rate of the document's source,
@@ -76,19 +91,11 @@ def mixed(
     sorted by it within each partition.
 
     Adds ``rate``, ``n_copies``, ``copy`` (from 0) and ``shuffle_key``; columns of
-    these names in the input are replaced.  Defined cases: a null source is a
-    source of its own with the default weight; null key or text counts as empty
-    in the hash; repeated rows share their count; an empty table gives an empty result.
+    these names in the input are replaced, all others are kept as they are.  Defined
+    cases: a null source is a source of its own with the default weight; null key or
+    text counts as empty in the hash; a very long text is a row like any other, and is
+    only hashed; repeated rows share their count; an empty table gives an empty result.
     """
-    docs = docs.drop("rate", "n_copies", "copy", "shuffle_key")
-    rates = source_rates(docs, weights or {}, default_weight, size, source)
-    if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        rates = F.broadcast(rates)
-    joined = docs.join(rates, docs[source].eqNullSafe(rates["_source"]))
-    counted = joined.withColumnRenamed("_rate", "rate").withColumn("_text_md5", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    counted = counted.withColumn("n_copies", poisson_sum(seed, F.col("rate"), F.col(key), F.col("_text_md5"))).where("n_copies > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    dealt = copies.withColumn("shuffle_key", uniform(seed + 1, F.col(key), F.col("copy"), F.col("_text_md5")))
-    out = [*docs.columns, "rate", "n_copies", "copy", "shuffle_key"]
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.select(*out).repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key")
+    added = ["rate", "n_copies", "copy", "shuffle_key"]
+    out = replicated(docs, weights, default_weight, size, seed, source, key, text)
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in added], *added)

@@ -1,4 +1,4 @@
-"""Shared-folder tables, input tables and Arrow batch size for the operators."""
+"""Shared-folder tables and input tables for the operators."""
 
 from __future__ import annotations
 
@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 _local: dict[str, str] = {}
 _staged: WeakKeyDictionary = WeakKeyDictionary()
 
-#: Rows of an Arrow batch.  Texts reach 100 KB and more, so batches are kept short.
-BATCH_ROWS = 512
-
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of the data folder ``sf_dir``."""
@@ -24,12 +21,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset (a
-    local session, as in tests) is a temporary folder of this machine taken.
+    It is the session's ``spark.checkpoint.dir``.  Where that is unset, a local
+    session (as in tests) takes a temporary folder of this machine; a cluster needs the setting.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local:
         _local[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -63,11 +62,6 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the memory of Python workers that are sent whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def digest(text="text"):
     """16 bytes that stand for the text; null stays null."""
     return F.unhex(F.md5(F.col(text)))

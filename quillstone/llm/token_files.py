@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.numbering import partitions
-from quillstone.llm.staging import digest, new_path, short_batches, stage
-from quillstone.llm.words import _SPACE, utf8
+from quillstone.llm.staging import digest, new_path, stage
+from quillstone.llm.words import _SPACE, short, utf8
 
 FORMAT = 20240501
 HEADER = 3
@@ -172,7 +172,6 @@ def write_token_files(docs: DataFrame, model: str, end_id: int = 0, key: str = "
     empty table gives an empty manifest; other columns are ignored.
     """
     spark = docs.sparkSession
-    short_batches(spark)
     folder = new_path(spark, "tokens")
     store, path = open_folder(folder)
     store.create_dir(path, recursive=True)
@@ -185,9 +184,7 @@ def write_token_files(docs: DataFrame, model: str, end_id: int = 0, key: str = "
         counts, keys = [], []
         name = f"{path}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         where, _ = open_folder(folder)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in short(batches, 1):
             if encoder is None:
                 encoder = worker_encoder(held.value)
                 width = np.dtype("<u2") if max(end_id, encoder.tokenizer.get_vocab_size() - 1) < 1 << 16 else np.dtype("<u4")

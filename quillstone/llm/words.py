@@ -2,24 +2,46 @@
 
 All functions work on the UTF-8 bytes of a whole batch at once.  A hash is a
 polynomial modulo 2**64 over bytes or words, finished by a mixing step; equal
-inputs have equal hashes on any machine.
+inputs have equal hashes on any machine.  Such polynomials can't tell some long
+strings of two letters apart, so words of more than LONG bytes are hashed by BLAKE2.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD6E8FEB86659FD93
+LONG = 64
 #: Bytes of words that are hashed at once.
 _BLOCK = 1 << 20
 
+#: Rows, and about as many bytes of text, that are worked on at once.
+SHORT_ROWS, SHORT_BYTES = 512, 4 << 20
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def short(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows and few bytes in column ``text``; nothing is copied.
+
+    Spark bounds the bytes of a batch; numbers per byte of text take several times as much.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        whole, i = np.concatenate([[0], np.cumsum(sizes)]), 0
+        while i < batch.num_rows:
+            j = min(i + SHORT_ROWS, max(i + 1, int(np.searchsorted(whole, whole[i] + SHORT_BYTES, side="right")) - 1))
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n+1 offsets of its rows; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -53,6 +75,12 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     out = np.empty(len(starts), dtype=np.uint64)
     if not len(starts):
         return out
+    long = ends - starts > LONG
+    if long.any():
+        raw = [data[i:j].tobytes() for i, j in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        out[long] = [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in raw]
+        out[~long] = span_hashes(data, starts[~long], ends[~long])
+        return out
     lengths = ends - starts
     power = _powers(int(lengths.max()))
     done = np.cumsum(lengths)
