@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.llm.decontamination import MASKS, MATCHED, OVERLAP, SPAN
+from quillstone.llm.decontamination import MATCHED, OVERLAP
 
 
 def mixing(weights: dict[str, float], seed: int = 7) -> str:
@@ -35,21 +35,17 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n
 
 
 def decontamination() -> str:
-    """The same seeds as strings, and the same overlaps."""
-
-    def seeds(table: str, key: str) -> str:
-        parts = [
-            f"SELECT {key}, {n} AS mask, i, concat_ws(' ', {', '.join(f'w[i + {o + 1}]' for o in mask)}) AS seed FROM (SELECT {key}, w, unnest(range(0, len(w) - {SPAN - 1})) AS i FROM {table} WHERE len(w) >= {SPAN})"
-            for n, mask in enumerate(MASKS)
-        ]
-        return " UNION ALL ".join(parts)
+    """All equal words of documents and items, without seeds: those of one shift are counted in each window of OVERLAP words.
 
+    A window starts at an equal word, or at the last place where one fits.
+    """
     words = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
-    return f"""WITH d AS (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT item_id, {words} AS w FROM benchmark),
-ds AS ({seeds('d', 'doc_id')}), bs AS ({seeds('b', 'item_id')}),
-hits AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.i - bs.i AS shift FROM ds JOIN bs ON ds.seed = bs.seed AND ds.mask = bs.mask),
-full_ AS (SELECT h.*, d.w AS w, b.w AS v, least({OVERLAP}, len(b.w)) AS width FROM hits h JOIN d ON h.doc_id = d.doc_id JOIN b ON h.item_id = b.item_id),
-best AS (SELECT doc_id, item_id, width, list_max(list_transform(range(greatest(0, -shift), least(len(v), len(w) - shift) - width + 1), lambda j: list_sum(list_transform(range(0, width), lambda t: CASE WHEN v[j + t + 1] = w[j + t + shift + 1] THEN 1 ELSE 0 END)))) AS equal FROM full_),
-found AS (SELECT doc_id, item_id, max(equal) AS equal FROM best WHERE equal * {OVERLAP} >= width * {MATCHED} GROUP BY 1, 2),
+    return f"""WITH d AS (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT row_number() OVER () AS item_no, item_id, {words} AS w FROM benchmark),
+dw AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d),
+bw AS (SELECT item_no, len(w) AS m, least({OVERLAP}, len(w)) AS width, unnest(w) AS word, unnest(range(0, len(w))) AS j FROM b),
+same AS (SELECT doc_id, item_no, i - j AS shift, j, width, least(m, n - (i - j)) - width AS last FROM dw JOIN bw ON dw.word = bw.word WHERE least(m, n - (i - j)) - width >= greatest(0, j - i)),
+counted AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_no, shift ORDER BY j RANGE BETWEEN CURRENT ROW AND {OVERLAP - 1} FOLLOWING) AS ahead FROM same),
+best AS (SELECT doc_id, item_no, any_value(width) AS width, greatest(coalesce(max(CASE WHEN j <= last THEN least(ahead, width) END), 0), count(CASE WHEN j >= last THEN 1 END)) AS equal FROM counted GROUP BY doc_id, item_no, shift),
+found AS (SELECT doc_id, item_id, max(equal) AS equal FROM best JOIN b USING (item_no) WHERE equal * {OVERLAP} >= width * {MATCHED} GROUP BY 1, 2),
 docs AS (SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items, max(equal) AS equal FROM found GROUP BY 1)
 SELECT d.doc_id, n IS NOT NULL AS contaminated, coalesce(n, 0)::BIGINT AS n_items, coalesce(items, '') AS items, coalesce(equal, 0)::INTEGER AS max_equal FROM d LEFT JOIN docs ON d.doc_id = docs.doc_id"""

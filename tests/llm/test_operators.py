@@ -360,35 +360,66 @@ def test_shards_are_even_and_gapless(spark, docs):
 # --- 7 decontamination --------------------------------------------------------------
 
 
-def overlaps(text, item):
+def best_overlap(text, item):
+    """The most equal words of 13 aligned ones (a shorter item: all its words), if they are enough; by brute force."""
     words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     a, b = words(text), words(item)
     width = min(13, len(b))
-    if len(b) < 9:
-        return False
-    return any(sum(x == y for x, y in zip(a[i : i + width], b[j : j + width], strict=False)) * 13 >= width * 11 for i in range(len(a) - width + 1) for j in range(len(b) - width + 1))
-
-
-def test_decontamination(spark):
-    item, short = prose(50, 30), prose(51, 10)
-    w = item.split()
-    two = [*w[:5], "other", *w[6:11], "words", *w[12:20]]
-    data = [
-        (0, prose(60, 200)), (1, prose(61, 50) + " " + item.upper().replace(" ", ", ") + " " + prose(62, 20)), (2, " ".join(two)), (3, prose(63, 10) + " " + short + " x"),
-        (4, " ".join(w[:8])), (5, None), (6, ""), (None, item), (7, item), (7, item), (8, " ".join(w[10:24])), (9, " ".join(w[i] if i % 3 else "no" for i in range(30))),
-    ]
-    df = spark.createDataFrame([(i, t, 0, "z") for i, t in data], "doc_id long, text string, item_id int, digest string")
-    bench = spark.createDataFrame([(1, item), (2, short), (3, "too short to find"), (4, None), (1, item)], "item_id long, text string")
-    got = sorted(((r.doc_id, r.contaminated, r.items) for r in decontamination.marked(df, bench).collect()), key=repr)
-    expected = sorted(((i, any(hit), ",".join(str(k) for k, h in zip((1, 2), hit, strict=True) if h)) for i, t in data for hit in [[overlaps(t, item), overlaps(t, short)]]), key=repr)
-    assert got == expected
+    if not b:
+        return 0
+    best = max((sum(x == y for x, y in zip(a[i : i + width], b[j : j + width], strict=False)) for i in range(len(a) - width + 1) for j in range(len(b) - width + 1)), default=0)
+    return best if best * 13 >= width * 11 else 0
+
+
+def decontamination_rows():
+    """Documents with parts of items of all lengths, some words replaced, and the items."""
+    r = random.Random(8)
+    items = [(n, prose(80 + n, n)) for n in range(1, 16)] + [(30, prose(50, 30)), (31, prose(51, 10)), (30, prose(50, 30)), (40, None), (41, " . "), (None, prose(52, 20)), (3, prose(53, 25))]
+    docs = [(0, prose(60, 200)), (5, None), (6, ""), (None, items[15][1]), (7, items[15][1]), (7, items[15][1]), (8, items[15][1].upper().replace(" ", ", "))]
+    for n, (_, text) in enumerate(items):
+        w = (text or "").split()
+        for k in range(6):  # nothing, or some words anywhere, replaced
+            own = [f"other{r.random()}" if i in r.sample(range(len(w)), min(k // 2, len(w))) else x for i, x in enumerate(w)] if w else []
+            docs.append((1000 + 10 * n + k, " ".join([*prose(3000 + 10 * n + k, r.choice([0, 3, 20])).split(), *own, *prose(6000 + 10 * n + k, r.choice([0, 3, 20])).split()])))
+    return docs, items
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", 0)
+        monkeypatch.setattr(decontamination, "TOGETHER", 2)
+    docs, items = decontamination_rows()
+    df = spark.createDataFrame([(i, t, 0, "z", 1, "q", 2) for i, t in docs], "doc_id long, text string, item_id int, digest string, _id int, _digest string, name int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    expected = []
+    for i, t in docs:
+        found = collections.defaultdict(int)
+        for k, x in items:
+            if best := best_overlap(t, x):
+                found[k] = max(best, found[k])
+        expected.append((i, bool(found), len(found), ",".join(str(k) for k in sorted(k for k in found if k is not None)), max(found.values(), default=0)))
+    got = [tuple(r) for r in decontamination.marked(df, bench).select("doc_id", "contaminated", "n_items", "items", "max_equal").collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    assert sum(x[1] for x in expected) > 60 and sum(not x[1] for x in expected) > 20
     clean = decontamination.decontaminated(df, bench)
-    assert clean.columns == df.columns
-    assert sorted((r.doc_id for r in clean.collect())) == [i for i, c, _ in sorted(got, key=repr) if not c]
-    assert decontamination.decontaminated(df, bench.limit(0)).count() == len(data)
+    assert clean.columns == df.columns and clean.where("_id <> 1 OR _digest <> 'q' OR name <> 2").count() == 0
+    assert sorted((r.doc_id for r in clean.collect()), key=repr) == sorted((x[0] for x in expected if not x[1]), key=repr)
+    assert decontamination.decontaminated(df, bench.limit(0)).count() == len(docs)
     assert decontamination.marked(df.limit(0), bench).count() == 0
 
 
+def test_masks_find_every_overlap_that_counts():
+    """For each length: whichever words differ, if enough are equal then one mask sees none of the others."""
+    import itertools
+
+    for n in range(1, 14):
+        span, masks = decontamination.masks_of(n)
+        for k in range(n - -(-n * 11 // 13) + 1):
+            for differ in itertools.combinations(range(n), k):
+                assert any(not set(differ) & {at + o for o in mask} for at in range(n - span + 1) for mask in masks), (n, differ)
+
+
 # --- 8 token files ------------------------------------------------------------------
 
 
