@@ -1,6 +1,7 @@
 """Licence signatures in a small notation, written out into ordered regular expressions.
 
-A signature is a row of words.  ``[x]`` is a word that may be missing, ``a|b`` a
+A signature is a row of words; most are sentences of a licence's own text, or say which
+licence holds.  ``[x]`` is a word that may be missing, ``a|b`` a
 choice, ``*`` any one word, and a word may hold regular-expression syntax.  In the
 text to be searched each word stands between two blanks of its own, so a word ``w``
 becomes ``" w "`` and neighbouring matches never share a character.
@@ -82,7 +83,7 @@ lgpl-2.1 ; lgpl ; [gnu] lgpl [version|v] 2 1
 libpng ; libpng ; libpng license
 lppl-1.3c ; latex ; latex project public license [version|v] [1] [3c]
 lpl-1.02 ; lucent ; lucent public license [version|v] [1] [02]
-mirros ; mirros ; miros|mirros licen[cs]e
+miros ; miros ; miros licen[cs]e
 mit ; mit ; mit license
 mit ; expat ; expat license
 mit-0 ; mit ; mit no attribution [license]
@@ -132,7 +133,7 @@ zlib ; zlib ; zlib license
 zpl-2.1 ; zope ; zope public license [version|v] 2 1
 llama-community ; llama ; llama [2|3] community license
 proprietary ; rights ; all rights reserved
-public-domain ; domain ; released|dedicated|placed [in]to|in the public domain
+public-domain ; domain ; released|dedicated|placed into|to|in the public domain
 commons-clause ; commons ; commons clause license condition
 """
 
@@ -150,25 +151,102 @@ lgpl ; lesser ; [gnu] lesser general public license
 mpl ; mozilla ; mozilla public license
 """
 
+#: Identifiers as files state them, in words; the label is the identifier.
+IDENTIFIERS = """
+0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0
+BUSL-1.1 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 CPL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GFDL-1.3 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later
+HPND ISC JSON LGPL-2.0 LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later LPPL-1.3c MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL MS-RL MulanPSL-2.0 NCSA ODbL-1.0 OFL-1.1 OpenSSL OSL-3.0 PHP-3.01
+PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 Ruby SSPL-1.0 UPL-1.0 Unlicense Vim W3C WTFPL X11 Zlib ZPL-2.1
+"""
+#: How an identifier is stated ; priority ; score ; for which identifiers
+IDENTIFIER_STATEMENTS = """
+spdx license identifier {name} ; 90 ; 1.0 ; all
+license|licence|licenses|licensed {name} ; 45 ; 0.75 ; distinctive
+"""
+#: Identifiers without a number that are no everyday words.
+DISTINCTIVE = ("ISC", "MIT", "PostgreSQL", "Unlicense", "WTFPL", "Zlib")
+
+#: label ; keyword ; a sentence of the licence's own text, or of the notice that it asks for
+TEXTS = """
+0bsd ; hereby ; permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted the software is provided as is
+afl-3.0 ; academic ; licensed under the academic free license version 3 0
+agpl-3.0 ; affero ; under the terms of the gnu affero general public license as published by the free software foundation either version 3
+agpl-3.0 ; affero ; you should have received a copy of the gnu affero general public license
+apache-1.1 ; acknowledgment ; this product includes software developed by the apache software foundation
+apache-2.0 ; compliance ; you may not use this file except in compliance with the license
+apache-2.0 ; apache ; www apache org licenses license 2 0
+apache-2.0 ; governing ; see the license for the specific language governing permissions and limitations under the license
+artistic ; artistic ; you can redistribute it and or modify it under the same terms as perl itself
+artistic-2.0 ; artistic ; you can redistribute it and or modify it under the terms of the artistic license 2 0
+beerware ; whatever ; as long as you retain this notice you can do whatever you want with this stuff
+bsd ; redistribution ; redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+bsd ; redistributions ; redistributions of source code must retain the [above] copyright notice this list of conditions and the following disclaimer
+bsd ; redistributions ; redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
+bsd-3-clause ; endorse ; neither the name of [*] [*] [*] [*] [*] [*] [*] nor the names of its|any contributors may be used to endorse or promote products derived from this software
+bsd-3-clause ; endorse ; the name of the author may not be used to endorse or promote products derived from this software
+bsd-4-clause ; advertising ; all advertising materials mentioning features or use of this software must display the following acknowledgement
+bsl-1.0 ; hereby ; permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
+busl-1.1 ; production ; the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work
+cc0-1.0 ; waived ; to the extent possible under law [*] [*] [*] [*] [*] [*] waived all copyright and related or neighboring rights
+cddl-1.0 ; development ; the contents of this file are subject to the terms of the common development and distribution license
+epl-1.0 ; eclipse ; made available under the terms of the eclipse public license v1 0
+epl-2.0 ; eclipse ; made available under the terms of the eclipse public license [v] 2 0
+gfdl ; documentation ; permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
+gpl ; verbatim ; everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed
+gpl ; received ; you should have received a copy of the gnu general public license
+gpl-2.0 ; foundation ; under the terms of the gnu general public license as published by the free software foundation [either] version 2
+gpl-3.0 ; foundation ; under the terms of the gnu general public license as published by the free software foundation [either] version 3
+hpnd ; hereby ; permission to use copy modify [and] distribute [and] [sell] this software and its documentation for any purpose [is] [hereby] [granted] without fee is hereby granted provided that
+ijg ; jpeg ; this software is based in part on the work of the independent jpeg group
+isc ; hereby ; permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice
+json ; evil ; the software shall be used for good not evil
+lgpl ; received ; you should have received a copy of the gnu lesser general public license
+lgpl-2.1 ; lesser ; under the terms of the gnu lesser general public license as published by the free software foundation [either] version 2 1
+lgpl-3.0 ; lesser ; under the terms of the gnu lesser general public license as published by the free software foundation [either] version 3
+mit ; hereby ; permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+mit ; furnished ; to permit persons to whom the software is furnished to do so subject to the following conditions
+mit ; notice ; the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+mit-0 ; furnished ; to permit persons to whom the software is furnished to do so the software is provided as is
+mpl-1.1 ; mozilla ; the contents of this file are subject to the mozilla public license version 1 1
+mpl-2.0 ; mozilla ; this source code form is subject to the terms of the mozilla public license v 2 0
+ms-pl ; patents ; if you bring a patent claim against any contributor over patents that you claim are infringed by the software your patent license
+ncsa ; endorse ; neither the names of [*] [*] [*] [*] [*] [*] [*] nor the names of its contributors may be used to endorse or promote products derived from this software
+ofl-1.1 ; font ; this font software is licensed under the sil open font license version 1 1
+openssl ; openssl ; this product includes software developed by the openssl project for use in the openssl toolkit
+php-3.01 ; php ; this product includes php software freely available from
+postgresql ; agreement ; for any purpose without fee and without a written agreement is hereby granted
+unlicense ; unencumbered ; this is free and unencumbered software released into the public domain
+upl-1.0 ; hereby ; subject to the condition set forth below permission is hereby granted to any person obtaining a copy of this software associated documentation and or data
+wtfpl ; fuck ; do what the fuck you want to
+x11 ; advertising ; except as contained in this notice the name of [*] [*] [*] [*] [*] [*] shall not be used in advertising or otherwise to promote the sale use or other dealings in this software
+zlib ; liable ; in no event will the authors be held liable for any damages arising from the use of this software
+zlib ; misrepresented ; the origin of this software must not be misrepresented you must not claim that you wrote the original software
+zlib ; altered ; altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+"""
+
 #: Sentences around a name, strongest first: how ; priority ; score
 STATEMENTS = """
 spdx license identifier {name} ; 90 ; 1.0
 licensed|released|distributed|published|available under [the] [terms] [of] [the] {name} ; 80 ; 0.95
 subject to [the] [terms] [of] [the] {name} ; 70 ; 0.9
 """
-NAME_RULE, FAMILY_RULE, BASE_RULE = (50, 0.8), (20, 0.6), (0, 0.7)
+TEXT_RULE, NAME_RULE, FAMILY_RULE, BASE_RULE = (60, 0.85), (50, 0.8), (20, 0.6), (0, 0.7)
 
 #: The base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
 #: A text without any of these words (in lower case), and without the pattern, has no signature and no base phrase.
-GATE_WORDS = ("licen", "reserved", "commons", "domain", "gpl", "spdx", "apache", "bsd", "wtfpl", "cecill", "cc0", "mpl", "cddl", "permission notice", "agreement", "attribution", "openrail")
+GATE_WORDS = (
+    "licen", "reserved", "commons", "domain", "gpl", "spdx", "apache", "bsd", "wtfpl", "cecill", "cc0", "mpl", "cddl", "permission notice", "agreement", "attribution", "openrail",
+    "hereby", "redistribut", "endorse", "advertising", "openssl", "php", "jpeg", "perl", "evil", "waived", "furnished", "permission", "fuck", "liable", "misrepresented", "whatever", "governing",
+)
 GATE_PATTERN = r"(?i)cc[^0-9a-z]+by|permission[^0-9a-z]+notice"
 
 
 @dataclass(frozen=True)
 class Rule:
     order: int
+    signature: str
     label: str
     keyword: str
     regex: str
@@ -206,11 +284,11 @@ def _rows(table: str) -> list[list[str]]:
 
 
 def rules() -> list[Rule]:
-    """All rules in their order: the base phrases first, then each name's sentences and the name alone, then families."""
+    """All rules in their order: base phrases, each name's sentences and the name alone, identifiers, sentences of the licences' texts, families."""
     out: list[Rule] = []
 
     def add(label: str, keyword: str, signature: str, priority: int, score: float, base: bool = False) -> None:
-        out.append(Rule(len(out), label, keyword, regex(signature), priority, score, base))
+        out.append(Rule(len(out), signature, label, keyword, regex(signature), priority, score, base))
 
     for phrase, label in BASE:
         add(label, phrase.split()[0], phrase, *BASE_RULE, base=True)
@@ -218,6 +296,13 @@ def rules() -> list[Rule]:
         for how, priority, score in _rows(STATEMENTS):
             add(label, keyword, how.replace("{name}", name), int(priority), float(score))
         add(label, keyword, name, *NAME_RULE)
+    for how, priority, score, which in _rows(IDENTIFIER_STATEMENTS):
+        for name in IDENTIFIERS.split():
+            if which == "all" or name in DISTINCTIVE or any(c.isdigit() for c in name):
+                words = name.lower().replace("-", " ").replace(".", " ")
+                add(name.lower(), words.split()[0], how.replace("{name}", words), int(priority), float(score))
+    for label, keyword, sentence in _rows(TEXTS):
+        add(label, keyword, sentence, *TEXT_RULE)
     for label, keyword, name in _rows(FAMILIES):
         add(label, keyword, name, *FAMILY_RULE)
     return out

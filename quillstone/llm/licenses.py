@@ -61,8 +61,8 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels,
     score (of the best detection that stays; 0 without one) and n_kept, the
     signatures that stay.  Defined cases: a null text is empty; a text without words
-    has empty labels; repeated rows are scanned each; an empty table gives an empty
-    result; other columns are ignored.
+    has empty labels; a very long text is scanned as a whole; repeated rows are scanned
+    each; an empty table gives an empty result; other columns are ignored.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     read = docs.select(

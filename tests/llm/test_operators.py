@@ -509,6 +509,27 @@ def test_licence_detections(spark):
     assert got[5].n_words == 0 and got[5].first_word is None and all(0 <= r.score <= 1 for r in got)
 
 
+def test_licence_texts_and_identifiers(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and\nassociated documentation files (the \"Software\"), to deal in the Software"
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided\nthat the following conditions are met:"
+    three = bsd + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"
+    got = scan(
+        spark, mit, bsd, three, "SPDX-License-Identifier: MIT", "License: Zlib", "SPDX-License-Identifier: BSD-3-Clause", "# SPDX-License-Identifier: GPL-2.0-or-later",
+        "You may not use this file except in compliance with the License.", "This is free and unencumbered software released into the public domain.", "permission to speak is granted", "a license fair to all",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "studied at MIT",
+    )
+    assert [r.labels for r in got] == ["mit", "bsd", "bsd,bsd-3-clause", "mit", "zlib", "bsd-3-clause", "gpl-2.0-or-later", "apache-2.0", "unlicense", "", "", "mpl-2.0", ""]
+
+
+def test_each_licence_rule_finds_its_own_signature(spark):
+    """Whatever a rule looks for passes the gate and is found, unless a longer signature holds it."""
+    found = license_rules.rules()
+    texts = [" ".join(w[1:-1].replace("|", " ").split()[0] if w[0] == "[" else w.split("|")[0].replace("[cs]", "c") for w in r.signature.split() if w != "[*]").replace("*", "x") for r in found]
+    for rule, text, row in zip(found, texts, scan(spark, *texts), strict=True):
+        assert re.search(rule.regex, " " + text.replace(" ", "  ") + " "), rule
+        assert rule.label in row.labels.split(",") or row.n_kept > 0, rule
+
+
 def test_licence_rules_are_ordered_and_many():
     found = license_rules.rules()
     assert len(found) > 300 and [r.order for r in found] == list(range(len(found)))
