@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 Parquet and read again as the next one's docs.  All but the last keep the columns of
 ``documents``.
+
+Defined cases, in all stages: a null doc_id or source is a value like any other; a very
+long text is taken as a whole; repeated rows are judged alike; an empty table gives an
+empty result; further columns of ``docs``, whatever their names, are kept as they are.
 """
 
 from __future__ import annotations
@@ -19,28 +23,38 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, and those of no clear language, go."""
-    found = language_id.predict(docs, language_id.fit(docs))
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    """Documents without letters (null and empty texts among them), and those of no clear language, go.
+
+    The model learns from all labelled rows; a null lang teaches nothing, and without
+    any label all documents go.
+    """
+    found = language_id.predicted(docs, language_id.fit(docs))
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, that of the smallest doc_id."""
+    """One document of each class stays, that of the smallest doc_id; of repeated rows one stays.
+
+    Null texts are one class, as are empty ones.
+    """
     return near_duplicates.deduplicated(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap an item of ``benchmark`` go."""
+    """Documents that overlap an item of ``benchmark`` go; null and empty texts overlap none."""
     return decontamination.decontaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated, or left out, so that sources meet their target weights; the order is shuffled."""
-    return mixing.mixed(docs, MIX_WEIGHTS).select(*docs.columns)
+    """Documents are repeated, or left out, so that sources meet their target weights; the order is shuffled.
+
+    Repeated rows are drawn alike; a null source is one of its own, with weight 1.
+    """
+    return mixing.replicated(docs, MIX_WEIGHTS).select("row.*")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files, read back: doc_id, start, n_tokens, ids_crc32."""
+    """Token files, read back: doc_id, start, n_tokens, ids_crc32; a null or empty text is the end id alone."""
     return token_files.token_files(docs, tokenizer_json())
 
 
