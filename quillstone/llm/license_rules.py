@@ -172,11 +172,11 @@ TEXTS = """
 afl-3.0 ; academic ; licensed under the academic free license version 3 0
 agpl-3.0 ; affero ; under the terms of the gnu affero general public license as published by the free software foundation either version 3
 agpl-3.0 ; affero ; you should have received a copy of the gnu affero general public license
-apache-1.1 ; acknowledgment ; this product includes software developed by the apache software foundation
+apache-1.1 ; apache ; this product includes software developed by the apache software foundation
 apache-2.0 ; compliance ; you may not use this file except in compliance with the license
 apache-2.0 ; apache ; www apache org licenses license 2 0
 apache-2.0 ; governing ; see the license for the specific language governing permissions and limitations under the license
-artistic ; artistic ; you can redistribute it and or modify it under the same terms as perl itself
+artistic ; perl ; you can redistribute it and or modify it under the same terms as perl itself
 artistic-2.0 ; artistic ; you can redistribute it and or modify it under the terms of the artistic license 2 0
 beerware ; whatever ; as long as you retain this notice you can do whatever you want with this stuff
 bsd ; redistribution ; redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met

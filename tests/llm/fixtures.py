@@ -3,7 +3,10 @@
 import random
 
 #: Columns beyond those of documents, with names that the operators use themselves.
-CLASHING = "digest string, node int, score string, labels int, rate int, copy int, first_id int, row_no int, lang_pred int, spans int, doc int, item_id int"
+CLASHING = (
+    "digest string, node int, score string, labels int, rate int, copy int, first_id int, row_no int, lang_pred int, spans int, doc int, item_id int, _id string, _digest int, _source string, _rate int, _docs int, "
+    "_share int, _row int, row int, name int, of int, id int, key int, of_source int, text_md5 int, n_copies string, shuffle_key string, kept int, class_id int, found int, shared int, bucket int, held_out int"
+)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -34,7 +37,7 @@ def clashing(spark):
     from pyspark.sql import functions as F
 
     names = [x.split() for x in CLASHING.split(", ")]
-    return documents(spark).select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in names])
+    return documents(spark).select("*", *[F.lit("7").cast(kind).alias(name) for name, kind in names])
 
 
 def empty(spark):
