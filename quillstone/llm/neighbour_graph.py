@@ -18,6 +18,8 @@ from quillstone.llm.staging import discard, stage
 DEGREE = 40
 #: Fresh and settled neighbours that a node shows to its neighbours in a round, each way.
 SAMPLE = 12
+#: Those that list a node beyond SPARE * SAMPLE are thinned out by lot before the shuffle, if they are more than one in HUBS of all edges.
+SPARE, HUBS = 8, 100_000
 #: Best partners that a meeting proposes to each of its members.
 PROPOSALS = 6
 #: The descent ends when fewer than this share of all list places changed, or after so many rounds.
@@ -104,23 +106,34 @@ def first_graph(nodes: DataFrame, n: int, degree: int) -> DataFrame:
     return nodes.select("node", "code", ids.alias("ids"), F.transform(ids, lambda i: F.lit(-2.0)).alias("sims"), F.transform(ids, lambda i: F.lit(True)).alias("fresh"))
 
 
-def invitations(graph: DataFrame, turn: int, sample: int) -> DataFrame:
-    """(host, member, fresh): who meets at whom.  A node hosts a sample of its list and of those that list it, and itself."""
+def shown(turn: int, sample: int, fresh: bool) -> Column:
+    """The neighbours, fresh or settled ones, that a row of the graph shows in a round: the first by a hash."""
+    order = F.array_sort(F.transform(F.filter(F.arrays_zip("ids", "fresh"), lambda e: e["fresh"] == fresh), lambda e: F.struct(F.xxhash64(e["ids"], F.col("node"), F.lit(turn)).alias("draw"), e["ids"].alias("id"))))
+    return F.transform(F.slice(order, 1, sample), lambda e: F.struct(e["id"].alias("id"), F.lit(fresh).alias("fresh")))
 
-    def choose(which: Column) -> Column:
-        order = F.array_sort(F.transform(F.filter(F.arrays_zip("ids", "fresh"), lambda e: e["fresh"] == which), lambda e: F.struct(F.xxhash64(e["ids"], F.col("node"), F.lit(turn)).alias("draw"), e["ids"].alias("id"))))
-        return F.transform(F.slice(order, 1, sample), lambda e: F.struct(e["id"].alias("id"), which.alias("fresh")))
 
-    picked = graph.select("node", F.explode(F.concat(choose(F.lit(True)), choose(F.lit(False)))).alias("e"))
-    return picked.select("node", F.col("e.id").alias("other"), F.col("e.fresh").alias("fresh"))
+def hubs(picked: DataFrame, n: int, sample: int) -> DataFrame:
+    """(host, n): the nodes that more than one in HUBS of all shown edges lead to, fewer than HUBS of them."""
+    least = max(SPARE * sample, 2 * sample * n // HUBS)
+    return picked.groupBy(F.col("other").alias("host")).agg(F.count(F.lit(1)).alias("shown")).where(F.col("shown") > least)
 
 
-def meetings(graph: DataFrame, picked: DataFrame, turn: int, sample: int, proposals: int) -> DataFrame:
-    """(node, ids, sims): for each member of a meeting the closest other members that would improve its list."""
-    card = graph.select("node", "code", F.when(F.size("sims") >= DEGREE, F.array_min("sims")).otherwise(F.lit(-3.0)).alias("worst"))
-    forward = picked.join(card.withColumnRenamed("node", "other"), "other").select(F.col("node").alias("host"), F.col("other").alias("member"), "fresh", F.lit(1).alias("kind"), "code", "worst")
-    backward = picked.join(card, "node").select(F.col("other").alias("host"), F.col("node").alias("member"), "fresh", F.lit(2).alias("kind"), "code", "worst")
-    own = card.select(F.col("node").alias("host"), F.col("node").alias("member"), F.lit(False).alias("fresh"), F.lit(0).alias("kind"), "code", "worst")
+def meetings(graph: DataFrame, n: int, turn: int, sample: int, proposals: int) -> DataFrame:
+    """(node, ids, sims): for each member of a meeting the closest other members that would improve its list.
+
+    A node hosts a sample of its list and of those that list it, and itself.  Of the very
+    many that list a hub, most stay away before anything is shuffled.
+    """
+    shows = F.explode(F.concat(shown(turn, sample, True), shown(turn, sample, False))).alias("e")
+    worst = F.when(F.size("sims") >= DEGREE, F.array_min("sims")).otherwise(F.lit(-3.0)).alias("worst")
+    names = lambda host, member, kind: [host.alias("host"), member.alias("member"), F.col("fresh"), F.lit(kind).alias("kind"), F.col("code"), F.col("worst")]
+    picked = graph.select("node", shows).select("node", F.col("e.id").alias("other"), F.col("e.fresh").alias("fresh"))
+    forward = picked.join(graph.select(F.col("node").alias("other"), "code", worst), "other").select(*names(F.col("node"), F.col("other"), 1))
+    backward = graph.select("node", "code", worst, shows).select("node", "code", "worst", F.col("e.id").alias("other"), F.col("e.fresh").alias("fresh")).select(*names(F.col("other"), F.col("node"), 2))
+    crowd = backward.join(F.broadcast(hubs(picked, n, sample)), "host", "left")
+    lot = F.pmod(F.xxhash64("member", "host", F.lit(turn), F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
+    backward = crowd.where(F.col("shown").isNull() | (lot * F.col("shown") < SPARE * sample)).drop("shown")
+    own = graph.select("node", "code", worst, F.lit(False).alias("fresh")).select(*names(F.col("node"), F.col("node"), 0))
     rows = forward.unionByName(backward).unionByName(own).withColumn("draw", F.xxhash64("host", "member", F.lit(turn)))
     dealt = rows.repartition(partitions(graph), "host").sortWithinPartitions("host", "kind", "fresh", "draw").select("host", "member", "fresh", "kind", "code", "worst")
 
@@ -173,10 +186,11 @@ def meetings(graph: DataFrame, picked: DataFrame, turn: int, sample: int, propos
     return dealt.mapInArrow(meet, "node long, ids array<long>, sims array<double>")
 
 
-def improved(graph: DataFrame, picked: DataFrame, proposals: DataFrame, degree: int) -> DataFrame:
+def improved(graph: DataFrame, proposals: DataFrame, turn: int, sample: int, degree: int) -> DataFrame:
     """The graph after a round: the best of old list and proposals; what was shown is settled, what is new is fresh."""
-    shown = picked.where("fresh").groupBy("node").agg(F.collect_list("other").alias("shown"))
-    old = graph.join(shown, "node", "left").select("node", F.lit(0).alias("kind"), "code", "ids", "sims", F.transform("ids", lambda i: F.element_at("fresh", F.array_position("ids", i).cast("int")) & ~F.coalesce(F.array_contains("shown", i), F.lit(False))).alias("fresh"))
+    was_shown = F.transform(shown(turn, sample, True), lambda e: e["id"])
+    marks = F.transform(F.arrays_zip("ids", "fresh"), lambda e: e["fresh"] & ~F.array_contains("was_shown", e["ids"]))
+    old = graph.withColumn("was_shown", was_shown).select("node", F.lit(0).alias("kind"), "code", "ids", "sims", marks.alias("fresh"))
     new = proposals.select("node", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("code"), "ids", "sims", F.transform("ids", lambda i: F.lit(True)).alias("fresh"))
     dealt = old.unionByName(new).repartition(partitions(graph), "node").sortWithinPartitions("node", "kind")
 
@@ -230,10 +244,9 @@ def descend(nodes: DataFrame, n: int, degree: int = DEGREE, sample: int = SAMPLE
     """
     graph = stage(first_graph(nodes, n, degree), "graph")
     for turn in range(rounds if n > 1 else 0):
-        picked = stage(invitations(graph, turn, sample), "invitations")
-        found = meetings(graph, picked, turn, sample, proposals)
-        after = stage(improved(graph, picked, found, degree), "graph")
-        discard(graph, picked)
+        found = meetings(graph, n, turn, sample, proposals)
+        after = stage(improved(graph, found, turn, sample, degree), "graph")
+        discard(graph)
         graph = after
         collected(graph)
         changed = graph.agg(F.sum(F.size(F.filter("fresh", lambda f: f)))).first()[0] or 0
