@@ -13,6 +13,7 @@ from pyspark.sql.types import FloatType
 from quillstone.llm.anchors import ragged
 from quillstone.llm.numbering import numbered, partitions
 from quillstone.llm.staging import discard, stage
+from quillstone.llm.words import mix
 
 #: Neighbours of a node in the graph.
 DEGREE = 40
@@ -23,12 +24,17 @@ SPARE, HUBS = 8, 100_000
 #: Best partners that a meeting proposes to each of its members.
 PROPOSALS = 6
 #: The descent ends when fewer than this share of all list places changed, or after so many rounds.
-SETTLED, ROUNDS = 0.01, 14
+SETTLED, ROUNDS = 0.03, 9
 #: A query keeps so many nodes, opens so many of them in a step, and re-ranks so many by their original vectors.
 BEAM, OPENED, RERANKED = 128, 48, 40
 STEPS = 10
 
 
+#: The graph: lists by similarity; which neighbours have not been shown yet; those shown in the next round; the least similarity of a full list; new neighbours.
+GRAPH = "node long, code binary, ids array<long>, sims array<double>, fresh array<boolean>, shown_fresh array<long>, shown_old array<long>, worst double, changed int"
+GRAPH_NAMES = [column.split()[0] for column in GRAPH.split(", ")]
+
+
 def encoded(x: np.ndarray, width: int) -> list[bytes]:
     """The vectors as they are, in floats of ``width`` bytes, and a last byte that names the width."""
     return [row.tobytes() + bytes([width]) for row in x.astype(f"<f{width}")]
@@ -96,20 +102,19 @@ def distinct_nodes(vectors: DataFrame, keep: int, width: int = 8) -> tuple[DataF
     return stage(full, "nodes"), stage(near.join(nodes, "name").select("node", "vec_id"), "members")
 
 
-def first_graph(nodes: DataFrame, n: int, degree: int) -> DataFrame:
+def first_graph(nodes: DataFrame, n: int, degree: int, sample: int) -> DataFrame:
     """Each node with ``degree`` pseudo-random others (all others, if there are no more), not yet measured."""
     if n <= degree + 1:
         ids = F.sequence(F.lit(0).cast("long"), F.lit(max(n - 1, 0)).cast("long"))
     else:
         ids = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(degree)), lambda j: F.pmod(F.xxhash64("node", j), F.lit(n))))
     ids = F.filter(ids, lambda i: i != F.col("node"))
-    return nodes.select("node", "code", ids.alias("ids"), F.transform(ids, lambda i: F.lit(-2.0)).alias("sims"), F.transform(ids, lambda i: F.lit(True)).alias("fresh"))
-
-
-def shown(turn: int, sample: int, fresh: bool) -> Column:
-    """The neighbours, fresh or settled ones, that a row of the graph shows in a round: the first by a hash."""
-    order = F.array_sort(F.transform(F.filter(F.arrays_zip("ids", "fresh"), lambda e: e["fresh"] == fresh), lambda e: F.struct(F.xxhash64(e["ids"], F.col("node"), F.lit(turn)).alias("draw"), e["ids"].alias("id"))))
-    return F.transform(F.slice(order, 1, sample), lambda e: F.struct(e["id"].alias("id"), F.lit(fresh).alias("fresh")))
+    first = nodes.select("node", "code", ids.alias("ids"))
+    shown = F.slice("ids", 1, sample)
+    return first.select(
+        "node", "code", "ids", F.transform("ids", lambda i: F.lit(-2.0)).alias("sims"), F.transform("ids", lambda i, k: k >= sample).alias("fresh"),
+        shown.alias("shown_fresh"), F.slice("ids", 1, 0).alias("shown_old"), F.lit(-3.0).alias("worst"), F.size("ids").alias("changed"),
+    )
 
 
 def hubs(picked: DataFrame, n: int, sample: int) -> DataFrame:
@@ -121,19 +126,22 @@ def hubs(picked: DataFrame, n: int, sample: int) -> DataFrame:
 def meetings(graph: DataFrame, n: int, turn: int, sample: int, proposals: int) -> DataFrame:
     """(node, ids, sims): for each member of a meeting the closest other members that would improve its list.
 
-    A node hosts a sample of its list and of those that list it, and itself.  Of the very
-    many that list a hub, most stay away before anything is shuffled.
+    A node hosts the neighbours that it shows in this round, those that show it, and
+    itself.  Of the very many that show a hub, most stay away before anything is shuffled.
     """
-    shows = F.explode(F.concat(shown(turn, sample, True), shown(turn, sample, False))).alias("e")
-    worst = F.when(F.size("sims") >= DEGREE, F.array_min("sims")).otherwise(F.lit(-3.0)).alias("worst")
+    card = graph.select("node", "code", "worst", "shown_fresh", "shown_old")
+    shows = [card.select("node", "code", "worst", F.explode(c).alias("other"), F.lit(fresh).alias("fresh")) for c, fresh in (("shown_fresh", True), ("shown_old", False))]
+    shows = shows[0].unionByName(shows[1])
     names = lambda host, member, kind: [host.alias("host"), member.alias("member"), F.col("fresh"), F.lit(kind).alias("kind"), F.col("code"), F.col("worst")]
-    picked = graph.select("node", shows).select("node", F.col("e.id").alias("other"), F.col("e.fresh").alias("fresh"))
-    forward = picked.join(graph.select(F.col("node").alias("other"), "code", worst), "other").select(*names(F.col("node"), F.col("other"), 1))
-    backward = graph.select("node", "code", worst, shows).select("node", "code", "worst", F.col("e.id").alias("other"), F.col("e.fresh").alias("fresh")).select(*names(F.col("other"), F.col("node"), 2))
-    crowd = backward.join(F.broadcast(hubs(picked, n, sample)), "host", "left")
-    lot = F.pmod(F.xxhash64("member", "host", F.lit(turn), F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
-    backward = crowd.where(F.col("shown").isNull() | (lot * F.col("shown") < SPARE * sample)).drop("shown")
-    own = graph.select("node", "code", worst, F.lit(False).alias("fresh")).select(*names(F.col("node"), F.col("node"), 0))
+    forward = shows.select("node", "other", "fresh").join(card.select(F.col("node").alias("other"), "code", "worst").hint("shuffle_hash"), "other").select(*names(F.col("node"), F.col("other"), 1))
+    backward = shows.select(*names(F.col("other"), F.col("node"), 2))
+    crowded = stage(hubs(shows, n, sample), "hubs")
+    if crowded.limit(1).count():
+        lot = F.pmod(F.xxhash64("member", "host", F.lit(turn), F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
+        crowd = backward.join(F.broadcast(crowded), "host", "left")
+        backward = crowd.where(F.col("shown").isNull() | (lot * F.col("shown") < SPARE * sample)).drop("shown")
+    discard(crowded)
+    own = card.withColumn("fresh", F.lit(False)).select(*names(F.col("node"), F.col("node"), 0))
     rows = forward.unionByName(backward).unionByName(own).withColumn("draw", F.xxhash64("host", "member", F.lit(turn)))
     dealt = rows.repartition(partitions(graph), "host").sortWithinPartitions("host", "kind", "fresh", "draw").select("host", "member", "fresh", "kind", "code", "worst")
 
@@ -187,10 +195,8 @@ def meetings(graph: DataFrame, n: int, turn: int, sample: int, proposals: int) -
 
 
 def improved(graph: DataFrame, proposals: DataFrame, turn: int, sample: int, degree: int) -> DataFrame:
-    """The graph after a round: the best of old list and proposals; what was shown is settled, what is new is fresh."""
-    was_shown = F.transform(shown(turn, sample, True), lambda e: e["id"])
-    marks = F.transform(F.arrays_zip("ids", "fresh"), lambda e: e["fresh"] & ~F.array_contains("was_shown", e["ids"]))
-    old = graph.withColumn("was_shown", was_shown).select("node", F.lit(0).alias("kind"), "code", "ids", "sims", marks.alias("fresh"))
+    """The graph after a round: the best of old list and proposals, what each node shows next, and how many of its neighbours are new."""
+    old = graph.select("node", F.lit(0).alias("kind"), "code", "ids", "sims", "fresh")
     new = proposals.select("node", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("code"), "ids", "sims", F.transform("ids", lambda i: F.lit(True)).alias("fresh"))
     dealt = old.unionByName(new).repartition(partitions(graph), "node").sortWithinPartitions("node", "kind")
 
@@ -217,39 +223,48 @@ def improved(graph: DataFrame, proposals: DataFrame, turn: int, sample: int, deg
             e = bounds_of(node) if len(node) else np.zeros(1, np.int64)
             keep = np.arange(len(node)) - np.repeat(e[:-1], np.diff(e)) < degree
             node, ids, sims, fresh = node[keep], ids[keep], sims[keep], fresh[keep]
+
+            # the first of each kind by a hash are shown next; a fresh one that is shown is settled then
+            draw = mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(turn))
+            order = np.lexsort((draw, fresh, node))
+            run = bounds_of(node[order] * 2 + fresh[order]) if len(node) else np.zeros(1, np.int64)
+            shown = np.zeros(len(node), bool)
+            shown[order] = np.arange(len(node)) - np.repeat(run[:-1], np.diff(run)) < sample
+
             first = table.column(1).to_numpy() == 0
             names = rows[first]
-            of = np.searchsorted(names, node)
-            n = len(names)
+            of, n = np.searchsorted(names, node), len(names)
+            e = np.searchsorted(of, np.arange(n + 1))
+            worst = np.full(n, -3.0)
+            full = np.diff(e) >= degree
+            worst[full] = sims[e[1:][full] - 1]
+            lists = [ragged(ids[shown & (fresh == kind)], of[shown & (fresh == kind)], n, pa.int64()) for kind in (True, False)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), table.column(2).combine_chunks().filter(pa.array(first)), ragged(ids, of, n, pa.int64()), ragged(sims, of, n, pa.float64()), ragged(fresh, of, n, pa.bool_())],
-                names=["node", "code", "ids", "sims", "fresh"],
-            )
-
-    return dealt.mapInArrow(merge, "node long, code binary, ids array<long>, sims array<double>, fresh array<boolean>")
-
+                [
+                    pa.array(names, pa.int64()), table.column(2).combine_chunks().filter(pa.array(first)), ragged(ids, of, n, pa.int64()), ragged(sims, of, n, pa.float64()), ragged(fresh & ~shown, of, n, pa.bool_()),
+                    *lists, pa.array(worst), pa.array(np.bincount(of, weights=fresh, minlength=n).astype(np.int32)),
+                ],
+                names=GRAPH_NAMES,
+            )
 
-def collected(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of rounds that are over."""
-    df.sparkSession._jvm.System.gc()
+    return dealt.mapInArrow(merge, GRAPH)
 
 
 def descend(nodes: DataFrame, n: int, degree: int = DEGREE, sample: int = SAMPLE, proposals: int = PROPOSALS, rounds: int = ROUNDS) -> DataFrame:
-    """NN-descent: the graph (node, code, ids, sims, fresh), staged.
+    """NN-descent: the graph, staged.
 
     In each round a node's sampled neighbours, and the nodes that sampled it, meet at
     it; pairs with a fresh member are measured, and each member takes what improves
     its list.  Both the lists and the meetings are of bounded size, so a round is
     linear in the number of nodes.
     """
-    graph = stage(first_graph(nodes, n, degree), "graph")
+    graph = stage(first_graph(nodes, n, degree, sample), "graph")
     for turn in range(rounds if n > 1 else 0):
         found = meetings(graph, n, turn, sample, proposals)
         after = stage(improved(graph, found, turn, sample, degree), "graph")
         discard(graph)
         graph = after
-        collected(graph)
-        changed = graph.agg(F.sum(F.size(F.filter("fresh", lambda f: f)))).first()[0] or 0
+        changed = graph.agg(F.sum("changed")).first()[0] or 0
         if changed <= SETTLED * degree * n:
             break
     return graph
@@ -320,7 +335,6 @@ def walked(graph: DataFrame, queries: DataFrame, beam: int = BEAM, opened: int =
         after = stage(dealt.select("query", "kind", "code", "candidate", "ids", "sims", "seen", "done").mapInArrow(measure, schema + ", done array<long>"), "walks")
         discard(state)
         state = after
-        collected(state)
     return state.select("query", "ids")
 
 
