@@ -17,6 +17,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
@@ -69,6 +70,31 @@ def wide_space_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.searchsorted(offsets, np.flatnonzero(found), side="right") - 1)
 
 
+def repeated(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pieces are equal, exactly: a number for each, and a place of each number.
+
+    Pieces of up to 15 bytes are two integers, which also hold their length; a longer
+    piece has a number of its own.
+    """
+    data = np.frombuffer(raw + bytes(16), np.uint8)
+    words = np.lib.stride_tricks.as_strided(data, (len(raw) + 9, 8), (1, 1))
+    size = ends - starts
+    short = np.flatnonzero(size < 16)
+    keep = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    low = words[starts[short]].view("<u8").ravel() & keep[np.minimum(size[short], 8)]
+    high = words[np.minimum(starts[short] + 8, len(raw))].view("<u8").ravel() & keep[np.maximum(size[short] - 8, 0)] | (size[short].astype(np.uint64) << np.uint64(56))
+    (a, _), (b, kinds) = pd.factorize(low), pd.factorize(high)
+    of, _ = pd.factorize(a * len(kinds) + b)
+    n = int(of.max()) + 1 if len(of) else 0
+    codes = np.empty(len(starts), np.int64)
+    codes[short] = of
+    long = np.flatnonzero(size >= 16)
+    codes[long] = n + np.arange(len(long))
+    places = np.empty(n + len(long), np.int64)
+    places[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return codes, places
+
+
 class Encoder:
     """Encodes batches of texts as the tokenizer does; each piece that repeats is encoded once.
 
@@ -127,9 +153,11 @@ class Encoder:
             self._clear()
         raw = data.tobytes()
         starts = units(data, offsets)
-        pieces = [raw[i:j] for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(raw)], strict=True)]
+        ends = np.append(starts[1:], len(raw))
+        codes, places = repeated(raw, starts, ends)
+        pieces = [raw[i:j] for i, j in zip(starts[places].tolist(), ends[places].tolist(), strict=True)]
         self._learn(pieces)
-        of = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        of = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[codes]
         first_id = np.cumsum(self.lengths) - self.lengths
         n = self.lengths[of]
         out_at = np.cumsum(n) - n
