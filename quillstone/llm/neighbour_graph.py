@@ -20,7 +20,7 @@ DEGREE = 40
 #: Fresh and settled neighbours that a node shows to its neighbours in a round, each way.
 SAMPLE = 12
 #: Those that list a node beyond SPARE * SAMPLE are thinned out by lot before the shuffle, if they are more than one in HUBS of all edges.
-SPARE, HUBS = 8, 100_000
+SPARE, HUBS = 64, 100_000
 #: Best partners that a meeting proposes to each of its members.
 PROPOSALS = 6
 #: The descent ends when fewer than this share of all list places changed, or after so many rounds.
@@ -123,8 +123,8 @@ def hubs(picked: DataFrame, n: int, sample: int) -> DataFrame:
     return picked.groupBy(F.col("other").alias("host")).agg(F.count(F.lit(1)).alias("shown")).where(F.col("shown") > least)
 
 
-def meetings(graph: DataFrame, n: int, turn: int, sample: int, proposals: int) -> DataFrame:
-    """(node, ids, sims): for each member of a meeting the closest other members that would improve its list.
+def meetings(graph: DataFrame, n: int, turn: int, sample: int, proposals: int) -> tuple[DataFrame, DataFrame]:
+    """(the hubs, staged; and node, ids, sims): for each member of a meeting the closest other members that would improve its list.
 
     A node hosts the neighbours that it shows in this round, those that show it, and
     itself.  Of the very many that show a hub, most stay away before anything is shuffled.
@@ -140,7 +140,6 @@ def meetings(graph: DataFrame, n: int, turn: int, sample: int, proposals: int) -
         lot = F.pmod(F.xxhash64("member", "host", F.lit(turn), F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
         crowd = backward.join(F.broadcast(crowded), "host", "left")
         backward = crowd.where(F.col("shown").isNull() | (lot * F.col("shown") < SPARE * sample)).drop("shown")
-    discard(crowded)
     own = card.withColumn("fresh", F.lit(False)).select(*names(F.col("node"), F.col("node"), 0))
     rows = forward.unionByName(backward).unionByName(own).withColumn("draw", F.xxhash64("host", "member", F.lit(turn)))
     dealt = rows.repartition(partitions(graph), "host").sortWithinPartitions("host", "kind", "fresh", "draw").select("host", "member", "fresh", "kind", "code", "worst")
@@ -191,7 +190,7 @@ def meetings(graph: DataFrame, n: int, turn: int, sample: int, proposals: int) -
                 rows = np.repeat(np.arange(len(e) - 1), np.diff(e))
                 yield pa.RecordBatch.from_arrays([pa.array(node[e[:-1]], pa.int64()), ragged(other, rows, len(e) - 1, pa.int64()), ragged(sim, rows, len(e) - 1, pa.float64())], names=["node", "ids", "sims"])
 
-    return dealt.mapInArrow(meet, "node long, ids array<long>, sims array<double>")
+    return crowded, dealt.mapInArrow(meet, "node long, ids array<long>, sims array<double>")
 
 
 def improved(graph: DataFrame, proposals: DataFrame, turn: int, sample: int, degree: int) -> DataFrame:
@@ -260,9 +259,9 @@ def descend(nodes: DataFrame, n: int, degree: int = DEGREE, sample: int = SAMPLE
     """
     graph = stage(first_graph(nodes, n, degree, sample), "graph")
     for turn in range(rounds if n > 1 else 0):
-        found = meetings(graph, n, turn, sample, proposals)
+        crowded, found = meetings(graph, n, turn, sample, proposals)
         after = stage(improved(graph, found, turn, sample, degree), "graph")
-        discard(graph)
+        discard(graph, crowded)
         graph = after
         changed = graph.agg(F.sum("changed")).first()[0] or 0
         if changed <= SETTLED * degree * n:

@@ -571,6 +571,17 @@ def test_nearest_vectors(spark):
     assert got[50] == [700, 701, 702, 703, 704]
 
 
+def test_hubs_are_thinned_out(spark, monkeypatch):
+    monkeypatch.setattr(neighbour_graph, "SPARE", 1)
+    r = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, r.normal(size=8).tolist()) for i in range(400)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(set)
+    for row in neighbour_graph.nearest(df).collect():
+        got[row.query_id].add(row.vec_id)
+    expected = brute([(x.vec_id, x.embedding) for x in df.collect()], 50, 5)
+    assert sum(len(got[q] & set(expected[q])) for q in expected) >= 0.9 * 5 * len(expected)
+
+
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_nearest_vectors_in_a_dense_cluster(spark, kind):
     r = np.random.default_rng(3)
