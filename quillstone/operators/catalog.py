@@ -101,8 +101,12 @@ def status_changes(snapshots: DataFrame) -> DataFrame:
 
 
 def mark_failed(documents: DataFrame, chunks: DataFrame, errors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, chunks) after the failures (document_id, message, user_facing): their passages go."""
-    known = errors.select("document_id", F.when(F.col("user_facing"), F.col("message")).otherwise(GENERIC_FAILURE).alias("_message"))
+    """(documents, chunks) after the failures (document_id, message, user_facing): their passages go.
+
+    Of several failures of a document one is told: one for users' eyes if there is one.
+    """
+    told = F.when(F.col("user_facing"), F.col("message")).otherwise(GENERIC_FAILURE)
+    known = errors.groupBy("document_id").agg(F.max(F.struct("user_facing", told.alias("message"))).alias("_told")).select("document_id", F.col("_told.message").alias("_message"))
     rows = documents.join(known, "document_id", "left")
     failed = F.col("_message").isNotNull()
     after = rows.withColumn("status", F.when(failed, "failed").otherwise(F.col("status"))).withColumn("error_message", F.coalesce("_message", "error_message")).drop("_message")

@@ -156,16 +156,20 @@ def chunks(docs: DataFrame, options: ChunkOptions = ChunkOptions(), document: st
     arrays = rows.groupBy(document).agg(F.array_sort(F.collect_list(F.struct("unit_no", "unit", "gap", "end"))).alias("u"))
     arrays = arrays.select(document, "u", F.transform("u", lambda x: F.length(x["unit"])).alias("lengths"), F.transform("u", lambda x: x["end"]).alias("ends"))
     found = arrays.withColumn("packed", packed(F.col("lengths"), F.col("ends"), options))
-    # outer: a plain explode would be given a filter that repeats the fold with its arrays written out in every step
-    found = found.select(document, "u", F.posexplode_outer("packed").alias("chunk_index", "c"))
 
-    def text_of(first: Column, last: Column) -> Column:
-        part = F.slice("u", first + 1, last - first + 1)
+    def text_of(c: Column) -> Column:
+        part = F.slice("u", c["s"] + 1, c["e"] - c["s"] + 1)
         sep = lambda x, i: F.when(i == 0, "").when(x["gap"] == 2, "\n\n").when(x["gap"] == 1, " ").otherwise("")
         return F.array_join(F.transform(part, lambda x, i: F.concat(sep(x, i), x["unit"])), "")
 
-    rendered = found.select(document, "chunk_index", text_of(F.col("c.s"), F.col("c.e")).alias("content"), F.when(F.col("c.nf") > F.col("c.s"), F.length(text_of(F.col("c.s"), F.col("c.nf") - 1))).otherwise(0).alias("overlap_chars"))
-    return rendered.select(document, "chunk_index", "content", token_estimate("content").alias("token_estimate"), "overlap_chars")
+    def rendered(c: Column) -> Column:
+        overlap = F.when(c["nf"] > c["s"], F.col("ends")[c["nf"] - 1] - F.col("ends")[c["s"]] + F.col("lengths")[c["s"]]).otherwise(0)
+        return F.struct(text_of(c).alias("content"), overlap.cast("int").alias("overlap_chars"))
+
+    # the units stay in their document's row; a passage's row holds its own text alone.
+    # outer: a plain explode would be given a filter that repeats the fold with its arrays written out in every step
+    rows = found.select(document, F.posexplode_outer(F.transform("packed", rendered)).alias("chunk_index", "c"))
+    return rows.select(document, "chunk_index", "c.content", token_estimate("c.content").alias("token_estimate"), "c.overlap_chars")
 
 
 def capped(chunks_: DataFrame, limit: int = MAX_CHUNKS, document: str = "document_id") -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,25 +23,26 @@ def replaced(store: DataFrame, batch: DataFrame, document: str = "document_id")
 def write_replaced(spark: SparkSession, path: str, batch: DataFrame, document: str = "document_id") -> None:
     """Replace the batch's documents in the store at ``path``.
 
-    Only the hash buckets that the batch touches are rewritten; each new bucket is
-    written beside the old one and takes its place at commit.
+    The batch is computed once, into a folder of its own beside the store.  Only the
+    hash buckets that it touches are rewritten; they are put together in that folder,
+    too, so nothing is read from what is being replaced.
     """
-    rows = batch.withColumn("doc_bucket", bucket(document))
+    work = f"{path.rstrip('/')}_work/{uuid.uuid4().hex}"
+    batch.withColumn("doc_bucket", bucket(document)).write.parquet(f"{work}/batch")
+    rows = spark.read.schema(batch.withColumn("doc_bucket", bucket(document)).schema).parquet(f"{work}/batch")
     try:
         old = spark.read.parquet(path)
-    except Exception as e:  # a store that does not exist yet
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:  # a store that does not exist yet
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        rows.repartition("doc_bucket").write.partitionBy("doc_bucket").parquet(path)
-        return
-    touched = rows.select("doc_bucket").distinct()
-    kept = old.join(touched, "doc_bucket", "left_semi").join(batch.select(document).distinct(), document, "left_anti")
-    after = kept.unionByName(rows).checkpoint() if spark.sparkContext.getCheckpointDir() else kept.unionByName(rows)
-    if not spark.sparkContext.getCheckpointDir():
-        staged = path.rstrip("/") + "_staged"
-        after.write.mode("overwrite").parquet(staged)
-        after = spark.read.parquet(staged)
+        after = rows
+    else:
+        kept = old.join(rows.select("doc_bucket").distinct(), "doc_bucket", "left_semi").join(rows.select(document).distinct(), document, "left_anti")
+        kept.unionByName(rows).write.parquet(f"{work}/after")
+        after = spark.read.schema(rows.schema).parquet(f"{work}/after")
     after.repartition("doc_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_bucket").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(work)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def append_answers(answers: DataFrame, path: str, created: str = "created_at") -> None:

@@ -27,22 +27,29 @@ def ingested(accepted: DataFrame, options: chunking.ChunkOptions = chunking.Chun
 
 
 def stream_ingest(spark: SparkSession, folder: str, store_path: str, catalog_path: str, checkpoint: str, embed: embedding.EmbedBatch | None = None, dim: int = embedding.DIMENSIONS) -> StreamingQuery:
-    """Ingest files as they arrive; a repeated batch replaces its documents' passages and is safe.
+    """Ingest files as they arrive; a repeated batch replaces its documents' passages and its catalog rows, and is safe.
 
-    The catalog row (document_id, status, error_message) is written last.
+    The catalog rows (document_id, status, error_message) are written last, those of a
+    batch into a folder of their own.  A batch without a readable text is no special
+    case.  The text of an accepted PDF comes from elsewhere, so it is still processing.
     """
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, number: int) -> None:
         judged = files.judged(df)
-        accepted = judged.where("kind = 'text'")
-        passages, failures = ingested(accepted, embed=embed, dim=dim)
+        passages, failures = ingested(judged.where("kind = 'text'"), embed=embed, dim=dim)
+        staged = f"{store_path.rstrip('/')}_batches/{number}"
+        passages.write.mode("overwrite").parquet(staged)
+        passages = spark.read.schema(passages.schema).parquet(staged)
         store.write_replaced(spark, store_path, passages)
-        done = spark.read.parquet(store_path).select("document_id").distinct()
-        rows = judged.select(F.col("path").alias("document_id"), "reject_reason").join(done.withColumn("_done", F.lit(True)), "document_id", "left")
+        done = passages.select("document_id").distinct().withColumn("_done", F.lit(True))
+        rows = judged.select(F.col("path").alias("document_id"), "reject_reason", "kind").join(done, "document_id", "left")
         rows = rows.join(failures.withColumnRenamed("error_message", "_failure"), "document_id", "left")
-        status = F.when(F.col("reject_reason").isNull() & F.col("_failure").isNull() & F.col("_done"), "ready").otherwise("failed")
-        message = F.coalesce("reject_reason", "_failure", F.when(F.col("_done").isNull(), text.NO_TEXT))
-        rows.select("document_id", status.alias("status"), message.alias("error_message")).write.mode("append").parquet(catalog_path)
+        waiting = F.coalesce(F.col("kind") == "pdf", F.lit(False))
+        message = F.coalesce("reject_reason", "_failure", F.when(F.col("_done").isNull() & ~waiting, text.NO_TEXT))
+        status = F.when(message.isNotNull(), "failed").when(waiting, "processing").otherwise("ready")
+        rows.select("document_id", status.alias("status"), message.alias("error_message")).write.mode("overwrite").parquet(f"{catalog_path.rstrip('/')}/batch={number}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     source = spark.readStream.format("binaryFile").schema(RAW).load(folder)
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -318,3 +318,23 @@ def test_streamed_ingestion_has_a_file_for_each_document(spark):
     docs, _ = text.with_text(texts)
     n = chunking.chunks(docs).select("document_id").distinct().count()
     assert registry.QUERIES["h4_stream_ingest"](spark, sf).select("document_id").distinct().count() == n > 100
+
+
+def test_a_batch_without_a_text_file_is_ingested(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(b"%PDF-1.4 x")
+    (tmp_path / "in" / "b.docx").write_text("x")
+    paths = [str(tmp_path / x) for x in ("in", "store", "catalog", "checkpoint")]
+    for _ in range(2):  # the second time as a repeated batch
+        streams.stream_ingest(spark, *paths[:3], str(tmp_path / f"checkpoint{_}"), dim=8).awaitTermination()
+    rows = spark.read.parquet(paths[2]).collect()
+    assert {r.document_id.rsplit("/", 1)[1]: (r.status, r.error_message) for r in rows} == {"a.pdf": ("processing", None), "b.docx": ("failed", files.UNSUPPORTED)}
+    assert len(rows) == 2
+
+
+def test_several_failures_of_a_document_leave_one_row(spark):
+    docs = spark.createDataFrame([(1, "processing", None), (2, "ready", None)], "document_id int, status string, error_message string")
+    chunks = spark.createDataFrame([(1, 0), (2, 0)], "document_id int, chunk_index int")
+    errors = spark.createDataFrame([(1, "inner", False), (1, "Could not read it", True), (1, "Could not read it", True)], "document_id int, message string, user_facing boolean")
+    after, left = catalog.mark_failed(docs, chunks, errors)
+    assert values(after) == [(1, "failed", "Could not read it"), (2, "ready", None)] and values(left) == [(2, 0)]
