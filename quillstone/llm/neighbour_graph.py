@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
 from quillstone.llm.anchors import ragged
-from quillstone.llm.numbering import numbered, partitions
+from quillstone.llm.numbering import numbered
 from quillstone.llm.staging import discard, stage
 from quillstone.llm.words import mix
 
@@ -142,7 +142,7 @@ def meetings(graph: DataFrame, n: int, turn: int, sample: int, proposals: int) -
         backward = crowd.where(F.col("shown").isNull() | (lot * F.col("shown") < SPARE * sample)).drop("shown")
     own = card.withColumn("fresh", F.lit(False)).select(*names(F.col("node"), F.col("node"), 0))
     rows = forward.unionByName(backward).unionByName(own).withColumn("draw", F.xxhash64("host", "member", F.lit(turn)))
-    dealt = rows.repartition(partitions(graph), "host").sortWithinPartitions("host", "kind", "fresh", "draw").select("host", "member", "fresh", "kind", "code", "worst")
+    dealt = rows.repartition("host").sortWithinPartitions("host", "kind", "fresh", "draw").select("host", "member", "fresh", "kind", "code", "worst")
 
     def limited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """At most ``sample`` rows of a host, kind and freshness; the rest of a long run passes by."""
@@ -197,7 +197,7 @@ def improved(graph: DataFrame, proposals: DataFrame, turn: int, sample: int, deg
     """The graph after a round: the best of old list and proposals, what each node shows next, and how many of its neighbours are new."""
     old = graph.select("node", F.lit(0).alias("kind"), "code", "ids", "sims", "fresh")
     new = proposals.select("node", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("code"), "ids", "sims", F.transform("ids", lambda i: F.lit(True)).alias("fresh"))
-    dealt = old.unionByName(new).repartition(partitions(graph), "node").sortWithinPartitions("node", "kind")
+    dealt = old.unionByName(new).repartition("node").sortWithinPartitions("node", "kind")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
@@ -330,7 +330,7 @@ def walked(graph: DataFrame, queries: DataFrame, beam: int = BEAM, opened: int =
         rows = state.select("query", F.lit(0).alias("kind"), "code", F.lit(None).cast("long").alias("candidate"), "ids", "sims", "seen", "done")
         rows = rows.unionByName(new.select("query", F.lit(1).alias("kind"), F.col("candidate_code").alias("code"), "candidate", *nothing))
         rows = rows.withColumn("candidate", F.coalesce("candidate", F.lit(-1)))
-        dealt = rows.repartition(partitions(graph), "query").sortWithinPartitions("query", "kind")
+        dealt = rows.repartition("query").sortWithinPartitions("query", "kind")
         after = stage(dealt.select("query", "kind", "code", "candidate", "ids", "sims", "seen", "done").mapInArrow(measure, schema + ", done array<long>"), "walks")
         discard(state)
         state = after
