@@ -58,6 +58,34 @@ def tail(line: Column) -> Column:
     return F.regexp_extract(line, r"^\p{Ll}\p{L}*", 0)
 
 
+def split_word(line: Column, following: Column) -> Column:
+    """The word, in lower case, that a hyphen at the end of ``line`` may have split; null if there is none."""
+    return F.when((head(line) != "") & (tail(following) != ""), F.lower(F.concat(head(line), tail(following))))
+
+
+def found_words(pages: DataFrame, asked: DataFrame, document: str = "document_id", text: str = "text") -> DataFrame:
+    """Those of ``asked`` (document, word) that the document's vocabulary holds; no other words are shuffled."""
+    wanted = asked.groupBy(document).agg(F.collect_set("word").alias("_asked"))
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(\p{L}+)"), F.lit(1))
+    return pages.select(document, text).join(wanted, document).select(document, F.explode(F.array_intersect(words, "_asked")).alias("word")).distinct()
+
+
+def splits_in_pages(pages: DataFrame, document: str = "document_id", text: str = "text") -> DataFrame:
+    """(document, word): the words that may have been split between two lines of a page."""
+    lines = F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\t ]+", " ")))
+    rows = pages.select(document, F.filter(lines, lambda x: x != "").alias("_lines"))
+    pairs = F.zip_with("_lines", F.slice("_lines", 2, F.size("_lines")), split_word)
+    return rows.select(document, F.explode(F.array_distinct(F.filter(pairs, lambda x: x.isNotNull()))).alias("word"))
+
+
+def splits_between_pages(pages: DataFrame, document: str = "document_id", page: str = "page_no", text: str = "text") -> DataFrame:
+    """(document, word): the words that may have been split between two pages."""
+    ends = pages.where(F.col(text) != "").select(document, page, head(F.col(text)).alias("_head"), tail(F.col(text)).alias("_tail"))
+    following = F.lead("_tail").over(Window.partitionBy(document).orderBy(page))
+    word = F.when((F.col("_head") != "") & (following != ""), F.lower(F.concat("_head", following)))
+    return ends.select(document, word.alias("word")).where("word IS NOT NULL")
+
+
 def joined_lines(lines: DataFrame, words: DataFrame, keys: list[str], order: list[str], document: str = "document_id", text: str = "line", out: str = "text", breaks: Column | None = None) -> DataFrame:
     """The lines of each group as one text.
 
@@ -67,9 +95,7 @@ def joined_lines(lines: DataFrame, words: DataFrame, keys: list[str], order: lis
     """
     in_order = Window.partitionBy(*keys).orderBy(*order)
     following = F.lead(text).over(in_order)
-    rows = lines.withColumn("_next", following).withColumn("_head", head(F.col(text))).withColumn("_tail", tail(F.coalesce("_next", F.lit(""))))
-    split = (F.col("_head") != "") & (F.col("_tail") != "")
-    rows = rows.withColumn("_word", F.when(split, F.lower(F.concat("_head", "_tail"))))
+    rows = lines.withColumn("_next", following).withColumn("_word", split_word(F.col(text), F.col("_next")))
     known = words.select(F.col(document), F.col("word").alias("_word"), F.lit(True).alias("_known"))
     rows = rows.join(known, [document, "_word"], "left")
     piece = F.when(F.col("_next").isNull(), F.col(text))
@@ -82,7 +108,7 @@ def joined_lines(lines: DataFrame, words: DataFrame, keys: list[str], order: lis
 
 def unwrapped_pages(pages: DataFrame, document: str = "document_id", page: str = "page_no", text: str = "text") -> DataFrame:
     """(document, page, text): each page's hard-wrapped lines as paragraphs with empty lines between."""
-    words = vocabulary(pages, document, text)
+    words = found_words(pages, splits_in_pages(pages, document, text), document, text)
     paragraphs = joined_lines(page_lines(pages, document, page, text), words, [document, page, "paragraph"], ["line_no"], document)
     place = F.struct("paragraph", "text")
     return paragraphs.groupBy(document, page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda p: p["text"]), "\n\n").alias("text"))
@@ -94,6 +120,6 @@ def joined_pages(pages: DataFrame, words: DataFrame | None = None, document: str
     A page that ends in closing punctuation is followed by an empty line; any other
     goes on like a wrapped line.
     """
-    words = vocabulary(pages, document, text) if words is None else words
+    words = found_words(pages, splits_between_pages(pages, document, page, text), document, text) if words is None else words
     closes = F.col(text).rlike("[.!?:][\"'”’)\\]]?\\z")
     return joined_lines(pages.where(F.coalesce(F.col(text) != "", F.lit(False))), words, [document], [page], document, text, "text", closes)
