@@ -12,8 +12,8 @@ from quillstone.functions.columns import cosine, norm, round4, trimmed
 MAX_QUESTION_CHARS = 2000
 DEFAULT_TOP_K, MAX_TOP_K = 5, 20
 CANDIDATES = 8
-#: Up to so many questions they are sent to all tasks (vectors of 768 doubles: about 60 MB); more are joined by user.
-BROADCAST_QUESTIONS = 10_000
+#: Up to so many questions they are sent to all tasks (vectors of 768 doubles: about 60 MB); more are joined by user and salt.
+BROADCAST_QUESTIONS, SALTS = 10_000, 32
 
 
 @dataclass(frozen=True)
@@ -53,10 +53,14 @@ def search_scope(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 def similarities(questions: DataFrame, scope: DataFrame) -> DataFrame:
     """(question_id, chunk_id, similarity, passage columns) for all passages of the asking user; zero vectors are left out."""
     asked = questions.select("question_id", "user_id", F.col("embedding").alias("_q")).withColumn("_qn", norm("_q"))
-    if asked.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS:
-        asked = F.broadcast(asked)
     passages = scope.withColumn("_cn", norm("embedding"))
-    pairs = passages.join(asked, "user_id").withColumn("similarity", cosine("_q", "embedding", F.col("_qn"), F.col("_cn")))
+    if asked.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS:
+        pairs = passages.join(F.broadcast(asked), "user_id")
+    else:  # the passages of a large owner are dealt to SALTS tasks, each of which sees all of the owner's questions
+        asked = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        passages = passages.withColumn("_salt", F.pmod(F.hash("chunk_id"), F.lit(SALTS)))
+        pairs = passages.join(asked, ["user_id", "_salt"]).drop("_salt")
+    pairs = pairs.withColumn("similarity", cosine("_q", "embedding", F.col("_qn"), F.col("_cn")))
     return pairs.where("similarity IS NOT NULL").drop("_q", "_qn", "_cn", "embedding")
 
 

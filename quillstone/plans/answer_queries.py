@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import columns as C
 from quillstone.operators import answers as A
-from quillstone.operators import embedding
+from quillstone.operators import embedding, flow
 from quillstone.operators import retrieval as R
 from quillstone.plans import views as V
 from quillstone.plans.registry import query
-from quillstone.sources.tables import table
+from quillstone.sources.tables import scratch, table
 
 RULE = R.Relevance(V.SKIP_BELOW, V.FLOOR, V.WINDOW, 5)
 WS = C.WS
@@ -228,19 +228,17 @@ def f15_failure_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def f16_answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: clean questions → candidates → sources → prompts → answers → checked citations → statistics."""
-    q = V.questions(spark, sf_dir).withColumn("top_k", F.lit(None).cast("int"))
-    good, _ = R.cleaned_questions(q)
-    _, candidates, verdicts, sources = _selected(spark, sf_dir)
-    raw = A.outcomes(A.generated(A.prompts(good, sources)))
-    answered = raw.where("outcome = 'ok'").select("question_id", F.col("text").alias("answer"))
-    checked = A.checked_citations(answered, sources)
-    records = A.citation_records(checked, sources)
-    stats = R.retrieval_stats(good, candidates, verdicts, sources)
-    given = checked.select("question_id", "answer", "invalid").unionByName(A.canned_answers(verdicts).select("question_id", "answer", F.expr("cast(array() as array<int>)").alias("invalid")))
-    rows = good.select("question_id", "user_id", "question").join(given, "question_id").join(records, "question_id", "left").join(stats, "question_id")
-    none = F.expr(f"cast(array() as array<{A.CITATION}>)")
-    return rows.withColumn("citations", F.coalesce("citations", none)).withColumn("answered", F.size("citations") > 0)
+    """Flagship: clean questions → vectors → candidates → sources → prompts → answers → checked citations → statistics.
+
+    Passages and questions get their vectors from one function.
+    """
+    folder = scratch(spark, "answers")
+    passages = _scope(spark, sf_dir).drop("embedding").withColumn("input", C.passage_input(C.title("filename"), "content"))
+    scope = flow.written(embedding.embedded(passages, dim=64).drop("input"), f"{folder}/passages")
+    asked = V.questions(spark, sf_dir).select("question_id", "user_id", F.expr("concat('passage ', cast(question_id as string), ' of the library')").alias("question"), F.lit(None).cast("int").alias("top_k"))
+    good, _ = R.cleaned_questions(asked)
+    saved, _ = flow.answered_questions(good, scope, folder, rule=RULE, dim=64)
+    return saved
 
 
 @query()

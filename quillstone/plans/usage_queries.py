@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +9,7 @@ from quillstone.operators import usage as H
 from quillstone.plans import views as V
 from quillstone.plans.registry import query
 from quillstone.sources import store
-from quillstone.sources.tables import table
+from quillstone.sources.tables import scratch, table
 from quillstone.streaming import streams
 
 #: The test log is thin, so the limits are low.
@@ -21,12 +18,6 @@ HOUR, DAY = H.Policy(3600, 2), H.Policy(86400, 6)
 _LIMITED = "SELECT *, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // {w} ORDER BY ts, event_id) AS nth FROM {t}"
 
 
-def _scratch(spark: SparkSession, label: str) -> str:
-    """A new folder: in the shared one that the session names, else a temporary one of this machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="spark-") + f"/{label}"
-
-
 @query(f"""WITH n AS ({_LIMITED.format(w=3600000000, t='events')})
   SELECT event_id, user_id, nth::INTEGER AS nth, nth <= 2 AS allowed, greatest(1, ceil(((epoch_us(ts) // 3600000000 + 1) * 3600000000 - epoch_us(ts)) / 1000000.0))::BIGINT AS retry_after FROM n""")
 def h1_window_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,12 +50,12 @@ def h5_request_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def h5_stream_request_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As a stream; windows that are still open are out with their counts so far."""
     raw = spark.readStream.schema("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").option("pathGlobFilter", "*.parquet").parquet(_folder(spark, sf_dir, "events"))
-    return streams.run_to_table(streams.request_rates(raw, 3600, 2), ["window_start", "user_id"], _scratch(spark, "rates-out"), _scratch(spark, "rates"))
+    return streams.run_to_table(streams.request_rates(raw, 3600, 2), ["window_start", "user_id"], scratch(spark, "rates-out"), scratch(spark, "rates"))
 
 
 def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
     """A folder that a streaming source can watch, holding the table's rows."""
-    path = _scratch(spark, name)
+    path = scratch(spark, name)
     table(spark, sf_dir, name).write.parquet(path)
     return path
 
@@ -73,20 +64,20 @@ def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
 def h4_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' texts as arriving .txt files, one for each document, ingested to passages with vectors."""
     d = table(spark, sf_dir, "documents")
-    folder = _scratch(spark, "inbox")
+    folder = scratch(spark, "inbox")
     d.select("text").repartition(max(4, d.count() // 200)).write.option("maxRecordsPerFile", 1).text(folder)
-    store_path, catalog_path = _scratch(spark, "store"), _scratch(spark, "catalog")
-    streams.stream_ingest(spark, folder, store_path, catalog_path, _scratch(spark, "ingest"), dim=64).awaitTermination()
+    store_path, catalog_path = scratch(spark, "store"), scratch(spark, "catalog")
+    streams.stream_ingest(spark, folder, store_path, catalog_path, scratch(spark, "ingest"), dim=64).awaitTermination()
     return spark.read.parquet(store_path).select("document_id", "chunk_index", "token_estimate", F.size("embedding").alias("dim"))
 
 
 @query()
 def h6_stream_answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fold as a stream with state per question."""
-    path = _scratch(spark, "answer-events")
+    path = scratch(spark, "answer-events")
     _answer_events(spark, sf_dir).write.parquet(path)
     raw = spark.readStream.schema("question_id string, seq int, event string, data string").parquet(path)
-    return streams.run_to_table(streams.stream_answer_events(raw), ["question_id"], _scratch(spark, "answers-out"), _scratch(spark, "answer-state"))
+    return streams.run_to_table(streams.stream_answer_events(raw), ["question_id"], scratch(spark, "answers-out"), scratch(spark, "answer-state"))
 
 
 #: Answer events made from the conversations: a stage, sources, the words of the turn as deltas, and an end that every seventh lacks.
@@ -114,7 +105,7 @@ def h6_fold_answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {V.ANSWERS} SELECT answer_id, user_id, strftime(created_at, '%Y-%m-%d') AS day FROM answers")
 def a4_append_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Appended in two writes, read back."""
-    path = _scratch(spark, "history")
+    path = scratch(spark, "history")
     a = V.answers(spark, sf_dir).select("answer_id", "user_id", "created_at")
     store.append_answers(a.where("answer_id % 2 = 0"), path)
     store.append_answers(a.where("answer_id % 2 = 1"), path)

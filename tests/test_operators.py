@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions import columns as C
-from quillstone.operators import answers, catalog, chunking, embedding, retrieval, text, usage
+from quillstone.operators import answers, catalog, chunking, embedding, flow, retrieval, text, usage
 from quillstone.plans import registry
 from quillstone.sources import files, store
 from quillstone.streaming import streams
@@ -46,8 +46,15 @@ def test_pages_are_unwrapped_and_joined(spark):
     )
     clean = {(r.document_id, r.page_no): r.text for r in text.unwrapped_pages(pages).collect()}
     assert clean["a", 1] == "This long line is split information is at its end here ok Short.\n\nthe soft-ware x information"
-    joined = text.joined_pages(spark.createDataFrame([(k[0], k[1], v) for k, v in clean.items()], pages.schema), text.vocabulary(pages)).first().text
-    assert joined.endswith("x information goes on (here).\n\nA Last") or joined.endswith("x information goes on (here). A Last")
+    rows = spark.createDataFrame([(k[0], k[1], v) for k, v in clean.items()], pages.schema)
+    assert text.joined_pages(rows, text.vocabulary(pages)).where("document_id = 'a'").first().text.endswith("x information goes on (here). A Last")
+
+
+def test_words_split_between_pages_are_looked_up_in_their_document(spark):
+    pages = spark.createDataFrame([("a", 1, "An infor-"), ("a", 2, ""), ("a", 3, "mation, or INFORMATION."), ("b", 1, "infor-"), ("b", 2, "mation")], "document_id string, page_no int, text string")
+    assert {r.document_id: r.text for r in text.joined_pages(pages).collect()} == {"a": "An information, or INFORMATION.", "b": "infor-mation"}
+    asked = spark.createDataFrame([("a", "information"), ("a", "no"), ("b", "information")], "document_id string, word string")
+    assert values(text.found_words(pages, asked)) == [("a", "information")]
 
 
 def test_documents_without_text(spark):
@@ -338,3 +345,32 @@ def test_several_failures_of_a_document_leave_one_row(spark):
     errors = spark.createDataFrame([(1, "inner", False), (1, "Could not read it", True), (1, "Could not read it", True)], "document_id int, message string, user_facing boolean")
     after, left = catalog.mark_failed(docs, chunks, errors)
     assert values(after) == [(1, "failed", "Could not read it"), (2, "ready", None)] and values(left) == [(2, 0)]
+
+
+def test_a_large_owner_is_searched_in_parts(spark, monkeypatch):
+    scope = spark.createDataFrame([(i, 1 + i % 2, [float(i % 7), float(i % 5), 1.0]) for i in range(200)], "chunk_id long, user_id int, embedding array<double>")
+    questions = spark.createDataFrame([(i, 1 + i % 3, [1.0, float(i), 2.0]) for i in range(9)], "question_id long, user_id int, embedding array<double>")
+    sent = values(retrieval.topk_batch(questions, scope, 4))
+    monkeypatch.setattr(retrieval, "BROADCAST_QUESTIONS", 0)
+    assert len(sent) == 24 and values(retrieval.topk_batch(questions, scope, 4)) == sent
+
+
+def test_questions_are_answered_and_failures_kept_apart(spark, tmp_path):
+    words = embedding.hashed_words(16)
+
+    def embed(texts):
+        return [[float("nan")] * 16 if "broken" in t else words([t])[0] for t in texts]
+
+    def generate(prompts):
+        return [("", None, "SAFETY") if "unsafe" in p else (" Red apples [1] [7]. ", "STOP", None) for p in prompts]
+
+    rows = [(1, 5, "apples"), (2, 5, "apples unsafe"), (3, 5, "broken"), (4, 6, "apples"), (5, 5, "zebra quartz vortex lumen")]
+    questions = spark.createDataFrame(rows, "question_id long, user_id int, question string")
+    inputs = spark.createDataFrame([(10, 1, 0, 5, "fruit.txt", "apples are red", "task: search result | query: apples")], "chunk_id long, document_id long, chunk_index int, user_id int, filename string, content string, input string")
+    scope = embedding.embedded(inputs, embed, dim=16).drop("input")
+    saved, failures = flow.answered_questions(questions, scope, str(tmp_path), embed, generate, retrieval.Relevance(skip_below=0.8), 16)
+    got = {r.question_id: r for r in saved.collect()}
+    assert values(failures) == [(2, "blocked"), (3, "bad_response")]
+    assert set(got) == {1, 4, 5}
+    assert got[1].answer == "Red apples [1]." and got[1].invalid == [7] and [c.chunk_id for c in got[1].citations] == [10] and got[1].answered
+    assert got[4].answer == answers.NO_DOCUMENTS and got[5].answer == answers.REFUSAL and not got[5].answered and got[5].skip_reason == "below_threshold"
