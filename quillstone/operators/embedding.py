@@ -26,14 +26,14 @@ def hashed_words(dim: int) -> EmbedBatch:
     """A stand-in for a model: a unit vector of hashed word counts, the same on every machine."""
 
     def embed(texts: list[str]) -> list[list[float]]:
-        import zlib
+        import hashlib
 
         out = []
         for text in texts:
             v = np.zeros(dim)
             for word in text.lower().split():
-                h = zlib.crc32(word.encode())
-                v[h % dim] += 1.0 if h & 0x80000000 else -1.0
+                h = int.from_bytes(hashlib.md5(word.encode()).digest()[:4])
+                v[h % dim] += 1.0 if h >> 31 else -1.0
             n = float(np.sqrt(v @ v))
             out.append((v / n if n else v).tolist())
         return out

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 MAX_OPEN = 3
 BACKSTOP_MINUTES = 30
+#: Fixed text.
+DROPPED = "The connection closed before the answer finished. Try again."
 
 
 @dataclass(frozen=True)
@@ -104,5 +106,5 @@ def folded_answer_events(events: DataFrame) -> DataFrame:
         F.when(dropped | (F.col("closed_by") == "error"), "error").otherwise("done").alias("phase"),
         F.coalesce("n_sources", F.lit(0)).alias("n_sources"),
         F.when(F.col("closed_by") == "done", F.col("answer")).otherwise(F.lit("")).alias("text"),
-        F.when(dropped, "The connection closed before the answer finished. Try again.").otherwise(F.col("message")).alias("message"),
+        F.when(dropped, DROPPED).otherwise(F.col("message")).alias("message"),
     )

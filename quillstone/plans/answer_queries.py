@@ -11,6 +11,7 @@ from quillstone.operators import embedding, flow
 from quillstone.operators import retrieval as R
 from quillstone.plans import views as V
 from quillstone.plans.registry import query
+from quillstone.plans.text_queries import DIGEST, DIGEST_SQL
 from quillstone.sources.tables import scratch, table
 
 RULE = R.Relevance(V.SKIP_BELOW, V.FLOOR, V.WINDOW, 5)
@@ -99,7 +100,11 @@ def f1_build_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.prompts(asked, V.answer_sources(spark, sf_dir).drop("question"))
 
 
-@query()
+#: What the stand-in makes of the first two sources, and what it cites.
+_GENERATED = f"generated AS (SELECT question_id, string_agg(array_to_string(string_split({_DEFUSED}, ' ')[1:12], ' ') || ' [' || marker || '].', ' ' ORDER BY marker) AS text, string_agg(marker || ':' || chunk_id || ':' || filename, ', ' ORDER BY marker) AS cited FROM sources WHERE marker <= 2 GROUP BY 1)"
+
+
+@query(f"WITH {V.VECTORS}, {_GENERATED} SELECT question_id, text, 'STOP' AS finish_reason, NULL::VARCHAR AS block_reason FROM generated")
 def f3_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, _, _, sources = _selected(spark, sf_dir)
     return A.generated(A.prompts(q, sources))
@@ -226,7 +231,17 @@ def f15_failure_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.failure_report(table(spark, sf_dir, "events").selectExpr(code))
 
 
-@query()
+_FLAGSHIP = rf"""{V.VECTORS.split("pairs AS")[0].rstrip(", \n")},
+passages AS (SELECT chunk_id AS id, concat('title: ', replace(regexp_replace(filename, '\.[^.]+$', ''), '_', ' '), ' | text: ', content) AS input FROM scope),
+asked AS (SELECT question_id AS id, concat('task: search result | query: passage ', question_id, ' of the library') AS input FROM questions),
+{V.hashed_vectors('passages', 'pv')}, {V.hashed_vectors('asked', 'qv')},
+pairs AS (SELECT q.question_id, s.* EXCLUDE (embedding), list_sum([qv.v[i] * pv.v[i] FOR i IN range(1, 65)]) / (qv.norm * pv.norm) AS similarity FROM questions q JOIN scope s ON q.user_id = s.user_id JOIN qv ON qv.id = q.question_id JOIN pv ON pv.id = s.chunk_id),
+{V.SELECTION}"""
+
+
+@query(f"""WITH {_FLAGSHIP}, {_GENERATED} SELECT q.question_id, q.user_id, concat('passage ', q.question_id, ' of the library') AS question, coalesce(g.text, CASE v.skip_reason WHEN 'no_documents' THEN $${A.NO_DOCUMENTS}$$ ELSE $${A.REFUSAL}$$ END) AS answer, g.text IS NOT NULL AS answered,
+  coalesce(g.cited, '') AS cited, coalesce(n, 0) AS candidates, coalesce(m, 0) AS sources_used, floor(v.best_similarity * 10000 + 0.5) / 10000 AS best_similarity, v.skip_reason
+  FROM questions q JOIN verdicts v ON q.question_id = v.question_id LEFT JOIN generated g ON q.question_id = g.question_id LEFT JOIN (SELECT question_id, count(*) AS n FROM candidates GROUP BY 1) c ON q.question_id = c.question_id LEFT JOIN (SELECT question_id, count(*) AS m FROM sources GROUP BY 1) s ON q.question_id = s.question_id""")
 def f16_answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: clean questions → vectors → candidates → sources → prompts → answers → checked citations → statistics.
 
@@ -238,11 +253,12 @@ def f16_answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = V.questions(spark, sf_dir).select("question_id", "user_id", F.expr("concat('passage ', cast(question_id as string), ' of the library')").alias("question"), F.lit(None).cast("int").alias("top_k"))
     good, _ = R.cleaned_questions(asked)
     saved, _ = flow.answered_questions(good, scope, folder, rule=RULE, dim=64)
-    return saved
+    cited = F.array_join(F.transform("citations", lambda c: F.concat_ws(":", c["marker"].cast("string"), c["chunk_id"].cast("string"), c["filename"])), ", ")
+    return saved.select("question_id", "user_id", "question", "answer", "answered", cited.alias("cited"), "candidates", "sources_used", "best_similarity", "skip_reason")
 
 
-@query()
+@query(f"WITH inputs AS (SELECT item_id AS id, concat('task: search result | query: ', text) AS input FROM benchmark), {V.hashed_vectors('inputs', 'e')} SELECT id AS item_id, {DIGEST_SQL} FROM e")
 def d2_embed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as questions, embedded by the same function as passages."""
     b = table(spark, sf_dir, "benchmark").select("item_id", C.question_input("text").alias("input"))
-    return embedding.embedded(b, dim=64).select("item_id", F.size("embedding").alias("dim"))
+    return embedding.embedded(b, dim=64).selectExpr("item_id", *DIGEST)

@@ -204,10 +204,15 @@ def d1_plan_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.batched(V.line_chunks(spark, sf_dir)).select("document_id", "chunk_index", "batch_no")
 
 
-@query()
+#: A vector in three numbers: its length, its norm, and its components weighed by their places.
+DIGEST = ["size(embedding) AS dim", "round(sqrt(aggregate(embedding, 0D, (s, x) -> s + x * x)), 6) AS norm", "round(aggregate(transform(embedding, (x, i) -> x * (i + 1)), 0D, (s, x) -> s + x), 6) AS weighed"]
+DIGEST_SQL = "len(v)::INTEGER AS dim, round(norm, 6) AS norm, round(list_sum([v[i] * i FOR i IN range(1, 65)]), 6) AS weighed"
+
+
+@query(f"WITH {V.LINE_CHUNKS}, inputs AS (SELECT chunk_id AS id, concat('title: none | text: ', content) AS input FROM lines), {V.hashed_vectors('inputs', 'e')} SELECT id AS chunk_id, {DIGEST_SQL} FROM e")
 def d2_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.line_chunks(spark, sf_dir).select("chunk_id", C.passage_input(F.lit(""), "content").alias("input"))
-    return embedding.embedded(rows, dim=64).select("chunk_id", F.size("embedding").alias("dim"), F.round(C.norm("embedding"), 6).alias("norm"))
+    return embedding.embedded(rows, dim=64).selectExpr("chunk_id", *DIGEST)
 
 
 @query("""SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN 'missing' WHEN vec_id % 11 = 1 THEN 'wrong size' WHEN vec_id % 11 = 2 THEN 'not finite' WHEN len(embedding) <> 64 THEN 'wrong size' END AS problem FROM embeddings""")

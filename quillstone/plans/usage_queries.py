@@ -39,18 +39,22 @@ def h3_concurrent_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.concurrent(jobs).select("job_id", "user_id", "open_user", "open_total", "over_user_cap", "over_total_cap")
 
 
-@query("SELECT date_trunc('hour', ts) AS window_start, user_id, count(*) AS n, count(*) > 2 AS over_limit FROM events GROUP BY 1, 2")
+_RATES = "SELECT date_trunc('hour', ts) AS window_start, user_id, count(*) AS n, count(*) > 2 AS over_limit FROM events GROUP BY 1, 2"
+
+
+@query(_RATES)
 def h5_request_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch twin of the streaming job: the same function over the whole table."""
     out = streams.request_rates(table(spark, sf_dir, "events"), 3600, 2)
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query()
+@query(_RATES)
 def h5_stream_request_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As a stream; windows that are still open are out with their counts so far."""
     raw = spark.readStream.schema("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").option("pathGlobFilter", "*.parquet").parquet(_folder(spark, sf_dir, "events"))
-    return streams.run_to_table(streams.request_rates(raw, 3600, 2), ["window_start", "user_id"], scratch(spark, "rates-out"), scratch(spark, "rates"))
+    out = streams.run_to_table(streams.request_rates(raw, 3600, 2), ["window_start", "user_id"], scratch(spark, "rates-out"), scratch(spark, "rates"))
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -71,13 +75,17 @@ def h4_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(store_path).select("document_id", "chunk_index", "token_estimate", F.size("embedding").alias("dim"))
 
 
-@query()
+_FOLDED = """SELECT concat(conv_id::VARCHAR, '-', turn::VARCHAR) AS question_id, CASE WHEN (conv_id * 31 + turn) % 7 < 2 THEN 'error' ELSE 'done' END AS phase, ((conv_id * 31 + turn) % 5)::INTEGER AS n_sources,
+  CASE WHEN (conv_id * 31 + turn) % 7 < 2 THEN '' ELSE text END AS text, CASE (conv_id * 31 + turn) % 7 WHEN 0 THEN 'The connection closed before the answer finished. Try again.' WHEN 1 THEN 'Try again' END AS message FROM conversations"""
+
+
+@query(_FOLDED)
 def h6_stream_answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fold as a stream with state per question."""
+    """The fold as a stream with state per question; the log has ended, so open questions are dropped ones."""
     path = scratch(spark, "answer-events")
     _answer_events(spark, sf_dir).write.parquet(path)
     raw = spark.readStream.schema("question_id string, seq int, event string, data string").parquet(path)
-    return streams.run_to_table(streams.stream_answer_events(raw), ["question_id"], scratch(spark, "answers-out"), scratch(spark, "answer-state"))
+    return streams.settled(streams.run_to_table(streams.stream_answer_events(raw), ["question_id"], scratch(spark, "answers-out"), scratch(spark, "answer-state")))
 
 
 #: Answer events made from the conversations: a stage, sources, the words of the turn as deltas, and an end that every seventh lacks.
@@ -96,8 +104,7 @@ def _answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("question_id", "seq", "event", data.alias("data"))
 
 
-@query("""SELECT concat(conv_id::VARCHAR, '-', turn::VARCHAR) AS question_id, CASE WHEN (conv_id * 31 + turn) % 7 < 2 THEN 'error' ELSE 'done' END AS phase, ((conv_id * 31 + turn) % 5)::INTEGER AS n_sources,
-  CASE WHEN (conv_id * 31 + turn) % 7 < 2 THEN '' ELSE text END AS text, CASE (conv_id * 31 + turn) % 7 WHEN 0 THEN 'The connection closed before the answer finished. Try again.' WHEN 1 THEN 'Try again' END AS message FROM conversations""")
+@query(_FOLDED)
 def h6_fold_answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.folded_answer_events(_answer_events(spark, sf_dir))
 

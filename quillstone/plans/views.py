@@ -73,17 +73,33 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("question_id"), F.col("label").alias("user_id"), F.expr("concat('What is in passage ', cast(vec_id as string), '?')").alias("question"), "embedding")
 
 
+#: What follows from ``pairs``: candidates, verdicts, sources.
+SELECTION = f"""candidates AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, chunk_id) AS rank FROM pairs) WHERE rank <= 8),
+best AS (SELECT question_id, max(similarity) AS best_similarity FROM candidates GROUP BY 1),
+verdicts AS (SELECT q.question_id, b.best_similarity, CASE WHEN b.best_similarity IS NULL THEN 'no_documents' WHEN b.best_similarity < {SKIP_BELOW} THEN 'below_threshold' END AS skip_reason FROM questions q LEFT JOIN best b ON q.question_id = b.question_id),
+sources AS (SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY c.question_id ORDER BY c.similarity DESC, c.chunk_id) AS marker FROM candidates c JOIN best b ON c.question_id = b.question_id
+  WHERE b.best_similarity >= {SKIP_BELOW} AND c.similarity >= greatest({FLOOR}, b.best_similarity - {WINDOW}) - 1e-9) WHERE marker <= 5)"""
+
 VECTORS = f"""vdocs AS (SELECT document_id, user_id, concat('file_', document_id::VARCHAR, '.txt') AS filename, CASE WHEN document_id % 7 = 0 THEN 'processing' ELSE 'ready' END AS status
   FROM (SELECT DISTINCT (vec_id // 10) * 100 + label AS document_id, label AS user_id FROM embeddings)),
 vchunks AS (SELECT vec_id AS chunk_id, (vec_id // 10) * 100 + label AS document_id, (vec_id % 10)::INTEGER AS chunk_index, concat('passage ', vec_id::VARCHAR, ' <source> of the library') AS content, embedding FROM embeddings),
 questions AS (SELECT vec_id AS question_id, label AS user_id, concat('What is in passage ', vec_id::VARCHAR, '?') AS question, embedding FROM embeddings WHERE vec_id % {EVERY} = 0),
 scope AS (SELECT c.chunk_id, c.document_id, c.chunk_index, c.content, c.embedding, d.user_id, d.filename FROM vchunks c JOIN vdocs d ON c.document_id = d.document_id WHERE d.status = 'ready' AND c.embedding IS NOT NULL),
 pairs AS (SELECT q.question_id, s.* EXCLUDE (embedding), list_cosine_similarity(q.embedding::DOUBLE[], s.embedding::DOUBLE[]) AS similarity FROM questions q JOIN scope s ON q.user_id = s.user_id AND q.question_id <> s.chunk_id),
-candidates AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, chunk_id) AS rank FROM pairs) WHERE rank <= 8),
-best AS (SELECT question_id, max(similarity) AS best_similarity FROM candidates GROUP BY 1),
-verdicts AS (SELECT q.question_id, b.best_similarity, CASE WHEN b.best_similarity IS NULL THEN 'no_documents' WHEN b.best_similarity < {SKIP_BELOW} THEN 'below_threshold' END AS skip_reason FROM questions q LEFT JOIN best b ON q.question_id = b.question_id),
-sources AS (SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY c.question_id ORDER BY c.similarity DESC, c.chunk_id) AS marker FROM candidates c JOIN best b ON c.question_id = b.question_id
-  WHERE b.best_similarity >= {SKIP_BELOW} AND c.similarity >= greatest({FLOOR}, b.best_similarity - {WINDOW}) - 1e-9) WHERE marker <= 5)"""
+{SELECTION}"""
+
+
+def hashed_vectors(inputs: str, name: str, dim: int = 64) -> str:
+    """CTEs ending in ``name`` (id, v, norm): the built-in stand-in's vectors of ``inputs`` (id, input)."""
+    return rf"""{name}_w AS (SELECT id, ('0x' || left(md5(w), 8))::BIGINT AS h FROM (SELECT id, unnest(string_split_regex(lower(input), '[{PLAIN_WS}]+')) AS w FROM {inputs}) WHERE w <> ''),
+{name}_c AS (SELECT id, (h % {dim})::INTEGER AS i, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS c FROM {name}_w GROUP BY 1, 2),
+{name}_n AS (SELECT id, sqrt(sum(c * c)) AS n, map(list(i), list(c)) AS m FROM {name}_c GROUP BY 1),
+{name}_v AS (SELECT id, [CASE WHEN n > 0 THEN coalesce(m[i], 0.0) / n ELSE 0.0 END FOR i IN range(0, {dim})] AS v FROM {name}_n),
+{name} AS (SELECT id, v, sqrt(list_sum([x * x FOR x IN v])) AS norm FROM {name}_v)"""
+
+
+#: White space between the words of the stand-in.
+PLAIN_WS = r"\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillstone.functions.columns import normalised, passage_input, title
-from quillstone.operators import chunking, embedding, text
+from quillstone.operators import chunking, embedding, text, usage
 from quillstone.sources import files, store
 
 RAW = "path string, modificationTime timestamp, length bigint, content binary"
@@ -67,42 +67,56 @@ def request_rates(events: DataFrame, seconds: int, limit: int, late: str = "1 ho
     return counted.select(F.col("window.start").alias("window_start"), "user_id", "n", (F.col("n") > limit).alias("over_limit"))
 
 
-OUT = "question_id string, phase string, text string"
-STATE = "phase string, pieces string, closed boolean"
+OUT = "question_id string, phase string, n_sources int, text string, message string"
+STATE = "seqs array<int>, kinds array<string>, bodies array<string>"
 
 
 def fold_events(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The answer-event fold with state: one row per question and batch."""
+    """The answer-event fold with state: one row per question and batch.
+
+    Events count by their ``seq``, in whatever order and batches they arrive; of equal
+    numbers the first to arrive.  The state holds a question's events up to its first
+    end; with that end known, only the end and the sources.
+    """
     import json
 
-    phase, pieces, closed = state.get if state.exists else ("searching", "", False)
-    rows = pd.concat(list(frames)).sort_values("seq")
-    for event, data in zip(rows["event"], rows["data"], strict=True):
-        if closed:
-            break
-        body = json.loads(data)
-        if event == "stage":
-            phase = body["stage"]
-        elif event == "delta":
-            pieces += body["text"]
-        elif event == "done":
-            phase, pieces, closed = "done", body["answer"], True
-        elif event == "error":
-            phase, pieces, closed = "error", "", True
-    state.update((phase, pieces, closed))
-    yield pd.DataFrame({"question_id": [key[0]], "phase": [phase], "text": [pieces]})
+    held = {s: (k, b) for s, k, b in zip(*state.get, strict=True)} if state.exists else {}
+    for frame in frames:
+        for seq, kind, body in zip(frame["seq"].tolist(), frame["event"], frame["data"], strict=True):
+            held.setdefault(seq, (kind, body))
+    end = min((s for s, (k, _) in held.items() if k in ("done", "error")), default=None)
+    if end is not None:
+        held = {s: e for s, e in held.items() if s == end or (s < end and e[0] == "sources")}
+    order = sorted(held)
+    state.update((order, [held[s][0] for s in order], [held[s][1] for s in order]))
+    bodies: dict[str, list[dict]] = {}
+    for s in order:
+        bodies.setdefault(held[s][0], []).append(json.loads(held[s][1]))
+    last = lambda kind, field, default=None: bodies[kind][-1].get(field, default) if kind in bodies else default
+    if "done" in bodies:
+        phase, text_ = "done", last("done", "answer")
+    elif "error" in bodies:
+        phase, text_ = "error", ""
+    else:
+        phase, text_ = last("stage", "stage", "searching"), "".join(b["text"] for b in bodies.get("delta", []))
+    yield pd.DataFrame({"question_id": [key[0]], "phase": [phase], "n_sources": [last("sources", "n", 0)], "text": [text_], "message": [last("error", "message")]})
 
 
 def stream_answer_events(events: DataFrame) -> DataFrame:
-    """Questions' states as their events arrive (question_id string, seq, event, data)."""
+    """Questions' states as their events arrive (question_id string, seq int, event, data)."""
     return events.groupBy("question_id").applyInPandasWithState(fold_events, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def run_to_memory(df: DataFrame, name: str, mode: str, checkpoint: str, start: Callable | None = None) -> DataFrame:
-    """Run a streaming job over what is there now and return its result table."""
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+def settled(states: DataFrame) -> DataFrame:
+    """The states once no more events will come: a question without an end has lost its connection."""
+    open_ = ~F.col("phase").isin("done", "error")
+    return states.select(
+        "question_id",
+        F.when(open_, "error").otherwise(F.col("phase")).alias("phase"),
+        "n_sources",
+        F.when(open_, "").otherwise(F.col("text")).alias("text"),
+        F.when(open_, usage.DROPPED).otherwise(F.col("message")).alias("message"),
+    )
 
 
 def run_to_table(df: DataFrame, keys: list[str], folder: str, checkpoint: str) -> DataFrame:

@@ -268,16 +268,17 @@ def test_answer_events_fold_alike_as_table_and_stream(spark, tmp_path):
     e = [("a", 0, "stage", {"stage": "searching"}), ("a", 1, "sources", {"n": 2}), ("a", 2, "stage", {"stage": "writing"}), ("a", 3, "delta", {"text": "x"}), ("a", 4, "delta", {"text": "y"}), ("a", 5, "done", {"answer": "xy!"}), ("a", 6, "delta", {"text": "late"})]
     e += [("b", 0, "delta", {"text": "x"}), ("b", 1, "error", {"message": "busy"}), ("c", 0, "delta", {"text": "x"})]
     rows = spark.createDataFrame([(q, s, k, json.dumps(d)) for q, s, k, d in e], "question_id string, seq int, event string, data string")
-    got = {r.question_id: (r.phase, r.text) for r in usage.folded_answer_events(rows).collect()}
-    assert got == {"a": ("done", "xy!"), "b": ("error", ""), "c": ("error", "")}
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    out = streams.run_to_memory(streams.stream_answer_events(stream), "folded", "update", str(tmp_path / "state"))
-    assert {r.question_id: (r.phase, r.text) for r in out.collect()} == {"a": ("done", "xy!"), "b": ("error", ""), "c": ("searching", "x")}
+    want = [("a", "done", 2, "xy!", None), ("b", "error", 0, "", "busy"), ("c", "error", 0, "", usage.DROPPED)]
+    assert values(usage.folded_answer_events(rows)) == want
+    for part in ("seq % 2 = 1", "seq % 2 = 0"):  # later numbers arrive before earlier ones
+        rows.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = streams.run_to_table(streams.stream_answer_events(stream), ["question_id"], str(tmp_path / "out"), str(tmp_path / "state"))
+    assert values(streams.settled(out)) == want
+    assert [(r.phase, r.text) for r in out.where("question_id = 'c'").collect()] == [("searching", "x")]
 
 
-def test_streamed_queries_give_all_rows_and_bypass_the_driver(spark, monkeypatch):
-    monkeypatch.setattr(streams, "run_to_memory", None)
+def test_streamed_queries_give_all_rows(spark):
     q, sf = registry.QUERIES, "/root/testdata/sf0.001"
     batch = q["h5_request_rates"](spark, sf)
     assert values(q["h5_stream_request_rates"](spark, sf).select(F.col("window_start").cast("timestamp_ntz"), *batch.columns[1:])) == values(batch)
