@@ -49,3 +49,21 @@ best AS (SELECT doc_id, item_no, any_value(width) AS width, greatest(coalesce(ma
 found AS (SELECT doc_id, item_id, max(equal) AS equal FROM best JOIN b USING (item_no) WHERE equal * {OVERLAP} >= width * {MATCHED} GROUP BY 1, 2),
 docs AS (SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items, max(equal) AS equal FROM found GROUP BY 1)
 SELECT d.doc_id, n IS NOT NULL AS contaminated, coalesce(n, 0)::BIGINT AS n_items, coalesce(items, '') AS items, coalesce(equal, 0)::INTEGER AS max_equal FROM d LEFT JOIN docs ON d.doc_id = docs.doc_id"""
+
+
+def importance(percent: int, least_words: int, seed: int, n_buckets: int) -> str:
+    """CRC-32 of every distinct feature as a fold over its bytes, counts by bucket, gains, and the draw."""
+    return rf"""WITH RECURSIVE crc_table(i, c, k) AS (SELECT i::UINTEGER, i::UINTEGER, 0 FROM range(0, 256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END, k + 1 FROM crc_table WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM crc_table WHERE k = 8),
+texts AS (SELECT true AS wanted, NULL::BIGINT AS doc_id, row_number() OVER () AS row_no, text FROM benchmark UNION ALL SELECT false, doc_id, row_number() OVER (), text FROM documents),
+words AS (SELECT wanted, doc_id, row_no, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+each AS (SELECT wanted, row_no, unnest(list_concat(w, [concat_ws(' ', w[i], w[i + 1]) FOR i IN range(1, len(w))], [concat_ws(' ', w[i], w[i + 1], w[i + 2]) FOR i IN range(1, len(w) - 1)])) AS gram FROM words),
+named AS (SELECT gram, hex(encode(gram)) AS h FROM (SELECT DISTINCT gram FROM each)),
+hashed AS (SELECT gram, (xor(list_reduce([('0x' || h[2 * i - 1:2 * i])::UINTEGER FOR i IN range(1, len(h) // 2 + 1)], lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::UINTEGER), 4294967295::UINTEGER) % {n_buckets})::INTEGER AS bucket FROM named, crc),
+counts AS (SELECT bucket, count(*) FILTER (NOT wanted) AS s, count(*) FILTER (wanted) AS t FROM each JOIN hashed USING (gram) GROUP BY 1),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM counts) + {n_buckets})::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM counts) + {n_buckets})::DOUBLE)))::BIGINT AS gain FROM counts),
+weights AS (SELECT row_no, count(*) AS n, sum(gain)::BIGINT AS weight FROM each JOIN hashed USING (gram) JOIN gains USING (bucket) WHERE NOT wanted GROUP BY 1),
+scores AS (SELECT doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256(concat('{seed}:', doc_id)), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM words LEFT JOIN weights USING (row_no) WHERE NOT wanted),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= {least_words} ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_words >= {least_words}) OVER () AS n_may FROM scores)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= {least_words} AND place <= {percent} * n_may // 100 THEN place END AS rank FROM ranked"""

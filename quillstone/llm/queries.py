@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillstone.llm import decontamination, language_id, licenses, mixing, near_duplicates, neighbour_graph, oracles, sharding, substrings, suffixes, token_files
+from quillstone.llm import decontamination, fingerprints, importance, language_id, licenses, mixing, near_duplicates, neighbour_graph, oracles, sharding, substrings, suffixes, token_files, whitening
 from quillstone.llm.staging import read
 
 #: Target weights of the mixing query; sources that are not named weigh 1.
@@ -65,6 +66,19 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_graph.nearest(read(spark, sf_dir, "embeddings"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact deviations are decimals; as longs they hold up to 2**63, beyond which the cast fails."""
+    return whitening.whitened(read(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.classes(read(spark, sf_dir, "documents")).drop("digest", "component")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_files,
         op9_license_scan,
         op10_nearest_vectors,
+        op11_importance_resampling,
+        op12_embedding_whitening,
+        op13_simhash_near_duplicates,
     )
 }
 ORACLE_SQL: dict[str, str] = {
@@ -85,4 +102,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": oracles.substring_dedup(),
     "op7_decontamination": oracles.decontamination(),
     "op9_license_scan": licenses.oracle_sql(),
+    "op11_importance_resampling": oracles.importance(importance.PERCENT, importance.LEAST_WORDS, importance.SEED, importance.BUCKETS),
 }

@@ -12,7 +12,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_there_is_one_query_for_each_number():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_the_pipeline_runs_and_its_decisions_take_effect(spark):
