@@ -1,15 +1,18 @@
 """Passages: paragraphs, sentences, greedy packing with overlap.
 
 Sentences are cut by punctuation rules, not by a locale's full segmentation:
-ideographic stops, and breaks without a blank, are not known.  The packing carries
-state from unit to unit, so it is a fold over arrays of lengths; texts are joined
-after it, by position.
+ideographic stops, and breaks without a blank, are not known.  A document stays in its
+row from text to passages, so nothing is shuffled.  The packing carries state from unit
+to unit, so it is a fold over arrays of lengths, in one function over Arrow batches;
+texts stay with Spark and are joined after it, by position.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,17 +52,17 @@ def sentences(rows: DataFrame, document: str = "document_id") -> DataFrame:
     full stop before a lower-case letter, a comma, a semicolon, a colon or a hyphen is
     none, nor is the stop of a listed abbreviation.
     """
-    marked = F.regexp_replace("paragraph", "([.!?][\"'”’)\\]]{0,3}) +", f"$1{MARK}")
-    pieces = rows.select(document, "paragraph_no", F.posexplode(F.split(marked, MARK)).alias("piece_no", "piece")).where("piece <> ''")
-    of_paragraph = Window.partitionBy(document, "paragraph_no").orderBy("piece_no")
-    following = F.lead("piece").over(of_paragraph)
-    abbreviated = F.col("piece").rlike(rf"(?:^|[{WS}(])(?:{ABBREVIATIONS})\.\z")
-    runs_on = F.col("piece").rlike("\\.[\"'”’)\\]]{0,3}\\z") & F.coalesce(following.rlike(r"^[\p{Ll},;:\-]"), F.lit(False))
-    glued = pieces.withColumn("_on", (abbreviated | runs_on).cast("int"))
-    before = F.sum(1 - F.col("_on")).over(of_paragraph.rowsBetween(Window.unboundedPreceding, -1))
-    glued = glued.withColumn("sentence_no", F.coalesce(before, F.lit(0)))
-    place = F.struct("piece_no", "piece")
-    return glued.groupBy(document, "paragraph_no", "sentence_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda p: p["piece"]), " ").alias("sentence"))
+    each = rows.select(document, "paragraph_no", F.posexplode(sentence_array(F.col("paragraph"))).alias("sentence_no", "sentence"))
+    return each.withColumn("sentence_no", F.col("sentence_no").cast("long"))
+
+
+def sentence_array(paragraph: Column) -> Column:
+    """The sentences of a paragraph: marks after all stops, less those that close no sentence."""
+    marked = F.regexp_replace(paragraph, "([.!?][\"'”’)\\]]{0,3}) +", f"$1{MARK}")
+    # the mark comes first in both, so that what is around it is looked at there alone
+    marked = F.regexp_replace(marked, rf"{MARK}(?<=(?:^|[{WS}({MARK}])(?:{ABBREVIATIONS})\.{MARK})", " ")
+    marked = F.regexp_replace(marked, rf"{MARK}(?=[\p{{Ll}},;:\-])(?<=\.[\"'”’)\]]{{0,3}}{MARK})", " ")
+    return F.filter(F.split(marked, MARK), lambda x: x != "")
 
 
 def split_on_words(sentence: Column, size: int) -> Column:
@@ -95,80 +98,86 @@ def split_on_words(sentence: Column, size: int) -> Column:
     return F.aggregate(parts, start, step, closed)
 
 
+UNIT = "array<struct<text: string, gap: int>>"
+#: Separators before a unit: inside a word, between sentences, between paragraphs.
+INSIDE, SENTENCE, PARAGRAPH = 0, 1, 2
+
+
+def unit_array(text: Column, options: ChunkOptions) -> Column:
+    """The units of a text, sentences or pieces of over-long ones, with the gap before each; an empty array without text."""
+    target, longest, _, _ = options.chars()
+    parts = F.filter(F.transform(F.split(text, rf"\n[{WS}]*\n"), collapsed), lambda p: p != "")
+    unit = lambda x, gap: F.struct(x.alias("text"), gap.cast("int").alias("gap"))
+
+    def of_sentence(s: Column, i: Column) -> Column:
+        first = F.when(i == 0, PARAGRAPH).otherwise(SENTENCE)
+        pieces = F.transform(split_on_words(s, target), lambda p, j: unit(p["text"], F.when(j == 0, first).when(p["continues"], INSIDE).otherwise(SENTENCE)))
+        return F.when(F.length(s) > longest, pieces).otherwise(F.array(unit(s, first)))
+
+    units_ = F.transform(parts, lambda p: F.flatten(F.transform(sentence_array(p), of_sentence)))
+    return F.coalesce(F.flatten(units_), F.array().cast(UNIT))
+
+
 def units(docs: DataFrame, options: ChunkOptions = ChunkOptions(), document: str = "document_id", text: str = "text") -> DataFrame:
     """(document, unit_no, unit, starts_paragraph, continues_word): sentences, or pieces of over-long ones."""
-    target, longest, _, _ = options.chars()
-    rows = sentences(paragraphs(docs, document, text), document)
-    one = F.array(F.struct(F.col("sentence").alias("text"), F.lit(False).alias("continues")))
-    rows = rows.withColumn("pieces", F.when(F.length("sentence") > longest, split_on_words(F.col("sentence"), target)).otherwise(one))
-    rows = rows.select(document, "paragraph_no", "sentence_no", F.posexplode("pieces").alias("piece_no", "p"))
-    in_order = Window.partitionBy(document).orderBy("paragraph_no", "sentence_no", "piece_no")
-    first = F.row_number().over(Window.partitionBy(document, "paragraph_no").orderBy("sentence_no", "piece_no")) == 1
-    return rows.select(document, (F.row_number().over(in_order) - 1).alias("unit_no"), F.col("p.text").alias("unit"), first.alias("starts_paragraph"), F.col("p.continues").alias("continues_word"))
+    rows = docs.select(document, F.posexplode(unit_array(F.col(text), options)).alias("unit_no", "u"))
+    return rows.select(document, F.col("unit_no").cast("long").alias("unit_no"), F.col("u.text").alias("unit"), (F.col("u.gap") == PARAGRAPH).alias("starts_paragraph"), (F.col("u.gap") == INSIDE).alias("continues_word"))
 
 
-def packed(lengths: Column, ends: Column, options: ChunkOptions) -> Column:
-    """The chunks of a document as an array of (s, e, nf): first unit, last unit, first unit that is not overlap.
+def packed(lengths: np.ndarray, gaps: np.ndarray, options: ChunkOptions) -> list[tuple[int, int, int]]:
+    """The chunks of a document as (first unit, last unit, characters of overlap).
 
-    ``lengths`` and ``ends`` (characters up to the unit's end, with the separator before
-    each unit) are arrays by unit.
+    A unit is added while the chunk stays within the target, or is too short and stays
+    within the maximum.  The next chunk begins with whole trailing units as overlap,
+    never with all of the chunk before; a short tail joins the last chunk if it fits.
     """
     target, longest, overlap, least = options.chars()
-    whole = "array<struct<s: int, e: int, nf: int>>"
+    if not len(lengths):
+        return []
+    n, ends, lengths = len(lengths), np.cumsum(lengths + gaps).tolist(), lengths.tolist()
 
-    def size(s: Column, e: Column) -> Column:
+    def size(s: int, e: int) -> int:
         """Characters of units s..e joined: the first one's separator does not count."""
         return ends[e] - ends[s] + lengths[s]
 
-    def chunk(s: Column, e: Column, nf: Column) -> Column:
-        return F.array(F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), nf.cast("int").alias("nf")))
-
-    def carried(s: Column, k: Column) -> Column:
+    def carried(s: int, k: int) -> int:
         """First unit of the overlap before unit k of a chunk that began at s; k if there is none."""
-        last = k - 1
-        back = F.sequence(F.greatest(s + 1, k - (overlap // 2 + 2)), last)
-        fits = F.filter(back, lambda i: ((size(i, last) <= overlap) | ((i == last) & (lengths[i] <= 2 * overlap))) & (size(i, k) <= longest))
-        return F.when(last >= s + 1, F.coalesce(F.array_min(fits), k)).otherwise(k)
+        first, i = k, k - 1
+        while i >= s + 1 and i >= k - (overlap // 2 + 2) and (size(i, k - 1) <= overlap or (i == k - 1 and lengths[i] <= 2 * overlap)) and size(i, k) <= longest:
+            first, i = i, i - 1
+        return first
+
+    out, s, new = [], 0, 0
+    for k in range(1, n):
+        then = size(s, k)
+        if then > target and (then > longest or size(s, k - 1) >= least):
+            out.append((s, k - 1, new))
+            s, new = carried(s, k), k
+    out.append((s, n - 1, new))
+    if len(out) > 1 and size(new, n - 1) < least and size(out[-2][0], n - 1) <= longest:
+        out[-2:] = [(out[-2][0], n - 1, out[-2][2])]
+    return [(s, e, size(s, new - 1) if new > s else 0) for s, e, new in out]
+
 
-    def step(at: Column, k: Column) -> Column:
-        now, then = size(at["s"], k - 1), size(at["s"], k)
-        fits = (then <= target) | ((now < least) & (then <= longest))
-        closed = F.struct(F.concat(at["out"], chunk(at["s"], k - 1, at["nf"])).alias("out"), carried(at["s"], k).cast("int").alias("s"), k.cast("int").alias("nf"))
-        return F.when(fits, at).otherwise(closed)
+def chunk_array(docs: DataFrame, options: ChunkOptions = ChunkOptions(), text: str = "text", out: str = "chunks") -> DataFrame:
+    """``docs`` with the array ``out`` of each text's passages: content, overlap_chars."""
 
-    def finish(at: Column) -> Column:
-        n = F.size(lengths)
-        out = F.concat(at["out"], chunk(at["s"], n - 1, at["nf"]))
-        last, prev = F.element_at(out, -1), F.try_element_at(out, F.lit(-2))
-        merge = (F.size(out) > 1) & (size(last["nf"], last["e"]) < least) & (size(prev["s"], last["e"]) <= longest)
-        return F.when(merge, F.concat(F.slice(out, 1, F.size(out) - 2), chunk(prev["s"], last["e"], prev["nf"]))).otherwise(out)
+    @F.pandas_udf("array<struct<s: int, e: int, overlap: int>>")
+    def pack(lengths: pd.Series, gaps: pd.Series) -> pd.Series:
+        return pd.Series([[{"s": s, "e": e, "overlap": o} for s, e, o in packed(np.asarray(n, np.int64), np.asarray(g, np.int64), options)] for n, g in zip(lengths, gaps, strict=True)], dtype=object)
 
-    start = F.struct(F.expr(f"cast(array() as {whole})").alias("out"), F.lit(0).alias("s"), F.lit(0).alias("nf"))
-    later = F.when(F.size(lengths) > 1, F.sequence(F.lit(1), F.size(lengths) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.aggregate(later, start, step, finish)
+    rows = docs.withColumn("_u", unit_array(F.col(text), options))
+    rows = rows.withColumn("_p", pack(F.transform("_u", lambda x: F.length(x["text"])), F.transform("_u", lambda x: x["gap"])))
+    gap = lambda x, i: F.when((i == 0) | (x["gap"] == INSIDE), "").when(x["gap"] == PARAGRAPH, "\n\n").otherwise(" ")
+    content = lambda c: F.array_join(F.transform(F.slice("_u", c["s"] + 1, c["e"] - c["s"] + 1), lambda x, i: F.concat(gap(x, i), x["text"])), "")
+    return rows.withColumn(out, F.transform("_p", lambda c: F.struct(content(c).alias("content"), c["overlap"].alias("overlap_chars")))).drop("_u", "_p")
 
 
 def chunks(docs: DataFrame, options: ChunkOptions = ChunkOptions(), document: str = "document_id", text: str = "text") -> DataFrame:
     """(document, chunk_index, content, token_estimate, overlap_chars) of each document's passages."""
-    gap = F.when(F.col("starts_paragraph"), 2).when(F.col("continues_word"), 0).otherwise(1)
-    upto = Window.partitionBy(document).orderBy("unit_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = units(docs, options, document, text).withColumn("gap", gap).withColumn("end", F.sum(F.length("unit") + F.col("gap")).over(upto).cast("int"))
-    arrays = rows.groupBy(document).agg(F.array_sort(F.collect_list(F.struct("unit_no", "unit", "gap", "end"))).alias("u"))
-    arrays = arrays.select(document, "u", F.transform("u", lambda x: F.length(x["unit"])).alias("lengths"), F.transform("u", lambda x: x["end"]).alias("ends"))
-    found = arrays.withColumn("packed", packed(F.col("lengths"), F.col("ends"), options))
-
-    def text_of(c: Column) -> Column:
-        part = F.slice("u", c["s"] + 1, c["e"] - c["s"] + 1)
-        sep = lambda x, i: F.when(i == 0, "").when(x["gap"] == 2, "\n\n").when(x["gap"] == 1, " ").otherwise("")
-        return F.array_join(F.transform(part, lambda x, i: F.concat(sep(x, i), x["unit"])), "")
-
-    def rendered(c: Column) -> Column:
-        overlap = F.when(c["nf"] > c["s"], F.col("ends")[c["nf"] - 1] - F.col("ends")[c["s"]] + F.col("lengths")[c["s"]]).otherwise(0)
-        return F.struct(text_of(c).alias("content"), overlap.cast("int").alias("overlap_chars"))
-
-    # the units stay in their document's row; a passage's row holds its own text alone.
-    # outer: a plain explode would be given a filter that repeats the fold with its arrays written out in every step
-    rows = found.select(document, F.posexplode_outer(F.transform("packed", rendered)).alias("chunk_index", "c"))
+    rows = chunk_array(docs.select(document, F.col(text).alias("_text")), options, "_text")
+    # outer: a plain explode would be given a filter that makes the array once more
+    rows = rows.select(document, F.posexplode_outer("chunks").alias("chunk_index", "c")).where("c IS NOT NULL")
     return rows.select(document, "chunk_index", "c.content", token_estimate("c.content").alias("token_estimate"), "c.overlap_chars")
 
 

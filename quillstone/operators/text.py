@@ -1,12 +1,16 @@
 """Text preparation: page lines to paragraphs, hyphens, pages to documents.
 
-A line join looks at the one line before it, where an accumulated text could hold
-more; the two differ only for a whole line that is a single word fragment.
+A document's pages are brought together once; its lines are then folded in order, with
+the document's words at hand, by one function over Arrow batches: what a line is joined
+to is all the text so far, so the fold carries state that no window over lines has.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.columns import has_text, normalised
@@ -48,78 +52,143 @@ def page_lines(pages: DataFrame, document: str = "document_id", page: str = "pag
     return lines.withColumn("paragraph", before).where("line <> ''").drop("ends")
 
 
-def head(line: Column) -> Column:
-    """The letters before a line's closing hyphen; empty if it doesn't end in a lower-case letter and a hyphen."""
-    return F.regexp_extract(line, r"(\p{L}*\p{Ll})-\z", 1)
-
-
-def tail(line: Column) -> Column:
-    """The letters that a line starts with; empty if the first is not in lower case."""
-    return F.regexp_extract(line, r"^\p{Ll}\p{L}*", 0)
-
+def line_fold() -> tuple[Callable, Callable]:
+    """(unwrap, join) for one document's texts; made inside the workers."""
+    import re
+    from unicodedata import category
+
+    import regex
+
+    blanks, word, closes = re.compile(r"[\t ]+"), regex.compile(r"\p{L}+"), re.compile("[.!?:][\"'”’)\\]]?\\Z")
+
+    def head(text: str) -> str:
+        """The letters before a closing hyphen; empty if the text doesn't end in a lower-case letter and a hyphen."""
+        if len(text) < 2 or text[-1] != "-" or category(text[-2]) != "Ll":
+            return ""
+        i = len(text) - 1
+        while i and text[i - 1].isalpha():
+            i -= 1
+        return text[i:-1]
+
+    def tail(text: str) -> str:
+        """The letters that a text starts with; empty if the first is not in lower case."""
+        if not text or category(text[0]) != "Ll":
+            return ""
+        return word.match(text)[0]
+
+    class Words:
+        """The lower-cased words of a document, looked for when they are first asked for."""
+
+        def __init__(self, texts: list[str], known: set[str] | None = None):
+            self.texts, self.known = texts, known
+
+        def __contains__(self, x: str) -> bool:
+            if self.known is None:
+                self.known = {w for t in self.texts for w in word.findall(t.lower())}
+            return x in self.known
+
+    class Joined:
+        """A text that grows line by line; it knows the word fragment at its end."""
+
+        def __init__(self, words: Words):
+            self.words, self.parts, self.head = words, [], ""
+
+        def add(self, line: str, apart: bool = False) -> None:
+            mine, start = head(line), ""
+            if self.parts and apart:
+                self.parts.append("\n\n")
+            elif self.parts:
+                start = tail(line) if self.head else ""
+                if not start:
+                    self.parts.append(" ")
+                elif (self.head + start).lower() in self.words:
+                    self.parts[-1] = self.parts[-1][:-1]
+                    if len(mine) == len(line) - 1:  # the line is one fragment, which the word so far goes on into
+                        mine = self.head + mine
+            self.parts.append(line)
+            self.head = mine
+
+        def text(self) -> str:
+            return "".join(self.parts)
+
+    def unwrap(pages: list[str | None], known: list[str] | None = None) -> list[str | None]:
+        words = Words([p for p in pages if p], None if known is None else set(known))
+        out = []
+        for page in pages:
+            lines = [blanks.sub(" ", x).strip(" ") for x in (page or "").split("\n")]
+            width = max(map(len, lines)) * SHORT_LINE
+            done, now = [], Joined(words)
+            for line in lines:
+                if line:
+                    now.add(line)
+                if now.parts and (not line or (len(line) < width and not (line[-1] == "-" and len(line) > 1 and category(line[-2]) == "Ll"))):
+                    done.append(now.text())
+                    now = Joined(words)
+            out.append("\n\n".join([*done, *([now.text()] if now.parts else [])]) or None)
+        return out
+
+    def join(pages: list[str | None], raw: list[str | None] | None = None, known: list[str] | None = None) -> str | None:
+        pages = [p for p in pages if p]
+        words = Words([p for p in (pages if raw is None else raw) if p], None if known is None else set(known))
+        out = Joined(words)
+        for page in pages:
+            out.add(page, bool(out.parts and closes.search(out.parts[-1])))
+        return out.text() if pages else None
+
+    return unwrap, join
+
+
+def by_document(pages: DataFrame, document: str = "document_id", page: str = "page_no", text: str = "text") -> DataFrame:
+    """(document, _pages): one row per document, with its (page, text) in order."""
+    return pages.groupBy(document).agg(F.array_sort(F.collect_list(F.struct(page, text))).alias("_pages"))
 
-def split_word(line: Column, following: Column) -> Column:
-    """The word, in lower case, that a hyphen at the end of ``line`` may have split; null if there is none."""
-    return F.when((head(line) != "") & (tail(following) != ""), F.lower(F.concat(head(line), tail(following))))
-
-
-def found_words(pages: DataFrame, asked: DataFrame, document: str = "document_id", text: str = "text") -> DataFrame:
-    """Those of ``asked`` (document, word) that the document's vocabulary holds; no other words are shuffled."""
-    wanted = asked.groupBy(document).agg(F.collect_set("word").alias("_asked"))
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(\p{L}+)"), F.lit(1))
-    return pages.select(document, text).join(wanted, document).select(document, F.explode(F.array_intersect(words, "_asked")).alias("word")).distinct()
 
+def unwrapped_pages(pages: DataFrame, document: str = "document_id", page: str = "page_no", text: str = "text") -> DataFrame:
+    """(document, page, text): each page's hard-wrapped lines as paragraphs with empty lines between.
 
-def splits_in_pages(pages: DataFrame, document: str = "document_id", text: str = "text") -> DataFrame:
-    """(document, word): the words that may have been split between two lines of a page."""
-    lines = F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\t ]+", " ")))
-    rows = pages.select(document, F.filter(lines, lambda x: x != "").alias("_lines"))
-    pairs = F.zip_with("_lines", F.slice("_lines", 2, F.size("_lines")), split_word)
-    return rows.select(document, F.explode(F.array_distinct(F.filter(pairs, lambda x: x.isNotNull()))).alias("word"))
+    A word split by a hyphen is rejoined if the document holds it whole; else the hyphen
+    stays, without a blank; all other lines are joined by a blank.  A page without text
+    (null or blank) has no row.
+    """
 
+    @F.pandas_udf("array<string>")
+    def unwrapped(texts: pd.Series) -> pd.Series:
+        unwrap, _ = line_fold()
+        return pd.Series([unwrap(list(x)) for x in texts], dtype=object)
 
-def splits_between_pages(pages: DataFrame, document: str = "document_id", page: str = "page_no", text: str = "text") -> DataFrame:
-    """(document, word): the words that may have been split between two pages."""
-    ends = pages.where(F.col(text) != "").select(document, page, head(F.col(text)).alias("_head"), tail(F.col(text)).alias("_tail"))
-    following = F.lead("_tail").over(Window.partitionBy(document).orderBy(page))
-    word = F.when((F.col("_head") != "") & (following != ""), F.lower(F.concat("_head", following)))
-    return ends.select(document, word.alias("word")).where("word IS NOT NULL")
+    rows = by_document(pages, document, page, text)
+    rows = rows.select(document, F.col(f"_pages.{page}").alias("_nos"), unwrapped(F.col(f"_pages.{text}")).alias("_texts"))
+    rows = rows.select(document, F.explode_outer(F.arrays_zip(F.col("_nos").alias("no"), F.col("_texts").alias("text"))).alias("_p"))
+    return rows.select(document, F.col("_p.no").alias(page), F.col("_p.text").alias("text")).where("text IS NOT NULL")
 
 
-def joined_lines(lines: DataFrame, words: DataFrame, keys: list[str], order: list[str], document: str = "document_id", text: str = "line", out: str = "text", breaks: Column | None = None) -> DataFrame:
-    """The lines of each group as one text.
+def joined_pages(pages: DataFrame, words: DataFrame | None = None, document: str = "document_id", page: str = "page_no", text: str = "text") -> DataFrame:
+    """(document, text): non-empty pages in order.
 
-    A word split by a hyphen is rejoined if the document's vocabulary has it whole;
-    else the hyphen stays, without a blank; all other lines are joined by a blank.
-    ``breaks``: where true, an empty line follows instead.
+    A page that ends in closing punctuation is followed by an empty line; any other goes
+    on like a wrapped line.  ``words``: (document, word), where the vocabulary is not
+    that of these pages.
     """
-    in_order = Window.partitionBy(*keys).orderBy(*order)
-    following = F.lead(text).over(in_order)
-    rows = lines.withColumn("_next", following).withColumn("_word", split_word(F.col(text), F.col("_next")))
-    known = words.select(F.col(document), F.col("word").alias("_word"), F.lit(True).alias("_known"))
-    rows = rows.join(known, [document, "_word"], "left")
-    piece = F.when(F.col("_next").isNull(), F.col(text))
-    if breaks is not None:
-        piece = piece.when(breaks, F.concat(F.col(text), F.lit("\n\n")))
-    piece = piece.when(F.coalesce("_known", F.lit(False)), F.expr(f"left({text}, length({text}) - 1)")).when(F.col("_word").isNotNull(), F.col(text)).otherwise(F.concat(F.col(text), F.lit(" ")))
-    place = F.struct(*order, piece.alias("_piece"))
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda p: p["_piece"]), "").alias(out))
 
+    @F.pandas_udf("string")
+    def joined(texts: pd.Series, known: pd.Series) -> pd.Series:
+        _, join = line_fold()
+        return pd.Series([join(list(x), known=None if k is None else list(k)) for x, k in zip(texts, known, strict=True)], dtype=object)
 
-def unwrapped_pages(pages: DataFrame, document: str = "document_id", page: str = "page_no", text: str = "text") -> DataFrame:
-    """(document, page, text): each page's hard-wrapped lines as paragraphs with empty lines between."""
-    words = found_words(pages, splits_in_pages(pages, document, text), document, text)
-    paragraphs = joined_lines(page_lines(pages, document, page, text), words, [document, page, "paragraph"], ["line_no"], document)
-    place = F.struct("paragraph", "text")
-    return paragraphs.groupBy(document, page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda p: p["text"]), "\n\n").alias("text"))
+    rows = by_document(pages.where(F.coalesce(F.col(text) != "", F.lit(False))), document, page, text)
+    if words is None:
+        rows = rows.withColumn("_words", F.lit(None).cast("array<string>"))
+    else:
+        rows = rows.join(words.groupBy(document).agg(F.collect_set("word").alias("_words")), document, "left").withColumn("_words", F.coalesce("_words", F.array().cast("array<string>")))
+    return rows.select(document, joined(F.col(f"_pages.{text}"), "_words").alias("text")).where("text IS NOT NULL")
 
 
-def joined_pages(pages: DataFrame, words: DataFrame | None = None, document: str = "document_id", page: str = "page_no", text: str = "text") -> DataFrame:
-    """(document, text): non-empty pages in order.
+def extracted(pages: DataFrame, document: str = "document_id", page: str = "page_no", text: str = "text") -> DataFrame:
+    """(document, text): a document's page texts as one clean text, with the vocabulary of all its pages; null without text."""
 
-    A page that ends in closing punctuation is followed by an empty line; any other
-    goes on like a wrapped line.
-    """
-    words = found_words(pages, splits_between_pages(pages, document, page, text), document, text) if words is None else words
-    closes = F.col(text).rlike("[.!?:][\"'”’)\\]]?\\z")
-    return joined_lines(pages.where(F.coalesce(F.col(text) != "", F.lit(False))), words, [document], [page], document, text, "text", closes)
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        unwrap, join = line_fold()
+        return pd.Series([join(unwrap(list(x)), list(x)) for x in texts], dtype=object)
+
+    return by_document(pages, document, page, text).select(document, clean(F.col(f"_pages.{text}")).alias("text"))

@@ -10,7 +10,7 @@ from quillstone.operators import chunking, embedding, text
 from quillstone.plans import views as V
 from quillstone.plans.registry import query
 from quillstone.sources import files, store
-from quillstone.sources.tables import table
+from quillstone.sources.tables import spread, table
 
 WS = C.WS
 #: Files made from the documents: name, and content with or without a flaw.
@@ -73,7 +73,7 @@ _WRAPPED = r"regexp_replace(text, '([\p{Ll}]{{3}})([\p{Ll}]{{4}}) ', '{one}-' ||
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.regexp_replace("text", r"(\p{Ll}{3})(\p{Ll}{4}) ", "$1-\n$2 ")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_no"), t.alias("text"))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_no"), t.alias("text"))
 
 
 _PAGES = r"""pages_ AS (SELECT doc_id AS document_id, 1 AS page_no, regexp_replace(text, '(\p{Ll}{3})(\p{Ll}{4}) ', '\1-' || chr(10) || '\2 ', 'g') AS text FROM documents)"""
@@ -132,7 +132,7 @@ def b8_embedding_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose lines that close a sentence end a paragraph."""
     t = F.regexp_replace("text", r"\.\n", ".\n\n")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), t.alias("text"))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("document_id"), t.alias("text"))
 
 
 _PROSE = r"""prose AS (SELECT doc_id AS document_id, regexp_replace(text, '\.\n', '.' || chr(10) || chr(10), 'g') AS text FROM documents)"""

@@ -32,3 +32,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return "file://" + tempfile.mkdtemp(prefix="spark-") + f"/{label}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan whose few splits would leave cores idle, dealt evenly to all of them; a scan of more splits stays as it is.
+
+    ``df`` must be a scan, with projections and filters at most.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df

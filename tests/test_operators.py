@@ -53,8 +53,53 @@ def test_pages_are_unwrapped_and_joined(spark):
 def test_words_split_between_pages_are_looked_up_in_their_document(spark):
     pages = spark.createDataFrame([("a", 1, "An infor-"), ("a", 2, ""), ("a", 3, "mation, or INFORMATION."), ("b", 1, "infor-"), ("b", 2, "mation")], "document_id string, page_no int, text string")
     assert {r.document_id: r.text for r in text.joined_pages(pages).collect()} == {"a": "An information, or INFORMATION.", "b": "infor-mation"}
-    asked = spark.createDataFrame([("a", "information"), ("a", "no"), ("b", "information")], "document_id string, word string")
-    assert values(text.found_words(pages, asked)) == [("a", "information")]
+
+
+def test_a_line_joins_the_text_so_far(spark):
+    """A line that is one word fragment goes on in the word before it."""
+    pages = spark.createDataFrame(
+        [("a", 1, "An infor-\nma-\ntion, or information, infor\nma, informa"), ("a", 2, "Short.\n\n x-\ny\n" + "w" * 9), ("b", 1, "infor-\nma-\ntion"), ("c", 1, None), ("c", 2, " \n\t"), ("d", 1, "a-"), ("d", 2, "É-\né-"), ("d", 3, "-\n-")],
+        "document_id string, page_no int, text string",
+    )
+    got = {(r.document_id, r.page_no): r.text for r in text.unwrapped_pages(pages).collect()}
+    assert got == {("a", 1): "An information, or information, infor ma, informa", ("a", 2): "Short.\n\nx-y\n\n" + "w" * 9, ("b", 1): "infor-ma-tion", ("d", 1): "a-", ("d", 2): "É- é-", ("d", 3): "- -"}
+    whole = {r.document_id: r.text for r in text.extracted(pages).collect()}
+    assert whole == {"a": got["a", 1] + " " + got["a", 2], "b": "infor-ma-tion", "c": None, "d": "a- É- é- - -"}
+    assert text.extracted(pages.limit(0)).count() == text.unwrapped_pages(pages.limit(0)).count() == text.joined_pages(pages.limit(0)).count() == 0
+
+
+def test_a_document_is_chunked_without_an_exchange(spark):
+    df = spark.createDataFrame([(1, "A. b"), (2, None)], "document_id int, text string")
+    assert "Exchange" not in chunking.chunks(df)._jdf.queryExecution().executedPlan().toString()
+    pages = df.withColumn("page_no", F.lit(1))
+    assert text.extracted(pages)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_packing_by_brute_force():
+    """Each packed range against the rules, stated once more over all candidates of a step."""
+    import random
+
+    import numpy as np
+
+    options = chunking.ChunkOptions(target=20, max=30, overlap=5, min=8)
+    target, longest, overlap, least = options.chars()
+    draw = random.Random(3)
+    for n in [0, 1, 2, 3, *range(4, 60)]:
+        lengths, gaps = [draw.choice([1, 5, 9, 30, 70, 119]) for _ in range(n)], [draw.choice([0, 1, 2]) for _ in range(n)]
+        size = lambda a, b: sum(lengths[a : b + 1]) + sum(gaps[a + 1 : b + 1])  # noqa: B023, E731
+        got = chunking.packed(np.array(lengths, np.int64), np.array(gaps, np.int64), options)
+        new = [0, *[e + 1 for _, e, _ in got[:-1]]]
+        assert [e for _, e, _ in got] == sorted({e for _, e, _ in got}) and (not n or got[-1][1] == n - 1)
+        for i, (s, e, o) in enumerate(got):
+            assert o == (size(s, new[i] - 1) if s < new[i] else 0) and s <= new[i] <= e
+            merged = i == len(got) - 1 and any(size(s, k) > target and size(s, k - 1) >= least for k in range(new[i] + 1, e + 1))
+            assert merged or size(s, e) <= longest or s == e
+            if i:
+                first = got[i - 1][0]
+                fits = [k for k in range(max(first + 1, new[i] - overlap // 2 - 2), new[i]) if (size(k, new[i] - 1) <= overlap or (k == new[i] - 1 and lengths[k] <= 2 * overlap)) and size(k, new[i]) <= longest]
+                assert s == min(fits, default=new[i])
+            if i < len(got) - 1:
+                assert size(s, e + 1) > longest or (size(s, e + 1) > target and size(s, e) >= least)
 
 
 def test_documents_without_text(spark):
