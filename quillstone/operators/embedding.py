@@ -1,4 +1,8 @@
-"""The embedding job: batches, vectors from a caller's function, checks, progress."""
+"""The embedding job: batches, vectors from a caller's function, checks, a ledger, progress.
+
+What has been embedded is kept in a ledger, by the hash of a batch's texts: a job that
+starts again calls the function only for batches that are not in it.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +10,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BATCH = 90
 DIMENSIONS = 768
 
+#: Fixed texts, shown to the user.
+BAD_RESPONSE = "The embedding service returned an unexpected response"
+SERVER_ERROR = "Processing failed due to a server error"
+LEDGER = "key string, n int, vectors array<array<double>>"
+
 #: Texts of one batch to one vector each, in order.
 EmbedBatch = Callable[[list[str]], list[list[float]]]
 
@@ -58,6 +68,89 @@ def embedded(rows: DataFrame, embed: EmbedBatch | None = None, text: str = "inpu
     return rows.mapInPandas(run, schema)
 
 
+class EmbeddingFailed(Exception):
+    """Raised by a caller's function; its message is shown to the user."""
+
+
+def batch_key(inputs: Column | str, model: str, dim: int) -> Column:
+    """What stands for a batch in the ledger: the hash of its texts, in order, and of the model."""
+    inputs = F.col(inputs) if isinstance(inputs, str) else inputs
+    return F.sha2(F.concat_ws("|", F.lit(model), F.lit(str(dim)), F.to_json(inputs)), 256)
+
+
+def called(batches: DataFrame, embed: EmbedBatch | None, dim: int) -> DataFrame:
+    """(key, n, vectors, problem, cause) of ``batches`` (key, inputs): one call for each.
+
+    A batch whose call fails, or gives another number of vectors, or one of another
+    length or with a value that is null or not finite, has no vectors, a ``problem`` for
+    the user and a ``cause`` for the log.
+    """
+    embed = embed or hashed_words(dim)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for key, inputs in zip(pdf["key"], pdf["inputs"], strict=True):
+                n, vectors, problem, cause = len(inputs), None, None, None
+                try:
+                    found = [[float("nan") if x is None else float(x) for x in v] for v in embed(list(inputs))]
+                    odd = [len(v) for v in found if len(v) != dim or not np.isfinite(v).all()]
+                    if len(found) != n or odd:
+                        problem, cause = BAD_RESPONSE, f"expected {n} vectors of {dim}, got {len(found)}, {len(odd)} of them malformed"
+                    else:
+                        vectors = found
+                except EmbeddingFailed as e:
+                    problem, cause = str(e), repr(e)
+                except Exception as e:  # the caller's function: whatever it raises fails this batch's documents alone
+                    problem, cause = SERVER_ERROR, repr(e)[:1000]
+                out.append((key, n, vectors, problem, cause))
+            yield pd.DataFrame(out, columns=["key", "n", "vectors", "problem", "cause"])
+
+    return batches.select("key", "inputs").mapInPandas(run, f"{LEDGER}, problem string, cause string")
+
+
+def ledger_of(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger at ``path``, empty if there is none yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)
+
+
+def resumed(batches: DataFrame, ledger: str, work: str, embed: EmbedBatch | None = None, dim: int = DIMENSIONS, waves: int = 1) -> DataFrame:
+    """(key, vectors, problem, cause), one row per key of ``batches`` (key, inputs), from the ledger at ``ledger``.
+
+    Batches that the ledger lacks are embedded, equal ones once, and the good ones added
+    to it; failures are in the result alone, so that they are tried again next time.
+    ``waves``: so many parts are written one after the other; what a run has finished
+    when it is stopped is not embedded again.  ``work``: a new folder for this run.
+    """
+    spark = batches.sparkSession
+    todo = batches.join(ledger_of(spark, ledger).select("key"), "key", "left_anti").groupBy("key").agg(F.first("inputs").alias("inputs"))
+    todo.write.parquet(f"{work}/todo")
+    todo = spark.read.schema(todo.schema).parquet(f"{work}/todo")
+    for wave in range(waves):
+        part = todo.where(F.pmod(F.xxhash64("key"), F.lit(waves)) == wave) if waves > 1 else todo
+        got = called(part, embed, dim)
+        got.write.parquet(f"{work}/called/wave={wave}")
+        got = spark.read.schema(got.schema).parquet(f"{work}/called/wave={wave}")
+        got.where("problem IS NULL").select("key", "n", "vectors").write.mode("append").parquet(ledger)
+    failed = spark.read.schema(got.schema).parquet(f"{work}/called").where("problem IS NOT NULL").select("key", "vectors", "problem", "cause")
+    none = F.lit(None).cast("string")
+    asked = batches.select("key").distinct()
+    good = ledger_of(spark, ledger).select("key", "vectors").dropDuplicates(["key"])  # two jobs may have written one key
+    return good.join(asked, "key", "left_semi").select("key", "vectors", none.alias("problem"), none.alias("cause")).unionByName(failed)
+
+
+def ledger_progress(batches: DataFrame, ledger: str, document: str = "document_id") -> DataFrame:
+    """Per document: chunks_total, chunks_embedded, working_until, stage, as the ledger has it; ``batches``: document, key, n."""
+    done = ledger_of(batches.sparkSession, ledger).select("key", F.lit(True).alias("_done")).distinct()
+    n = batches.join(done, "key", "left").groupBy(document).agg(F.sum("n").alias("chunks_total"), F.sum(F.when(F.col("_done"), F.col("n")).otherwise(0)).alias("chunks_embedded"))
+    return n.withColumn("working_until", F.least(F.col("chunks_embedded") + BATCH, "chunks_total")).withColumn("stage", F.when(F.col("chunks_embedded") < F.col("chunks_total"), "embedding").otherwise("saving"))
+
+
 def well_formed(vector: Column | str, dim: int) -> Column:
     v = F.col(vector) if isinstance(vector, str) else vector
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from quillstone.plans import answer_queries, catalog_queries, text_queries, usage_queries  # noqa: E402, F401
+from quillstone.plans import answer_queries, catalog_queries, ingest_queries, text_queries, usage_queries  # noqa: E402, F401

@@ -64,17 +64,6 @@ def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
     return path
 
 
-@query()
-def h4_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents' texts as arriving .txt files, one for each document, ingested to passages with vectors."""
-    d = table(spark, sf_dir, "documents")
-    folder = scratch(spark, "inbox")
-    d.select("text").repartition(max(4, d.count() // 200)).write.option("maxRecordsPerFile", 1).text(folder)
-    store_path, catalog_path = scratch(spark, "store"), scratch(spark, "catalog")
-    streams.stream_ingest(spark, folder, store_path, catalog_path, scratch(spark, "ingest"), dim=64).awaitTermination()
-    return spark.read.parquet(store_path).select("document_id", "chunk_index", "token_estimate", F.size("embedding").alias("dim"))
-
-
 _FOLDED = """SELECT concat(conv_id::VARCHAR, '-', turn::VARCHAR) AS question_id, CASE WHEN (conv_id * 31 + turn) % 7 < 2 THEN 'error' ELSE 'done' END AS phase, ((conv_id * 31 + turn) % 5)::INTEGER AS n_sources,
   CASE WHEN (conv_id * 31 + turn) % 7 < 2 THEN '' ELSE text END AS text, CASE (conv_id * 31 + turn) % 7 WHEN 0 THEN 'The connection closed before the answer finished. Try again.' WHEN 1 THEN 'Try again' END AS message FROM conversations"""
 

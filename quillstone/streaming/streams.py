@@ -2,57 +2,59 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillstone.functions.columns import normalised, passage_input, title
-from quillstone.operators import chunking, embedding, text, usage
+from quillstone.operators import chunking, embedding, ingest, usage
 from quillstone.sources import files, store
 
 RAW = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def ingested(accepted: DataFrame, options: chunking.ChunkOptions = chunking.ChunkOptions(), embed: embedding.EmbedBatch | None = None, dim: int = embedding.DIMENSIONS) -> tuple[DataFrame, DataFrame]:
-    """(passages with vectors, failures) of accepted text files (path, content); the path names the document."""
-    docs = accepted.select(F.col("path").alias("document_id"), normalised(F.col("content").cast("string")).alias("text"))
-    docs, _ = text.with_text(docs)
-    chunks, failures = chunking.capped(chunking.chunks(docs, options))
-    chunks = chunks.withColumn("input", passage_input(title(F.regexp_extract("document_id", r"[^/]*\z", 0)), "content"))
-    return embedding.embedded(chunks, embed, dim=dim).drop("input").where(embedding.well_formed("embedding", dim)), failures
+def arriving_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of a folder as a stream, as they arrive."""
+    return spark.readStream.format("binaryFile").schema(RAW).load(folder)
 
 
-def stream_ingest(spark: SparkSession, folder: str, store_path: str, catalog_path: str, checkpoint: str, embed: embedding.EmbedBatch | None = None, dim: int = embedding.DIMENSIONS) -> StreamingQuery:
-    """Ingest files as they arrive; a repeated batch replaces its documents' passages and its catalog rows, and is safe.
+def file_name(path: str = "path") -> Column:
+    return F.regexp_extract(path, r"[^/]*\z", 0)
 
-    The catalog rows (document_id, status, error_message) are written last, those of a
-    batch into a folder of their own.  A batch without a readable text is no special
-    case.  The text of an accepted PDF comes from elsewhere, so it is still processing.
+
+def stream_ingest(
+    arriving: DataFrame, store_path: str, catalog_path: str, checkpoint: str, options: chunking.ChunkOptions = chunking.ChunkOptions(), embed: embedding.EmbedBatch | None = None, dim: int = embedding.DIMENSIONS, ledger: str | None = None, model: str = "default", limit: int = chunking.MAX_CHUNKS
+) -> StreamingQuery:
+    """Ingest files (path, length, content) as they arrive; the path names the document.
+
+    A batch's passages are published at once, and those that its failed documents had
+    before go in the same step; its catalog rows (document_id, status, error_message,
+    cause, chunks_total, chunks_embedded) follow, in a folder of their own.  A repeated
+    batch publishes nothing twice and writes its catalog rows again.  A batch without a
+    readable text is no special case.  The text of an accepted PDF comes from elsewhere,
+    so it is still processing.
     """
+    spark = arriving.sparkSession
 
     def batch(df: DataFrame, number: int) -> None:
+        work = f"{store_path.rstrip('/')}_batches/{uuid.uuid4().hex}"
         judged = files.judged(df)
-        passages, failures = ingested(judged.where("kind = 'text'"), embed=embed, dim=dim)
-        staged = f"{store_path.rstrip('/')}_batches/{number}"
-        passages.write.mode("overwrite").parquet(staged)
-        passages = spark.read.schema(passages.schema).parquet(staged)
-        store.write_replaced(spark, store_path, passages)
-        done = passages.select("document_id").distinct().withColumn("_done", F.lit(True))
-        rows = judged.select(F.col("path").alias("document_id"), "reject_reason", "kind").join(done, "document_id", "left")
-        rows = rows.join(failures.withColumnRenamed("error_message", "_failure"), "document_id", "left")
-        waiting = F.coalesce(F.col("kind") == "pdf", F.lit(False))
-        message = F.coalesce("reject_reason", "_failure", F.when(F.col("_done").isNull() & ~waiting, text.NO_TEXT))
-        status = F.when(message.isNotNull(), "failed").when(waiting, "processing").otherwise("ready")
-        rows.select("document_id", status.alias("status"), message.alias("error_message")).write.mode("overwrite").parquet(f"{catalog_path.rstrip('/')}/batch={number}")
-        folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
+        accepted = judged.where("kind = 'text'").select(F.col("path").alias("document_id"), file_name().alias("filename"), F.col("content").cast("string").alias("text"))
+        got = ingest.ingested(ingest.text_documents(accepted), work, options, embed, dim, ledger, model, limit)
+        refused = judged.where("reject_reason IS NOT NULL").select(F.col("path").alias("document_id"), F.lit("failed").alias("status"), F.col("reject_reason").alias("error_message"))
+        waiting = judged.where("kind = 'pdf'").select(F.col("path").alias("document_id"), F.lit("processing").alias("status"), F.lit(None).cast("string").alias("error_message"))
+        rows = got.outcomes.unionByName(refused.unionByName(waiting), allowMissingColumns=True)
+        failed = rows.where("status = 'failed'").select("document_id")
+        store.write_replaced(spark, store_path, got.passages, removed=failed, writer=(checkpoint, number))
+        rows.write.mode("overwrite").parquet(f"{catalog_path.rstrip('/')}/batch={number}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(work)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
-    source = spark.readStream.format("binaryFile").schema(RAW).load(folder)
-    return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def request_rates(events: DataFrame, seconds: int, limit: int, late: str = "1 hour") -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions import columns as C
-from quillstone.operators import answers, catalog, chunking, embedding, flow, retrieval, text, usage
+from quillstone.operators import answers, catalog, chunking, embedding, flow, ingest, retrieval, text, usage
 from quillstone.plans import registry
 from quillstone.sources import files, store
 from quillstone.streaming import streams
@@ -262,13 +262,52 @@ def test_files_are_judged(spark):
 
 def test_store_replaces_whole_documents(spark, tmp_path):
     path = str(tmp_path / "store")
+    assert store.read_store(spark, path) is None
     first = spark.createDataFrame([(d, i, f"old {d} {i}") for d in range(20) for i in range(3)], "document_id int, chunk_index int, content string")
-    store.write_replaced(spark, path, first)
+    assert store.write_replaced(spark, path, first) == 0
     again = spark.createDataFrame([(3, 0, "new"), (30, 0, "new")], first.schema)
-    for _ in range(2):
-        store.write_replaced(spark, path, again)
-    got = spark.read.parquet(path)
-    assert got.count() == 59 and values(got.where("document_id = 3").select("content")) == [("new",)]
+    for number in (1, 2):
+        assert store.write_replaced(spark, path, again, removed=spark.createDataFrame([(4,), (99,)], "document_id int")) == number
+        got = store.read_store(spark, path)
+        assert got.count() == 56 and values(got.where("document_id = 3").select("content")) == [("new",)] and got.where("document_id = 4").count() == 0
+    assert store.read_store(spark, path, version=0).count() == 60
+    assert store.write_replaced(spark, path, again.limit(0), removed=first) == 3 and store.read_store(spark, path).where("document_id < 20").count() == 0
+    store.forget(spark, path, keep=1)
+    assert store.versions(spark, path) == [3] and store.read_store(spark, path).count() == 1
+
+
+def test_a_write_that_is_killed_leaves_the_store_as_it_was(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    rows = spark.createDataFrame([(d, "old") for d in range(40)], "document_id int, content string")
+    store.write_replaced(spark, path, rows)
+    with monkeypatch.context() as m:  # all buckets are written, the manifest is not
+        m.setattr(store, "publish", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            store.write_replaced(spark, path, rows.withColumn("content", F.lit("new")))
+    assert {r.content for r in store.read_store(spark, path).collect()} == {"old"}
+    store.write_replaced(spark, path, rows.limit(1).withColumn("content", F.lit("new")))
+    assert store.read_store(spark, path).where("content = 'new'").count() == 1 and store.read_store(spark, path).count() == 40
+
+
+def test_a_second_writer_on_the_same_base_is_refused(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    rows = spark.createDataFrame([(1, "a")], "document_id int, content string")
+    store.write_replaced(spark, path, rows)
+    with pytest.raises(store.Superseded):
+        store.write_replaced(spark, path, rows, base=-1)
+    publish = store.publish
+
+    def late(spark_, path_, version, content):
+        publish(spark_, path_, version, content | {"writers": {"other": 1}})  # another one is faster
+        publish(spark_, path_, version, content)
+
+    monkeypatch.setattr(store, "publish", late)
+    with pytest.raises(store.Superseded):
+        store.write_replaced(spark, path, rows, base=0)
+    monkeypatch.undo()
+    assert store.versions(spark, path) == [0, 1] and store.manifest(spark, path, 1)["writers"] == {"other": 1}
+    assert store.write_replaced(spark, path, rows, writer=("me", 5)) == 2 == store.write_replaced(spark, path, rows.limit(0), removed=rows, writer=("me", 5))
+    assert store.read_store(spark, path).count() == 1
 
 
 def test_jobs_open_at_once(spark):
@@ -339,50 +378,128 @@ def test_a_streamed_result_keeps_the_last_row_of_each_key(spark, tmp_path):
     assert [(r.question_id, sorted(r.text)) for r in out.collect()] == [("a", ["x", "y"])]
 
 
+def ingest_folder(spark, tmp_path, turn=0, **options):
+    """Catalog rows by file name, and the store."""
+    paths = [str(tmp_path / x) for x in ("store", "catalog", f"checkpoint{turn}")]
+    streams.stream_ingest(streams.arriving_files(spark, str(tmp_path / "in")), *paths, dim=8, **options).awaitTermination()
+    rows = spark.read.parquet(paths[1]).collect()
+    return {r.document_id.rsplit("/", 1)[1]: (r.status, r.error_message) for r in rows}, store.read_store(spark, paths[0])
+
+
 def test_files_are_ingested_as_they_arrive(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("One sentence. Another one.\n\nA paragraph.")
     (tmp_path / "in" / "b.docx").write_text("x")
     (tmp_path / "in" / "c.txt").write_text("***")
-    paths = [str(tmp_path / x) for x in ("in", "store", "catalog", "checkpoint")]
-    streams.stream_ingest(spark, *paths, dim=8).awaitTermination()
-    got = spark.read.parquet(paths[1]).collect()
-    assert [(r.chunk_index, r.content, len(r.embedding)) for r in got] == [(0, "One sentence. Another one.\n\nA paragraph.", 8)]
-    status = {r.document_id.rsplit("/", 1)[1]: (r.status, r.error_message) for r in spark.read.parquet(paths[2]).collect()}
+    status, kept = ingest_folder(spark, tmp_path)
+    assert [(r.chunk_index, r.content, len(r.embedding)) for r in kept.collect()] == [(0, "One sentence. Another one.\n\nA paragraph.", 8)]
     assert status == {"a.txt": ("ready", None), "b.docx": ("failed", files.UNSUPPORTED), "c.txt": ("failed", text.NO_TEXT)}
 
 
-def test_a_too_large_file_is_refused_alone_and_with_its_message(spark, tmp_path, monkeypatch):
-    capped = chunking.capped
-    monkeypatch.setattr(chunking, "capped", lambda chunks: capped(chunks, 1))
+def test_a_too_large_file_is_refused_alone_and_with_its_message(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("One sentence.")
     (tmp_path / "in" / "b.txt").write_text("A sentence of some words. " * 400)
-    paths = [str(tmp_path / x) for x in ("in", "store", "catalog", "checkpoint")]
-    streams.stream_ingest(spark, *paths, dim=8).awaitTermination()
-    status = {r.document_id.rsplit("/", 1)[1]: (r.status, r.error_message) for r in spark.read.parquet(paths[2]).collect()}
+    status, _ = ingest_folder(spark, tmp_path, limit=1)
     assert status["a.txt"] == ("ready", None)
     assert status["b.txt"][0] == "failed" and status["b.txt"][1].startswith("Document is too large to process")
 
 
-def test_streamed_ingestion_has_a_file_for_each_document(spark):
-    sf = "/root/testdata/sf0.001"
-    texts = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("document_id"), C.normalised("text").alias("text"))
-    docs, _ = text.with_text(texts)
-    n = chunking.chunks(docs).select("document_id").distinct().count()
-    assert registry.QUERIES["h4_stream_ingest"](spark, sf).select("document_id").distinct().count() == n > 100
+def test_a_document_with_a_bad_vector_is_failed_as_a_whole_and_loses_its_older_passages(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("Fine words. " * 400)
+    (tmp_path / "in" / "b.txt").write_text("Other words. " * 400)
+    words, small = embedding.hashed_words(8), chunking.ChunkOptions(50, 60, 5, 10)
+    _, kept = ingest_folder(spark, tmp_path, options=small)
+    assert kept.select("document_id").distinct().count() == 2
+
+    def embed(texts):
+        return [[float("nan")] * 8 if "last" in t else v for t, v in zip(texts, words(texts), strict=True)]
+
+    (tmp_path / "in" / "a.txt").write_text("Fine words. " * 400 + "The last sentence.")
+    status, kept = ingest_folder(spark, tmp_path, 1, options=small, embed=embed)
+    assert status == {"a.txt": ("failed", embedding.BAD_RESPONSE), "b.txt": ("ready", None)}
+    assert {r.document_id.rsplit("/", 1)[1] for r in kept.collect()} == {"b.txt"}
+
+
+def documents_with(spark, *bodies):
+    return ingest.text_documents(spark.createDataFrame([(i, f"f_{i}.txt", b) for i, b in enumerate(bodies)], "document_id int, filename string, text string"))
+
+
+def test_each_failure_has_its_message_and_cause(spark, tmp_path):
+    words = embedding.hashed_words(8)
+
+    def embed(texts):
+        if any("busy" in t for t in texts):
+            raise embedding.EmbeddingFailed("Busy, try again")
+        if any("crash" in t for t in texts):
+            raise KeyError("inner detail")
+        out = words(texts)
+        if any("few" in t for t in texts):
+            return out[1:]
+        return [v[1:] if "short" in t else [None] * 8 if "null" in t else [float("inf")] * 8 if "inf" in t else v for t, v in zip(texts, out, strict=True)]
+
+    docs = documents_with(spark, "good", None, "--- ***", "busy", "crash", "few", "short", "null", "inf", "good")
+    got = ingest.ingested(docs, str(tmp_path / "w"), embed=embed, dim=8)
+    told = {r.document_id: (r.status, r.error_message) for r in got.outcomes.collect()}
+    bad = ("failed", embedding.BAD_RESPONSE)
+    assert told == {0: ("ready", None), 1: ("failed", text.NO_TEXT), 2: ("failed", text.NO_TEXT), 3: ("failed", "Busy, try again"), 4: ("failed", embedding.SERVER_ERROR), 5: bad, 6: bad, 7: bad, 8: bad, 9: ("ready", None)}
+    causes = {r.document_id: r.cause for r in got.failed().collect()}
+    assert "inner detail" in causes[4] and causes[5] == "expected 1 vectors of 8, got 0, 0 of them malformed" and causes[6].endswith("got 1, 1 of them malformed")
+    assert values(got.passages.select("document_id", "content")) == [(0, "good"), (9, "good")]
+    none = ingest.ingested(docs.limit(0), str(tmp_path / "none"), embed=embed, dim=8)
+    assert none.passages.count() == none.outcomes.count() == 0
+
+
+def test_passages_meet_their_own_vectors(spark, tmp_path):
+    bodies = [" ".join(f"Sentence {d}-{i} is here." for i in range(300)) for d in range(3)]
+    got = ingest.ingested(documents_with(spark, *bodies), str(tmp_path / "w"), chunking.ChunkOptions(8, 12, 1, 2), dim=16)
+    rows, embed = got.passages.collect(), embedding.hashed_words(16)
+    assert len(rows) > 600 and all(r.embedding == embed([f"title: f {r.document_id} | text: {r.content}"])[0] for r in rows)
+    assert sorted((r.document_id, r.chunk_index) for r in rows) == sorted((r.document_id, r.chunk_index) for r in chunking.chunks(documents_with(spark, *bodies), chunking.ChunkOptions(8, 12, 1, 2)).collect())
+
+
+def test_embedding_resumes_where_it_stopped(spark, tmp_path):
+    """The function fails half way; the second run calls it for the rest alone."""
+    calls = spark.sparkContext.accumulator(0)
+    words = embedding.hashed_words(8)
+
+    def failing(texts):
+        if any(f"Doc{i} " in t for t in texts for i in range(5)):
+            raise ValueError("down")
+        return words(texts)
+
+    def counted(texts):
+        calls.add(len(texts))
+        return words(texts)
+
+    docs, ledger = documents_with(spark, *[f"Doc{i} has words." for i in range(10)]), str(tmp_path / "ledger")
+    first = ingest.ingested(docs, str(tmp_path / "a"), embed=failing, dim=8, ledger=ledger, waves=3)
+    assert first.failed().count() == 5
+    assert values(embedding.ledger_progress(first.batches, ledger).select("document_id", "chunks_embedded", "stage")) == [(i, int(i > 4), "saving" if i > 4 else "embedding") for i in range(10)]
+    second = ingest.ingested(docs, str(tmp_path / "b"), embed=counted, dim=8, ledger=ledger)
+    assert calls.value == 5 and second.failed().count() == 0 and second.passages.count() == 10
+    third = ingest.ingested(docs, str(tmp_path / "c"), embed=counted, dim=8, ledger=ledger)
+    assert third.passages.count() == 10 and calls.value == 5
+    other = ingest.ingested(docs, str(tmp_path / "d"), embed=counted, dim=8, ledger=ledger, model="another")
+    assert other.passages.count() == 10 and calls.value == 15
+
+
+def test_page_texts_are_ingested_with_the_vocabulary_of_the_document(spark, tmp_path):
+    pages = spark.createDataFrame([(1, 1, "All infor-\nmation here is"), (1, 2, "information."), (2, 1, " "), (2, 2, None)], "document_id int, page_no int, text string")
+    names = spark.createDataFrame([(1, "a.pdf"), (2, "scan.pdf"), (3, "none.pdf")], "document_id int, filename string")
+    got = ingest.ingested(ingest.page_documents(pages, names), str(tmp_path / "w"), dim=8)
+    assert values(got.passages.select("content")) == [("All information here is information.",)]
+    assert values(got.failed().select("document_id", "error_message")) == [(2, ingest.NO_PDF_TEXT), (3, ingest.NO_PDF_TEXT)]
 
 
 def test_a_batch_without_a_text_file_is_ingested(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.pdf").write_bytes(b"%PDF-1.4 x")
     (tmp_path / "in" / "b.docx").write_text("x")
-    paths = [str(tmp_path / x) for x in ("in", "store", "catalog", "checkpoint")]
-    for _ in range(2):  # the second time as a repeated batch
-        streams.stream_ingest(spark, *paths[:3], str(tmp_path / f"checkpoint{_}"), dim=8).awaitTermination()
-    rows = spark.read.parquet(paths[2]).collect()
-    assert {r.document_id.rsplit("/", 1)[1]: (r.status, r.error_message) for r in rows} == {"a.pdf": ("processing", None), "b.docx": ("failed", files.UNSUPPORTED)}
-    assert len(rows) == 2
+    for turn in range(2):  # the second time as a repeated batch
+        status, kept = ingest_folder(spark, tmp_path, turn)
+        assert status == {"a.pdf": ("processing", None), "b.docx": ("failed", files.UNSUPPORTED)} and kept.count() == 0
 
 
 def test_several_failures_of_a_document_leave_one_row(spark):
