@@ -10,8 +10,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_OPEN = 3
-BACKSTOP_MINUTES = 30
 #: Fixed text.
 DROPPED = "The connection closed before the answer finished. Try again."
 
@@ -58,29 +56,6 @@ def chained(events: DataFrame, policies: tuple[Policy, ...], key: str = "user_id
     return passed.withColumn("blocked_by", F.lit(None).cast("int")).unionByName(blocked)
 
 
-def concurrent(jobs: DataFrame, cap: int = MAX_OPEN, backstop: int = BACKSTOP_MINUTES) -> DataFrame:
-    """Per job: how many jobs of its user, and of its day overall, are open once it has started; ``over_cap`` flags.
-
-    ``jobs``: job_id, user_id, start_ts, end_ts (null: never closed).  A job is closed
-    after ``backstop`` minutes at the latest.  An end and a start at one moment: the end
-    comes first.  The overall count runs within days, so that it is not one task's
-    work; a job that is open across midnight counts in both days.
-    """
-    last = F.col("start_ts") + F.make_dt_interval(mins=F.lit(backstop))
-    rows = jobs.withColumn("_end", F.least(F.coalesce("end_ts", last), last))
-    starts = rows.select("job_id", "user_id", F.col("start_ts").alias("at"), F.lit(1).alias("step"), F.to_date("start_ts").alias("day"))
-    ends = rows.select("job_id", "user_id", F.col("_end").alias("at"), F.lit(-1).alias("step"), F.to_date("start_ts").alias("day"))
-    over = rows.where(F.to_date("_end") > F.to_date("start_ts"))
-    carried = over.select(F.lit(None).cast("long").alias("job_id"), "user_id", F.to_date("_end").cast("timestamp_ntz").alias("at"), F.lit(1).alias("step"), F.to_date("_end").alias("day"))
-    closed = over.select(F.lit(None).cast("long").alias("job_id"), "user_id", F.col("_end").alias("at"), F.lit(-1).alias("step"), F.to_date("_end").alias("day"))
-    of_day = Window.partitionBy("day").orderBy("at", "step", "job_id").rowsBetween(Window.unboundedPreceding, 0)
-    of_user = Window.partitionBy("user_id").orderBy("at", "step", "job_id").rowsBetween(Window.unboundedPreceding, 0)
-    total = starts.unionByName(ends).unionByName(carried).unionByName(closed).withColumn("open_total", F.sum("step").over(of_day)).where("step = 1 AND job_id IS NOT NULL").select("job_id", "open_total")
-    mine = starts.unionByName(ends).withColumn("open_user", F.sum("step").over(of_user)).where("step = 1").select("job_id", "user_id", "open_user")
-    out = mine.join(total, "job_id")
-    return out.withColumn("over_user_cap", F.col("open_user") > cap).withColumn("over_total_cap", F.col("open_total") > cap)
-
-
 def folded_answer_events(events: DataFrame) -> DataFrame:
     """Per question the state after its ordered events (question_id, seq, event, data as JSON).
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.operators import admission
 from quillstone.operators import usage as H
 from quillstone.plans import views as V
 from quillstone.plans.registry import query
@@ -30,13 +31,16 @@ def h2_chained_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.chained(table(spark, sf_dir, "events"), (HOUR, DAY)).select("event_id", "blocked_by")
 
 
-@query("""WITH j AS (SELECT event_id AS job_id, user_id, ts AS start_ts, CASE WHEN event_id % 5 <> 0 THEN ts + to_minutes(1 + event_id % 60) END AS end_ts FROM events),
-  c AS (SELECT job_id, user_id, start_ts, least(coalesce(end_ts, start_ts + INTERVAL 30 MINUTE), start_ts + INTERVAL 30 MINUTE) AS stop FROM j),
-  o AS (SELECT a.job_id, a.user_id, count(*) AS open_total, count(CASE WHEN b.user_id = a.user_id THEN 1 END) AS open_user FROM c a JOIN c b ON (b.start_ts < a.start_ts OR (b.start_ts = a.start_ts AND b.job_id <= a.job_id)) AND b.stop > a.start_ts GROUP BY 1, 2)
-  SELECT job_id, user_id, open_user, open_total, open_user > 3 AS over_user_cap, open_total > 3 AS over_total_cap FROM o""")
+#: Each start in order, with the list of slots that are held: those that have ended are dropped, then the limits are looked at.
+@query("""WITH RECURSIVE j AS MATERIALIZED (SELECT event_id AS job_id, user_id, ts AS start_ts, least(CASE WHEN event_id % 5 <> 0 THEN ts + to_minutes(1 + event_id % 60) ELSE ts + INTERVAL 30 MINUTE END, ts + INTERVAL 30 MINUTE) AS stop, row_number() OVER (ORDER BY ts, event_id) AS k FROM events),
+  steps AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS job_id, NULL::BIGINT AS user_id, []::STRUCT(u BIGINT, stop TIMESTAMP)[] AS slots, NULL::VARCHAR AS reason
+  UNION ALL SELECT k, job_id, user_id, CASE WHEN why IS NULL THEN list_append(live, {'u': user_id, 'stop': stop}) ELSE live END, why FROM
+    (SELECT *, CASE WHEN len(list_filter(live, lambda x: x.u = user_id)) >= 3 THEN 'user' WHEN len(live) >= 3 THEN 'server' END AS why FROM
+      (SELECT j.*, list_filter(s.slots, lambda x: x.stop > j.start_ts) AS live FROM steps s JOIN j ON j.k = s.k + 1)))
+  SELECT job_id, user_id, reason IS NULL AS admitted, reason, CASE reason WHEN 'user' THEN 30 WHEN 'server' THEN 60 END AS retry_after, len(list_filter(slots, lambda x: x.u = user_id))::INTEGER AS open_user, len(slots)::INTEGER AS open_total FROM steps WHERE k > 0""")
 def h3_concurrent_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), "user_id", F.col("ts").alias("start_ts"), F.expr("CASE WHEN event_id % 5 <> 0 THEN ts + make_dt_interval(0, 0, cast(1 + event_id % 60 as int), 0) END").alias("end_ts"))
-    return H.concurrent(jobs).select("job_id", "user_id", "open_user", "open_total", "over_user_cap", "over_total_cap")
+    return admission.admitted(jobs, scratch(spark, "admission"))
 
 
 _RATES = "SELECT date_trunc('hour', ts) AS window_start, user_id, count(*) AS n, count(*) > 2 AS over_limit FROM events GROUP BY 1, 2"

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions import columns as C
-from quillstone.operators import answers, catalog, chunking, embedding, flow, ingest, retrieval, text, usage
+from quillstone.operators import admission, answers, catalog, chunking, embedding, flow, ingest, retrieval, text, usage
 from quillstone.plans import registry
 from quillstone.sources import files, store
 from quillstone.streaming import streams
@@ -310,11 +310,43 @@ def test_a_second_writer_on_the_same_base_is_refused(spark, tmp_path, monkeypatc
     assert store.read_store(spark, path).count() == 1
 
 
-def test_jobs_open_at_once(spark):
+def test_refused_starts_take_no_slot(spark, tmp_path):
     t = lambda m: dt.datetime(2024, 1, 1, 23, 0) + dt.timedelta(minutes=m)
-    jobs = spark.createDataFrame([(1, 7, t(0), None), (2, 7, t(1), t(2)), (3, 7, t(2), t(100)), (4, 8, t(40), t(70)), (5, 7, t(61), t(65))], "job_id long, user_id int, start_ts timestamp_ntz, end_ts timestamp_ntz")
-    got = {r.job_id: (r.open_user, r.open_total) for r in usage.concurrent(jobs).collect()}
-    assert got == {1: (1, 1), 2: (2, 2), 3: (2, 2), 4: (1, 1), 5: (1, 2)}
+    rows = [(i, 7, t(0), None) for i in range(5)] + [(5, 8, t(1), t(3)), (6, 7, t(30), t(31)), (7, 8, t(30), t(20)), (8, 9, t(30), t(90)), (9, None, t(30), t(32)), (10, 9, t(31), t(32)), (11, 9, None, t(40))]
+    jobs = spark.createDataFrame(rows, "job_id long, user_id int, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    got = {r.job_id: (r.reason, r.retry_after, r.open_user, r.open_total) for r in admission.admitted(jobs, str(tmp_path / "w")).collect()}
+    assert got == {
+        0: (None, None, 1, 1), 1: (None, None, 2, 2), 2: (None, None, 3, 3), 3: ("user", 30, 3, 3), 4: ("user", 30, 3, 3), 5: ("server", 60, 0, 3),
+        6: (None, None, 1, 1), 7: (None, None, 1, 2), 8: (None, None, 1, 2), 9: (None, None, 1, 3), 10: (None, None, 2, 3),
+    }
+    assert admission.admitted(jobs.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def decided_in_order(rows, per_user, per_server, backstop):
+    held, out = [], {}
+    for job, user, start, end in sorted(rows, key=lambda r: (r[2], r[0])):
+        held = [(u, e) for u, e in held if e > start]
+        mine = sum(u == user for u, _ in held)
+        reason = "user" if mine >= per_user else "server" if len(held) >= per_server else None
+        if not reason:
+            limit = start + dt.timedelta(minutes=backstop)
+            held.append((user, min(end or limit, limit)))
+        out[job] = (reason, sum(u == user for u, _ in held), len(held))
+    return out
+
+
+@pytest.mark.parametrize("per_user, per_server, stretch, every", [(1, 3, 30, 40), (3, 3, 45, 240), (2, 50, 60, 20), (1, 2, 30, 600)])
+def test_stretches_side_by_side_decide_as_one_fold(spark, tmp_path, per_user, per_server, stretch, every):
+    """Logs with no pause at all, and with pauses; slots that are held over the cuts."""
+    import random
+
+    draw = random.Random(every)
+    start = lambda: dt.datetime(2024, 1, 1, 12) + dt.timedelta(seconds=draw.randrange(0, 600 * every))
+    rows = [(i, draw.randrange(5), s := start(), draw.choice([None, s + dt.timedelta(seconds=draw.randrange(0, 3000))])) for i in range(600)]
+    jobs = spark.createDataFrame(rows, "job_id long, user_id int, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    got = admission.admitted(jobs, str(tmp_path / "w"), per_user, per_server, 30, stretch).collect()
+    assert {r.job_id: (r.reason, r.open_user, r.open_total) for r in got} == decided_in_order(rows, per_user, per_server, 30)
+    assert all(r.user_id == rows[r.job_id][1] and r.admitted == (r.reason is None) for r in got)
 
 
 def test_limits_chain(spark):
