@@ -155,23 +155,47 @@ def transfer_ownership(users: DataFrame, accounts: DataFrame, documents: DataFra
 
 
 def resolve_users(identities: DataFrame, users: DataFrame, accounts: DataFrame) -> dict[str, DataFrame]:
-    """Users and accounts after sign-ins: known account, else known email (linked), else a new user.
-
-    New users get an id made from their email, so sign-ins that arrive together give one
-    user.  Of several sign-ins of a user the last by (provider, provider_account_id)
-    sets name and photo.
+    """Users and accounts after sign-ins in the order of ``seq``: known account, else known email (linked), else a new user.
+
+    ``identities``: seq, provider, provider_account_id, email, name, image.  An account
+    keeps the user of its first sign-in, whatever emails it comes with later, and a
+    user's email never changes; so of each new account only the first sign-in looks at
+    an email, and of each new email only the first such sign-in makes a user.  That
+    needs no fold: two smallest rows, each aggregated before it is shuffled.  New users
+    get an id made from their email, so sign-ins that arrive together give one user.
+    Every sign-in sets its user's name and photo; the last one stays.
+
+    ``resolved``: per sign-in user_id and how (matched, linked, created); ``users`` with
+    ``changed``; ``accounts``: one row per (provider, provider_account_id).
+
+    Defined cases: sign-ins of one ``seq`` come by provider, account, email, name and
+    photo, and equal ones count as one; a null email is known to nobody, and makes a
+    user of its account's; several users of one email (there should be none) count as
+    the one of the smallest id; several rows of one account likewise.
     """
-    by_account = accounts.select("provider", "provider_account_id", F.col("user_id").alias("_a"))
-    by_email = users.select("email", F.col("user_id").alias("_e"))
-    rows = identities.join(by_account, ["provider", "provider_account_id"], "left").join(by_email, "email", "left")
-    rows = rows.withColumn("user_id", F.coalesce("_a", "_e", F.concat(F.lit("u-"), F.left(F.sha2("email", 256), F.lit(16)))))
-    how = F.when(F.col("_a").isNotNull(), "matched").when(F.col("_e").isNotNull(), "linked").otherwise("created")
-    rows = rows.withColumn("how", how).drop("_a", "_e")
-    last = Window.partitionBy("user_id").orderBy(F.desc("provider"), F.desc("provider_account_id"))
-    profile = rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").select("user_id", F.col("email").alias("_email"), F.col("name").alias("_name"), F.col("image").alias("_image"), F.lit(True).alias("_seen"))
+    account, order = ["provider", "provider_account_id"], ["seq", "provider", "provider_account_id", "email", "name", "image"]
+    own = F.concat_ws("\x1f", F.lit(""), *account)  # stands for an email where there is none
+    by_account = accounts.groupBy(*account).agg(F.min("user_id").alias("_a"))
+    by_email = users.where("email IS NOT NULL").groupBy("email").agg(F.min("user_id").alias("_e"))
+    rows = identities.select(*order).withColumn("_at", F.struct(*order))
+
+    first = rows.groupBy(*account).agg(F.min("_at").alias("_first")).join(by_account, account, "left")
+    new = first.where("_a IS NULL").withColumn("email", F.col("_first.email")).withColumn("_mail", F.coalesce("email", own)).join(by_email, "email", "left")
+    makers = new.groupBy("_mail").agg(F.min("_first").alias("_maker"))
+    new = new.join(makers, "_mail").withColumn("user_id", F.coalesce("_e", F.concat(F.lit("u-"), F.left(F.sha2("_mail", 256), F.lit(16)))))
+    how = F.when(F.col("_e").isNotNull() | (F.col("_first") != F.col("_maker")), "linked").otherwise("created")
+    told = first.where("_a IS NOT NULL").select(*account, "_first", F.col("_a").alias("user_id"), F.lit("matched").alias("_how")).unionByName(new.select(*account, "_first", "user_id", how.alias("_how")))
+
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in account]
+    joined = rows.alias("r").join(told.alias("t"), same[0] & same[1])
+    resolved = joined.select(*[F.col(f"r.{c}").alias(c) for c in order], "user_id", F.when(F.col("r._at") == F.col("t._first"), F.col("_how")).otherwise("matched").alias("how"))
+
+    made = new.where(how == "created").groupBy("user_id").agg(F.min("email").alias("_email"))
+    seen = resolved.groupBy("user_id").agg(F.max(F.struct(*order)).alias("_last")).join(made, "user_id", "left")
+    profile = seen.select("user_id", "_email", F.col("_last.name").alias("_name"), F.col("_last.image").alias("_image"), F.lit(True).alias("_seen"))
     merged = users.join(profile, "user_id", "full")
-    seen = F.coalesce("_seen", F.lit(False))
-    changed = seen & (~F.col("name").eqNullSafe(F.col("_name")) | ~F.col("image").eqNullSafe(F.col("_image")))
-    out = merged.select("user_id", F.coalesce("email", "_email").alias("email"), F.when(seen, F.col("_name")).otherwise(F.col("name")).alias("name"), F.when(seen, F.col("_image")).otherwise(F.col("image")).alias("image"), changed.alias("changed"))
-    linked = accounts.select("user_id", "provider", "provider_account_id").unionByName(rows.select("user_id", "provider", "provider_account_id")).distinct()
-    return {"resolved": rows, "users": out, "accounts": linked}
+    is_seen = F.coalesce("_seen", F.lit(False))
+    changed = is_seen & (~F.col("name").eqNullSafe(F.col("_name")) | ~F.col("image").eqNullSafe(F.col("_image")))
+    after = merged.select("user_id", F.coalesce("email", "_email").alias("email"), F.when(is_seen, F.col("_name")).otherwise(F.col("name")).alias("name"), F.when(is_seen, F.col("_image")).otherwise(F.col("image")).alias("image"), changed.alias("changed"))
+    linked = accounts.groupBy(*account).agg(F.min("user_id").alias("user_id")).unionByName(new.select(*account, "user_id"))
+    return {"resolved": resolved, "users": after, "accounts": linked.select("user_id", *account)}

@@ -130,31 +130,49 @@ def g12_transfer_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.transfer_ownership(users, accounts, docs, answers, "src1", "src2")["counts"]
 
 
-#: Customers sign in: known accounts, known emails with another provider, and new people (two accounts at once).
+#: Customers sign in, in an order that mixes them: known accounts, known emails with another provider, new people with two
+#: accounts, and accounts that come back under the email of another customer, before or after that customer is known.
 _EMAIL = "concat(lower(replace(c_name, '#', '.')), '@example.org')"
-
-
-@query(f"""WITH c AS (SELECT c_custkey AS k, {_EMAIL} AS email, c_name AS name FROM customer),
+_OTHER = "concat('customer.', lpad(cast((c_custkey * 7) % 150 + 1 as {text}), 9, '0'), '@example.org')"
+_SIGN_INS = f"""c AS (SELECT c_custkey AS k, {_EMAIL} AS email, {_OTHER.format(text='varchar')} AS other, c_name AS name FROM customer),
   users AS (SELECT concat('old-', k::VARCHAR) AS user_id, email, name, NULL::VARCHAR AS image FROM c WHERE k % 3 <> 0),
   accounts AS (SELECT concat('old-', k::VARCHAR) AS user_id, 'google' AS provider, k::VARCHAR AS pid FROM c WHERE k % 3 = 1),
-  ids AS (SELECT 'google' AS provider, k::VARCHAR AS pid, email, CASE WHEN k % 2 = 0 THEN name ELSE upper(name) END AS name, 'p.png' AS image FROM c UNION ALL SELECT 'mail', k::VARCHAR, email, name, 'p.png' FROM c WHERE k % 6 = 0)
-  SELECT i.provider, i.pid AS provider_account_id, coalesce(a.user_id, u.user_id, 'u-' || left(sha256(i.email), 16)) AS user_id, CASE WHEN a.user_id IS NOT NULL THEN 'matched' WHEN u.user_id IS NOT NULL THEN 'linked' ELSE 'created' END AS how
-  FROM ids i LEFT JOIN accounts a ON a.provider = i.provider AND a.pid = i.pid LEFT JOIN users u ON u.email = i.email""")
+  ids AS (SELECT (k * 37) % 101 AS seq, 'google' AS provider, k::VARCHAR AS pid, email, CASE WHEN k % 2 = 0 THEN name ELSE upper(name) END AS name, 'p.png' AS image FROM c
+    UNION ALL SELECT (k * 53) % 97, 'mail', k::VARCHAR, email, name, 'p.png' FROM c WHERE k % 6 = 0 UNION ALL SELECT (k * 29) % 103, 'google', k::VARCHAR, other, name, NULL FROM c WHERE k % 5 < 2),
+  numbered AS (SELECT *, row_number() OVER (ORDER BY seq, provider, pid, email, name, image NULLS FIRST) AS n FROM ids),
+  firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY provider, pid ORDER BY n) AS nth FROM numbered) x WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM accounts a WHERE a.provider = x.provider AND a.pid = x.pid))"""
+#: Of the first sign-ins of new accounts, in order, each looks at the emails of known users and of those made before it.
+_WHO = """new AS (SELECT f.provider, f.pid, f.n, f.email, u.user_id AS old, row_number() OVER (PARTITION BY f.email ORDER BY f.n) AS place FROM firsts f LEFT JOIN users u ON u.email = f.email),
+  who AS (SELECT provider, pid, user_id, NULL::BIGINT AS n, 'matched' AS how, NULL::VARCHAR AS email FROM accounts UNION ALL
+    SELECT provider, pid, coalesce(old, 'u-' || left(sha256(email), 16)), n, CASE WHEN old IS NOT NULL OR place > 1 THEN 'linked' ELSE 'created' END, email FROM new),
+  resolved AS (SELECT i.*, w.user_id, CASE WHEN w.n = i.n THEN w.how ELSE 'matched' END AS how FROM numbered i JOIN who w ON w.provider = i.provider AND w.pid = i.pid)"""
+
+
+@query(f"WITH {_SIGN_INS}, {_WHO} SELECT seq, provider, pid AS provider_account_id, email, user_id, how FROM resolved")
 def g13_resolve_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resolved(spark, sf_dir)["resolved"].select("provider", "provider_account_id", "user_id", "how")
+    return _resolved(spark, sf_dir)["resolved"].select("seq", "provider", "provider_account_id", "email", "user_id", "how")
 
 
-@query(f"""WITH c AS (SELECT c_custkey AS k, {_EMAIL} AS email, c_name AS name FROM customer)
-  SELECT CASE WHEN k % 3 <> 0 THEN concat('old-', k::VARCHAR) ELSE 'u-' || left(sha256(email), 16) END AS user_id, email, CASE WHEN k % 2 = 0 THEN name ELSE upper(name) END AS name, true AS changed FROM c""")
+@query(f"""WITH {_SIGN_INS}, {_WHO}, last AS (SELECT user_id, arg_max(coalesce(name, '-'), n) AS name, arg_max(coalesce(image, '-'), n) AS image FROM resolved GROUP BY 1), made AS (SELECT user_id, email FROM who WHERE how = 'created'),
+  every AS (SELECT user_id, email, name, image FROM users UNION ALL SELECT user_id, email, NULL, NULL FROM made)
+  SELECT e.user_id, e.email, CASE WHEN l.user_id IS NULL THEN e.name ELSE nullif(l.name, '-') END AS name, CASE WHEN l.user_id IS NULL THEN e.image ELSE nullif(l.image, '-') END AS image,
+    l.user_id IS NOT NULL AND (e.name IS DISTINCT FROM nullif(l.name, '-') OR e.image IS DISTINCT FROM nullif(l.image, '-')) AS changed FROM every e LEFT JOIN last l ON l.user_id = e.user_id""")
 def g13_users_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The users' table after the sign-ins of g13_resolve_users."""
-    return _resolved(spark, sf_dir)["users"].select("user_id", "email", "name", "changed")
+    return _resolved(spark, sf_dir)["users"].select("user_id", "email", "name", "image", "changed")
+
+
+@query(f"WITH {_SIGN_INS}, {_WHO} SELECT provider, pid AS provider_account_id, user_id FROM who")
+def g13_accounts_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accounts' table after the sign-ins of g13_resolve_users: one row for each account."""
+    return _resolved(spark, sf_dir)["accounts"].select("provider", "provider_account_id", "user_id")
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    c = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", f"{_EMAIL} AS email", "c_name AS name")
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", f"{_EMAIL} AS email", f"{_OTHER.format(text='string')} AS other", "c_name AS name")
     users = c.where("k % 3 <> 0").selectExpr("concat('old-', cast(k as string)) AS user_id", "email", "name", "cast(null as string) AS image")
     accounts = c.where("k % 3 = 1").selectExpr("concat('old-', cast(k as string)) AS user_id", "'google' AS provider", "cast(k as string) AS provider_account_id")
-    ids = c.selectExpr("'google' AS provider", "cast(k as string) AS provider_account_id", "email", "CASE WHEN k % 2 = 0 THEN name ELSE upper(name) END AS name", "'p.png' AS image")
-    more = c.where("k % 6 = 0").selectExpr("'mail' AS provider", "cast(k as string) AS provider_account_id", "email", "name", "'p.png' AS image")
-    return G.resolve_users(ids.unionByName(more), users, accounts)
+    ids = c.selectExpr("(k * 37) % 101 AS seq", "'google' AS provider", "cast(k as string) AS provider_account_id", "email", "CASE WHEN k % 2 = 0 THEN name ELSE upper(name) END AS name", "'p.png' AS image")
+    more = c.where("k % 6 = 0").selectExpr("(k * 53) % 97 AS seq", "'mail' AS provider", "cast(k as string) AS provider_account_id", "email", "name", "'p.png' AS image")
+    back = c.where("k % 5 < 2").selectExpr("(k * 29) % 103 AS seq", "'google' AS provider", "cast(k as string) AS provider_account_id", "other AS email", "name", "cast(null as string) AS image")
+    return G.resolve_users(ids.unionByName(more).unionByName(back), users, accounts)

@@ -61,6 +61,27 @@ def h5_stream_request_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as they arrive, some of them delivered twice."""
+    path, e = scratch(spark, "events"), table(spark, sf_dir, "events")
+    e.unionByName(e.where("event_id % 10 = 3")).write.parquet(path)
+    return spark.readStream.schema(e.schema).parquet(path)
+
+
+@query("""SELECT date_trunc('hour', ts) AS window_start, user_id, count(*) AS n, count(*) > 2 AS over_limit FROM events GROUP BY 1, 2 HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 6 HOUR FROM events)""")
+def h5_stream_final_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that the watermark has closed, each out once; six hours are waited for late rows."""
+    rows, _ = streams.run_appended(streams.final_rates(_events_stream(spark, sf_dir), 3600, 2, "6 hours"), scratch(spark, "windows-out"), scratch(spark, "windows"))
+    return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "user_id", "n", "over_limit")
+
+
+@query("""SELECT window_start, user_id, event_id, ts AS at FROM (SELECT *, date_trunc('hour', ts) AS window_start, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) AS nth FROM events) WHERE nth = 3""")
+def h5_stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One alert for each user and hour over the limit, with the event that passed it; no window has to close first."""
+    rows, _ = streams.run_appended(streams.rate_alerts(_events_stream(spark, sf_dir), 3600, 2, "6 hours"), scratch(spark, "alerts-out"), scratch(spark, "alerts"))
+    return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "user_id", "event_id", F.col("at").cast("timestamp_ntz").alias("at"))
+
+
 def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
     """A folder that a streaming source can watch, holding the table's rows."""
     path = scratch(spark, name)
@@ -74,11 +95,11 @@ _FOLDED = """SELECT concat(conv_id::VARCHAR, '-', turn::VARCHAR) AS question_id,
 
 @query(_FOLDED)
 def h6_stream_answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fold as a stream with state per question; the log has ended, so open questions are dropped ones."""
+    """The fold as a stream with state per question; timers end what has been silent, and the rest is dropped as the log has ended."""
     path = scratch(spark, "answer-events")
     _answer_events(spark, sf_dir).write.parquet(path)
-    raw = spark.readStream.schema("question_id string, seq int, event string, data string").parquet(path)
-    return streams.settled(streams.run_to_table(streams.stream_answer_events(raw), ["question_id"], scratch(spark, "answers-out"), scratch(spark, "answer-state")))
+    raw = spark.readStream.schema("question_id string, seq int, event string, data string, at timestamp").parquet(path)
+    return streams.settled(streams.run_to_table(streams.stream_answer_events(raw), ["question_id"], scratch(spark, "answers-out"), scratch(spark, "answer-state"), streams.ended()))
 
 
 #: Answer events made from the conversations: a stage, sources, the words of the turn as deltas, and an end that every seventh lacks.
@@ -94,7 +115,8 @@ def _answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event") == "done", pair("answer", F.concat_ws(" ", "w")))
         .otherwise(pair("message", F.lit("Try again")))
     )
-    return rows.select("question_id", "seq", "event", data.alias("data"))
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("k") * 2 + F.col("seq") / 1000)
+    return rows.select("question_id", "seq", "event", data.alias("data"), at.alias("at"))
 
 
 @query(_FOLDED)

@@ -69,49 +69,136 @@ def request_rates(events: DataFrame, seconds: int, limit: int, late: str = "1 ho
     return counted.select(F.col("window.start").alias("window_start"), "user_id", "n", (F.col("n") > limit).alias("over_limit"))
 
 
-OUT = "question_id string, phase string, n_sources int, text string, message string"
-STATE = "seqs array<int>, kinds array<string>, bodies array<string>"
+def once(events: DataFrame, late: str, event: str = "event_id") -> DataFrame:
+    """``events`` (ts) with the event time ``at`` and its watermark, each event once though it may be delivered again."""
+    return events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark([event])
+
+
+def final_rates(events: DataFrame, seconds: int, limit: int, late: str = "1 hour", event: str = "event_id") -> DataFrame:
+    """A stream of closed windows: window_start, window_end, user_id, n, over_limit, each once and never changed after it.
+
+    A window is closed when the watermark, ``late`` behind the latest event, passes its
+    end.  Rows that come later than the watermark do not count in any window; how many
+    there were is told by ``late_rows``.
+    """
+    counted = once(events, late, event).groupBy(F.window("at", f"{seconds} seconds"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "user_id", "n", (F.col("n") > limit).alias("over_limit"))
+
 
+def rate_alerts(events: DataFrame, seconds: int, limit: int, late: str = "1 hour", event: str = "event_id") -> DataFrame:
+    """A stream of alerts (window_start, user_id, event_id, at): one for a key and window over the limit, told as soon as it is.
 
-def fold_events(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The answer-event fold with state: one row per question and batch.
+    Per key and window a small state counts the events until the limit is passed, and is
+    dropped when the watermark closes the window.
+    """
+    width = seconds * 1000
+    rows = once(events, late, event).select("user_id", "at", F.col(event).alias("event_id"), F.window("at", f"{seconds} seconds").start.alias("window_start"))
+
+    def alert(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n = state.get[0] if state.exists else 0
+        seen = pd.concat([f[["at", "event_id"]] for f in frames]).sort_values(["at", "event_id"]) if n <= limit else None
+        if seen is None:
+            for _ in frames:
+                pass
+        elif n + len(seen) > limit:
+            first = seen.iloc[limit - n]
+            yield pd.DataFrame({"window_start": [key[1]], "user_id": [key[0]], "event_id": [first["event_id"]], "at": [first["at"]]})
+            n = limit + 1
+        else:
+            n += len(seen)
+        state.update((n,))
+        end = int(pd.Timestamp(key[1]).timestamp() * 1000) + width
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+
+    kinds = rows.schema
+    out = f"window_start timestamp, user_id {kinds['user_id'].dataType.simpleString()}, event_id {kinds['event_id'].dataType.simpleString()}, at timestamp"
+    return rows.groupBy("user_id", "window_start").applyInPandasWithState(alert, out, "n int", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def late_rows(run: StreamingQuery) -> int:
+    """The rows that a finished or running query has left out because they came after the watermark (at its first stateful step)."""
+    return sum(p["stateOperators"][-1]["numRowsDroppedByWatermark"] for p in run.recentProgress if p["stateOperators"])
+
+
+def run_appended(df: DataFrame, folder: str, checkpoint: str) -> tuple[DataFrame, StreamingQuery]:
+    """Run a streaming job in append mode over what is there now: (all its rows so far, from Parquet files in ``folder``; the run)."""
+    run = df.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(folder)
+    run.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(folder), run
+
+
+OUT = "question_id string, phase string, n_sources int, text string, message string"
+STATE = "seqs array<int>, kinds array<string>, bodies array<string>, latest long"
+
+
+def event_fold(patience: int):
+    """The answer-event fold with state: one row per question and batch; ``patience`` in seconds."""
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        import json
+
+        held, latest = {}, 0
+        if state.exists:
+            *columns, latest = state.get
+            held = {s: (k, b) for s, k, b in zip(*columns, strict=True)}
+        ended = any(k in ("done", "error") for k, _ in held.values())
+        out: dict[str, list] = {"question_id": [key[0]], "phase": ["error"], "n_sources": [0], "text": [""], "message": [usage.DROPPED]}
+        if state.hasTimedOut:
+            state.remove()
+            if not ended:  # nothing for too long: the connection is gone
+                out["n_sources"] = [json.loads(next((held[s][1] for s in sorted(held, reverse=True) if held[s][0] == "sources"), "{}")).get("n", 0)]
+                yield pd.DataFrame(out)
+            return
+        for frame in frames:
+            for seq, kind, body, at in zip(frame["seq"].tolist(), frame["event"], frame["data"], frame["at"], strict=True):
+                held.setdefault(seq, (kind, body))
+                latest = max(latest, int(at.timestamp() * 1000))
+        end = min((s for s, (k, _) in held.items() if k in ("done", "error")), default=None)
+        if end is not None:
+            held = {s: e for s, e in held.items() if s == end or (s < end and e[0] == "sources")}
+        order = sorted(held)
+        state.update((order, [held[s][0] for s in order], [held[s][1] for s in order], latest))
+        state.setTimeoutTimestamp(max(latest + patience * 1000, state.getCurrentWatermarkMs() + 1))
+        bodies: dict[str, list[dict]] = {}
+        for s in order:
+            bodies.setdefault(held[s][0], []).append(json.loads(held[s][1]))
+        last = lambda kind, field, default=None: bodies[kind][-1].get(field, default) if kind in bodies else default
+        if "done" in bodies:
+            phase, text_ = "done", last("done", "answer")
+        elif "error" in bodies:
+            phase, text_ = "error", ""
+        else:
+            phase, text_ = last("stage", "stage", "searching"), "".join(b["text"] for b in bodies.get("delta", []))
+        yield pd.DataFrame(out | {"phase": [phase], "n_sources": [last("sources", "n", 0)], "text": [text_], "message": [last("error", "message")]})
+
+    return fold
+
+
+def stream_answer_events(events: DataFrame, patience: int = 600, late: str = "1 minute") -> DataFrame:
+    """Questions' states as their events arrive (question_id string, seq int, event, data, at timestamp).
 
     Events count by their ``seq``, in whatever order and batches they arrive; of equal
     numbers the first to arrive.  The state holds a question's events up to its first
-    end; with that end known, only the end and the sources.
+    end; with that end known, only the end and the sources.  A question that has been
+    silent for ``patience`` seconds of event time, as the watermark tells, leaves the
+    state: one without an end as a dropped connection.  Until then an end that has been
+    told stays, so what comes after it changes nothing; events that come later than
+    the watermark are not looked at.
     """
-    import json
-
-    held = {s: (k, b) for s, k, b in zip(*state.get, strict=True)} if state.exists else {}
-    for frame in frames:
-        for seq, kind, body in zip(frame["seq"].tolist(), frame["event"], frame["data"], strict=True):
-            held.setdefault(seq, (kind, body))
-    end = min((s for s, (k, _) in held.items() if k in ("done", "error")), default=None)
-    if end is not None:
-        held = {s: e for s, e in held.items() if s == end or (s < end and e[0] == "sources")}
-    order = sorted(held)
-    state.update((order, [held[s][0] for s in order], [held[s][1] for s in order]))
-    bodies: dict[str, list[dict]] = {}
-    for s in order:
-        bodies.setdefault(held[s][0], []).append(json.loads(held[s][1]))
-    last = lambda kind, field, default=None: bodies[kind][-1].get(field, default) if kind in bodies else default
-    if "done" in bodies:
-        phase, text_ = "done", last("done", "answer")
-    elif "error" in bodies:
-        phase, text_ = "error", ""
-    else:
-        phase, text_ = last("stage", "stage", "searching"), "".join(b["text"] for b in bodies.get("delta", []))
-    yield pd.DataFrame({"question_id": [key[0]], "phase": [phase], "n_sources": [last("sources", "n", 0)], "text": [text_], "message": [last("error", "message")]})
-
-
-def stream_answer_events(events: DataFrame) -> DataFrame:
-    """Questions' states as their events arrive (question_id string, seq int, event, data)."""
-    return events.groupBy("question_id").applyInPandasWithState(fold_events, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("at", late).groupBy("question_id").applyInPandasWithState(event_fold(patience), OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def ended() -> Column:
+    """Whether a state is a question's last one."""
+    return F.col("phase").isin("done", "error")
 
 
 def settled(states: DataFrame) -> DataFrame:
     """The states once no more events will come: a question without an end has lost its connection."""
-    open_ = ~F.col("phase").isin("done", "error")
+    open_ = ~ended()
     return states.select(
         "question_id",
         F.when(open_, "error").otherwise(F.col("phase")).alias("phase"),
@@ -121,18 +208,20 @@ def settled(states: DataFrame) -> DataFrame:
     )
 
 
-def run_to_table(df: DataFrame, keys: list[str], folder: str, checkpoint: str) -> DataFrame:
+def run_to_table(df: DataFrame, keys: list[str], folder: str, checkpoint: str, final: Column | None = None) -> DataFrame:
     """Run a streaming job in update mode over what is there now; of each key its last row, from Parquet files in ``folder``.
 
-    A repeated batch replaces its own files.
+    Where a row is ``final``, the first such row of the key stays, whatever comes after
+    it.  A repeated batch replaces its own files; a job that has run before goes on.
     """
     spark = df.sparkSession
-    spark.createDataFrame([], df.schema).write.parquet(f"{folder}/batch=-1")
+    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{folder}/batch=-1")
 
     def write(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.option("basePath", folder).parquet(folder)
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in keys]), "batch").alias("last"))
+    place = F.col("batch") if final is None else F.when(final, F.lit(1 << 40) - F.col("batch")).otherwise(F.col("batch"))
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in keys]), place).alias("last"))
     return last.select("*", "last.*").select(*df.columns)

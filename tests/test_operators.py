@@ -369,21 +369,66 @@ def test_owners_move_only_to_verified_users(spark):
         assert (out["users"].where("user_id = 'a'").count() == 0) == (owner == "b")
 
 
+IDENTITY = "seq int, provider string, provider_account_id string, email string, name string, image string"
+USER, ACCOUNT = "user_id string, email string, name string, image string", "user_id string, provider string, provider_account_id string"
+
+
 def test_sign_ins_that_arrive_together_make_one_user(spark):
-    ids = spark.createDataFrame([("g", "1", "e@x", "N", "i"), ("m", "2", "e@x", "N", "i")], "provider string, provider_account_id string, email string, name string, image string")
-    users = spark.createDataFrame([], "user_id string, email string, name string, image string")
-    accounts = spark.createDataFrame([], "user_id string, provider string, provider_account_id string")
-    out = catalog.resolve_users(ids, users, accounts)
+    ids = spark.createDataFrame([(1, "g", "1", "e@x", "N", "i"), (1, "m", "2", "e@x", "N", "i")], IDENTITY)
+    out = catalog.resolve_users(ids, spark.createDataFrame([], USER), spark.createDataFrame([], ACCOUNT))
     assert out["users"].count() == 1 and out["accounts"].select("user_id").distinct().count() == 1 and out["accounts"].count() == 2
 
 
+def sign_ins_one_by_one(identities, users, accounts):
+    """(resolved, users, accounts) by the rule as it stands; new users are named by their emails."""
+    people, owner, out = {u: [e, n, i] for u, e, n, i in users}, {(p, a): u for u, p, a in accounts}, []
+    none = lambda row: [(x is not None, x) for x in row]
+    for seq, provider, pid, email, name, image in sorted(identities, key=none):
+        user, how = owner.get((provider, pid)), "matched"
+        if user is None:
+            user, how = next((u for u in sorted(people) if email is not None and people[u][0] == email), None), "linked"
+            if user is None:
+                user, how = f"new {email or (provider, pid)}", "created"
+                people[user] = [email, name, image]
+            owner[provider, pid] = user
+        people[user][1:] = [name, image]
+        out.append((seq, provider, pid, email, user, how))
+    return out, people, owner
+
+
+def test_an_account_is_one_user_whatever_its_emails(spark):
+    import random
+
+    for seed in range(4):
+        draw = random.Random(seed)
+        emails, names = ["a@x", "b@x", "c@x", "d@x", "e@x", None], ["N", "M", None]
+        ids = [(i // 2, draw.choice("gm"), str(draw.randrange(8)), draw.choice(emails), draw.choice(names), draw.choice(names)) for i in range(60)]
+        users = [("old-1", "a@x", "N", None), ("old-2", "b@x", None, None), ("old-3", None, "K", "k")]
+        accounts = [("old-1", "g", "1"), ("old-3", "m", "2")]
+        want, people, owner = sign_ins_one_by_one(ids, users, accounts)
+        out = catalog.resolve_users(spark.createDataFrame(ids, IDENTITY), spark.createDataFrame(users, USER), spark.createDataFrame(accounts, ACCOUNT))
+        got = [(r.seq, r.provider, r.provider_account_id, r.email, r.user_id, r.how) for r in out["resolved"].collect()]
+        assert sorted((r[:4] + (r[5],) for r in got), key=repr) == sorted((r[:4] + (r[5],) for r in want), key=repr)
+        mine = {(r.provider, r.provider_account_id): r.user_id for r in out["accounts"].collect()}
+        assert out["accounts"].count() == len(mine) == len(owner) and set(mine) == set(owner)
+        same = {(owner[k], mine[k]) for k in owner}  # one name for each user on either side
+        assert len(same) == len({a for a, _ in same}) == len({b for _, b in same})
+        named = {b: a for a, b in same}
+        after = {named.get(r.user_id, r.user_id): [r.email, r.name, r.image] for r in out["users"].collect()}
+        assert after == people and all(mine[r[1], r[2]] == r[4] for r in got)
+
+
 # --- streams ------------------------------------------------------------------------
 
 
+EVENT = "question_id string, seq int, event string, data string, at timestamp"
+NOON = dt.datetime(2024, 1, 1, 12)
+
+
 def test_answer_events_fold_alike_as_table_and_stream(spark, tmp_path):
     e = [("a", 0, "stage", {"stage": "searching"}), ("a", 1, "sources", {"n": 2}), ("a", 2, "stage", {"stage": "writing"}), ("a", 3, "delta", {"text": "x"}), ("a", 4, "delta", {"text": "y"}), ("a", 5, "done", {"answer": "xy!"}), ("a", 6, "delta", {"text": "late"})]
     e += [("b", 0, "delta", {"text": "x"}), ("b", 1, "error", {"message": "busy"}), ("c", 0, "delta", {"text": "x"})]
-    rows = spark.createDataFrame([(q, s, k, json.dumps(d)) for q, s, k, d in e], "question_id string, seq int, event string, data string")
+    rows = spark.createDataFrame([(q, s, k, json.dumps(d), NOON) for q, s, k, d in e], EVENT)
     want = [("a", "done", 2, "xy!", None), ("b", "error", 0, "", "busy"), ("c", "error", 0, "", usage.DROPPED)]
     assert values(usage.folded_answer_events(rows)) == want
     for part in ("seq % 2 = 1", "seq % 2 = 0"):  # later numbers arrive before earlier ones
@@ -394,6 +439,60 @@ def test_answer_events_fold_alike_as_table_and_stream(spark, tmp_path):
     assert [(r.phase, r.text) for r in out.where("question_id = 'c'").collect()] == [("searching", "x")]
 
 
+def test_silent_questions_end_and_leave_the_state(spark, tmp_path):
+    """The clock passes: open questions end as dropped ones, ended ones go quietly, and nothing that comes after changes them."""
+
+    def arrive(*events):
+        rows = [(q, s, k, json.dumps(d), NOON + dt.timedelta(seconds=t)) for q, s, k, d, t in events]
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(EVENT).parquet(str(tmp_path / "in"))
+        out = streams.run_to_table(streams.stream_answer_events(stream, patience=60, late="10 seconds"), ["question_id"], str(tmp_path / "out"), str(tmp_path / "state"), streams.ended())
+        return {r.question_id: (r.phase, r.n_sources, r.text, r.message) for r in out.collect()}
+
+    def held():
+        """Questions in the state, as its reader tells."""
+        return sorted(r.key.question_id for r in spark.read.format("statestore").load(str(tmp_path / "state")).collect())
+
+    got = arrive(("open", 0, "sources", {"n": 3}, 0), ("open", 1, "delta", {"text": "x"}, 1), ("ended", 0, "done", {"answer": "all"}, 2))
+    assert got == {"open": ("searching", 3, "x", None), "ended": ("done", 0, "all", None)} and held() == ["ended", "open"]
+    got = arrive(("ended", 1, "delta", {"text": "more"}, 20), ("open", 2, "delta", {"text": "y"}, 21))  # still held: no change, and the clock of a live one starts anew
+    assert got == {"open": ("searching", 3, "xy", None), "ended": ("done", 0, "all", None)}
+    dropped = {"open": ("error", 3, "", usage.DROPPED), "ended": ("done", 0, "all", None)}
+    got = arrive(("next", 0, "delta", {"text": "z"}, 200))
+    assert got == dropped | {"next": ("searching", 0, "z", None)} and held() == ["next"]
+    got = arrive(("open", 3, "done", {"answer": "too late"}, 30), ("open", 4, "done", {"answer": "after the end"}, 201), ("next", 1, "delta", {"text": "!"}, 202))
+    assert got == dropped | {"next": ("searching", 0, "z!", None)}
+
+
+def test_windows_close_once_and_late_rows_are_told_apart(spark, tmp_path):
+    schema = "event_id long, ts timestamp_ntz, user_id long"
+
+    def arrive(kind, make, *events):
+        at = str(tmp_path / kind)
+        spark.createDataFrame([(i, NOON + dt.timedelta(minutes=m), u) for i, m, u in events], schema).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        rows, run = streams.run_appended(make(spark.readStream.schema(schema).parquet(f"{at}/in"), 3600, 2, "30 minutes"), f"{at}/out", f"{at}/state")
+        return rows, streams.late_rows(run)
+
+    first = [(1, 0, 7), (2, 1, 7), (2, 1, 7), (3, 50, 7), (4, 55, 8), (5, 70, 7)]
+    second = [(6, 45, 8), (7, 58, 8), (8, 200, 9)]  # late, but not too late: the watermark is 12:40
+    third = [(9, 20, 7), (10, 150, 8), (11, 185, 9), (12, 190, 9), (13, 195, 9)]  # two of them after the watermark, 14:50
+    told = lambda rows: sorted((r.window_start.hour, r.user_id, r.n, r.over_limit) for r in rows.collect())
+    assert [told(rows) + [late] for rows, late in [arrive("w", streams.final_rates, *first)]] == [[0]]
+    rows, late = arrive("w", streams.final_rates, *second)
+    closed = [(12, 7, 3, True), (12, 8, 3, True), (13, 7, 1, False)]
+    assert told(rows) == closed and late == 0
+    rows, late = arrive("w", streams.final_rates, *third)
+    assert told(rows) == closed and late == 2
+    rows, late = arrive("w", streams.final_rates, (14, 400, 1))
+    assert told(rows) == [*closed, (15, 9, 4, True)] and late == 0
+
+    alerts = lambda rows: sorted((r.window_start.hour, r.user_id, r.event_id) for r in rows.collect())
+    assert alerts(arrive("a", streams.rate_alerts, *first)[0]) == [(12, 7, 3)]  # at once, though no window is closed
+    assert alerts(arrive("a", streams.rate_alerts, *second)[0]) == [(12, 7, 3), (12, 8, 7)]
+    rows, late = arrive("a", streams.rate_alerts, *third)
+    assert alerts(rows) == [(12, 7, 3), (12, 8, 7), (15, 9, 12)] and late == 2
+
+
 def test_streamed_queries_give_all_rows(spark):
     q, sf = registry.QUERIES, "/root/testdata/sf0.001"
     batch = q["h5_request_rates"](spark, sf)
@@ -404,8 +503,8 @@ def test_streamed_queries_give_all_rows(spark):
 
 def test_a_streamed_result_keeps_the_last_row_of_each_key(spark, tmp_path):
     for i, data in enumerate(["x", "y"]):
-        spark.createDataFrame([("a", i, "delta", json.dumps({"text": data}))], "question_id string, seq int, event string, data string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("question_id string, seq int, event string, data string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        spark.createDataFrame([("a", i, "delta", json.dumps({"text": data}), NOON)], EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = streams.run_to_table(streams.stream_answer_events(stream), ["question_id"], str(tmp_path / "out"), str(tmp_path / "state"))
     assert [(r.question_id, sorted(r.text)) for r in out.collect()] == [("a", ["x", "y"])]
 
