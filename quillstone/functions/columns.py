@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: White space as a character-class body, valid in Java and RE2 alike.
 WS = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+#: The same without the blank.
+ODD_WS = WS.replace(r"\r ", r"\r")
 CHARS_PER_TOKEN = 4
 SNIPPET_CHARS = 300
 #: Words after which a full stop does not end a sentence (fixed values).
@@ -26,8 +28,8 @@ def trimmed(x: Column | str) -> Column:
 
 
 def collapsed(x: Column | str) -> Column:
-    """White-space runs as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(as_col(x), rf"[{WS}]+", " "))
+    """White-space runs as one blank, none at the ends; single blanks, which are most, are no match."""
+    return F.trim(F.regexp_replace(as_col(x), rf"[{ODD_WS}][{WS}]*| [{WS}]+", " "))
 
 
 def normalised(x: Column | str) -> Column:

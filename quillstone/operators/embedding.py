@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -78,35 +79,89 @@ def batch_key(inputs: Column | str, model: str, dim: int) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(model), F.lit(str(dim)), F.to_json(inputs)), 256)
 
 
-def called(batches: DataFrame, embed: EmbedBatch | None, dim: int) -> DataFrame:
-    """(key, n, vectors, problem, cause) of ``batches`` (key, inputs): one call for each.
+def judged_call(embed: EmbedBatch, texts: list[str], dim: int) -> tuple[np.ndarray | None, str | None, str | None]:
+    """(vectors, problem, cause) of one call.
 
-    A batch whose call fails, or gives another number of vectors, or one of another
-    length or with a value that is null or not finite, has no vectors, a ``problem`` for
-    the user and a ``cause`` for the log.
+    A call that fails, or gives another number of vectors, or one of another length or
+    with a value that is null or not finite, has no vectors, a problem for the user and
+    a cause for the log.
+    """
+    try:
+        found = embed(texts)
+        try:
+            vectors = np.array(found, dtype=np.float64).reshape(len(found), -1 if found else dim)
+            odd = len(found) if vectors.shape[1] != dim else int((~np.isfinite(vectors).all(axis=1)).sum())
+        except (TypeError, ValueError):  # vectors of several lengths
+            each = [np.array(v, dtype=np.float64) for v in found]
+            vectors, odd = None, sum(v.shape != (dim,) or not np.isfinite(v).all() for v in each)
+    except EmbeddingFailed as e:
+        return None, str(e), repr(e)
+    except Exception as e:  # the caller's function: whatever it raises fails this document alone
+        return None, SERVER_ERROR, repr(e)[:1000]
+    if vectors is None or odd or len(found) != len(texts):
+        return None, BAD_RESPONSE, f"expected {len(texts)} vectors of {dim}, got {len(found)}, {odd} of them malformed"
+    return vectors, None, None
+
+
+FRESH = "array<struct<key: string, n: int, vectors: array<array<double>>>>"
+KNOWN = "array<struct<batch_no: int, vectors: array<array<double>>>>"
+#: Documents whose vectors are put together at once.
+AT_ONCE = 64
+
+
+def embedded_documents(docs: DataFrame, embed: EmbedBatch | None = None, dim: int = DIMENSIONS, batch: int = BATCH) -> DataFrame:
+    """Whole documents with the vectors of all their passages, or of none.
+
+    ``docs``: document_id, problem, n_chunks, chunks, inputs (texts, one for each chunk),
+    keys (of its batches, for the ledger; may be null), known (vectors of batches that
+    the ledger has; may be null).  Added: vectors, problem and cause of the first batch
+    that fails, chunks_embedded, and fresh (batches that were embedded now, if there are
+    keys).  Batches of one document are embedded one after the other, the others also
+    where one has failed.
     """
     embed = embed or hashed_words(dim)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for key, inputs in zip(pdf["key"], pdf["inputs"], strict=True):
-                n, vectors, problem, cause = len(inputs), None, None, None
-                try:
-                    found = [[float("nan") if x is None else float(x) for x in v] for v in embed(list(inputs))]
-                    odd = [len(v) for v in found if len(v) != dim or not np.isfinite(v).all()]
-                    if len(found) != n or odd:
-                        problem, cause = BAD_RESPONSE, f"expected {n} vectors of {dim}, got {len(found)}, {len(odd)} of them malformed"
-                    else:
-                        vectors = found
-                except EmbeddingFailed as e:
-                    problem, cause = str(e), repr(e)
-                except Exception as e:  # the caller's function: whatever it raises fails this batch's documents alone
-                    problem, cause = SERVER_ERROR, repr(e)[:1000]
-                out.append((key, n, vectors, problem, cause))
-            yield pd.DataFrame(out, columns=["key", "n", "vectors", "problem", "cause"])
-
-    return batches.select("key", "inputs").mapInPandas(run, f"{LEDGER}, problem string, cause string")
+    def lists(parts: list[np.ndarray | None]) -> pa.Array:
+        n = [0 if p is None else len(p) for p in parts]
+        values = np.concatenate([p.ravel() for p in parts if p is not None] or [np.zeros(0)])
+        inner = pa.ListArray.from_arrays(pa.array(np.arange(sum(n) + 1) * dim, pa.int32()), pa.array(values, pa.float64()))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), inner, mask=pa.array([p is None for p in parts]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                part = whole.slice(at, AT_ONCE)
+                column = dict(zip(part.schema.names, part.columns, strict=True))
+                vectors, problems, causes, embedded_n, fresh = [], column["problem"].to_pylist(), [], [], []
+                for i, early in enumerate(problems):
+                    texts = column["inputs"].slice(i, 1).flatten().to_pylist() if early is None else []
+                    keys, known = column["keys"][i].as_py(), {k["batch_no"]: k["vectors"] for k in column["known"][i].as_py() or []}
+                    found, problem, cause, new = [], early, None, []
+                    for number, start in enumerate(range(0, len(texts), batch)):
+                        if number in known:
+                            found.append(np.array(known[number], np.float64).reshape(-1, dim))
+                            continue
+                        got, wrong, why = judged_call(embed, texts[start : start + batch], dim)
+                        if got is None:
+                            problem, cause = problem or wrong, cause or why
+                            continue
+                        found.append(got)
+                        if keys:
+                            new.append({"key": keys[number], "n": len(got), "vectors": got.tolist()})
+                    vectors.append(np.concatenate(found) if problem is None and found else None)
+                    problems[i] = problem
+                    causes.append(cause)
+                    embedded_n.append(sum(map(len, found)))
+                    fresh.append(new)
+                yield pa.RecordBatch.from_arrays(
+                    [column["document_id"], column["n_chunks"], column["chunks"], lists(vectors), pa.array(problems, pa.string()), pa.array(causes, pa.string()), pa.array(embedded_n, pa.int64()), pa.array(fresh, _FRESH)],
+                    names=["document_id", "n_chunks", "chunks", "vectors", "problem", "cause", "chunks_embedded", "fresh"],
+                )
+
+    _FRESH = pa.list_(pa.struct([("key", pa.string()), ("n", pa.int32()), ("vectors", pa.list_(pa.list_(pa.float64())))]))
+    rows = docs.select("document_id", "problem", "n_chunks", "chunks", "inputs", "keys", "known")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("document_id", "chunks")}
+    return rows.mapInArrow(run, f"document_id {kinds['document_id']}, n_chunks int, chunks {kinds['chunks']}, vectors array<array<double>>, problem string, cause string, chunks_embedded long, fresh {FRESH}")
 
 
 def ledger_of(spark: SparkSession, path: str) -> DataFrame:
@@ -119,29 +174,11 @@ def ledger_of(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], LEDGER)
 
 
-def resumed(batches: DataFrame, ledger: str, work: str, embed: EmbedBatch | None = None, dim: int = DIMENSIONS, waves: int = 1) -> DataFrame:
-    """(key, vectors, problem, cause), one row per key of ``batches`` (key, inputs), from the ledger at ``ledger``.
-
-    Batches that the ledger lacks are embedded, equal ones once, and the good ones added
-    to it; failures are in the result alone, so that they are tried again next time.
-    ``waves``: so many parts are written one after the other; what a run has finished
-    when it is stopped is not embedded again.  ``work``: a new folder for this run.
-    """
-    spark = batches.sparkSession
-    todo = batches.join(ledger_of(spark, ledger).select("key"), "key", "left_anti").groupBy("key").agg(F.first("inputs").alias("inputs"))
-    todo.write.parquet(f"{work}/todo")
-    todo = spark.read.schema(todo.schema).parquet(f"{work}/todo")
-    for wave in range(waves):
-        part = todo.where(F.pmod(F.xxhash64("key"), F.lit(waves)) == wave) if waves > 1 else todo
-        got = called(part, embed, dim)
-        got.write.parquet(f"{work}/called/wave={wave}")
-        got = spark.read.schema(got.schema).parquet(f"{work}/called/wave={wave}")
-        got.where("problem IS NULL").select("key", "n", "vectors").write.mode("append").parquet(ledger)
-    failed = spark.read.schema(got.schema).parquet(f"{work}/called").where("problem IS NOT NULL").select("key", "vectors", "problem", "cause")
-    none = F.lit(None).cast("string")
-    asked = batches.select("key").distinct()
-    good = ledger_of(spark, ledger).select("key", "vectors").dropDuplicates(["key"])  # two jobs may have written one key
-    return good.join(asked, "key", "left_semi").select("key", "vectors", none.alias("problem"), none.alias("cause")).unionByName(failed)
+def known_vectors(docs: DataFrame, ledger: str) -> DataFrame:
+    """(document_id, known) of the documents (document_id, keys) that the ledger has batches of; only keys and vectors are shuffled."""
+    asked = docs.select("document_id", F.posexplode("keys").alias("batch_no", "key"))
+    held = ledger_of(docs.sparkSession, ledger).select("key", "vectors").dropDuplicates(["key"])  # two jobs may have written one key
+    return asked.join(held, "key").groupBy("document_id").agg(F.collect_list(F.struct("batch_no", "vectors")).alias("known"))
 
 
 def ledger_progress(batches: DataFrame, ledger: str, document: str = "document_id") -> DataFrame:

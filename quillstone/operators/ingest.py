@@ -1,8 +1,10 @@
 """Ingestion by whole documents: text to passages to vectors, and nothing of a document whose vectors are not all good.
 
-One dataflow for tables and streams.  A document is cut into batches of passages; every
-batch is embedded; only then is it decided, by document, what may be stored.  Each
-failure has its own message and, for the log, its cause.
+One dataflow for tables and streams.  A document stays in one row from its text to the
+vectors of all its passages, so what may be stored is decided there, and nothing is
+shuffled; the number of passages of a document is bounded.  Each failure has its own
+message and, for the log, its cause.  With a ledger, batches that it has are fetched
+before, and new ones are added to it after.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ class Ingested:
     """``passages``: document_id, chunk_index, content, token_estimate, overlap_chars, embedding, of documents that are ready.
 
     ``outcomes``: per document document_id, status, error_message, cause, chunks_total,
-    chunks_embedded.  ``batches``: document_id, batch_no, key, n, for progress.
+    chunks_embedded.  ``batches``: document_id, batch_no, key, n, for progress by a ledger.
     """
 
     passages: DataFrame
@@ -45,55 +47,58 @@ def page_documents(pages: DataFrame, names: DataFrame) -> DataFrame:
     return names.select("document_id", "filename").join(text.extracted(pages), "document_id", "left").select("document_id", "filename", "text", F.lit("pdf").alias("kind"))
 
 
-def batches_of(docs: DataFrame, options: chunking.ChunkOptions, dim: int, model: str, limit: int) -> DataFrame:
-    """One row per batch: document_id, problem, n_chunks, batch_no, part (passages), inputs, key; one without a part for a document that fails here."""
+def chunked(docs: DataFrame, options: chunking.ChunkOptions, limit: int) -> DataFrame:
+    """One row per document: document_id, problem, n_chunks, chunks and inputs (null where there is a problem)."""
     rows = chunking.chunk_array(docs.select("document_id", "kind", title("filename").alias("title"), F.when(has_text("text"), F.col("text")).alias("text")), options)
-    n, size = F.size("chunks"), embedding.BATCH
-    problem = F.when(F.col("text").isNull(), F.when(F.col("kind") == "pdf", NO_PDF_TEXT).otherwise(text.NO_TEXT)).when(n > limit, F.format_string(f"Document is too large to process: %d chunks (limit {limit})", n))
-    slices = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda i: F.slice("chunks", i * size + 1, size))
-    rows = rows.withColumn("problem", problem).withColumn("n_chunks", F.when(F.col("text").isNotNull(), n)).withColumn("_parts", F.when(F.col("problem").isNull(), slices))
-    rows = rows.select("document_id", "title", "problem", "n_chunks", F.posexplode_outer("_parts").alias("batch_no", "part"))
-    rows = rows.withColumn("inputs", F.transform("part", lambda c: passage_input(F.col("title"), c["content"])))
-    return rows.withColumn("key", F.when(F.col("part").isNotNull(), embedding.batch_key("inputs", model, dim))).drop("title")
+    there, n = F.col("text").isNotNull(), F.size("chunks")
+    problem = F.when(~there, F.when(F.col("kind") == "pdf", NO_PDF_TEXT).otherwise(text.NO_TEXT)).when(n > limit, F.format_string(f"Document is too large to process: %d chunks (limit {limit})", n))
+    rows = rows.withColumn("problem", problem).withColumn("n_chunks", F.when(there, n)).withColumn("chunks", F.when(F.col("problem").isNull(), F.col("chunks")))
+    return rows.select("document_id", "problem", "n_chunks", "chunks", F.transform("chunks", lambda c: passage_input(F.col("title"), c["content"])).alias("inputs"))
 
 
 def ingested(docs: DataFrame, work: str, options: chunking.ChunkOptions = chunking.ChunkOptions(), embed: embedding.EmbedBatch | None = None, dim: int = embedding.DIMENSIONS, ledger: str | None = None, model: str = "default", limit: int = chunking.MAX_CHUNKS, waves: int = 1) -> Ingested:
     """Ingest ``docs``: document_id (each once), filename, text, kind.
 
     ``work``: a new folder, which the result is read from.  ``ledger``: where vectors are
-    kept beyond this run; without one they are kept in ``work``.
+    kept beyond this run, by the hash of their batch's texts.  ``waves``: with a ledger,
+    so many parts of the documents are embedded and added to it one after the other; what
+    a run has finished when it is stopped is not embedded again.
 
     Defined cases: a document with a null text, or without letters and digits, has no
     text; one of more than ``limit`` passages is too large as a whole; one of whose
     vectors any is missing, of another length or not finite is failed, whatever the
-    others are; of several failed batches the first one's problem is told; documents of
-    equal passages are embedded once and fail or not alike; an empty table gives empty
-    results.
+    others are; of several failed batches the first one's problem is told; an empty
+    table gives empty results.
     """
     spark = docs.sparkSession
-    rows = batches_of(docs, options, dim, model, limit)
-    rows.write.parquet(f"{work}/batches")
-    rows = spark.read.schema(rows.schema).parquet(f"{work}/batches")
-    asked = rows.where("key IS NOT NULL")
-    vectors = embedding.resumed(asked.select("key", "inputs"), ledger or f"{work}/ledger", f"{work}/embedding", embed, dim, waves)
-
-    # the barrier: what is expected of a document against what is good, before anything is stored
-    told = rows.select("document_id", "problem", "n_chunks", "batch_no", "key", F.size("part").alias("n")).join(vectors.select("key", F.col("problem").alias("_problem"), "cause", F.lit(True).alias("_there")), "key", "left")
-    missing = F.col("key").isNotNull() & (F.col("_there").isNull() | F.col("_problem").isNotNull())
-    bad = F.when(missing, F.struct("batch_no", F.coalesce("_problem", F.lit(embedding.BAD_RESPONSE)).alias("message"), F.coalesce("cause", F.lit("no vectors")).alias("cause")))
-    outcomes = told.groupBy("document_id").agg(
-        F.max("n_chunks").alias("chunks_total"), F.sum(F.when(F.col("key").isNotNull() & ~missing, F.col("n")).otherwise(0)).alias("chunks_embedded"), F.max("problem").alias("_early"), F.min(bad).alias("_bad"), F.count("key").alias("_batches")
-    )
-    message = F.coalesce("_early", "_bad.message", F.when(F.col("_batches") == 0, text.NO_TEXT))
-    outcomes = outcomes.select("document_id", F.when(message.isNull(), "ready").otherwise("failed").alias("status"), message.alias("error_message"), F.col("_bad.cause").alias("cause"), "chunks_total", "chunks_embedded")
-    outcomes.write.parquet(f"{work}/outcomes")
-    outcomes = spark.read.schema(outcomes.schema).parquet(f"{work}/outcomes")
-
-    stored = asked.join(outcomes.where("status = 'failed'").select("document_id"), "document_id", "left_anti")
-    stored = stored.select("document_id", "batch_no", "part", "key").join(vectors.where("problem IS NULL").select("key", "vectors"), "key")
-    each = stored.select("document_id", "batch_no", F.posexplode(F.arrays_zip("part", "vectors")).alias("_at", "p"))
-    content = F.col("p.part.content")
-    passages = each.select(
-        "document_id", (F.col("batch_no") * embedding.BATCH + F.col("_at")).alias("chunk_index"), content.alias("content"), token_estimate(content).alias("token_estimate"), F.col("p.part.overlap_chars").alias("overlap_chars"), F.col("p.vectors").alias("embedding")
-    )
-    return Ingested(passages, outcomes, asked.select("document_id", "batch_no", "key", F.size("part").alias("n")))
+    rows = chunked(docs, options, limit)
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def written(df: DataFrame, name: str, at: str = "") -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{work}/{name}{at}")
+        return spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
+    if ledger is None:
+        found = written(embedding.embedded_documents(rows.withColumn("keys", none("array<string>")).withColumn("known", none(embedding.KNOWN)), embed, dim), "embedded")
+        batches = found.select("document_id", F.lit(0).alias("batch_no"), none("string").alias("key"), F.size("chunks").alias("n")).limit(0)
+    else:
+        size = embedding.BATCH
+        slices = F.transform(F.sequence(F.lit(0), F.floor((F.col("n_chunks") - 1) / size).cast("int")), lambda i: F.slice("inputs", i * size + 1, size))
+        keys = F.when(F.col("problem").isNull(), F.transform(slices, lambda x: embedding.batch_key(x, model, dim)))
+        rows = written(rows.withColumn("keys", keys), "chunked")
+        for wave in range(waves):
+            part = rows.where(F.pmod(F.xxhash64("document_id"), F.lit(waves)) == wave)
+            part = part.join(embedding.known_vectors(part, ledger), "document_id", "left")
+            found = written(embedding.embedded_documents(part, embed, dim), "embedded", f"/wave={wave}")
+            fresh = spark.read.schema(found.schema).parquet(f"{work}/embedded/wave={wave}")
+            fresh.select(F.explode("fresh").alias("f")).select("f.*").write.mode("append").parquet(ledger)
+        at = F.col("batch_no") * size
+        batches = rows.select("document_id", "n_chunks", F.posexplode("keys").alias("batch_no", "key")).select("document_id", "batch_no", "key", F.least(F.lit(size), F.col("n_chunks") - at).alias("n"))
+
+    status = F.when(F.col("problem").isNull(), "ready").otherwise("failed")
+    outcomes = found.select("document_id", status.alias("status"), F.col("problem").alias("error_message"), "cause", F.col("n_chunks").alias("chunks_total"), "chunks_embedded")
+    # outer: a plain explode would be given a filter that looks at the vectors once more
+    each = found.where("problem IS NULL").select("document_id", F.posexplode_outer(F.arrays_zip("chunks", "vectors")).alias("chunk_index", "p")).where("p IS NOT NULL")
+    content = F.col("p.chunks.content")
+    passages = each.select("document_id", "chunk_index", content.alias("content"), token_estimate(content).alias("token_estimate"), F.col("p.chunks.overlap_chars").alias("overlap_chars"), F.col("p.vectors").alias("embedding"))
+    return Ingested(passages, outcomes, batches)

@@ -93,12 +93,13 @@ def read_store(spark: SparkSession, path: str, version: int | None = None, only:
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
-def write_replaced(spark: SparkSession, path: str, batch: DataFrame, document: str = "document_id", removed: DataFrame | None = None, writer: tuple[str, int] | None = None, base: int | None = None) -> int:
+def write_replaced(spark: SparkSession, path: str, batch: DataFrame, document: str = "document_id", removed: DataFrame | None = None, writer: tuple[str, int] | None = None, base: int | None = None, written: bool = False) -> int:
     """Publish a version in which the batch's documents have the batch's rows, and those of ``removed`` none; returns its number.
 
     ``writer``: a name and the number of its batch; a batch that it has published before
     changes nothing.  ``base``: the version that the caller has read; if another one has
-    been published since, the write is refused (``Superseded``).
+    been published since, the write is refused (``Superseded``).  ``written``: the batch
+    is read from a written table, so it need not be written down before it is used twice.
     """
     there = versions(spark, path)
     last = there[-1] if there else -1
@@ -108,8 +109,10 @@ def write_replaced(spark: SparkSession, path: str, batch: DataFrame, document: s
     if writer and held["writers"].get(writer[0], -1) >= writer[1]:
         return last
     work = f"{path.rstrip('/')}/work/{uuid.uuid4().hex}"
-    batch.withColumn("doc_bucket", bucket(document)).write.parquet(f"{work}/batch")
-    rows = spark.read.schema(batch.withColumn("doc_bucket", bucket(document)).schema).parquet(f"{work}/batch")
+    rows = batch.withColumn("doc_bucket", bucket(document))
+    if not written:
+        rows.write.parquet(f"{work}/batch")
+        rows = spark.read.schema(rows.schema).parquet(f"{work}/batch")
     gone = rows.select(document)
     if removed is not None:
         gone = gone.unionByName(removed.select(document))

@@ -49,7 +49,7 @@ def stream_ingest(
         waiting = judged.where("kind = 'pdf'").select(F.col("path").alias("document_id"), F.lit("processing").alias("status"), F.lit(None).cast("string").alias("error_message"))
         rows = got.outcomes.unionByName(refused.unionByName(waiting), allowMissingColumns=True)
         failed = rows.where("status = 'failed'").select("document_id")
-        store.write_replaced(spark, store_path, got.passages, removed=failed, writer=(checkpoint, number))
+        store.write_replaced(spark, store_path, got.passages, removed=failed, writer=(checkpoint, number), written=True)
         rows.write.mode("overwrite").parquet(f"{catalog_path.rstrip('/')}/batch={number}")
         folder = spark._jvm.org.apache.hadoop.fs.Path(work)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
