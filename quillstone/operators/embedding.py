@@ -39,12 +39,16 @@ def hashed_words(dim: int) -> EmbedBatch:
     def embed(texts: list[str]) -> list[list[float]]:
         import hashlib
 
-        out = []
+        out, places = [], {}
         for text in texts:
-            v = np.zeros(dim)
+            counts = [0.0] * dim
             for word in text.lower().split():
-                h = int.from_bytes(hashlib.md5(word.encode()).digest()[:4])
-                v[h % dim] += 1.0 if h >> 31 else -1.0
+                if word not in places:
+                    h = int.from_bytes(hashlib.md5(word.encode()).digest()[:4])
+                    places[word] = h % dim, 1.0 if h >> 31 else -1.0
+                i, sign = places[word]
+                counts[i] += sign
+            v = np.array(counts)
             n = float(np.sqrt(v @ v))
             out.append((v / n if n else v).tolist())
         return out

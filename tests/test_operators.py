@@ -668,3 +668,13 @@ def test_questions_are_answered_and_failures_kept_apart(spark, tmp_path):
     assert set(got) == {1, 4, 5}
     assert got[1].answer == "Red apples [1]." and got[1].invalid == [7] and [c.chunk_id for c in got[1].citations] == [10] and got[1].answered
     assert got[4].answer == answers.NO_DOCUMENTS and got[5].answer == answers.REFUSAL and not got[5].answered and got[5].skip_reason == "below_threshold"
+
+
+def test_white_space_of_all_kinds(spark):
+    body = C.WS_CHARACTERS
+    assert one(spark, C.trimmed(F.lit(body + "a" + body + "b" + body))) == "a" + body + "b"
+    assert one(spark, C.collapsed(F.lit(body + "a" + body + "b c  d\te \n f​" + body))) == "a b c d e f​"
+    import re
+
+    kinds = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000 and re.match(r"\s|﻿", chr(i)) and chr(i) not in "\x1c\x1d\x1e\x1f\x85"]
+    assert sorted(body) == sorted(kinds)
