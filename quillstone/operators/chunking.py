@@ -1,8 +1,8 @@
 """Passages: paragraphs, sentences, greedy packing with overlap.
 
-Sentences are cut by punctuation rules, not by a locale's full segmentation:
-ideographic stops, and breaks without a blank, are not known.  A document stays in its
-row from text to passages, so nothing is shuffled.  The packing carries state from unit
+Sentences end where Unicode's rules say so (``functions.sentence_breaks``), but not after
+listed abbreviations.  A document stays in its row from text to passages, so nothing is
+shuffled.  The packing carries state from unit
 to unit, so it is a fold over arrays of lengths, in one function over Arrow batches;
 texts stay with Spark and are joined after it, by position.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.columns import ABBREVIATIONS, CHARS_PER_TOKEN, WS, collapsed, token_estimate
+from quillstone.functions.sentence_breaks import SENTENCE_END
 
 MARK = "\x1e"
 MAX_CHUNKS = 1000
@@ -48,21 +49,21 @@ def paragraphs(docs: DataFrame, document: str = "document_id", text: str = "text
 def sentences(rows: DataFrame, document: str = "document_id") -> DataFrame:
     """(document, paragraph_no, sentence_no, sentence).
 
-    A sentence ends after a stop with its closing quotes or brackets and a blank.  A
-    full stop before a lower-case letter, a comma, a semicolon, a colon or a hyphen is
-    none, nor is the stop of a listed abbreviation.
+    A sentence ends after a stop of any script, with its closing quotes or brackets and
+    blanks.  A stop before another stop, a comma, a colon or a dash ends none, nor does a
+    full stop inside a number or before a lower-case letter, with a letter on both
+    sides, or after a listed abbreviation: what follows that is joined by a blank.
     """
     each = rows.select(document, "paragraph_no", F.posexplode(sentence_array(F.col("paragraph"))).alias("sentence_no", "sentence"))
     return each.withColumn("sentence_no", F.col("sentence_no").cast("long"))
 
 
 def sentence_array(paragraph: Column) -> Column:
-    """The sentences of a paragraph: marks after all stops, less those that close no sentence."""
-    marked = F.regexp_replace(paragraph, "([.!?][\"'”’)\\]]{0,3}) +", f"$1{MARK}")
-    # the mark comes first in both, so that what is around it is looked at there alone
-    marked = F.regexp_replace(marked, rf"{MARK}(?<=(?:^|[{WS}({MARK}])(?:{ABBREVIATIONS})\.{MARK})", " ")
-    marked = F.regexp_replace(marked, rf"{MARK}(?=[\p{{Ll}},;:\-])(?<=\.[\"'”’)\]]{{0,3}}{MARK})", " ")
-    return F.filter(F.split(marked, MARK), lambda x: x != "")
+    """The sentences of a paragraph with collapsed white space: cut at marks that are put where sentences end."""
+    marked = F.regexp_replace(paragraph, SENTENCE_END, f"$1$2$3{MARK}")
+    # the mark comes first, so that what is before it is looked at there alone
+    glued = F.regexp_replace(marked, rf"{MARK}(?<=(?:^|[{WS}({MARK}])(?:{ABBREVIATIONS})\.{MARK})(?!\z)", " ")
+    return F.filter(F.split(glued, MARK), lambda x: x != "")
 
 
 def split_on_words(sentence: Column, size: int) -> Column:

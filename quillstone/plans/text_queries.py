@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import columns as C
+from quillstone.functions import sentence_breaks as B
 from quillstone.operators import chunking, embedding, text
 from quillstone.plans import views as V
 from quillstone.plans.registry import query
@@ -138,11 +139,27 @@ def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PROSE = r"""prose AS (SELECT doc_id AS document_id, regexp_replace(text, '\.\n', '.' || chr(10) || chr(10), 'g') AS text FROM documents)"""
 _PARAGRAPHS = rf"""paragraphs AS (SELECT document_id, paragraph_no::INTEGER AS paragraph_no, trim(regexp_replace(raw, '[{WS}]+', ' ', 'g')) AS paragraph FROM
   (SELECT document_id, unnest(ps) AS raw, unnest(range(0, len(ps))) AS paragraph_no FROM (SELECT document_id, string_split_regex(text, '\n[{WS}]*\n') AS ps FROM prose)) WHERE trim(regexp_replace(raw, '[{WS}]+', ' ', 'g')) <> '')"""
-_SENTENCES = rf"""pieces AS (SELECT document_id, paragraph_no, piece, piece_no FROM (SELECT document_id, paragraph_no, unnest(xs) AS piece, unnest(range(0, len(xs))) AS piece_no FROM
-  (SELECT document_id, paragraph_no, string_split(regexp_replace(paragraph, '([.!?]["''”’)\]]{{0,3}}) +', '\1' || chr(30), 'g'), chr(30)) AS xs FROM paragraphs)) WHERE piece <> ''),
-runs AS (SELECT *, (regexp_matches(piece, '(?:^|[{WS}(])(?:{C.ABBREVIATIONS})\.\z') OR (regexp_matches(piece, '\.["''”’)\]]{{0,3}}\z') AND coalesce(regexp_matches(lead(piece) OVER (PARTITION BY document_id, paragraph_no ORDER BY piece_no), '^[\p{{Ll}},;:\-]'), false)))::INTEGER AS joins FROM pieces),
-placed AS (SELECT *, coalesce(sum(1 - joins) OVER (PARTITION BY document_id, paragraph_no ORDER BY piece_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sentence_no FROM runs),
-sentences AS (SELECT document_id, paragraph_no, sentence_no, string_agg(piece, ' ' ORDER BY piece_no) AS sentence FROM placed GROUP BY 1, 2, 3)"""
+#: The engines' letter classes for SQL, which has no lookarounds: a piece ends behind each stop, and pieces that no rule parts are joined again; then abbreviations are glued to what follows.
+_ANY_STOP, _CASED, _BLANKS = B.FULL_STOP + B.STOP, r"\p{Ll}\p{Lu}\p{Lt}", rf"[{B.CLOSE}{B.EXTEND}]*(?: [{B.EXTEND}]*)*".replace("'", "''")
+_SENTENCES = rf"""pieces AS (SELECT document_id, paragraph_no, piece, piece_no, coalesce(lead(piece) OVER (PARTITION BY document_id, paragraph_no ORDER BY piece_no), '') AS nxt FROM (SELECT document_id, paragraph_no, unnest(xs) AS piece, unnest(range(0, len(xs))) AS piece_no FROM
+  (SELECT document_id, paragraph_no, string_split(regexp_replace(paragraph, '([{_ANY_STOP}]{_BLANKS})', '\1' || chr(30), 'g'), chr(30)) AS xs FROM paragraphs)) WHERE piece <> ''),
+parted AS (SELECT *, (regexp_matches(nxt, '^[{B.GOES_ON}{_ANY_STOP}]')
+    OR (regexp_matches(piece, '[{B.FULL_STOP}][{B.EXTEND}]*\z') AND regexp_matches(nxt, '^[{B.NUMERIC}]'))
+    OR (regexp_matches(piece, '[{_CASED}][{B.EXTEND}]*[{B.FULL_STOP}][{B.EXTEND}]*\z') AND regexp_matches(nxt, '^[\p{{Lu}}\p{{Lt}}]'))
+    OR (regexp_matches(piece, '[{B.FULL_STOP}]{_BLANKS}\z') AND regexp_matches(nxt, '^[^\p{{L}}\p{{Nl}}{_ANY_STOP}]*\p{{Ll}}')))::INTEGER AS joins FROM pieces),
+numbered AS (SELECT *, coalesce(sum(1 - joins) OVER (PARTITION BY document_id, paragraph_no ORDER BY piece_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part_no FROM parted),
+parts AS (SELECT document_id, paragraph_no, part_no, trim(string_agg(piece, '' ORDER BY piece_no)) AS part FROM numbered GROUP BY 1, 2, 3),
+placed AS (SELECT *, coalesce(sum(1 - regexp_matches(part, '(?:^|[{WS}(])(?:{C.ABBREVIATIONS})\.\z')::INTEGER) OVER (PARTITION BY document_id, paragraph_no ORDER BY part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sentence_no FROM parts WHERE part <> ''),
+sentences AS (SELECT document_id, paragraph_no, sentence_no, string_agg(part, ' ' ORDER BY part_no) AS sentence FROM placed GROUP BY 1, 2, 3)"""
+#: Stops of other scripts, breaks without a blank, numbers, abbreviations and closing marks, put into the texts.
+_STOPS = "replace(replace(replace(replace(replace(replace(text, ', ', '。'), ' de ', ' Dr.De (No. 5) '), ' a', '.») A'), ' e', '.5 U.S. E'), '. S', '?! (S'), ' t', '… “T')"
+_STOPPED = f"prose AS (SELECT doc_id AS document_id, {_STOPS} AS text FROM documents)"
+
+
+@query(f"WITH {_STOPPED}, {_PARAGRAPHS}, {_SENTENCES} SELECT * FROM sentences")
+def c2_sentence_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("document_id"), F.expr(_STOPS).alias("text"))
+    return chunking.sentences(chunking.paragraphs(docs))
 
 
 @query(f"WITH {_PROSE}, {_PARAGRAPHS} SELECT * FROM paragraphs")

@@ -2,8 +2,10 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quillstone.functions import columns as C
@@ -116,6 +118,79 @@ def chunks_of(spark, body, **sizes):
     return [(r.content, r.overlap_chars) for r in chunking.chunks(df, chunking.ChunkOptions(**sizes)).orderBy("chunk_index").collect()]
 
 
+def _sentences_by_rules(text: str) -> list[str]:
+    """Unicode's sentence rules, place by place, with the property as another library has it; then trimmed and abbreviations glued."""
+    kinds = {k: regex.compile(rf"\p{{SB={k}}}") for k in ("ATerm", "STerm", "Close", "Sp", "Sep", "SContinue", "Numeric", "Upper", "Lower", "OLetter", "Extend", "Format")}
+    kind = [next((k for k, p in kinds.items() if p.match(c)), "Other") for c in text]
+    seen = [i for i, k in enumerate(kind) if k not in ("Extend", "Format") or i == 0 or kind[i - 1] == "Sep"]
+    cuts = []
+    for i in range(1, len(text)):
+        if kind[i - 1] == "Sep":
+            cuts.append(i)
+        elif i in seen:
+            before, after = [kind[j] for j in seen if j < i], [kind[j] for j in seen if j >= i]
+            k = len(before)
+            k -= before[:k][-1:] == ["Sep"]
+            while k and before[k - 1] == "Sp":
+                k -= 1
+            blanks = len(before) - k
+            while k and before[k - 1] == "Close":
+                k -= 1
+            if not k or before[k - 1] not in ("ATerm", "STerm"):
+                continue
+            closes, full_stop = len(before) - blanks - k, before[k - 1] == "ATerm"
+            ahead = next((x for x in after if x in ("OLetter", "Upper", "Lower", "Sep", "ATerm", "STerm")), None)
+            bare = full_stop and not blanks and not closes
+            if (bare and after[0] == "Numeric") or (bare and k > 1 and before[k - 2] in ("Upper", "Lower") and after[0] == "Upper") or (full_stop and ahead == "Lower"):
+                continue
+            if after[0] in ("SContinue", "ATerm", "STerm", "Sp", "Sep") or (after[0] == "Close" and not blanks):
+                continue
+            cuts.append(i)
+    out, pending = [], ""
+    for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True):
+        if part := text[a:b].strip(" "):
+            pending = f"{pending} {part}" if pending else part
+            if not regex.search(rf"(?:^|[\s(])(?:{C.ABBREVIATIONS})\.$", pending):
+                out.append(pending)
+                pending = ""
+    return out + ([pending] if pending else [])
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("Pi is 3.14. Yes.", ["Pi is 3.14.", "Yes."]),
+        ("The U.S.A. and more", ["The U.S.A. and more"]),
+        ("It ended.Then more", ["It ended.Then more"]),
+        ("He left.) (Then so did I.", ["He left.)", "(Then so did I."]),
+        ("Stop! and go? on.", ["Stop!", "and go?", "on."]),
+        ("\u4ed6\u6765\u4e86\u3002\u6211\u8d70\u4e86\uff01\u300d\u597d", ["\u4ed6\u6765\u4e86\u3002", "\u6211\u8d70\u4e86\uff01\u300d", "\u597d"]),
+        ("Wait... what? No... Now.", ["Wait... what?", "No...", "Now."]),
+        ("So! - she said", ["So! - she said"]),
+        ("See no. 5 or No. 5. Or (cf. Vol. 2)", ["See no. 5 or No. 5.", "Or (cf. Vol. 2)"]),
+        ("No.\u65e5 x", ["No. \u65e5 x"]),
+        ("a\x85b.\x85C", ["a\x85", "b.\x85", "C"]),
+        ("Ends. \u0301 Next", ["Ends. \u0301", "Next"]),
+        ("", []),
+    ],
+)
+def test_sentences_end_where_the_rules_say(spark, text, expected):
+    assert _sentences_by_rules(text) == expected
+    assert spark.createDataFrame([(text,)], "p string").select(chunking.sentence_array(F.col("p"))).first()[0] == expected
+
+
+def test_sentences_of_random_texts_equal_the_rules_stepped_through(spark):
+    draw, alphabet = random.Random(5), [*"aBc.1?! ,:-)\"(", " ", ".", ". ", "Dr", "No.", "\u0301", "\u200b", "\u3002", "\u65e5", "\u00ab", "\u2019", "\x85", "\uff0e", "\u0589", "\u10d0", "\u01c5", "\u0663", "\u2014"]
+    texts = sorted({regex.sub(" +", " ", "".join(draw.choices(alphabet, k=draw.randint(1, 14)))).strip(" ") for _ in range(6_000)})
+    rows = spark.createDataFrame([(x,) for x in texts], "p string").select("p", chunking.sentence_array(F.col("p")).alias("s")).collect()
+    assert not [(r.p, r.s, _sentences_by_rules(r.p)) for r in rows if r.s != _sentences_by_rules(r.p)][:5]
+
+
+def test_a_long_run_of_stops_and_closing_marks_is_marked_in_one_pass(spark):
+    text = "x" + ".)" * 200_000 + " Y"
+    assert [len(x) for x in spark.createDataFrame([(text,)], "p string").select(chunking.sentence_array(F.col("p"))).first()[0]]
+
+
 def test_abbreviations_do_not_end_sentences(spark):
     df = spark.createDataFrame([(1, "Dr. Smith came, e.g. by car. See Fig. 3 (etc.) now. No. that is it! x")], "document_id int, text string")
     got = [r.sentence for r in chunking.sentences(chunking.paragraphs(df)).orderBy("sentence_no").collect()]
