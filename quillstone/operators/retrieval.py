@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.columns import cosine, norm, round4, trimmed
+from quillstone.operators import nearest
 
 MAX_QUESTION_CHARS = 2000
 DEFAULT_TOP_K, MAX_TOP_K = 5, 20
@@ -74,9 +75,17 @@ def topk(question: list[float], scope: DataFrame, user_id, k: int = DEFAULT_TOP_
 
 
 def topk_batch(questions: DataFrame, scope: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """The ``k`` nearest passages of every question, with ``rank`` from 1; ties to the smaller chunk."""
+    """The ``k`` nearest passages of every question, with ``rank`` from 1; ties to the smaller chunk.
+
+    Exact: tasks keep the ``k`` best of what they see, skipping groups of passages too
+    far away to be among them.  Zero vectors, and those that are not finite, are left out.
+    """
+    few = questions.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS
+    near = nearest.near_broadcast(questions, scope, k) if few else nearest.near_shuffled(questions, scope, k)
     order = Window.partitionBy("question_id").orderBy(F.desc("similarity"), "chunk_id")
-    return similarities(questions, scope).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = F.broadcast(best) if few else best  # at most k rows of each question
+    return best.join(scope.drop("embedding"), "chunk_id").select("question_id", *[c for c in scope.columns if c != "embedding"], "similarity", "rank")
 
 
 def selected_sources(questions: DataFrame, candidates: DataFrame, rule: Relevance = Relevance()) -> tuple[DataFrame, DataFrame]:

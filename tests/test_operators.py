@@ -4,12 +4,14 @@ import datetime as dt
 import json
 import random
 
+import numpy as np
 import pytest
 import regex
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import columns as C
-from quillstone.operators import admission, answers, catalog, chunking, embedding, flow, ingest, retrieval, text, usage
+from quillstone.operators import admission, answers, catalog, chunking, embedding, flow, ingest, nearest, retrieval, text, usage
 from quillstone.plans import registry
 from quillstone.sources import files, store
 from quillstone.streaming import streams
@@ -724,6 +726,46 @@ def test_a_large_owner_is_searched_in_parts(spark, monkeypatch):
     assert len(sent) == 24 and values(retrieval.topk_batch(questions, scope, 4)) == sent
 
 
+def _ranked(q, p, k, chunk_ids):
+    """All pairs measured one by one, best first."""
+    out = set()
+    for i, x in enumerate(q):
+        near = sorted((-float(nearest.measured(x[None], y[None], np.zeros(1, int), np.zeros(1, int))[0]), c) for y, c in zip(p, chunk_ids, strict=True))
+        out |= {(i, c, -s) for s, c in near[:k]}
+    return out
+
+
+@pytest.mark.parametrize("kind", ["groups", "random", "equal", "few"])
+def test_nearest_with_pruning_equals_all_pairs(kind):
+    rng, k = np.random.default_rng(3), 5
+    centres = rng.normal(size=(12, 8))
+    p = {"groups": centres[rng.integers(0, 12, 700)] + rng.normal(size=(700, 8)) * 0.02, "random": rng.normal(size=(700, 8)), "equal": np.repeat(centres[:2], 200, axis=0), "few": centres[:3]}[kind]
+    q = (centres[rng.integers(0, 12, 150)] + rng.normal(size=(150, 8)) * 0.02)[: 150 if kind != "equal" else 90]
+    ids = rng.permutation(len(p)) + 100
+    best = nearest.Best(q, k)
+    multiplied = sum(best.see(p[i : i + 400], ids[i : i + 400]) for i in range(0, len(p), 400))
+    assert {(int(a), int(c), float(s)) for a, c, s in zip(best.at, best.ids, best.sim, strict=True)} == _ranked(q, p, k, ids.tolist())
+    assert kind != "groups" or multiplied < len(q) * len(p) / 3
+
+
+@pytest.mark.parametrize("limit", [10_000, 0])
+def test_topk_batch_equals_sparks_own_cosines(spark, monkeypatch, limit):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(retrieval, "BROADCAST_QUESTIONS", limit)
+    monkeypatch.setattr(nearest, "PASSAGES", 40)
+    monkeypatch.setattr(nearest, "QUESTIONS", 7)
+    rows = [(f"c{i}", 1 + i % 3, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(300)]
+    rows += [("zero", 1, [0.0] * 4), ("none", 1, None), ("nan", 1, [1.0, float("nan"), 0.0, 0.0]), ("null", 1, [1.0, None, 0.0, 0.0]), ("short", 1, [1.0]), ("stray", None, [1.0] * 4)]
+    scope = spark.createDataFrame(rows, "chunk_id string, user_id int, embedding array<double>")
+    asked = [(i, 1 + i % 4, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(60)] + [(99, 1, [0.0] * 4), (100, None, [1.0] * 4)]
+    questions = spark.createDataFrame(asked, "question_id long, user_id int, embedding array<double>")
+    order = Window.partitionBy("question_id").orderBy(F.desc("similarity"), "chunk_id")
+    all_pairs = retrieval.similarities(questions, scope).where("NOT isnan(similarity)").withColumn("rank", F.row_number().over(order)).where("rank <= 6")
+    assert values(retrieval.topk_batch(questions, scope, 6).select("question_id", "chunk_id", "user_id", "similarity", "rank")) == values(all_pairs.select("question_id", "chunk_id", "user_id", "similarity", "rank"))
+    empty = questions.limit(0)
+    assert retrieval.topk_batch(empty, scope, 6).count() == 0 and retrieval.topk_batch(questions, scope.limit(0), 6).count() == 0
+
+
 def test_questions_are_answered_and_failures_kept_apart(spark, tmp_path):
     words = embedding.hashed_words(16)
 
