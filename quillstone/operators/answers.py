@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions.columns import WS, attribute, defused, round4, snippet, trimmed
@@ -15,6 +15,8 @@ REFUSAL = "I couldn't find the answer to that in your documents."
 NO_DOCUMENTS = "You don't have any processed documents yet. Upload a document, then ask again."
 BLOCKED = ("SAFETY", "RECITATION", "BLOCKLIST", "PROHIBITED_CONTENT", "SPII", "LANGUAGE")
 DEFAULT_WAIT_MS, DAILY_QUOTA_MS = 20_000, 90_000
+PROMPT_BLOCKED = "This question was blocked by the model's safety filters."
+ANSWER_BLOCKED = "The answer was blocked by the model's safety filters."
 
 #: A citation group: [1], [1, 2].  Ranges and words in brackets are none.
 S = f"[{WS}]"
@@ -65,7 +67,7 @@ def canned_answers(verdicts: DataFrame) -> DataFrame:
 
 
 def outcomes(raw: DataFrame) -> DataFrame:
-    """``raw`` with trimmed ``text``, ``outcome`` (blocked, bad_response, ok) and ``truncated``."""
+    """``raw`` with trimmed ``text``, ``outcome`` (blocked, bad_response, ok), ``detail`` (what was blocked) and ``truncated``."""
     text = F.coalesce(trimmed("text"), F.lit(""))
     finish = F.coalesce("finish_reason", F.lit(""))
     outcome = (
@@ -75,7 +77,8 @@ def outcomes(raw: DataFrame) -> DataFrame:
         .when(~finish.isin("", "STOP", "MAX_TOKENS"), "bad_response")
         .otherwise("ok")
     )
-    return raw.withColumn("outcome", outcome).withColumn("truncated", finish == "MAX_TOKENS").withColumn("text", text)
+    detail = F.when(F.coalesce("block_reason", F.lit("")) != "", PROMPT_BLOCKED).when(finish.isin(*BLOCKED), ANSWER_BLOCKED)
+    return raw.withColumn("outcome", outcome).withColumn("detail", detail).withColumn("truncated", finish == "MAX_TOKENS").withColumn("text", text)
 
 
 def failure_kinds(calls: DataFrame, status: str = "status", message: str = "message") -> DataFrame:
@@ -169,9 +172,25 @@ FAILURES = [
 ]
 
 
+def known_failures(spark: SparkSession, action: str = "Answering") -> DataFrame:
+    """(code, http_status, message, retry_after_seconds, log): what a user is told of each failure."""
+    rows = [(c, s, m and m.format(action, action.lower()), r, log) for c, s, m, r, log in FAILURES]
+    return spark.createDataFrame(rows, "code string, http_status int, message string, retry_after_seconds int, log boolean")
+
+
 def failure_report(failures: DataFrame, action: str = "Answering") -> DataFrame:
     """Per failure code: class, text (null: the failure's own), retry hint, whether to log it, and how many."""
-    spark = failures.sparkSession
-    table = [(c, s, m and m.format(action, action.lower()), r, log) for c, s, m, r, log in FAILURES]
-    known = spark.createDataFrame(table, "code string, http_status int, message string, retry_after_seconds int, log boolean")
+    known = known_failures(failures.sparkSession, action)
     return failures.groupBy("code").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(known), "code")  # 8 rows
+
+
+def unanswered(rejected: DataFrame, failures: DataFrame, action: str = "Answering") -> DataFrame:
+    """(question_id, code, http_status, message, retry_after_seconds, log) of all questions without an answer.
+
+    ``rejected``: question_id and ``error``, for the asker to mend (``invalid``, 400);
+    ``failures``: question_id, ``outcome`` and ``detail``, the failure's own text.
+    """
+    invalid = rejected.selectExpr("question_id", "'invalid' AS code", "400 AS http_status", "error AS message", "cast(null AS int) AS retry_after_seconds", "false AS log")
+    told = failures.withColumnRenamed("outcome", "code").join(F.broadcast(known_failures(failures.sparkSession, action)), "code")
+    failed = told.select("question_id", "code", "http_status", F.coalesce("message", "detail").alias("message"), "retry_after_seconds", "log")
+    return invalid.unionByName(failed)

@@ -25,7 +25,7 @@ def answered_questions(
     Questions get vectors, candidates and sources; a question without a source good
     enough gets a fixed text; the others go to ``generate``, whose answers keep only
     citations of sources that were given.  Of a question whose vector or answer failed
-    nothing is saved: it is among the failures, with its ``outcome``.  Vectors,
+    nothing is saved: it is among the failures, with its ``outcome`` and ``detail``.  Vectors,
     candidates and responses are written to ``folder`` once.
     """
     vectors = written(embedding.embedded(questions.withColumn("input", question_input("question")), embed, dim=dim).drop("input"), f"{folder}/questions")
@@ -42,5 +42,5 @@ def answered_questions(
     rows = asked.select("question_id", "user_id", "question").join(given, "question_id").join(A.citation_records(checked, sources), "question_id", "left").join(stats, "question_id")
     none = F.expr(f"cast(array() as array<{A.CITATION}>)")
     saved = rows.withColumn("citations", F.coalesce("citations", none)).withColumn("answered", F.size("citations") > 0)
-    failures = failed.select("question_id", "outcome").unionByName(unmeasured.select("question_id", F.lit("bad_response").alias("outcome")))
+    failures = failed.select("question_id", "outcome", "detail").unionByName(unmeasured.select("question_id", F.lit("bad_response").alias("outcome"), F.lit(None).cast("string").alias("detail")))
     return saved, failures

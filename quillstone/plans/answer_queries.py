@@ -257,6 +257,54 @@ def f16_answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return saved.select("question_id", "user_id", "question", "answer", "answered", cited.alias("cited"), "candidates", "sources_used", "best_similarity", "skip_reason")
 
 
+#: Turns as questions, some of them malformed; words that the stand-ins below fail on.
+_KIND = "(conv_id * 7 + turn) % 12"
+_RAW_QUESTION = f"CASE {_KIND} WHEN 0 THEN NULL WHEN 1 THEN '   ' WHEN 3 THEN repeat('long ', 500) ELSE concat(' passage ', cast(conv_id AS varchar(20)), ' of the library', CASE {_KIND} WHEN 4 THEN ' unsafe' WHEN 5 THEN ' forbidden' WHEN 6 THEN ' silent' WHEN 7 THEN ' odd' WHEN 8 THEN ' broken' ELSE '' END) END"
+_TOP_K = f"CASE {_KIND} WHEN 2 THEN 21 ELSE 5 END"
+
+
+def _flawed_vectors(dim: int):
+    words = embedding.hashed_words(dim)
+    return lambda texts: [[float("nan")] * dim if "broken" in t else v for t, v in zip(texts, words(texts), strict=True)]
+
+
+def _flawed_answers(prompts: list[str]) -> list[tuple]:
+    def answer(prompt: str, whole: tuple) -> tuple:
+        asked = prompt.rsplit("Question: ", 1)[-1]
+        flaws = {"unsafe": (None, "SAFETY", None), "forbidden": (None, None, "PROHIBITED"), "silent": ("  ", "STOP", None), "odd": (whole[0], "OTHER", None)}
+        return next((raw for word, raw in flaws.items() if word in asked), whole)
+
+    return [answer(p, w) for p, w in zip(prompts, A.first_sentences(prompts), strict=True)]
+
+
+def _code_values(*codes: str) -> str:
+    return ", ".join(f"('{c}', {s}, {'NULL' if m is None else repr(m.format('Answering', 'answering'))}, {r or 'NULL'}, {str(log).lower()})" for c, s, m, r, log in A.FAILURES if c in codes)
+
+
+@query(rf"""WITH raw AS (SELECT conv_id * 1000 + turn AS question_id, (conv_id % 10)::INTEGER AS user_id, {_KIND} AS kind, {_RAW_QUESTION} AS raw, {_TOP_K} AS top_k FROM conversations),
+judged AS (SELECT *, trim(raw) AS question, CASE WHEN raw IS NULL THEN 'question is required and must be a string' WHEN trim(raw) = '' THEN 'question must not be empty' WHEN length(trim(raw)) > 2000 THEN 'Question is too long (max 2,000 characters)' WHEN top_k > 20 THEN 'topK must be a whole number between 1 and 20' END AS error FROM raw),
+{V.VECTORS.split("questions AS")[0]}scope AS (SELECT c.chunk_id, c.content, d.user_id, d.filename FROM vchunks c JOIN vdocs d ON c.document_id = d.document_id WHERE d.status = 'ready' AND c.embedding IS NOT NULL),
+asked AS (SELECT question_id AS id, concat('task: search result | query: ', question) AS input FROM judged WHERE error IS NULL AND kind <> 8),
+passages AS (SELECT chunk_id AS id, concat('title: ', replace(regexp_replace(filename, '\.[^.]+$', ''), '_', ' '), ' | text: ', content) AS input FROM scope),
+{V.hashed_vectors('passages', 'pv')}, {V.hashed_vectors('asked', 'qv')},
+best AS (SELECT j.question_id, max(list_sum([qv.v[i] * pv.v[i] FOR i IN range(1, 65)]) / (qv.norm * pv.norm)) AS best FROM judged j JOIN qv ON qv.id = j.question_id JOIN scope s ON s.user_id = j.user_id JOIN pv ON pv.id = s.chunk_id GROUP BY 1),
+failed AS (SELECT question_id, CASE WHEN kind IN (4, 5) THEN 'blocked' ELSE 'bad_response' END AS code, CASE kind WHEN 4 THEN $${A.ANSWER_BLOCKED}$$ WHEN 5 THEN $${A.PROMPT_BLOCKED}$$ END AS detail FROM judged JOIN best USING (question_id) WHERE kind IN (4, 5, 6, 7) AND best >= {RULE.skip_below}
+  UNION ALL SELECT question_id, 'bad_response', NULL FROM judged WHERE kind = 8),
+known(code, http_status, message, retry_after_seconds, log) AS (VALUES {_code_values("blocked", "bad_response")})
+SELECT question_id, 'invalid' AS code, 400 AS http_status, error AS message, NULL::INTEGER AS retry_after_seconds, false AS log FROM judged WHERE error IS NOT NULL
+UNION ALL SELECT question_id, code, http_status, coalesce(message, detail), retry_after_seconds, log FROM failed JOIN known USING (code)""")
+def f16_unanswered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship's other half: questions that were refused, and those whose vector or answer failed, with what their askers are told."""
+    folder = scratch(spark, "unanswered")
+    passages = _scope(spark, sf_dir).drop("embedding").withColumn("input", C.passage_input(C.title("filename"), "content"))
+    scope = flow.written(embedding.embedded(passages, dim=64).drop("input"), f"{folder}/passages")
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.selectExpr("conv_id * 1000 + turn AS question_id", "cast(conv_id % 10 AS int) AS user_id", f"{_RAW_QUESTION} AS question", f"{_TOP_K} AS top_k")
+    good, rejected = R.cleaned_questions(asked)
+    _, failures = flow.answered_questions(good, scope, folder, _flawed_vectors(64), _flawed_answers, RULE, 64)
+    return A.unanswered(rejected, failures)
+
+
 @query(f"WITH inputs AS (SELECT item_id AS id, concat('task: search result | query: ', text) AS input FROM benchmark), {V.hashed_vectors('inputs', 'e')} SELECT id AS item_id, {DIGEST_SQL} FROM e")
 def d2_embed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as questions, embedded by the same function as passages."""

@@ -781,7 +781,10 @@ def test_questions_are_answered_and_failures_kept_apart(spark, tmp_path):
     scope = embedding.embedded(inputs, embed, dim=16).drop("input")
     saved, failures = flow.answered_questions(questions, scope, str(tmp_path), embed, generate, retrieval.Relevance(skip_below=0.8), 16)
     got = {r.question_id: r for r in saved.collect()}
-    assert values(failures) == [(2, "blocked"), (3, "bad_response")]
+    assert values(failures) == [(2, "blocked", answers.PROMPT_BLOCKED), (3, "bad_response", None)]
+    rejected = spark.createDataFrame([(9, "question must not be empty")], "question_id long, error string")
+    told = {r.question_id: (r.code, r.http_status, r.message, r.log) for r in answers.unanswered(rejected, failures).collect()}
+    assert told == {9: ("invalid", 400, "question must not be empty", False), 2: ("blocked", 422, answers.PROMPT_BLOCKED, True), 3: ("bad_response", 502, "Answering failed because of a problem with the AI service.", True)}
     assert set(got) == {1, 4, 5}
     assert got[1].answer == "Red apples [1]." and got[1].invalid == [7] and [c.chunk_id for c in got[1].citations] == [10] and got[1].answered
     assert got[4].answer == answers.NO_DOCUMENTS and got[5].answer == answers.REFUSAL and not got[5].answered and got[5].skip_reason == "below_threshold"
