@@ -123,18 +123,20 @@ def shared_windows(contexts: DataFrame) -> DataFrame:
     return ordered.select("context", "low", "high", "right", "back", "windows").mapInArrow(compare, "context long, low long, high long, back int, window long")
 
 
-def kept_by(windows: DataFrame) -> DataFrame:
-    """(context, keeper, back, ahead), staged: all documents of the context after ``keeper`` repeat a passage of it.
+def kept_by(windows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(context, n, kept), staged, ``kept`` a list of (keeper, back, ahead): all documents of the context after ``keeper`` repeat a passage of it.
 
     The passage is ``back`` words left and ``ahead`` words right of the suffix's start;
     each window of it is held by document ``keeper``, the smallest that has it.
+    ``sizes``: context, n (how many suffixes have it).
     """
     keepers = windows.groupBy("window").agg(F.min("low").alias("keeper"), F.max("high").alias("last"), F.count(F.lit(1)).alias("n")).where("keeper < last")
     keepers = stage(keepers.select("window", "keeper", "n"), "keepers")
     held = joined_by_key(windows.select("context", "high", "back", "window"), keepers, "window", "n").where("high > keeper")
     # the windows of a context all hold the words from the suffix's start on, so they make one span
     found = held.groupBy("context", "keeper").agg(F.max("back").cast("long").alias("back"), (REPEAT - F.min("back")).cast("long").alias("ahead"))
-    return stage(found, "matches")
+    lists = found.groupBy("context").agg(F.collect_list(F.struct("keeper", "back", "ahead")).alias("kept"))  # no more than a context has windows
+    return stage(sizes.join(lists, "context").select("context", "n", "kept"), "matches")
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -167,10 +169,11 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     texts = representatives(rows)
     sharers = stage(with_texts(docs, sharing(texts), key, text), "sharers")
     suffixes = stage(suffix_rows(sharers).withColumn("context", F.xxhash64("right", "back", "windows")), "suffixes")
-    contexts = stage(suffixes.groupBy("context", "right", "back", "windows").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "contexts")
+    contexts = stage(suffixes.groupBy("context", "right", "back", "windows").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")), "contexts")
     windows = stage(shared_windows(contexts), "windows")
-    matches = kept_by(windows)
-    found = suffixes.select("context", "doc_id", "digest", "at").join(matches, "context").where("doc_id > keeper")
+    matches = kept_by(windows, contexts.groupBy("context").agg(F.sum("n").alias("n")))
+    # a passage that very many documents hold with equal surroundings is one context
+    found = joined_by_key(suffixes.select("context", "doc_id", "digest", "at"), matches, "context", "n").select("doc_id", "digest", "at", F.inline("kept")).where("doc_id > keeper")
     inner = found.select("doc_id", "digest", (F.col("at") - F.col("back")).alias("start"), (F.col("at") + F.col("ahead")).alias("stop"), "keeper")
     pieces = stage(merged(inner), "pieces")
     firsts = stage(texts.where((F.col("n_words") >= REPEAT) & (F.col("n_rows") > 1)).select("digest", "first_id", "n_rows"), "firsts")
