@@ -19,7 +19,7 @@ aal ; attribution ; attribution assurance license
 afl-3.0 ; academic ; academic free license [version|v] 3 [0]
 agpl-1.0 ; affero ; affero general public license [version|v] 1 [0]
 agpl-3.0 ; affero ; affero general public license [version|v] 3 [0]
-agpl-3.0 ; agpl ; agpl 3 [0] [only|or] [later]
+agpl-3.0 ; agpl ; [gnu] agpl [version|v] 3|v3 [0] [only|or] [later]
 agpl-3.0 ; agplv3 ; agplv3
 apache-1.0 ; apache ; apache [software] license [version|v] 1 0
 apache-1.1 ; apache ; apache [software] license [version|v] 1 1
@@ -63,12 +63,12 @@ gfdl-1.1 ; documentation ; gnu free documentation license [version|v] 1 1
 gfdl-1.2 ; documentation ; gnu free documentation license [version|v] 1 2
 gfdl-1.3 ; documentation ; gnu free documentation license [version|v] 1 3
 gpl-1.0 ; general ; [gnu] general public license [version|v] 1 [0]
-gpl-2.0 ; general ; [gnu] general public license [version|v] 2 [0]
+gpl-2.0 ; general ; [gnu] general public license [version|v] 2|v2 [0]
 gpl-2.0 ; gplv2 ; [gnu] gplv2
-gpl-2.0 ; gpl ; [gnu] gpl [version|v] 2 [0]
-gpl-3.0 ; general ; [gnu] general public license [version|v] 3 [0]
+gpl-2.0 ; gpl ; [gnu] gpl [version|v] 2|v2 [0]
+gpl-3.0 ; general ; [gnu] general public license [version|v] 3|v3 [0]
 gpl-3.0 ; gplv3 ; [gnu] gplv3
-gpl-3.0 ; gpl ; [gnu] gpl [version|v] 3 [0]
+gpl-3.0 ; gpl ; [gnu] gpl [version|v] 3|v3 [0]
 hpnd ; historical ; historical permission notice and disclaimer
 icu ; icu ; icu license
 ijg ; jpeg ; independent jpeg group license
@@ -76,10 +76,12 @@ ipl-1.0 ; ibm ; ibm public license [version|v] [1] [0]
 isc ; isc ; isc license
 json ; json ; json license
 lgpl-2.0 ; library ; [gnu] library general public license [version|v] 2 [0]
-lgpl-2.1 ; lesser ; [gnu] lesser general public license [version|v] 2 1
-lgpl-3.0 ; lesser ; [gnu] lesser general public license [version|v] 3 [0]
-lgpl-3.0 ; lgpl ; [gnu] lgpl [version|v] 3 [0]
-lgpl-2.1 ; lgpl ; [gnu] lgpl [version|v] 2 1
+lgpl-2.1 ; lesser ; [gnu] lesser general public license [version|v] 2|v2 1
+lgpl-3.0 ; lesser ; [gnu] lesser general public license [version|v] 3|v3 [0]
+lgpl-3.0 ; lgpl ; [gnu] lgpl [version|v] 3|v3 [0]
+lgpl-2.1 ; lgpl ; [gnu] lgpl [version|v] 2|v2 1
+lgpl-2.1 ; lgplv2 ; [gnu] lgplv2 1
+lgpl-3.0 ; lgplv3 ; [gnu] lgplv3
 libpng ; libpng ; libpng license
 lppl-1.3c ; latex ; latex project public license [version|v] [1] [3c]
 lpl-1.02 ; lucent ; lucent public license [version|v] [1] [02]
@@ -90,8 +92,8 @@ mit-0 ; mit ; mit no attribution [license]
 motosoto ; motosoto ; motosoto open source license
 mpl-1.0 ; mozilla ; mozilla public license [version|v] 1 0
 mpl-1.1 ; mozilla ; mozilla public license [version|v] 1 1
-mpl-2.0 ; mozilla ; mozilla public license [version|v] 2 [0]
-mpl-2.0 ; mpl ; mpl 2 0
+mpl-2.0 ; mozilla ; mozilla public license [version|v] 2|v2 [0]
+mpl-2.0 ; mpl ; mpl [version|v] 2|v2 0
 ms-pl ; microsoft ; microsoft public license
 ms-rl ; microsoft ; microsoft reciprocal license
 mulan-psl-2.0 ; mulan ; mulan permissive software license [v2|version] [2]
@@ -158,6 +160,11 @@ BUSL-1.1 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 CPL-1.0 ECL
 HPND ISC JSON LGPL-2.0 LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later LPPL-1.3c MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL MS-RL MulanPSL-2.0 NCSA ODbL-1.0 OFL-1.1 OpenSSL OSL-3.0 PHP-3.01
 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 Ruby SSPL-1.0 UPL-1.0 Unlicense Vim W3C WTFPL X11 Zlib ZPL-2.1
 """
+#: Exceptions that follow ``WITH`` in an expression; the label is the identifier.
+EXCEPTIONS = """
+Autoconf-exception-2.0 Autoconf-exception-3.0 Bison-exception-2.2 Bootloader-exception Classpath-exception-2.0 Font-exception-2.0 GCC-exception-2.0 GCC-exception-3.1 GPL-CC-1.0 LLVM-exception Linux-syscall-note
+OpenJDK-assembly-exception-1.0 OpenSSL-exception Qt-GPL-exception-1.0 Qt-LGPL-exception-1.1 u-boot-exception-2.0 Universal-FOSS-exception-1.0 WxWindows-exception-3.1
+"""
 #: How an identifier is stated ; priority ; score ; for which identifiers
 IDENTIFIER_STATEMENTS = """
 spdx license identifier {name} ; 90 ; 1.0 ; all
@@ -306,3 +313,9 @@ def rules() -> list[Rule]:
     for label, keyword, name in _rows(FAMILIES):
         add(label, keyword, name, *FAMILY_RULE)
     return out
+
+
+def operands() -> dict[str, str]:
+    """What may stand in an expression, in lower case, and its label; ``+`` is "or later" where that has an identifier."""
+    known = {x.lower(): x.lower() for x in (IDENTIFIERS + EXCEPTIONS).split()}
+    return known | {f"{x}+": known.get(f"{x}-or-later", x) for x in known}
