@@ -98,7 +98,7 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         F.col(key).alias("doc_id"),
         F.regexp_count(body, F.lit(WORD)).cast("long").alias("n_words"),
         F.when(gated(body), spaced_words(body)).alias("spaced"),
-        F.when(gated(body) & F.contains(F.lower(body), F.lit("spdx-license-identifier:")), stated(body)).alias("stated"),
+        F.when(F.contains(F.lower(body), F.lit("spdx-license-identifier:")), stated(body)).alias("stated"),
         F.monotonically_increasing_id().alias("_row"),  # read once only: one exchange below keeps a row's detections together
     )
     hits = read.withColumn("found", F.when(F.col("spaced").isNotNull(), detections(F.col("spaced"))))
