@@ -85,37 +85,57 @@ def final_rates(events: DataFrame, seconds: int, limit: int, late: str = "1 hour
     return counted.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "user_id", "n", (F.col("n") > limit).alias("over_limit"))
 
 
-def rate_alerts(events: DataFrame, seconds: int, limit: int, late: str = "1 hour", event: str = "event_id") -> DataFrame:
+#: Users are dealt to so many states; each holds the counts of all its users' open windows.
+SLICES = 64
+
+
+def rate_alerts(events: DataFrame, seconds: int, limit: int, late: str = "1 hour", event: str = "event_id", slices: int = SLICES) -> DataFrame:
     """A stream of alerts (window_start, user_id, event_id, at): one for a key and window over the limit, told as soon as it is.
 
-    Per key and window a small state counts the events until the limit is passed, and is
-    dropped when the watermark closes the window.
+    A state counts the events of many users and windows, each until its limit is passed,
+    and drops those of a window when the watermark closes it: a batch makes one call for
+    each of ``slices``, however many users and windows it holds.  The number of slices
+    must stay the same for a job that goes on.
     """
-    width = seconds * 1000
-    rows = once(events, late, event).select("user_id", "at", F.col(event).alias("event_id"), F.window("at", f"{seconds} seconds").start.alias("window_start"))
+    rows = once(events, late, event)
+    user, id_ = rows.schema["user_id"].dataType, rows.schema[event].dataType
+    window, none = F.window("at", f"{seconds} seconds"), F.lit("0").cast(id_)
+    rows = rows.select(
+        F.pmod(F.xxhash64("user_id"), F.lit(slices)).alias("slice"), "at", F.unix_micros("at").alias("us"), F.unix_micros(window.start).alias("start_us"),
+        # no nulls, which pandas would hold as floats
+        F.coalesce(F.concat(F.lit("u"), F.col("user_id").cast("string")), F.lit("-")).alias("who"), F.coalesce(F.col(event), none).alias("event_id"), F.col(event).isNull().alias("unnamed"),
+    )
+    width, pair = seconds * 1_000_000, ["start_us", "who"]
 
     def alert(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+        import pyarrow as pa
+
+        closed = state.getCurrentWatermarkMs() * 1000 - width
+        counts = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else pd.DataFrame({"start_us": pd.Series(dtype="int64"), "who": pd.Series(dtype="object"), "n": pd.Series(dtype="int64")})
+        if not state.hasTimedOut:
+            seen = pd.concat([f[[*pair, "us", "unnamed", "event_id"]] for f in frames]).sort_values(["us", "unnamed", "event_id"])
+            seen = seen.merge(counts, "left", pair)
+            before = seen["n"].fillna(0).astype("int64")
+            first = seen[seen.groupby(pair).cumcount() + before == limit]
+            if len(first):
+                yield first[[*pair, "event_id", "unnamed", "us"]]
+            counts = pd.concat([counts, seen.groupby(pair).size().rename("n").reset_index()]).groupby(pair, as_index=False)["n"].sum()
+            counts["n"] = counts["n"].clip(upper=limit + 1)
+        counts = counts[counts["start_us"] > closed]
+        if not len(counts):
+            if state.exists:
+                state.remove()
             return
-        n = state.get[0] if state.exists else 0
-        seen = pd.concat([f[["at", "event_id"]] for f in frames]).sort_values(["at", "event_id"]) if n <= limit else None
-        if seen is None:
-            for _ in frames:
-                pass
-        elif n + len(seen) > limit:
-            first = seen.iloc[limit - n]
-            yield pd.DataFrame({"window_start": [key[1]], "user_id": [key[0]], "event_id": [first["event_id"]], "at": [first["at"]]})
-            n = limit + 1
-        else:
-            n += len(seen)
-        state.update((n,))
-        end = int(pd.Timestamp(key[1]).timestamp() * 1000) + width
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-
-    kinds = rows.schema
-    out = f"window_start timestamp, user_id {kinds['user_id'].dataType.simpleString()}, event_id {kinds['event_id'].dataType.simpleString()}, at timestamp"
-    return rows.groupBy("user_id", "window_start").applyInPandasWithState(alert, out, "n int", "append", GroupStateTimeout.EventTimeTimeout)
+        held = pa.BufferOutputStream()
+        with pa.ipc.new_stream(held, (batch := pa.RecordBatch.from_pandas(counts, preserve_index=False)).schema) as out:
+            out.write_batch(batch)
+        state.update((held.getvalue().to_pybytes(),))
+        state.setTimeoutTimestamp(max(int(counts["start_us"].min() + width) // 1000, state.getCurrentWatermarkMs() + 1))
+
+    told = rows.groupBy("slice").applyInPandasWithState(alert, f"start_us long, who string, event_id {id_.simpleString()}, unnamed boolean, us long", "counts binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return told.select(
+        F.timestamp_micros("start_us").alias("window_start"), F.when(F.col("who") != "-", F.expr("substr(who, 2)")).cast(user).alias("user_id"), F.when(~F.col("unnamed"), F.col("event_id")).alias("event_id"), F.timestamp_micros("us").alias("at")
+    )
 
 
 def late_rows(run: StreamingQuery) -> int:

@@ -570,6 +570,25 @@ def test_windows_close_once_and_late_rows_are_told_apart(spark, tmp_path):
     assert alerts(rows) == [(12, 7, 3), (12, 8, 7), (15, 9, 12)] and late == 2
 
 
+def test_alerts_make_a_call_for_each_slice_of_users_not_for_each_user(spark, tmp_path):
+    """Two batches of many users and hours, some of them without a name: alerts as told one by one, from a state for each slice alone."""
+    import collections
+    import random
+
+    draw, schema = random.Random(5), "event_id long, ts timestamp_ntz, user_id long"
+    big = (1 << 60) + 1
+    batches = [[(big + b * 1000 + i, NOON + dt.timedelta(minutes=draw.randrange(0, 300)), draw.choice([None, *range(60)])) for i in range(700)] for b in (0, 1)]
+    expected, counts = [], collections.Counter()
+    for rows in batches:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        out, run = streams.run_appended(streams.rate_alerts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 3600, 2, "1 day"), str(tmp_path / "out"), str(tmp_path / "state"))
+        for event, at, user in sorted(rows, key=lambda r: (r[1], r[0])):
+            counts[user, at.hour] += 1
+            expected += [(at.hour, user, event)] if counts[user, at.hour] == 3 else []
+        assert sorted(((r.window_start.hour, r.user_id, r.event_id) for r in out.collect()), key=repr) == sorted(expected, key=repr)
+    assert run.recentProgress[0]["stateOperators"][0]["numRowsTotal"] <= streams.SLICES < len(counts)
+
+
 def test_streamed_queries_give_all_rows(spark):
     q, sf = registry.QUERIES, "/root/testdata/sf0.001"
     batch = q["h5_request_rates"](spark, sf)
