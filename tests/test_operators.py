@@ -426,6 +426,17 @@ def test_stretches_side_by_side_decide_as_one_fold(spark, tmp_path, per_user, pe
     assert all(r.user_id == rows[r.job_id][1] and r.admitted == (r.reason is None) for r in got)
 
 
+def test_histories_that_never_meet_take_few_rounds(spark, tmp_path):
+    """A dense log whose slots are all held for the same time: what the first stretch leaves is felt to the end."""
+    start = lambda i: dt.datetime(2024, 1, 1, 12) + dt.timedelta(seconds=i * 7 + (i * i) % 5)
+    rows = [(i, i % 50, start(i), None) for i in range(12_000)]
+    jobs = spark.createDataFrame(rows, "job_id long, user_id int, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    got = admission.admitted(jobs, str(tmp_path / "w"), stretch=30).collect()  # 47 stretches
+    assert {r.job_id: (r.reason, r.open_user, r.open_total) for r in got} == decided_in_order(rows, 3, 3, 30)
+    rounds = [p.name for p in (tmp_path / "w").glob("*/round=*")]
+    assert 2 < len(rounds) <= 5
+
+
 def test_limits_chain(spark):
     t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
     e = spark.createDataFrame([(i, "k", t(i)) for i in range(5)] + [(9, "k", t(65)), (10, "j", t(3))], "event_id int, user_id string, ts timestamp_ntz")
