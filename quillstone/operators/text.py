@@ -31,9 +31,13 @@ def normalised_documents(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def vocabulary(pages: DataFrame, document: str = "document_id", text: str = "text") -> DataFrame:
-    """(document, word): the distinct lower-cased letter runs of each whole document."""
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(\p{L}+)"), F.lit(1))
-    return pages.select(document, F.explode(F.array_distinct(words)).alias("word")).distinct()
+    """(document, word): the distinct lower-cased letter runs of each whole document.
+
+    A page's distinct words stay one row until its document's pages are together.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(\p{L}+)"), F.lit(1)))
+    whole = pages.select(document, words.alias("_words")).groupBy(document).agg(F.array_distinct(F.flatten(F.collect_list("_words"))).alias("_words"))
+    return whole.select(document, F.explode("_words").alias("word"))
 
 
 def page_lines(pages: DataFrame, document: str = "document_id", page: str = "page_no", text: str = "text") -> DataFrame:

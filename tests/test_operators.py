@@ -32,6 +32,15 @@ def test_normalised_text(spark):
     assert one(spark, C.normalised(F.lit("﻿a  \r\nb\t\r\r\n\n\n\nc \n"))) == "a\nb\n\nc"
 
 
+def test_a_vocabulary_shuffles_a_row_for_a_page_not_for_a_word(spark, tmp_path):
+    pages = spark.createDataFrame([("a", 1, "One two ONE"), ("a", 2, "two three"), ("b", 1, "one"), ("b", 2, None), ("c", 1, "1 2"), (None, 1, "x"), (None, 2, "X y")], "document_id string, page_no int, text string")
+    words = text.vocabulary(pages)
+    assert values(words) == sorted([("a", "one"), ("a", "two"), ("a", "three"), ("b", "one"), (None, "x"), (None, "y")], key=repr)
+    plan = words._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # words are made rows after the only aggregate
+    assert plan.count("Aggregate") == 1
+
+
 def test_titles(spark):
     got = [one(spark, C.title(F.lit(x))) for x in ("My_long__file.v2.pdf", "a|b.txt", ".txt", "plain")]
     assert got == ["My long file.v2", "a b", "", "plain"]
