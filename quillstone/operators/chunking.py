@@ -62,7 +62,7 @@ def sentence_array(paragraph: Column) -> Column:
     """The sentences of a paragraph with collapsed white space: cut at marks that are put where sentences end."""
     marked = F.regexp_replace(paragraph, SENTENCE_END, f"$1$2$3{MARK}")
     # the mark comes first, so that what is before it is looked at there alone
-    glued = F.regexp_replace(marked, rf"{MARK}(?<=(?:^|[{WS}({MARK}])(?:{ABBREVIATIONS})\.{MARK})(?!\z)", " ")
+    glued = F.regexp_replace(marked, rf"{MARK}(?<=\.{MARK})(?<=(?:^|[{WS}({MARK}])(?:{ABBREVIATIONS})\.{MARK})(?!\z)", " ")
     return F.filter(F.split(glued, MARK), lambda x: x != "")
 
 

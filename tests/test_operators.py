@@ -590,6 +590,24 @@ def test_windows_close_once_and_late_rows_are_told_apart(spark, tmp_path):
     assert alerts(rows) == [(12, 7, 3), (12, 8, 7), (15, 9, 12)] and late == 2
 
 
+def test_guards_of_the_sentence_pattern_change_nothing(spark):
+    """The pattern against the same rules without their quick first looks, over random texts of all its classes."""
+    import random
+
+    from quillstone.functions import sentence_breaks as B
+
+    tail = rf"[{B.CLOSE}{B.EXTEND}]*+(?: [{B.EXTEND}]++)*+"
+    behind, letter = rf"(?![{B.GOES_ON}{B.FULL_STOP}{B.STOP}{B.NEXT_LINE}])", rf"[{B.LOWER}{B.UPPER}][{B.EXTEND}]{{0,{B.MARKS}}}"
+    stop = rf"(?:(?<={letter})[{B.FULL_STOP}][{B.EXTEND}]*+(?!{B.UPPER})|(?<!{letter})[{B.FULL_STOP}][{B.EXTEND}]*+)(?![{B.NUMERIC}])"
+    plain = rf"(?:([{B.STOP}]{tail}) ?+{behind}|({stop}{tail}) ?+(?!{B.NO_LETTER}*+{B.LOWER}){behind}|({B.NEXT_LINE}) ?)"
+    draw = random.Random(1)
+    signs = "..!?  aZ1,-:;\"'()[]»«”“’…。！？｡؟।።‼．․\u0301\u00ad\u200d\u0345ßéÉǅაᲐ中\U0001d400\U0001f676٣٫—、\x85\u05f3ªº©"
+    rows = [("".join(draw.choice(signs) for _ in range(60)),) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "t string").select("t", F.regexp_replace("t", B.SENTENCE_END, "$1$2$3|").alias("quick"), F.regexp_replace("t", plain, "$1$2$3|").alias("whole"))
+    assert df.where("quick LIKE '%|%'").count() > 3000
+    assert df.where("quick <> whole").collect() == []
+
+
 def test_alerts_make_a_call_for_each_slice_of_users_not_for_each_user(spark, tmp_path):
     """Two batches of many users and hours, some of them without a name: alerts as told one by one, from a state for each slice alone."""
     import collections
