@@ -95,11 +95,11 @@ _FOLDED = """SELECT concat(conv_id::VARCHAR, '-', turn::VARCHAR) AS question_id,
 
 @query(_FOLDED)
 def h6_stream_answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fold as a stream with state per question; timers end what has been silent, and the rest is dropped as the log has ended."""
+    """The fold as a stream with states for slices of the questions; timers end what has been silent, and the rest is dropped as the log has ended."""
     path = scratch(spark, "answer-events")
     _answer_events(spark, sf_dir).write.parquet(path)
     raw = spark.readStream.schema("question_id string, seq int, event string, data string, at timestamp").parquet(path)
-    return streams.settled(streams.run_to_table(streams.stream_answer_events(raw), ["question_id"], scratch(spark, "answers-out"), scratch(spark, "answer-state"), streams.ended()))
+    return streams.settled(streams.run_to_table(streams.stream_answer_events(raw, slices=streams.QUESTION_SLICES), ["question_id"], scratch(spark, "answers-out"), scratch(spark, "answer-state"), streams.ended()))
 
 
 #: Answer events made from the conversations: a stage, sources, the words of the turn as deltas, and an end that every seventh lacks.

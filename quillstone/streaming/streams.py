@@ -154,50 +154,124 @@ OUT = "question_id string, phase string, n_sources int, text string, message str
 STATE = "seqs array<int>, kinds array<string>, bodies array<string>, latest long"
 
 
-def event_fold(patience: int):
-    """The answer-event fold with state: one row per question and batch; ``patience`` in seconds."""
+def _question_rules():
+    """The rules of a question's events, held as {seq: (kind, body)}: (what still counts, its row, its row once it is silent)."""
+    ends = ("done", "error")
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def counting(held: dict) -> dict:
+        end = min((s for s, (k, _) in held.items() if k in ends), default=None)
+        return held if end is None else {s: e for s, e in held.items() if s == end or (s < end and e[0] == "sources")}
+
+    def told(held: dict) -> tuple:
+        import json
+
+        bodies: dict[str, list[dict]] = {}
+        for s in sorted(held):
+            bodies.setdefault(held[s][0], []).append(json.loads(held[s][1]))
+        last = lambda kind, field, default=None: bodies[kind][-1].get(field, default) if kind in bodies else default
+        if "done" in bodies:
+            phase, text_ = "done", last("done", "answer")
+        elif "error" in bodies:
+            phase, text_ = "error", ""
+        else:
+            phase, text_ = last("stage", "stage", "searching"), "".join(b["text"] for b in bodies.get("delta", []))
+        return phase, last("sources", "n", 0), text_, last("error", "message")
+
+    def silent(held: dict) -> tuple | None:
         import json
 
+        if any(k in ends for k, _ in held.values()):
+            return None
+        # nothing for too long: the connection is gone
+        return "error", json.loads(next((held[s][1] for s in sorted(held, reverse=True) if held[s][0] == "sources"), "{}")).get("n", 0), "", usage.DROPPED
+
+    return counting, told, silent
+
+
+def event_fold(patience: int):
+    """The answer-event fold with a state for each question: one row per question and batch; ``patience`` in seconds."""
+    counting, told, silent = _question_rules()
+    names = [c.split()[0] for c in OUT.split(", ")]
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, latest = {}, 0
         if state.exists:
             *columns, latest = state.get
             held = {s: (k, b) for s, k, b in zip(*columns, strict=True)}
-        ended = any(k in ("done", "error") for k, _ in held.values())
-        out: dict[str, list] = {"question_id": [key[0]], "phase": ["error"], "n_sources": [0], "text": [""], "message": [usage.DROPPED]}
         if state.hasTimedOut:
             state.remove()
-            if not ended:  # nothing for too long: the connection is gone
-                out["n_sources"] = [json.loads(next((held[s][1] for s in sorted(held, reverse=True) if held[s][0] == "sources"), "{}")).get("n", 0)]
-                yield pd.DataFrame(out)
+            if row := silent(held):
+                yield pd.DataFrame([(key[0], *row)], columns=names)
             return
         for frame in frames:
-            for seq, kind, body, at in zip(frame["seq"].tolist(), frame["event"], frame["data"], frame["at"], strict=True):
+            for seq, kind, body, ms in zip(frame["seq"].tolist(), frame["event"], frame["data"], frame["ms"].tolist(), strict=True):
                 held.setdefault(seq, (kind, body))
-                latest = max(latest, int(at.timestamp() * 1000))
-        end = min((s for s, (k, _) in held.items() if k in ("done", "error")), default=None)
-        if end is not None:
-            held = {s: e for s, e in held.items() if s == end or (s < end and e[0] == "sources")}
+                latest = max(latest, ms)
+        held = counting(held)
         order = sorted(held)
         state.update((order, [held[s][0] for s in order], [held[s][1] for s in order], latest))
         state.setTimeoutTimestamp(max(latest + patience * 1000, state.getCurrentWatermarkMs() + 1))
-        bodies: dict[str, list[dict]] = {}
-        for s in order:
-            bodies.setdefault(held[s][0], []).append(json.loads(held[s][1]))
-        last = lambda kind, field, default=None: bodies[kind][-1].get(field, default) if kind in bodies else default
-        if "done" in bodies:
-            phase, text_ = "done", last("done", "answer")
-        elif "error" in bodies:
-            phase, text_ = "error", ""
-        else:
-            phase, text_ = last("stage", "stage", "searching"), "".join(b["text"] for b in bodies.get("delta", []))
-        yield pd.DataFrame(out | {"phase": [phase], "n_sources": [last("sources", "n", 0)], "text": [text_], "message": [last("error", "message")]})
+        yield pd.DataFrame([(key[0], *told(held))], columns=names)
 
     return fold
 
 
-def stream_answer_events(events: DataFrame, patience: int = 600, late: str = "1 minute") -> DataFrame:
+def sliced_event_fold(patience: int):
+    """The same fold with a state for many questions: each keeps its own events and its own deadline."""
+    counting, told, silent = _question_rules()
+    names = [c.split()[0] for c in OUT.split(", ")]
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        import pyarrow as pa
+
+        schema = pa.schema([("question_id", pa.string()), ("seq", pa.int32()), ("kind", pa.string()), ("body", pa.string()), ("latest", pa.int64()), ("deadline", pa.int64())])
+        now, held, clocks = state.getCurrentWatermarkMs(), {}, {}
+        if state.exists:
+            for question, seq, kind, body, *clock in zip(*(c.to_pylist() for c in pa.ipc.open_stream(state.get[0]).read_all().columns), strict=True):
+                held.setdefault(question, {})[seq] = (kind, body)
+                clocks[question] = clock
+        heard: dict = {}
+        for frame in () if state.hasTimedOut else frames:
+            for question, seq, kind, body, ms in zip(*(frame[c].tolist() for c in ("question_id", "seq", "event", "data", "ms")), strict=True):
+                if (events := held.get(question)) is None:
+                    events = held[question] = {}
+                if seq not in events:
+                    events[seq] = (kind, body)
+                if ms > heard.get(question, -1):
+                    heard[question] = ms
+                else:
+                    heard.setdefault(question, 0)
+        rows = []
+        for question, ms in heard.items():
+            latest = max(ms, clocks.get(question, (0,))[0])
+            clocks[question] = [latest, max(latest + patience * 1000, now + 1)]
+            held[question] = counting(held[question])
+            rows.append((question, *told(held[question])))
+        for question in [q for q, (_, deadline) in clocks.items() if deadline < now]:
+            del clocks[question]
+            if row := silent(held.pop(question)):
+                rows.append((question, *row))
+        if held:
+            columns = zip(*((q, s, *events[s], *clocks[q]) for q, events in held.items() for s in sorted(events)), strict=True)
+            table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            packed = pa.BufferOutputStream()
+            with pa.ipc.new_stream(packed, schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+                out.write_table(table)
+            state.update((packed.getvalue().to_pybytes(),))
+            state.setTimeoutTimestamp(max(min(deadline for _, deadline in clocks.values()), now, 1))
+        elif state.exists:
+            state.remove()
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    return fold
+
+
+#: Slices for streams of very many questions: a batch of 100 million events leaves some 100,000 to a call.
+QUESTION_SLICES = 1024
+
+
+def stream_answer_events(events: DataFrame, patience: int = 600, late: str = "1 minute", slices: int | None = None) -> DataFrame:
     """Questions' states as their events arrive (question_id string, seq int, event, data, at timestamp).
 
     Events count by their ``seq``, in whatever order and batches they arrive; of equal
@@ -207,8 +281,17 @@ def stream_answer_events(events: DataFrame, patience: int = 600, late: str = "1
     state: one without an end as a dropped connection.  Until then an end that has been
     told stays, so what comes after it changes nothing; events that come later than
     the watermark are not looked at.
+
+    Without ``slices`` each question has a state of its own, which can be looked up by its
+    key, and costs a call for its events and one for its timer.  With it questions are
+    dealt to so many states and a batch makes a call for each of those; the rows are the
+    same.  The number must stay the same for a job that goes on.
     """
-    return events.withWatermark("at", late).groupBy("question_id").applyInPandasWithState(event_fold(patience), OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    rows = events.withWatermark("at", late).select("question_id", "seq", "event", "data", "at", F.unix_millis("at").alias("ms"))
+    if slices is None:
+        return rows.groupBy("question_id").applyInPandasWithState(event_fold(patience), OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    dealt = rows.withColumn("slice", F.pmod(F.xxhash64("question_id"), F.lit(slices)))
+    return dealt.groupBy("slice").applyInPandasWithState(sliced_event_fold(patience), OUT, "questions binary", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def ended() -> Column:

@@ -561,6 +561,40 @@ def test_silent_questions_end_and_leave_the_state(spark, tmp_path):
     assert got == dropped | {"next": ("searching", 0, "z!", None)}
 
 
+def test_questions_in_slices_are_told_like_questions_with_states_of_their_own(spark, tmp_path):
+    """Batches of many questions, one without a name: equal rows, timers' included, from a state for each slice alone."""
+    import random
+
+    draw, names, makers = random.Random(3), [None, *(f"q{i}" for i in range(40))], {"stage": ("stage", "writing"), "sources": ("n", 2), "delta": ("text", "x"), "done": ("answer", "xy"), "error": ("message", "busy")}
+    for turn in range(3):
+        asked = draw.sample(names, 25)
+        places = sorted({(draw.choice(asked), draw.randrange(7)) for _ in range(90)}, key=repr)
+        kinds = draw.choices(list(makers), [2, 2, 6, 1, 1], k=len(places))
+        rows = [(q, i, k, json.dumps(dict([makers[k]])), NOON + dt.timedelta(seconds=turn * 70 + draw.randrange(40))) for (q, i), k in zip(places, kinds, strict=True)]
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        told, states = [], []
+        for slices in (None, 3):
+            stream, at = spark.readStream.schema(EVENT).parquet(str(tmp_path / "in")), f"{tmp_path}/{slices}"
+            streams.run_to_table(streams.stream_answer_events(stream, patience=60, late="10 seconds", slices=slices), ["question_id"], f"{at}/out", f"{at}/state")
+            told.append(sorted(spark.read.parquet(f"{at}/out").collect(), key=repr))
+            states.append(spark.read.format("statestore").load(f"{at}/state").count())
+        assert told[0] == told[1] and any(r.message == usage.DROPPED for r in told[1]) == (turn > 0)
+        assert states[1] <= 3 < states[0]
+
+
+def test_questions_are_waited_for_in_any_session_zone(spark, tmp_path):
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        for part, slices in (("a", None), ("b", 3)):
+            for second in (0, 30):  # well within the patience
+                spark.createDataFrame([("q", second, "delta", json.dumps({"text": "x"}), NOON + dt.timedelta(seconds=second))], EVENT).write.mode("append").parquet(f"{tmp_path}/{part}/in")
+                stream = spark.readStream.schema(EVENT).parquet(f"{tmp_path}/{part}/in")
+                out = streams.run_to_table(streams.stream_answer_events(stream, patience=60, late="10 seconds", slices=slices), ["question_id"], f"{tmp_path}/{part}/out", f"{tmp_path}/{part}/state")
+            assert [(r.phase, r.text) for r in out.collect()] == [("searching", "xx")]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_windows_close_once_and_late_rows_are_told_apart(spark, tmp_path):
     schema = "event_id long, ts timestamp_ntz, user_id long"
 
