@@ -9,12 +9,14 @@ ids, the n document ids, and n flags that are 0 for a null document id.
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import types
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
@@ -33,13 +35,29 @@ HEADER = 3
 POOL_PIECES, POOL_BYTES = 500_000, 16_000_000
 #: Ids that the reader takes from a file at once, unless a document is longer.
 READ_IDS = 1 << 20
+#: New pieces that are encoded as the lines of one text.
+LINES = 256
 
 
-def units(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+#: Printable ASCII by kind: letters 1, digits 2, signs 3, the apostrophe 4 (contractions begin with it); other bytes 0.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[0x27] = 4
+_KIND[0x30:0x3A] = 2
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = 1
+#: Whether text is cut where one kind follows another.
+_CUT = np.zeros((5, 5), bool)
+_CUT[1:3, 1:] = _CUT[3, 1:3] = True
+_CUT[1, 1] = _CUT[2, 2] = False
+
+
+def units(data: np.ndarray, offsets: np.ndarray, kinds: bool = False) -> np.ndarray:
     """Starts of pieces that a byte-level pre-tokeniser never joins.
 
     A piece is a run without ASCII white space with the one blank before it, or
     the rest of a white-space run (all but its last character, if text follows).
+    With ``kinds`` a run is cut also between ASCII letters, digits and signs, as
+    GPT-2's pattern does; after an apostrophe, which may begin a contraction, it is not.
     """
     n = len(data)
     space = _SPACE[data]
@@ -53,6 +71,9 @@ def units(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     begins |= space & ~before
     begins |= space & before & text_next
     begins |= ~space & before & ~blank
+    if kinds and n:
+        kind = _KIND[data]
+        begins[1:] |= _CUT[kind[:-1], kind[1:]]
     return np.flatnonzero(begins)
 
 
@@ -98,7 +119,8 @@ def repeated(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarr
 class Encoder:
     """Encodes batches of texts as the tokenizer does; each piece that repeats is encoded once.
 
-    Pieces are known by their bytes.  The pool of pieces is emptied when it reaches
+    Pieces are known by their bytes.  New ones are encoded many to a text, one on each
+    line; the bytes of the ids tell where a piece ends.  The pool of pieces is emptied when it reaches
     its bound.  Rows that hold wide white space, or the text of a token that the
     tokenizer finds before it cuts pieces (such as one that ends a text), are encoded whole.
     """
@@ -108,7 +130,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = [t.content.encode() for t in added.values()]
+        cuts = json.loads(model).get("pre_tokenizer") or {}
+        self.kinds = cuts.get("type") == "ByteLevel" and cuts.get("use_regex", True)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes_of = np.zeros(max([*vocabulary.values(), *added], default=-1) + 1, np.int64)
+        for word, i in vocabulary.items():
+            self.bytes_of[i] = len(word)
+        for i, token in added.items():
+            self.bytes_of[i] = len(token.content.encode())
         self._clear()
 
     def _clear(self) -> None:
@@ -120,16 +151,32 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _lines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of texts without white space at their ends but one blank before, and how many each has; None if lines don't keep them apart."""
+        sizes = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
+        encoded = self._encode(["\n".join(texts[i : i + LINES]) + "\n" for i in range(0, len(texts), LINES)])
+        ids = np.concatenate([np.array(x, np.uint32) for x in encoded])
+        done, wanted = np.cumsum(self.bytes_of[ids]), np.cumsum(sizes + 1)
+        at = np.searchsorted(done, wanted)  # the line ends
+        if len(ids) < 2 or at[-1] != len(ids) - 1 or (done[at] != wanted).any() or (done[at - 1] != wanted - 1).any():
+            return None
+        return np.delete(ids, at), np.diff(at, prepend=-1) - 1
+
     def _learn(self, pieces: list[bytes]) -> None:
-        """Put the pieces that are not known into the pool."""
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        if not new:
-            return
-        encoded = self._encode([p.decode("utf-8", "replace") for p in new])
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.known_bytes += sum(map(len, new))
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in encoded for i in x), np.uint32, int(lengths.sum()))])
+        """Put the pieces, none of which is known, into the pool."""
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        inner = [t[1:] if t[:1] == " " else t for t in texts]
+        plain = np.fromiter((bool(t) and t.strip() == t for t in inner), bool, len(inner)) if self.kinds else np.zeros(len(texts), bool)
+        lined = self._lines(list(compress(texts, plain))) if plain.any() else None
+        if lined is None:
+            plain[:] = False
+            lined = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        alone = self._encode(list(compress(texts, ~plain)))
+        lengths = np.concatenate([lined[1], np.fromiter(map(len, alone), np.int64, len(alone))])
+        order = [*compress(pieces, plain), *compress(pieces, ~plain)]
+        self.known.update(zip(order, range(len(self.known), len(self.known) + len(order)), strict=True))
+        self.known_bytes += sum(map(len, order))
+        self.ids = np.concatenate([self.ids, lined[0], np.fromiter(chain.from_iterable(alone), np.uint32)])
         self.lengths = np.concatenate([self.lengths, lengths])
 
     def whole_rows(self, raw: bytes, data: np.ndarray, offsets: np.ndarray) -> list[int]:
@@ -152,11 +199,12 @@ class Encoder:
         if len(self.known) > POOL_PIECES or self.known_bytes > POOL_BYTES:
             self._clear()
         raw = data.tobytes()
-        starts = units(data, offsets)
+        starts = units(data, offsets, self.kinds)
         ends = np.append(starts[1:], len(raw))
         codes, places = repeated(raw, starts, ends)
         pieces = [raw[i:j] for i, j in zip(starts[places].tolist(), ends[places].tolist(), strict=True)]
-        self._learn(pieces)
+        if new := list(dict.fromkeys(p for p in pieces if p not in self.known)):
+            self._learn(new)
         of = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[codes]
         first_id = np.cumsum(self.lengths) - self.lengths
         n = self.lengths[of]

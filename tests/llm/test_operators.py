@@ -472,6 +472,27 @@ def test_the_encoder_matches_the_tokenizer_on_odd_texts():
         assert [ids[i : i + n].tolist() for i, n in zip(at, counts, strict=True)] == expected
 
 
+def test_new_pieces_are_encoded_as_lines_of_few_texts_and_words_without_their_signs():
+    """Texts of all kinds of ASCII, contractions and wide signs equal the plain tokenizer's; few texts reach it, "word" and "word," share a piece."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    e, plain, draw = token_files.Encoder(queries.tokenizer_json()), Tokenizer.from_str(queries.tokenizer_json()), random.Random(8)
+    signs = [*"aeZ059.,;!$-_<|>\"'` \t\n\r\x00\x1c\x7f", "'s", "'re", "''ll", "-'t", "  ", "\r\n", "é", "e\u0301", "ß5", "٣a", "\xa0", " \xa0x", "\u2003", "中文", "\U0001f600", "\u200d", "<|endoftext|>"]
+    seen, encode = [], e._encode
+    e._encode = lambda given: seen.append(len(given)) or encode(given)
+    for some, size in ((signs, 12), (signs[:29], 60)):
+        texts = ["".join(draw.choice(some) for _ in range(draw.randrange(size))) for _ in range(4000)]
+        seen.clear()
+        ids, n = e(pa.array(texts))
+        assert sum(seen[:1]) < len(e.known) / 100
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    e._clear(), seen.clear()
+    words = [f"{a}{b}q{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "rstuvwxyz"]
+    e(pa.array([" ".join(words), ", ".join(words), "'s ".join(words)]))
+    assert sum(seen) < 10 and len(e.known) == len(words) + 2  # a comma and a contraction
+
+
 def test_token_files_of_all_documents_match_the_plain_tokenizer(spark):
     from tokenizers import Tokenizer
 
