@@ -25,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
         holders = lower.groupBy("mid").agg(F.count(F.lit(1)).alias("n"))
         target = stage(holders.join(lower.select(F.col("node").alias("mid"), F.col("mid").alias("far")), "mid"), "targets")
         jumped = stage(joined_by_key(lower, target, "mid", "n").select("node", "degree", "was", F.least("mid", "far").alias("comp")), "labels")
-        changed = jumped.where("comp <> was").limit(1).count()
+        changed = not jumped.where("comp <> was").isEmpty()
         discard(labels, lower, target)
         labels = jumped
         if not changed:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +22,8 @@ FIT_ROWS = 1500
 #: A quarter of the fitted rows is kept for the temperature.
 CALIBRATION = 4
 UNKNOWN = "und"
+#: How a fitted row's buckets (under FEATURES) and counts travel to the driver, and stay on it.
+PACKED = ("<u2", "<u4")
 
 _letters: np.ndarray | None = None
 
@@ -69,6 +71,20 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return w / np.sqrt(w @ w)
 
 
+class Sample:
+    """The fitted rows, as packed numbers of six bytes a feature; a row's buckets and weights are made when it is read."""
+
+    def __init__(self, packed: list[tuple[bytes, bytes]], idf: np.ndarray):
+        self.packed, self.idf = packed, idf
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at, counts = (np.frombuffer(x, kind).astype(np.int64) for x, kind in zip(self.packed[i], PACKED, strict=True))
+        return at, weighted(counts, self.idf[at])
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -91,7 +107,7 @@ class Model:
 
 
 def fit_ftrl(
-    rows: list[tuple[np.ndarray, np.ndarray]],
+    rows: Sequence[tuple[np.ndarray, np.ndarray]],
     classes: np.ndarray,
     n_classes: int,
     alpha: float = 1.0,
@@ -118,7 +134,8 @@ def fit_ftrl(
     shuffle = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in shuffle.permutation(len(rows)):
-            at, x = np.append(rows[i][0], FEATURES), np.append(rows[i][1], 1.0)
+            buckets, x = rows[i]
+            at, x = np.append(buckets, FEATURES), np.append(x, 1.0)
             w = leader(at)
             s = x @ w
             p = np.exp(s - s.max())
@@ -191,25 +208,17 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, lang: str = "lang", text: str
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in short(batches, 1):
             found = [features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32()))],
-                names=["lang", "draw", "at", "counts"],
-            )
-
-    fitted = sorted((r.draw, r.lang, r.at, r.counts) for r in sample.mapInArrow(sparse, "lang string, draw long, at array<int>, counts array<int>").toLocalIterator())
-    rows, classes, held = [], [], []
-    for draw_, language, at, counts in fitted:
-        if at:
-            at, counts = np.array(at), np.array(counts)
-            rows.append((at, weighted(counts, idf[at])))
-            classes.append(languages.index(language))
-            held.append((draw_ >> 30) % CALIBRATION == 0)
-    classes, held = np.array(classes, np.int64), np.array(held, bool)
-    use = [i for i in range(len(rows)) if not held[i]]
-    weights, bias = fit_ftrl([rows[i] for i in use], classes[use], len(languages))
+            at, counts = (pa.array([x[i].astype(kind).tobytes() for x in found], pa.binary()) for i, kind in enumerate(PACKED))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), at, counts], names=["lang", "draw", "at", "counts"])
+
+    fitted = sorted((r.draw, r.lang, r.at, r.counts) for r in sample.mapInArrow(sparse, "lang string, draw long, at binary, counts binary").toLocalIterator() if r.at)
+    classes = np.array([languages.index(language) for _, language, _, _ in fitted], np.int64)
+    held = np.array([(draw_ >> 30) % CALIBRATION == 0 for draw_, _, _, _ in fitted], bool)
+    rows = [(at, counts) for _, _, at, counts in fitted]
+    use, kept = np.flatnonzero(~held), np.flatnonzero(held)
+    weights, bias = fit_ftrl(Sample([rows[i] for i in use], idf), classes[use], len(languages))
     model = Model(languages, idf, weights.astype(np.float32), bias)
-    kept = np.flatnonzero(held)
-    model.temperature = fit_temperature(np.array([rows[i][1] @ weights[rows[i][0]] + bias for i in kept]), classes[kept])
+    model.temperature = fit_temperature(np.array([x @ weights[at] + bias for at, x in Sample([rows[i] for i in kept], idf)]), classes[kept])
     return model
 
 

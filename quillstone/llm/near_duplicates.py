@@ -94,8 +94,11 @@ def inverse_frequencies(df: np.ndarray, n: int) -> np.ndarray:
     1 for what is in every document, rising with the logarithm of n / df, to 2 for what
     is in one of RARE documents or fewer.
     """
-    rarity = np.log(max(n, 1) / np.clip(df, 1, max(n, 1))) / np.log(RARE)
-    return (1 + np.minimum(rarity, 1)).astype(np.float16)
+    out = np.empty(len(df), np.float16)
+    for i in range(0, len(df), CHUNK):  # not all at once: doubles of the whole table take eight times its room
+        rarity = np.log(max(n, 1) / np.clip(df[i : i + CHUNK], 1, max(n, 1))) / np.log(RARE)
+        out[i : i + CHUNK] = 1 + np.minimum(rarity, 1)
+    return out
 
 
 def weights(hashes: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -413,7 +416,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     no_id = F.lit(-(1 << 63))
     kept = classes(docs, key, text).where("kept").select(F.coalesce("doc_id", no_id).alias("id"), "digest")
-    repeated = kept.groupBy("id", "digest").count().where("count > 1").limit(1).count()
+    repeated = not kept.groupBy("id", "digest").count().where("count > 1").isEmpty()
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(key).cast("long"), no_id).alias("id"), name_of(text).alias("digest"))
     out = rows.join(kept.hint("shuffle_hash"), ["id", "digest"], "left_semi")
     if repeated:

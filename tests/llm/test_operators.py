@@ -5,13 +5,14 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import decontamination, language_id, license_rules, licenses, mixing, near_duplicates, neighbour_graph, queries, sharding, substrings, suffixes, token_files
+from quillstone.llm import decontamination, language_id, license_rules, licenses, mixing, near_duplicates, neighbour_graph, queries, sharding, skew, substrings, suffixes, token_files
 from tests.llm.fixtures import clashing, documents, empty, prose, rows, values
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -77,6 +78,32 @@ def test_ftrl_leaves_most_weights_at_zero():
     assert all((x @ w[at]).argmax() == i % 2 for i, (at, x) in enumerate(data))
 
 
+def peak_mb(work) -> float:
+    """The most memory of this process's Python that ``work`` took."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_fitted_rows_stay_packed_on_the_driver(spark):
+    r = np.random.default_rng(4)
+    texts = ["".join(map(chr, 0x4E00 + r.integers(0, 4000, 20_000))) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert peak_mb(lambda: language_id.fit(docs)) < 45  # 1.3 million features; as lists of whole numbers they take well over that
+
+
+def test_packed_rows_are_the_features():
+    idf = np.linspace(1, 9, language_id.FEATURES)
+    found = [language_id.features(t) for t in ("a bc abc " * 70_000, "漢字 é", "z")]
+    packed = language_id.Sample([tuple(x.astype(k).tobytes() for x, k in zip(f, language_id.PACKED, strict=True)) for f in found], idf)
+    assert len(packed) == 3 and found[0][1].max() > 65_535
+    for (at, counts), (buckets, w) in zip(found, packed, strict=True):
+        assert (at == buckets).all() and (language_id.weighted(counts, idf[at]) == w).all()
+
+
 # --- 3 and 5 repeated passages ------------------------------------------------------
 
 
@@ -216,6 +243,30 @@ def test_suffix_repeats_of_many_edited_copies(spark):
 # --- 4 near-duplicates --------------------------------------------------------------
 
 
+def test_inverse_frequencies_are_made_piece_by_piece():
+    df, out = np.random.default_rng(5).integers(0, 5000, near_duplicates.DF_BUCKETS).astype(np.uint32), []
+    assert peak_mb(lambda: out.append(near_duplicates.inverse_frequencies(df, 5000))) < 20  # 8 MB of them are the result
+    rarity = np.log(5000 / np.clip(df, 1, 5000)) / np.log(near_duplicates.RARE)
+    assert (out[0] == (1 + np.minimum(rarity, 1)).astype(np.float16)).all()
+
+
+def test_only_keys_of_many_rows_are_broadcast(spark):
+    def joined(*sizes, how="inner"):
+        rows = spark.createDataFrame([(k, i) for k, n in enumerate(sizes) for i in range(n)], "k long, i long")
+        keyed = spark.createDataFrame([(k, n, f"v{k}") for k, n in enumerate(sizes)], "k long, n long, v string")
+        out = skew.joined_by_key(rows, keyed, "k", "n", how)
+        assert values(out.select("k", "i", "v")) == values(rows.join(keyed.drop("n"), "k", how).select("k", "i", "v"))
+        return out._jdf.queryExecution().analyzed().toString()
+
+    few = joined(1, 2, skew.FEW)
+    assert "broadcast" not in few and "Union" not in few
+    for how in ("inner", "left"):
+        many = joined(1, 2, 1500, how=how)
+        assert "broadcast" in many and "Union" in many
+    all_hot = joined(skew.FEW + 1, skew.FEW + 2)
+    assert "broadcast" in all_hot and "Union" not in all_hot
+
+
 def test_near_duplicates(spark, docs):
     for df in (docs, clashing(spark)):
         found = near_duplicates.classes(df).collect()
