@@ -68,6 +68,8 @@ def h4_ingest_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAME = "concat('in/', lang, '_', cast(doc_id as string), CASE WHEN doc_id % 6 = 4 THEN '.docx' ELSE '.txt' END)"
+#: The same for Spark, whose concat is null where the language is; SQL's leaves it out.
+_NAMED = _NAME.replace("concat(", "concat_ws('', ", 1)
 
 
 @query(f"""WITH RECURSIVE {_PASSAGES}, {_OUTCOMES}, named AS (SELECT doc_id AS document_id, {_NAME.replace('cast(doc_id as string)', 'doc_id::VARCHAR')} AS path FROM documents),
@@ -76,7 +78,7 @@ kept AS (SELECT n.document_id, path, CASE WHEN ends_with(path, '.docx') THEN '{U
 def h4_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as arriving files, some of a kind that is refused: catalog rows with the passages of those that are ready."""
     inbox = scratch(spark, "inbox")
-    d = _texts(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.expr(_NAME).alias("path")), "document_id")
+    d = _texts(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.expr(_NAMED).alias("path")), "document_id")
     content = F.encode("text", "UTF-8")
     d.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.length(content).cast("long").alias("length"), content.alias("content")).write.parquet(inbox)
     store_path, catalog_path = scratch(spark, "store"), scratch(spark, "catalog")

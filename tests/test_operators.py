@@ -5,6 +5,8 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import regex
 from pyspark.sql import Window
@@ -15,6 +17,7 @@ from quillstone.operators import admission, answers, catalog, chunking, embeddin
 from quillstone.plans import registry
 from quillstone.sources import files, store
 from quillstone.streaming import streams
+from tests import oracle
 
 
 def values(df):
@@ -695,6 +698,14 @@ def test_files_are_ingested_as_they_arrive(spark, tmp_path):
     assert status == {"a.txt": ("ready", None), "b.docx": ("failed", files.UNSUPPORTED), "c.txt": ("failed", text.NO_TEXT)}
 
 
+def test_a_document_without_a_language_is_a_file_as_the_others(spark, tmp_path):
+    rows = [(1, "One sentence. Another one.", "en"), (2, "Two words here.", None), (10, "Of a kind that is refused.", None)]
+    pq.write_table(pa.Table.from_pylist([{"doc_id": i, "text": t, "lang": lang, "source": "src1", "n_chars": len(t)} for i, t, lang in rows]), tmp_path / "documents.parquet")
+    query, folder = registry.QUERIES["h4_stream_ingest"], str(tmp_path)
+    assert sorted((r.path, r.status) for r in query(spark, folder).collect()) == [("in/_10.docx", "failed"), ("in/_2.txt", "ready"), ("in/en_1.txt", "ready")]
+    oracle.same(spark, query, registry.ORACLE_SQL["h4_stream_ingest"], folder)
+
+
 def test_a_too_large_file_is_refused_alone_and_with_its_message(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("One sentence.")
